@@ -91,6 +91,59 @@ def with_value_bucket(df: DataFrame, value_col: str, n_buckets: int = 1024) -> D
     return bz.transform(keyed).drop(tmp)
 
 
+def with_group_quantile_bucket(df: DataFrame, value_col: str, partition_cols: Sequence[str],
+                               n_buckets: int = 128) -> DataFrame:
+    """Bucket by approximate quantiles of ``value_col`` computed per group.
+
+    The boundaries (``groups x n_buckets`` numbers) stay in Spark: a grouped
+    ``percentile_approx`` joined back, and the bucket is the number of
+    boundaries <= value (monotone in value inside each group).
+    """
+    probs = F.array(*[F.lit(i / n_buckets) for i in range(1, n_buckets)])
+    bounds = df.groupBy(*partition_cols).agg(
+        F.percentile_approx(F.col(value_col).cast("double"), probs, 4 * n_buckets).alias("_lc_bounds"))
+    v = F.col(value_col).cast("double")
+    keyed = df.join(bounds, list(partition_cols)) if partition_cols else df.crossJoin(F.broadcast(bounds))
+    return (keyed.withColumn(_B, F.size(F.filter(F.col("_lc_bounds"), lambda b: b <= v)))
+            .drop("_lc_bounds"))
+
+
+def exact_quantiles(long: DataFrame, value_col: str, group_cols: Sequence[str],
+                    probs: Sequence[float], n_buckets: int = 128) -> DataFrame:
+    """Exact linear-interpolation quantiles per group (numpy 'linear' / quantile_cont).
+
+    Rows collapse to distinct (group, value) counts first, so a hot value is
+    one row; ranks come from distributed running sums.  Output:
+    ``group..., p, q``.
+    """
+    g = list(group_cols)
+    dist = (long.where(F.col(value_col).isNotNull())
+            .groupBy(*g, F.col(value_col).cast("double").alias("_v"))
+            .agg(F.count(F.lit(1)).alias("_cnt")))
+    keyed = with_group_quantile_bucket(dist, "_v", g, n_buckets)
+    run = running_sums(keyed, ["_v"], {"_cum": F.col("_cnt")}, g)
+    tot = dist.groupBy(*g).agg(F.sum("_cnt").alias("_n"))
+    def target(p: float):
+        pos = F.lit(float(p)) * (F.col("_n") - 1)
+        return F.struct(F.lit(float(p)).alias("p"), (F.floor(pos) + 1).alias("klo"),
+                        (F.ceil(pos) + 1).alias("khi"), (pos - F.floor(pos)).alias("frac"))
+    # per group: the few target ranks as one array (groups x |probs|, small)
+    tarr = tot.select(*g, F.array(*[target(p) for p in probs]).alias("_t"))
+    joined = run.join(tarr, g) if g else run.crossJoin(F.broadcast(tarr))
+    lo_in = lambda t: (F.col("_cum") - F.col("_cnt") < t["klo"]) & (t["klo"] <= F.col("_cum"))
+    hi_in = lambda t: (F.col("_cum") - F.col("_cnt") < t["khi"]) & (t["khi"] <= F.col("_cum"))
+    hits = (joined.select(*g, "_v", F.explode(F.filter("_t", lambda t: lo_in(t) | hi_in(t))).alias("t"),
+                          "_cum", "_cnt")
+            .select(*g, "_v", "t.*", "_cum", "_cnt"))
+    in_lo = (F.col("_cum") - F.col("_cnt") < F.col("klo")) & (F.col("klo") <= F.col("_cum"))
+    in_hi = (F.col("_cum") - F.col("_cnt") < F.col("khi")) & (F.col("khi") <= F.col("_cum"))
+    found = (hits.groupBy(*g, "p")
+             .agg(F.max(F.when(in_lo, F.col("_v"))).alias("_lo"),
+                  F.max(F.when(in_hi, F.col("_v"))).alias("_hi"),
+                  F.first("frac").alias("_frac")))
+    return found.select(*g, "p", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")).alias("q"))
+
+
 def row_number_by_hash(df: DataFrame, id_col: str, seed, name: str = "rn",
                        partition_cols: Sequence[str] = (), n_hex: int = 4) -> DataFrame:
     """Row number in ``(md5(id-seed), id)`` order, per ``partition_cols`` group.
