@@ -253,3 +253,54 @@ def _views_standardised(self):
 
 
 Views._standardised_cached = _views_standardised
+
+
+def _fmt2(c):
+    """Text of a number rounded to 2 decimals (same text in every engine)."""
+    return F.format_string("%.2f", rnd(c, 2))
+
+
+def _lime_rows(v: Views) -> DataFrame:
+    """LIME local rows: attributions of method LIME with the quartile range text
+    of the explained value, the predicted class and its probability."""
+    from lucerna.functions.ranking import exact_quantiles
+    from lucerna.operators.profile import unpivot
+    long = unpivot(v.order_features, ["id"], FEATURES)
+    q = (exact_quantiles(long, "value", ["feature"], [0.25, 0.5, 0.75])
+         .groupBy("feature").pivot("p", [0.25, 0.5, 0.75]).agg(F.first("q"))
+         .toDF("feature", "q1", "q2", "q3"))
+    x, f = F.col("value"), F.col("feature")
+    rng = (F.when(x <= F.col("q1"), F.concat(f, F.lit(" <= "), _fmt2("q1")))
+           .when(x <= F.col("q2"), F.concat(_fmt2("q1"), F.lit(" < "), f, F.lit(" <= "), _fmt2("q2")))
+           .when(x <= F.col("q3"), F.concat(_fmt2("q2"), F.lit(" < "), f, F.lit(" <= "), _fmt2("q3")))
+           .otherwise(F.concat(f, F.lit(" > "), _fmt2("q3"))))
+    ranged = long.join(F.broadcast(q), "feature").select(  # one row per feature
+        F.col("id").alias("sample_id"), "feature", rng.alias("range"))
+    a = v.attributions.where(F.col("method") == "LIME").select("model", "sample_id", "feature", "attribution")
+    pred = v.order_pred.select(F.col("id").alias("sample_id"), F.col("prediction").alias("class"), "probability")
+    return (a.join(ranged, ["sample_id", "feature"]).join(pred, "sample_id")
+            .select("model", "sample_id", "range", "attribution", "class", "probability"))
+
+
+def _brand_effects(v: Views) -> DataFrame:
+    """Per brand: mean retail price minus the overall mean (25 'features')."""
+    p = v.table("part").select("p_brand", "p_retailprice")
+    overall = p.agg(F.avg("p_retailprice").alias("_m"))
+    return (p.groupBy(F.col("p_brand").alias("feature")).agg(F.avg("p_retailprice").alias("_b"))
+            .crossJoin(F.broadcast(overall))  # one row
+            .select("feature", rnd(F.col("_b") - F.col("_m")).alias("attribution")))
+
+
+def _flag_brand_effects(v: Views) -> DataFrame:
+    """Per return flag (the 'sample') and brand: mean line price minus the flag's
+    mean, ranked by |effect| inside the flag."""
+    from pyspark.sql import Window
+    li = v.table("lineitem").select("l_returnflag", "l_partkey", "l_extendedprice")
+    part = v.table("part").select("p_partkey", "p_brand")
+    j = li.join(part, li["l_partkey"] == part["p_partkey"])
+    fb = j.groupBy(F.col("l_returnflag").alias("sample_id"), F.col("p_brand").alias("feature")).agg(
+        F.avg("l_extendedprice").alias("_b"))
+    fm = li.groupBy(F.col("l_returnflag").alias("sample_id")).agg(F.avg("l_extendedprice").alias("_m"))
+    out = fb.join(fm, "sample_id").select("sample_id", "feature", rnd(F.col("_b") - F.col("_m")).alias("attribution"))
+    w = Window.partitionBy("sample_id").orderBy(F.abs("attribution").desc(), F.col("feature"))
+    return out.withColumn("rank", F.row_number().over(w).cast("long"))

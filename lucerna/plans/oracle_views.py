@@ -184,3 +184,38 @@ def with_views(body: str, *names: str) -> str:
         return body
     ctes = ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in order)
     return f"WITH {ctes}\n{body}"
+
+
+def _fmt2(x: str) -> str:
+    return f"printf('%.2f', {R(x, 2)})"
+
+
+_v("feature_long", ["order_features"], " UNION ALL ".join(
+    f"SELECT id, '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM order_features" for f in FEATURES))
+
+_v("lime_rows", ["feature_long", "attributions", "order_pred"], f"""
+SELECT a.model, a.sample_id,
+       CASE WHEN l.value <= q.q1 THEN l.feature || ' <= ' || {_fmt2('q.q1')}
+            WHEN l.value <= q.q2 THEN {_fmt2('q.q1')} || ' < ' || l.feature || ' <= ' || {_fmt2('q.q2')}
+            WHEN l.value <= q.q3 THEN {_fmt2('q.q2')} || ' < ' || l.feature || ' <= ' || {_fmt2('q.q3')}
+            ELSE l.feature || ' > ' || {_fmt2('q.q3')} END AS range,
+       a.attribution, p.prediction AS class, p.probability
+FROM attributions a
+JOIN feature_long l ON a.sample_id = l.id AND a.feature = l.feature
+JOIN (SELECT feature, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS q2,
+             quantile_cont(value, 0.75) AS q3 FROM feature_long GROUP BY feature) q ON l.feature = q.feature
+JOIN order_pred p ON a.sample_id = p.id
+WHERE a.method = 'LIME'""")
+
+_v("brand_effects", [], f"""
+SELECT p_brand AS feature, {R('avg(p_retailprice) - (SELECT avg(p_retailprice) FROM part)')} AS attribution
+FROM part GROUP BY p_brand""")
+
+_v("flag_brand_effects", [], f"""
+SELECT *, CAST(row_number() OVER (PARTITION BY sample_id ORDER BY abs(attribution) DESC, feature) AS BIGINT) AS rank
+FROM (SELECT l.l_returnflag AS sample_id, p.p_brand AS feature,
+             {R('avg(l.l_extendedprice) - m.m')} AS attribution
+      FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
+      JOIN (SELECT l_returnflag, avg(l_extendedprice) AS m FROM lineitem GROUP BY 1) m
+        ON l.l_returnflag = m.l_returnflag
+      GROUP BY l.l_returnflag, p.p_brand, m.m) t""")

@@ -1,3 +1,413 @@
-"""Queries: explain family."""
+"""Queries for the explanation methods (EX1-EX22).
+
+Deterministic methods are checked with a fixed logistic formula as the
+model (f = sigmoid(-5 + 0.04 sum_qty + 0.25 n_lines)) so the SQL oracle can
+score perturbed rows too; fitted-model variants are registered rows-only.
+"""
 
 from __future__ import annotations
+
+import itertools
+
+from pyspark.sql import functions as F
+
+from lucerna.functions.exprs import rnd
+from lucerna.operators import explain as EX
+from lucerna.operators import models as ML
+from lucerna.operators import sample as SA
+from lucerna.plans.catalog import query
+from lucerna.plans.fixtures import FEATURES
+from lucerna.plans.oracle_views import R, with_views
+
+# Fixed model of the checked explanation queries.
+LOGIT = {"sum_qty": 0.04, "n_lines": 0.25}
+INTERCEPT = -5.0
+LINEAR = {"n_lines": 0.25, "sum_qty": 0.04, "avg_disc": -3.0, "sum_tax": 2.0,
+          "n_returned": -0.1, "total_price": 0.000001}
+
+
+def _logit_col():
+    z = F.lit(INTERCEPT)
+    for f, w in LOGIT.items():
+        z = z + F.lit(w) * F.col(f).cast("double")
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+
+
+SCORER = EX.expr_scorer(_logit_col)
+_Z_SQL = "(-5.0 + 0.04 * CAST(sum_qty AS DOUBLE) + 0.25 * CAST(n_lines AS DOUBLE))"
+_P_SQL = f"(1.0 / (1.0 + exp(-{_Z_SQL})))"
+
+
+# ---------------------------------------------------------------- Shapley
+
+@query("ex_linear_shapley", "EX6", with_views(" UNION ALL ".join(
+    f"SELECT id, '{f}' AS feature, {R(f'{w!r} * (CAST({f} AS DOUBLE) - (SELECT avg(CAST({f} AS DOUBLE)) FROM order_features))')} "
+    f"AS attribution, CAST({f} AS DOUBLE) AS value FROM order_features" for f, w in LINEAR.items()),
+    "order_features"))
+def ex_linear_shapley(v):
+    of = v.order_features
+    local = EX.linear_shapley(of, LINEAR, of)
+    return local.select("id", "feature", rnd("attribution").alias("attribution"), "value")
+
+
+@query("ex_shapley_global", "EX7", with_views(f"""
+SELECT model, feature, {R('sum(abs(attribution))')} AS attribution FROM attributions
+WHERE method = 'Shapley' GROUP BY model, feature""", "attributions"))
+def ex_shapley_global(v):
+    a = v.attributions.where(F.col("method") == "Shapley")
+    return EX.shapley_global(a, ["model"]).select("model", "feature", rnd("attribution").alias("attribution"))
+
+
+@query("ex_shapley_fitted_lr", "EX6,EX7,ML9")
+def ex_shapley_fitted_lr(v):
+    ob = v.order_binary
+    split = SA.train_test_split(ob)
+    train = split.where("split = 'train'")
+    m = ML.fit_model(train, "LR", "classification", FEATURES)
+    coefs = ML.linear_coefficients(m, FEATURES)
+    local = EX.linear_shapley(split.where("split = 'test'"), {c: coefs[c] for c in FEATURES}, train)
+    return EX.shapley_global(local)
+
+
+# ---------------------------------------------------------------- integrated gradients
+
+_IG_SQL = f"""
+SELECT * FROM (WITH b AS (SELECT avg(CAST(sum_qty AS DOUBLE)) AS mq, avg(CAST(n_lines AS DOUBLE)) AS ml
+                          FROM order_features),
+     r AS (SELECT id, CAST(sum_qty AS DOUBLE) AS q, CAST(n_lines AS DOUBLE) AS l, mq, ml,
+                  {_Z_SQL} AS zx, (0.04 * mq + 0.25 * ml) + -5.0 AS zb FROM order_features, b),
+     p AS (SELECT id, k.range AS k, 1.0 / (1.0 + exp(-(zb + (CAST(k.range AS DOUBLE) / 50.0) * (zx - zb)))) AS p
+           FROM r, range(51) k),
+     g AS (SELECT id, sum(CASE WHEN k = 0 OR k = 50 THEN 0.5 / 50 ELSE 1.0 / 50 END * p * (1.0 - p)) AS g
+           FROM p GROUP BY id),
+     loc AS (SELECT r.id, 'sum_qty' AS feature, (q - mq) * 0.04 * g AS a FROM r JOIN g ON r.id = g.id
+             UNION ALL SELECT r.id, 'n_lines', (l - ml) * 0.25 * g FROM r JOIN g ON r.id = g.id)
+{{select}}) t"""
+
+
+def _ig(v):
+    of = v.order_features
+    base = of.agg(*[F.avg(F.col(f).cast("double")).alias(f) for f in LOGIT]).first().asDict()
+    return EX.integrated_gradients_logistic(of, LOGIT, INTERCEPT, base)
+
+
+@query("ex_integrated_gradients", "EX8", with_views(
+    _IG_SQL.format(select=f"SELECT id, feature, {R('a')} AS attribution FROM loc"), "order_features"))
+def ex_integrated_gradients(v):
+    return _ig(v).select("id", "feature", rnd("attribution").alias("attribution"))
+
+
+@query("ex_integrated_gradients_global", "EX9", with_views(
+    _IG_SQL.format(select=f"SELECT feature, {R('avg(a)')} AS attribution, {R('stddev_pop(a)')} AS std "
+                          f"FROM loc GROUP BY feature"), "order_features"))
+def ex_integrated_gradients_global(v):
+    g = EX.global_mean_std(_ig(v), pop=True)
+    return g.select("feature", rnd("attribution").alias("attribution"), rnd("std").alias("std"))
+
+
+# ---------------------------------------------------------------- PDP / ICE / ALE
+
+@query("ex_pdp", "EX12", with_views(f"""
+SELECT {R('g')} AS grid_value, {R('avg(p)')} AS mean_prediction FROM (
+  SELECT g.g, 1.0 / (1.0 + exp(-(-5.0 + 0.04 * g.g + 0.25 * CAST(o.n_lines AS DOUBLE)))) AS p
+  FROM order_features o,
+       (SELECT q05 + (q95 - q05) * CAST(i.range AS DOUBLE) / 99.0 AS g
+        FROM (SELECT quantile_cont(sum_qty, 0.05) AS q05, quantile_cont(sum_qty, 0.95) AS q95
+              FROM order_features) q, range(100) i) g) t GROUP BY g""", "order_features"))
+def ex_pdp(v):
+    of = v.order_features.select("id", "sum_qty", "n_lines")
+    out = EX.partial_dependence(of, "sum_qty", SCORER)
+    return out.select(rnd("grid_value").alias("grid_value"), rnd("mean_prediction").alias("mean_prediction"))
+
+
+@query("ex_pdp_distinct_grid", "EX12", with_views(f"""
+SELECT CAST(g.g AS DOUBLE) AS grid_value,
+       {R('avg(1.0 / (1.0 + exp(-(-5.0 + 0.04 * CAST(o.sum_qty AS DOUBLE) + 0.25 * g.g))))')} AS mean_prediction
+FROM order_features o, (SELECT DISTINCT CAST(n_lines AS DOUBLE) AS g FROM order_features) g GROUP BY g.g""",
+    "order_features"))
+def ex_pdp_distinct_grid(v):
+    of = v.order_features.select("id", "sum_qty", "n_lines")
+    out = EX.partial_dependence(of, "n_lines", SCORER)
+    return out.select("grid_value", rnd("mean_prediction").alias("mean_prediction"))
+
+
+@query("ex_ice", "EX13", with_views(f"""
+SELECT s.id, g.g AS grid_value,
+       {R('1.0 / (1.0 + exp(-(-5.0 + 0.04 * CAST(s.sum_qty AS DOUBLE) + 0.25 * g.g)))')} AS prediction
+FROM (SELECT * FROM (SELECT id, sum_qty, row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR) || '-0'), id) AS rn
+                     FROM order_features) r WHERE rn <= 1000) s,
+     (SELECT DISTINCT CAST(n_lines AS DOUBLE) AS g FROM order_features) g""", "order_features"))
+def ex_ice(v):
+    of = v.order_features.select("id", "sum_qty", "n_lines")
+    rows = EX.ice_rows(of, max_rows=1000)
+    grid = EX.pdp_grid(of, "n_lines")
+    out = EX.partial_dependence(rows, "n_lines", SCORER, grid, per_row=True)
+    return out.select("id", "grid_value", rnd("prediction").alias("prediction"))
+
+
+def _sig(x):
+    return f"(1.0 / (1.0 + exp(-(-5.0 + 0.04 * ({x}) + 0.25 * CAST(n_lines AS DOUBLE)))))"
+
+
+_ALE_SQL = f"""
+SELECT * FROM (WITH e AS (SELECT list_sort(list_distinct(list_value(
+            {', '.join(f'quantile_cont(CAST(sum_qty AS DOUBLE), {i / 10})' for i in range(11))}))) AS edges
+            FROM order_features),
+     b AS (SELECT o.*, greatest(len(list_filter(e.edges, lambda x: x < CAST(o.sum_qty AS DOUBLE))), 1) AS bin, e.edges
+           FROM order_features o, e),
+     d AS (SELECT bin, edges[bin] AS lower, edges[bin + 1] AS upper,
+                  {_sig('edges[bin + 1]')} - {_sig('edges[bin]')} AS diff FROM b),
+     eff AS (SELECT bin, lower, upper, COUNT(*) AS n, avg(diff) AS effect FROM d GROUP BY 1, 2, 3),
+     acc AS (SELECT *, sum(effect) OVER (ORDER BY bin ROWS UNBOUNDED PRECEDING) AS ale FROM eff),
+     pr AS (SELECT *, coalesce(lag(ale) OVER (ORDER BY bin), 0.0) AS prev FROM acc),
+     c AS (SELECT sum(n * (prev + ale) / 2.0) / sum(n) AS c FROM pr)
+SELECT CAST(bin AS INTEGER) AS bin, {R('lower')} AS lower, {R('upper')} AS upper, n,
+       {R('effect')} AS effect, {R('ale - c')} AS ale FROM pr, c) t"""
+
+
+@query("ex_ale", "EX14", with_views(_ALE_SQL, "order_features"))
+def ex_ale(v):
+    of = v.order_features.select("id", "sum_qty", "n_lines")
+    out = EX.ale(of, "sum_qty", SCORER, 10)
+    return out.select(F.col("bin").cast("int").alias("bin"), rnd("lower").alias("lower"),
+                      rnd("upper").alias("upper"), "n", rnd("effect").alias("effect"), rnd("ale").alias("ale"))
+
+
+# ---------------------------------------------------------------- anchors
+
+_ANCHOR_COLS = ["n_lines", "sum_qty", "sum_tax"]
+
+
+def _anchor_sql(select_local: str) -> str:
+    cols = _ANCHOR_COLS
+    subsets = [s for k in range(1, 4) for s in itertools.combinations(cols, k)]
+
+    def txt(c):
+        q = [f"printf('%.2f', {R(f'q{j}_{c}', 2)})" for j in (1, 2, 3)]
+        return (f"CASE WHEN b_{c} = 0 THEN '{c} <= ' || {q[0]} "
+                f"WHEN b_{c} = 1 THEN {q[0]} || ' < {c} <= ' || {q[1]} "
+                f"WHEN b_{c} = 2 THEN {q[1]} || ' < {c} <= ' || {q[2]} "
+                f"ELSE '{c} > ' || {q[2]} END")
+    qcols = ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), {p}) AS q{j}_{c}"
+                      for c in cols for j, p in ((1, 0.25), (2, 0.5), (3, 0.75)))
+    bins = ", ".join(f"CASE WHEN CAST({c} AS DOUBLE) <= q1_{c} THEN 0 WHEN CAST({c} AS DOUBLE) <= q2_{c} THEN 1 "
+                     f"WHEN CAST({c} AS DOUBLE) <= q3_{c} THEN 2 ELSE 3 END AS b_{c}" for c in cols)
+    parts = []
+    for i, s in enumerate(subsets):
+        key = " || ',' || ".join(f"CAST(b_{c} AS VARCHAR)" for c in s)
+        rule = " || ' AND ' || ".join(txt(c) for c in s)
+        parts.append(f"SELECT id, split, prediction, {i} AS sub, {len(s)} AS size, {key} AS key, {rule} AS rule FROM bb")
+    return f"""
+SELECT * FROM (WITH sp AS (SELECT p.id, p.prediction, f.n_lines, f.sum_qty, f.sum_tax,
+                                CASE WHEN row_number() OVER (ORDER BY md5(CAST(p.id AS VARCHAR) || '-2020'), p.id)
+                                     <= floor(count(*) OVER () * 0.8) THEN 'train' ELSE 'test' END AS split
+                         FROM order_pred p JOIN order_features f ON p.id = f.id),
+     q AS (SELECT {qcols} FROM sp WHERE split = 'train'),
+     bb AS (SELECT sp.*, q.*, {bins} FROM sp, q),
+     cand AS ({' UNION ALL '.join(parts)}),
+     cnt AS (SELECT sub, key, prediction, COUNT(*) AS c FROM cand WHERE split = 'train' GROUP BY 1, 2, 3),
+     cov AS (SELECT sub, key, SUM(c) AS cv FROM cnt GROUP BY 1, 2),
+     ntr AS (SELECT COUNT(*) AS n FROM sp WHERE split = 'train'),
+     sc AS (SELECT e.id, e.rule, e.size,
+                   coalesce(CAST(s.c AS DOUBLE) / cov.cv, 0.0) AS precision,
+                   coalesce(cov.cv, 0) / CAST(ntr.n AS DOUBLE) AS coverage
+            FROM cand e LEFT JOIN cov ON e.sub = cov.sub AND e.key = cov.key
+            LEFT JOIN cnt s ON e.sub = s.sub AND e.key = s.key AND e.prediction = s.prediction, ntr
+            WHERE e.split = 'test'),
+     best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY
+                CASE WHEN precision >= 0.95 THEN 0 ELSE 1 END,
+                CASE WHEN precision >= 0.95 THEN size ELSE 0 END,
+                CASE WHEN precision >= 0.95 THEN -coverage ELSE -precision END,
+                size, -coverage, rule) AS r FROM sc),
+     loc AS (SELECT id, rule, CAST(size AS INTEGER) AS size, precision, coverage FROM best WHERE r = 1)
+{select_local}) t"""
+
+
+def _anchors(v):
+    ob = v.order_pred.join(v.order_features.select("id", *_ANCHOR_COLS), "id")
+    split = SA.train_test_split(ob)
+    return EX.anchors(split.where("split = 'train'"), split.where("split = 'test'"), _ANCHOR_COLS)
+
+
+def _anchor_text_fix(df):
+    return df
+
+
+@query("ex_anchors", "EX15", with_views(_anchor_sql(
+    f"SELECT id, rule, size, {R('precision')} AS precision, {R('coverage')} AS coverage FROM loc"),
+    "order_pred", "order_features"))
+def ex_anchors(v):
+    a = _anchors(v)
+    return a.select("id", "rule", F.col("size").cast("int").alias("size"), rnd("precision").alias("precision"),
+                    rnd("coverage").alias("coverage"))
+
+
+@query("ex_anchors_global", "EX16", with_views(_anchor_sql(
+    f"SELECT rule AS feature, {R('avg(precision)')} AS precision, "
+    f"{R('coalesce(stddev_samp(precision), 0.0)')} AS std, {R('sum(coverage)')} AS coverage, "
+    f"{R('avg(precision)')} AS attribution FROM loc GROUP BY rule"), "order_pred", "order_features"))
+def ex_anchors_global(v):
+    g = EX.anchors_global(_anchors(v))
+    return g.select("feature", *[rnd(c).alias(c) for c in ("precision", "std", "coverage", "attribution")])
+
+
+# ---------------------------------------------------------------- counterfactuals
+
+_CF_COLS = ["n_lines", "sum_qty"]
+
+
+def _cf_sql(select: str) -> str:
+    def u(seed, c):
+        return (f"(CAST(('0x' || substr(md5(CAST(id AS VARCHAR) || '-{seed}-' || CAST(cf AS VARCHAR) "
+                f"|| '-{c}'), 1, 8)) AS BIGINT) / 4294967296.0)")
+    ch = {c: f"({u(0, c)} < 0.3)" for c in _CF_COLS}
+    val = {c: f"(lo_{c} + (hi_{c} - lo_{c}) * {u('0-v', c)})" for c in _CF_COLS}
+    newv = {c: f"CASE WHEN {ch[c]} THEN {val[c]} ELSE CAST({c} AS DOUBLE) END" for c in _CF_COLS}
+    span = {c: f"(CASE WHEN hi_{c} - lo_{c} = 0 THEN 1.0 ELSE hi_{c} - lo_{c} END)" for c in _CF_COLS}
+    dist = " + ".join(f"CASE WHEN {ch[c]} THEN abs({val[c]} - CAST({c} AS DOUBLE)) / {span[c]} ELSE 0.0 END"
+                      for c in _CF_COLS)
+    nchg = " + ".join(f"CASE WHEN {ch[c]} THEN 1 ELSE 0 END" for c in _CF_COLS)
+    rng = ", ".join(f"min(CAST({c} AS DOUBLE)) AS lo_{c}, max(CAST({c} AS DOUBLE)) AS hi_{c}" for c in _CF_COLS)
+    return f"""
+SELECT * FROM (WITH rg AS (SELECT {rng} FROM order_features),
+     o AS (SELECT id, n_lines, sum_qty, {_P_SQL} AS orig FROM order_features),
+     c AS (SELECT o.*, rg.*, unnest(generate_series(0, 99)) AS cf FROM o, rg),
+     n AS (SELECT id, cf, orig, {', '.join(f'{newv[c]} AS x_{c}' for c in _CF_COLS)},
+                  {', '.join(f'CASE WHEN {ch[c]} THEN 1 ELSE 0 END AS c_{c}' for c in _CF_COLS)},
+                  {nchg} AS nchg, {dist} AS dist FROM c),
+     s AS (SELECT *, 1.0 / (1.0 + exp(-(-5.0 + 0.04 * x_sum_qty + 0.25 * x_n_lines))) AS score FROM n),
+     k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY nchg, dist, cf) AS rk FROM s
+           WHERE ((score >= 0.5) <> (orig >= 0.5)) AND nchg > 0),
+     kept AS (SELECT * FROM k WHERE rk <= 10),
+     lng AS ({' UNION ALL '.join(f"SELECT id, cf, '{c}' AS feature, x_{c} AS value, c_{c} = 1 AS changed FROM kept" for c in _CF_COLS)})
+{select}) t"""
+
+
+def _cf(v):
+    of = v.order_features.select("id", *_CF_COLS)
+    desired = lambda s, o: (s >= 0.5) != (o >= 0.5)  # noqa: E731 -- the opposite class
+    return EX.counterfactuals(of, of, _CF_COLS, SCORER, desired)
+
+
+@query("ex_counterfactuals", "EX10", with_views(_cf_sql(
+    f"SELECT id, CAST(cf AS INTEGER) AS cf, feature, {R('value')} AS value, changed FROM lng"), "order_features"))
+def ex_counterfactuals(v):
+    return _cf(v).select("id", F.col("cf").cast("int").alias("cf"), "feature", rnd("value").alias("value"),
+                         "changed")
+
+
+@query("ex_dice_importance", "EX11", with_views(_cf_sql(f"""
+SELECT feature, {R('avg(a)')} AS attribution, {R('stddev_pop(a)')} AS std FROM (
+  SELECT id, feature, avg(CASE WHEN changed THEN 1.0 ELSE 0.0 END) AS a FROM lng GROUP BY id, feature) l
+GROUP BY feature"""), "order_features"))
+def ex_dice_importance(v):
+    g = EX.dice_importance(_cf(v))
+    return g.select("feature", rnd("attribution").alias("attribution"), rnd("std").alias("std"))
+
+
+# ---------------------------------------------------------------- LIME tables
+
+@query("ex_lime_global", "EX4", with_views(f"""
+SELECT model, feature, {R('avg(attribution)')} AS attribution, {R('stddev_samp(attribution)')} AS std
+FROM (SELECT model, attribution,
+             trim(regexp_replace(regexp_replace(range, '^-?[0-9]+(\\.[0-9]+)?\\s*(<=|>=|<|>|=)\\s*', ''),
+                                 '\\s*(<=|>=|<|>|=)\\s*-?[0-9]+(\\.[0-9]+)?$', '')) AS feature
+      FROM lime_rows) l GROUP BY model, feature""", "lime_rows"))
+def ex_lime_global(v):
+    g = EX.lime_global(v.lime_rows, ["model"])
+    return g.select("model", "feature", rnd("attribution").alias("attribution"), rnd("std").alias("std"))
+
+
+# ---------------------------------------------------------------- table shaping
+
+@query("ex_sort_by_magnitude", "EX18,IO3", with_views("""
+SELECT model, method, feature, attribution,
+       CAST(row_number() OVER (PARTITION BY model, method ORDER BY abs(attribution) DESC, feature) AS BIGINT) AS rank
+FROM attributions WHERE sample_id IS NULL""", "attributions"))
+def ex_sort_by_magnitude(v):
+    from pyspark.sql import Window
+    g = v.attributions.where(F.col("sample_id").isNull())
+    w = Window.partitionBy("model", "method").orderBy(F.abs("attribution").desc(), "feature")
+    return g.select("model", "method", "feature", "attribution",
+                    F.row_number().over(w).cast("long").alias("rank"))
+
+
+@query("ex_shorten_top10", "EX19", with_views(f"""
+SELECT feature, {R('attribution')} AS attribution FROM (
+  SELECT feature, attribution FROM (
+    SELECT *, row_number() OVER (ORDER BY abs(attribution) DESC, feature) AS rn, count(*) OVER () AS cnt
+    FROM brand_effects) r WHERE rn <= 10 OR cnt <= 10
+  UNION ALL
+  SELECT 'Sum other ' || CAST(cnt - 10 AS VARCHAR) || ' features', sum(attribution) FROM (
+    SELECT *, row_number() OVER (ORDER BY abs(attribution) DESC, feature) AS rn, count(*) OVER () AS cnt
+    FROM brand_effects) r WHERE rn > 10 AND cnt > 10 GROUP BY cnt) u""", "brand_effects"))
+def ex_shorten_top10(v):
+    out = EX.shorten_global(v.brand_effects)
+    return out.select("feature", rnd("attribution").alias("attribution"))
+
+
+@query("ex_summarise_local", "EX20", with_views(f"""
+SELECT sample_id, feature, {R('attribution')} AS attribution,
+       CAST(row_number() OVER (PARTITION BY sample_id ORDER BY attribution DESC, feature) AS BIGINT) AS position
+FROM (
+  SELECT sample_id, feature, attribution FROM (
+    SELECT *, count(*) OVER (PARTITION BY sample_id) AS cnt FROM flag_brand_effects) r WHERE rank <= 10 OR cnt <= 10
+  UNION ALL
+  SELECT sample_id, 'Sum other ' || CAST(cnt - 10 AS VARCHAR) || ' features', sum(attribution) FROM (
+    SELECT *, count(*) OVER (PARTITION BY sample_id) AS cnt FROM flag_brand_effects) r
+  WHERE rank > 10 AND cnt > 10 GROUP BY sample_id, cnt) u""", "flag_brand_effects"))
+def ex_summarise_local(v):
+    out = EX.summarise_local(v.flag_brand_effects, ["sample_id"])
+    return out.select("sample_id", "feature", rnd("attribution").alias("attribution"), "position")
+
+
+@query("ex_sample_confidence", "EX21", with_views(
+    "SELECT id, greatest(p0, p1, p2) AS confidence FROM order_pred_multi", "order_pred_multi"))
+def ex_sample_confidence(v):
+    return EX.sample_confidence(v.order_pred_multi)
+
+
+@query("ex_attribution_share", "EX22", with_views(f"""
+SELECT model, method, feature,
+       {R('CASE WHEN sum(abs(attribution)) OVER (PARTITION BY model, method) = 0 THEN 0.0 '
+          'ELSE 100.0 * abs(attribution) / sum(abs(attribution)) OVER (PARTITION BY model, method) END')} AS share
+FROM attributions WHERE sample_id IS NULL""", "attributions"))
+def ex_attribution_share(v):
+    g = v.attributions.where(F.col("sample_id").isNull())
+    return EX.attribution_share(g, ["model", "method"]).select("model", "method", "feature",
+                                                               rnd("share").alias("share"))
+
+
+# ---------------------------------------------------------------- fitted-model explainers (rows-only)
+
+def _fitted(v, name="LR", params=None):
+    ob = v.order_binary
+    split = SA.train_test_split(ob)
+    train = split.where("split = 'train'")
+    test = split.where("split = 'test'")
+    m = ML.fit_model(train, name, "classification", FEATURES, params=params)
+    return m, train, test
+
+
+@query("ex_permutation_importance", "EX1")
+def ex_permutation_importance(v):
+    m, train, _ = _fitted(v)
+    return EX.permutation_importance(train, FEATURES, EX.pipeline_scorer(m, 1), repeats=5)
+
+
+@query("ex_forest_importance", "EX2")
+def ex_forest_importance(v):
+    _, _, test = _fitted(v)
+    return EX.forest_importance(test, FEATURES, "classification")
+
+
+@query("ex_pdp_fitted", "EX12,ML2")
+def ex_pdp_fitted(v):
+    m, train, _ = _fitted(v, "RF")
+    return EX.partial_dependence(train, "sum_qty", EX.pipeline_scorer(m, 1))
+
+
+@query("ex_ale_fitted", "EX14,ML4")
+def ex_ale_fitted(v):
+    m, train, _ = _fitted(v, "XGBOOST", {"maxIter": 30})
+    return EX.ale(train, "sum_qty", EX.pipeline_scorer(m, 1))
