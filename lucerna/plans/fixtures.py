@@ -238,14 +238,6 @@ def _attributions(v: Views) -> DataFrame:
     return local.unionByName(glob)
 
 
-def _model_metric(v: Views) -> DataFrame:
-    """Quality of the two attribution models: an AUC taken from rule models."""
-    rm = v.run_metrics.filter(F.col("metric") == "Auc")
-    return rm.select(F.when(F.col("model") == "qty", "LR").otherwise("RF").alias("model"),
-                     F.col("value").alias("auc")).filter(F.col("model").isNotNull()) \
-        .groupBy("model").agg(F.max("auc").alias("auc"))
-
-
 def _views_standardised(self):
     if "_standardised" not in self._cache:
         self._cache["_standardised"] = _standardised(self)
@@ -304,3 +296,11 @@ def _flag_brand_effects(v: Views) -> DataFrame:
     out = fb.join(fm, "sample_id").select("sample_id", "feature", rnd(F.col("_b") - F.col("_m")).alias("attribution"))
     w = Window.partitionBy("sample_id").orderBy(F.abs("attribution").desc(), F.col("feature"))
     return out.withColumn("rank", F.row_number().over(w).cast("long"))
+
+
+def _model_quality(v: Views) -> DataFrame:
+    """(model, metric): AUC of the two attribution models, taken from the rule
+    models' metric bundle (LR <- 'qty', RF <- 'tax')."""
+    rm = v.run_metrics.where((F.col("metric") == "Auc") & F.col("model").isin("qty", "tax"))
+    return rm.select(F.when(F.col("model") == "qty", "LR").otherwise("RF").alias("model"),
+                     F.col("value").alias("metric"))

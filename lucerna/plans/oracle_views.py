@@ -219,3 +219,12 @@ FROM (SELECT l.l_returnflag AS sample_id, p.p_brand AS feature,
       JOIN (SELECT l_returnflag, avg(l_extendedprice) AS m FROM lineitem GROUP BY 1) m
         ON l.l_returnflag = m.l_returnflag
       GROUP BY l.l_returnflag, p.p_brand, m.m) t""")
+
+_v("model_quality", ["run_metrics"], """
+SELECT CASE WHEN model = 'qty' THEN 'LR' ELSE 'RF' END AS model, value AS metric
+FROM run_metrics WHERE metric = 'Auc' AND model IN ('qty', 'tax')""")
+
+_v("ranked", ["attributions"], """
+SELECT *, CAST(row_number() OVER (PARTITION BY model, method, sample_id
+                                  ORDER BY attribution DESC, feature) AS BIGINT) AS ranking
+FROM attributions""")
