@@ -304,3 +304,20 @@ def _model_quality(v: Views) -> DataFrame:
     rm = v.run_metrics.where((F.col("metric") == "Auc") & F.col("model").isin("qty", "tax"))
     return rm.select(F.when(F.col("model") == "qty", "LR").otherwise("RF").alias("model"),
                      F.col("value").alias("metric"))
+
+
+def _rules_text(v: Views) -> DataFrame:
+    """RIPPER-style rule text per order priority, built from that priority's
+    quartiles (feature indexes refer to FEATURES): two rules per line."""
+    from lucerna.functions.ranking import exact_quantiles
+    from lucerna.operators.profile import unpivot
+    o = v.table("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("source"))
+    j = v.order_features.join(o, "id")
+    long = unpivot(j, ["source"], ["sum_qty", "n_lines", "sum_tax"])
+    q = exact_quantiles(long, "value", ["source", "feature"], [0.25, 0.5, 0.75])
+    key = F.concat(F.col("feature"), F.lit("_"), (F.col("p") * 100).cast("int").cast("string"))
+    w = q.withColumn("k", key).groupBy("source").pivot(
+        "k", ["sum_qty_25", "sum_qty_75", "n_lines_50", "sum_tax_25"]).agg(F.first("q"))
+    return w.select("source", F.concat(
+        F.lit("[1="), _fmt2("sum_qty_25"), F.lit("-"), _fmt2("sum_qty_75"),
+        F.lit("^0=>"), _fmt2("n_lines_50"), F.lit("] V [3=<"), _fmt2("sum_tax_25"), F.lit("]")).alias("text"))

@@ -228,3 +228,21 @@ _v("ranked", ["attributions"], """
 SELECT *, CAST(row_number() OVER (PARTITION BY model, method, sample_id
                                   ORDER BY attribution DESC, feature) AS BIGINT) AS ranking
 FROM attributions""")
+
+_v("rules_text", ["order_features"], f"""
+SELECT source, '[1=' || {_fmt2('q_qty25')} || '-' || {_fmt2('q_qty75')} || '^0=>' || {_fmt2('q_lines50')}
+               || '] V [3=<' || {_fmt2('q_tax25')} || ']' AS text
+FROM (SELECT o.o_orderpriority AS source,
+             quantile_cont(CAST(f.sum_qty AS DOUBLE), 0.25) AS q_qty25,
+             quantile_cont(CAST(f.sum_qty AS DOUBLE), 0.75) AS q_qty75,
+             quantile_cont(CAST(f.n_lines AS DOUBLE), 0.5) AS q_lines50,
+             quantile_cont(CAST(f.sum_tax AS DOUBLE), 0.25) AS q_tax25
+      FROM order_features f JOIN orders o ON f.id = o.o_orderkey GROUP BY 1) q""")
+
+# rules_text parsed: the numbers are the printed 2-decimal values
+_v("rule_preds", ["rules_text"], """
+SELECT source, 0 AS rule_no, 0 AS cond_no, 'sum_qty' AS feature, '>=' AS op,
+       CAST(regexp_extract(text, '^\\[1=([0-9.]+)-', 1) AS DOUBLE) AS value FROM rules_text
+UNION ALL SELECT source, 0, 0, 'sum_qty', '<=', CAST(regexp_extract(text, '^\\[1=[0-9.]+-([0-9.]+)', 1) AS DOUBLE) FROM rules_text
+UNION ALL SELECT source, 0, 1, 'n_lines', '>=', CAST(regexp_extract(text, '\\^0=>([0-9.]+)', 1) AS DOUBLE) FROM rules_text
+UNION ALL SELECT source, 1, 0, 'sum_tax', '<=', CAST(regexp_extract(text, '3=<([0-9.]+)', 1) AS DOUBLE) FROM rules_text""")
