@@ -1,3 +1,203 @@
-"""Queries: models family."""
+"""Queries for model families (ML), voting (ML12-ML17, ML20), search (HS) and fold runs (CV7).
+
+Voting arithmetic is deterministic and SQL-checked over the rule models of
+``model_votes``; fitted models are registered rows-only.
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lucerna.functions.exprs import rnd
+from lucerna.operators import folds as CV
+from lucerna.operators import models as ML
+from lucerna.operators import sample as SA
+from lucerna.operators import search as HS
+from lucerna.operators import voting as VO
+from lucerna.plans.catalog import query
+from lucerna.plans.fixtures import FEATURES
+from lucerna.plans.oracle_views import R, with_views
+
+_MW = "(VALUES " + ", ".join(f"('{k}', {v!r})" for k, v in VO.METRIC_WEIGHTS.items()) + ") mw(metric, w)"
+_WEIGHTS = f"""
+sc AS (SELECT m.model, coalesce(s.score, 0.0) AS score
+       FROM (SELECT DISTINCT model FROM run_metrics) m
+       LEFT JOIN (SELECT r.model, sum(mw.w * r.value) AS score FROM run_metrics r
+                  JOIN {_MW} ON r.metric = mw.metric GROUP BY r.model) s ON m.model = s.model),
+rk AS (SELECT model, score, row_number() OVER (ORDER BY score DESC, model) AS rank FROM sc),
+wt AS (SELECT model, score, CAST(rank AS BIGINT) AS rank, (1.0 / rank) / sum(1.0 / rank) OVER () AS weight FROM rk)"""
+
+
+def _weights(v):
+    return VO.model_weights(v.run_metrics.select("model", "metric", "value"))
+
+
+@query("ml_vote_weights", "ML12", with_views(
+    f"SELECT * FROM (WITH {_WEIGHTS} SELECT model, {R('score')} AS score, rank, {R('weight')} AS weight FROM wt) q",
+    "run_metrics"))
+def ml_vote_weights(v):
+    w = _weights(v)
+    return w.select("model", rnd("score").alias("score"), "rank", rnd("weight").alias("weight"))
+
+
+@query("ml_vote_class", "ML13", with_views(f"""
+SELECT * FROM (WITH {_WEIGHTS},
+     pv AS (SELECT v.id, v.prediction, sum(wt.weight) AS w FROM model_votes v JOIN wt ON v.model = wt.model
+            GROUP BY 1, 2),
+     b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY w DESC, prediction) AS r FROM pv)
+SELECT id, prediction, {R('w')} AS vote_weight FROM b WHERE r = 1) q""", "run_metrics", "model_votes"))
+def ml_vote_class(v):
+    out = VO.weighted_class_vote(v.model_votes, _weights(v))
+    return out.select("id", "prediction", rnd("vote_weight").alias("vote_weight"))
+
+
+@query("ml_vote_regression", "ML14", with_views(f"""
+SELECT * FROM (WITH {_WEIGHTS}
+SELECT v.id, {R('sum(wt.weight * v.probability) / sum(wt.weight)')} AS prediction
+FROM model_votes v JOIN wt ON v.model = wt.model GROUP BY v.id) q""", "run_metrics", "model_votes"))
+def ml_vote_regression(v):
+    votes = v.model_votes.select("id", "model", F.col("probability").alias("prediction"))
+    out = VO.weighted_regression(votes, _weights(v))
+    return out.select("id", rnd("prediction").alias("prediction"))
+
+
+@query("ml_vote_probability", "ML15", with_views(f"""
+SELECT id, class, {R('avg(p)', 9)} AS probability FROM (
+  SELECT id, 0 AS class, 1.0 - probability AS p FROM model_votes
+  UNION ALL SELECT id, 1 AS class, probability AS p FROM model_votes) t GROUP BY 1, 2""", "model_votes"))
+def ml_vote_probability(v):
+    out = VO.mean_probability(v.model_votes)
+    # a mean of four 6-decimal values has at most 8 decimals: 9 digits never tie
+    return out.select("id", "class", rnd("probability", 9).alias("probability"))
+
+
+@query("ml_probability_fallback", "ML16", with_views(
+    "SELECT id, model, CAST(1 - prediction AS DOUBLE) AS p0, CAST(prediction AS DOUBLE) AS p1 FROM model_votes",
+    "model_votes"))
+def ml_probability_fallback(v):
+    p = F.col("prediction").cast("double")
+    return v.model_votes.select("id", "model", (1.0 - p).alias("p0"), p.alias("p1"))
+
+
+@query("ml_batch_scores", "ML17", with_views("""
+SELECT id AS "Sample ID",
+       CAST(CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS INTEGER) AS "Predicted class",
+       greatest(p0, p1, p2) AS "Probability" FROM order_pred_multi""", "order_pred_multi"))
+def ml_batch_scores(v):
+    return ML.batch_scores(v.order_pred_multi, "classification")
+
+
+@query("ml_batch_scores_regression", "ML17", with_views("""
+SELECT id AS "Sample ID", -1 AS "Predicted class", prediction AS "Probability" FROM order_pred_reg""",
+    "order_pred_reg"))
+def ml_batch_scores_regression(v):
+    return ML.batch_scores(v.order_pred_reg, "regression")
+
+
+@query("ml_rulefit_hard_label", "ML20", with_views(
+    "SELECT id, CAST(trunc(sign(probability) * floor(abs(probability) * 100.0 + 0.5) / 100.0) AS INTEGER) "
+    "AS hard_label FROM order_pred", "order_pred"))
+def ml_rulefit_hard_label(v):
+    return ML.rulefit_hard_label(v.order_pred.select("id", "probability"), "probability").select("id", "hard_label")
+
+
+# ---------------------------------------------------------------- fitted models (rows-only)
+
+def _split(v, df=None):
+    s = SA.train_test_split(df if df is not None else v.order_binary)
+    return s.where("split = 'train'"), s.where("split = 'test'")
+
+
+def _fit_score(v, name, task="classification", params=None, df=None, n_classes=2):
+    train, test = _split(v, df)
+    m = ML.fit_model(train, name, task, FEATURES, n_classes=n_classes, params=params)
+    return ML.predict(m, test)
+
+
+@query("ml_decision_tree", "ML1")
+def ml_decision_tree(v):
+    return _fit_score(v, "DT", params={"maxDepth": 5})
+
+
+@query("ml_decision_tree_regression", "ML1")
+def ml_decision_tree_regression(v):
+    return _fit_score(v, "DT", "regression", df=v.order_regression)
+
+
+@query("ml_random_forest", "ML2")
+def ml_random_forest(v):
+    return _fit_score(v, "RF", params={"numTrees": 50})
+
+
+@query("ml_svm_rbf", "ML3")
+def ml_svm_rbf(v):
+    train, test = _split(v)
+    from lucerna.operators.scale import normalise
+    std = normalise(v.order_binary, FEATURES, "SC", "id")
+    train, test = _split(v, std)
+    m = ML.fit_model(train, "SVM", "classification", FEATURES, params={"n_components": 50})
+    return ML.predict(m, test)
+
+
+@query("ml_gradient_boosting", "ML4")
+def ml_gradient_boosting(v):
+    return _fit_score(v, "XGBOOST", params={"maxIter": 20, "maxDepth": 4})
+
+
+@query("ml_neural_network", "ML5")
+def ml_neural_network(v):
+    from lucerna.operators.scale import normalise
+    std = normalise(v.order_multi, FEATURES, "SC", "id")
+    return _fit_score(v, "ANN", params={"maxIter": 50}, df=std, n_classes=3)
+
+
+@query("ml_logistic_regression", "ML9,ML16")
+def ml_logistic_regression(v):
+    return _fit_score(v, "LR")
+
+
+@query("ml_linear_regression", "ML9")
+def ml_linear_regression(v):
+    return _fit_score(v, "LR", "regression", df=v.order_regression)
+
+
+@query("ml_bagging", "ML10")
+def ml_bagging(v):
+    return _fit_score(v, "BAG")
+
+
+@query("ml_tree_leaves", "ML21")
+def ml_tree_leaves(v):
+    train, test = _split(v)
+    m = ML.fit_model(train, "DT", "classification", FEATURES, params={"maxDepth": 4})
+    return ML.leaf_statistics(m, test.withColumn("label", F.col("label").cast("double")))
+
+
+@query("ml_learning_history", "ML22")
+def ml_learning_history(v):
+    train, _ = _split(v)
+    m = ML.fit_model(train, "LR", "classification", FEATURES)
+    return ML.learning_history_df(v.spark, m)
+
+
+@query("hs_random_search", "HS2,HS4,CV6")
+def hs_random_search(v):
+    train, _ = _split(v)
+    folded = CV.group_kfold(train)
+    _, trials = HS.search(folded, "DT", "classification", FEATURES,
+                          {"maxDepth": [2, 4, 6, 8], "minInstancesPerNode": [1, 5]}, n_iter=4)
+    return trials
+
+
+@query("hs_grid_search", "HS1")
+def hs_grid_search(v):
+    train, _ = _split(v, v.order_regression)
+    folded = CV.kfold(train)
+    _, trials = HS.search(folded, "LR", "regression", FEATURES, {"regParam": [0.0, 0.1], "elasticNetParam": [0.0, 1.0]})
+    return trials
+
+
+@query("cv_run_folds", "CV7,CV5")
+def cv_run_folds(v):
+    train, _ = _split(v)
+    return HS.run_folds(CV.stratified_kfold(train), "LR", "classification", FEATURES)
