@@ -143,3 +143,60 @@ SELECT g.id, g."group", CAST(m.fold AS INTEGER) AS fold FROM g JOIN m ON g."grou
     "order_binary"))
 def cv_group_kfold(v):
     return CV.group_kfold(v.order_binary.select("id"))
+
+
+# ---------------------------------------------------------------- neighbours
+
+_E = [f"e{i}" for i in range(8)]
+_DIST_SQL = "sqrt(" + " + ".join(f"(q.{c} - b.{c}) * (q.{c} - b.{c})" for c in _E) + ")"
+_KNN_SQL = f"""
+SELECT * FROM (WITH sp AS ({_split_sql('emb_points', 'id, label, ' + ', '.join(_E))}),
+     q AS (SELECT * FROM sp WHERE split = 'test'), b AS (SELECT * FROM sp WHERE split = 'train'),
+     pr AS (SELECT q.id AS qid, b.id AS nid, b.label AS y, {_DIST_SQL} AS dist FROM q, b),
+     nn AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, nid) AS rank FROM pr)
+{{select}}) t"""
+
+
+def _emb_split(v):
+    s = SA.train_test_split(v.emb_points)
+    return s.where("split = 'train'"), s.where("split = 'test'")
+
+
+@query("knn_neighbours", "H3", with_views(_KNN_SQL.format(
+    select=f"SELECT qid, nid, {R('dist')} AS dist, CAST(rank AS INTEGER) AS rank FROM nn WHERE rank <= 5"),
+    "emb_points"))
+def knn_neighbours(v):
+    from lucerna.operators.neighbours import knn
+    train, test = _emb_split(v)
+    out = knn(test, train, _E, 5)
+    return out.select("qid", "nid", rnd("dist").alias("dist"), "rank")
+
+
+@query("ml_knn_classifier", "ML6,H3", with_views(_KNN_SQL.format(select=f"""
+, k AS (SELECT * FROM nn WHERE rank <= 5),
+     z AS (SELECT *, min(dist) OVER (PARTITION BY qid) AS mind FROM k),
+     wv AS (SELECT qid, y, sum(CASE WHEN mind = 0 THEN (CASE WHEN dist = 0 THEN 1.0 ELSE 0.0 END)
+                                 ELSE 1.0 / dist END) AS cw FROM z GROUP BY 1, 2),
+     r AS (SELECT *, cw / sum(cw) OVER (PARTITION BY qid) AS p,
+                  row_number() OVER (PARTITION BY qid ORDER BY cw DESC, y) AS rr FROM wv)
+SELECT qid AS id, y AS prediction, {R('p')} AS probability FROM r WHERE rr = 1""").replace(
+    "nn AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, nid) AS rank FROM pr)\n,",
+    "nn AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, nid) AS rank FROM pr),"),
+    "emb_points"))
+def ml_knn_classifier(v):
+    from lucerna.operators.neighbours import knn, knn_predict
+    train, test = _emb_split(v)
+    out = knn_predict(knn(test, train, _E, 5), train)
+    return out.select("id", "prediction", rnd("probability").alias("probability"))
+
+
+@query("ba_smote", "BA3")
+def ba_smote(v):
+    from lucerna.operators.neighbours import smote
+    return smote(v.doc_quality, _DQ)
+
+
+@query("ba_adasyn", "BA4")
+def ba_adasyn(v):
+    from lucerna.operators.neighbours import adasyn
+    return adasyn(v.doc_quality, _DQ)
