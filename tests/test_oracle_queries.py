@@ -17,7 +17,8 @@ QS = spark_queries()
 
 
 def _key(row):
-    return tuple((x is None, round(x, 3) if isinstance(x, float) else str(x)) for x in row)
+    return tuple((x is None, round(float(x), 3) if isinstance(x, (int, float)) and not isinstance(x, bool)
+                  else str(x)) for x in row)
 
 
 def _close(a, b):
@@ -41,6 +42,8 @@ def _rows(df):
                 v = v.item()
             if isinstance(v, float) and math.isnan(v):
                 v = None
+            if isinstance(v, float) and v.is_integer() and abs(v) < 2 ** 53:
+                v = int(v)   # nullable integer columns arrive as float64 from pandas
             row.append(v)
         out.append(tuple(row))
     return sorted(out, key=_key)
