@@ -34,3 +34,30 @@ def safe_div(num, den, default=0.0) -> Column:
 
 def logistic(z) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-col(z)))
+
+
+def scalars(one_row) -> dict:
+    """Values of a one-row aggregate (bounded by its column count) as a dict."""
+    rows = one_row.limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"expected one aggregate row, got {len(rows)}")
+    return rows[0].asDict()
+
+
+def with_scalars(df, one_row):
+    """Attach the columns of a one-row aggregate to every row as literals.
+
+    Replaces a join with a one-row table: the values are read once (a handful
+    of numbers) and become constants in the generated code.
+    """
+    vals = scalars(one_row)
+    return df.select("*", *[_literal(v).alias(k) for k, v in vals.items()])
+
+
+def _literal(v) -> Column:
+    from pyspark.sql import Row
+    if isinstance(v, Row):
+        return F.struct(*[_literal(x).alias(k) for k, x in v.asDict().items()])
+    if isinstance(v, (list, tuple)):
+        return F.array(*[_literal(x) for x in v])
+    return F.lit(v)

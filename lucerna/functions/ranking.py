@@ -24,6 +24,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lucerna.functions.exprs import with_scalars
 from lucerna.functions.hashing import hash_bucket, seeded_hash
 
 _B = "_lc_bucket"
@@ -103,7 +104,7 @@ def with_group_quantile_bucket(df: DataFrame, value_col: str, partition_cols: Se
     bounds = df.groupBy(*partition_cols).agg(
         F.percentile_approx(F.col(value_col).cast("double"), probs, 4 * n_buckets).alias("_lc_bounds"))
     v = F.col(value_col).cast("double")
-    keyed = df.join(bounds, list(partition_cols)) if partition_cols else df.crossJoin(F.broadcast(bounds))
+    keyed = df.join(bounds, list(partition_cols)) if partition_cols else with_scalars(df, bounds)
     return (keyed.withColumn(_B, F.size(F.filter(F.col("_lc_bounds"), lambda b: b <= v)))
             .drop("_lc_bounds"))
 
@@ -129,7 +130,7 @@ def exact_quantiles(long: DataFrame, value_col: str, group_cols: Sequence[str],
                         (F.ceil(pos) + 1).alias("khi"), (pos - F.floor(pos)).alias("frac"))
     # per group: the few target ranks as one array (groups x |probs|, small)
     tarr = tot.select(*g, F.array(*[target(p) for p in probs]).alias("_t"))
-    joined = run.join(tarr, g) if g else run.crossJoin(F.broadcast(tarr))
+    joined = run.join(tarr, g) if g else with_scalars(run, tarr)
     lo_in = lambda t: (F.col("_cum") - F.col("_cnt") < t["klo"]) & (t["klo"] <= F.col("_cum"))
     hi_in = lambda t: (F.col("_cum") - F.col("_cnt") < t["khi"]) & (t["khi"] <= F.col("_cum"))
     hits = (joined.select(*g, "_v", F.explode(F.filter("_t", lambda t: lo_in(t) | hi_in(t))).alias("t"),

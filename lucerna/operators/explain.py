@@ -17,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lucerna.functions.exprs import rnd
+from lucerna.functions.exprs import rnd, with_scalars
 from lucerna.functions.hashing import hash_uniform
 from lucerna.functions.ranking import exact_quantiles, row_number_by_hash
 
@@ -62,7 +62,7 @@ def linear_shapley(df: DataFrame, coefs: dict[str, float], background: DataFrame
     arr = F.array(*[F.struct(F.lit(f).alias("feature"),
                              (F.lit(coefs[f]) * (F.col(f).cast("double") - F.col(f"m_{f}"))).alias("attribution"),
                              F.col(f).cast("double").alias("value")) for f in feats])
-    return (df.crossJoin(F.broadcast(means))  # one row of means
+    return (with_scalars(df, means)  # one row of means, as literals
             .select(id_col, F.explode(arr).alias("s")).select(id_col, "s.*"))
 
 
@@ -176,7 +176,7 @@ def ale(train: DataFrame, feature: str, scorer: Scorer, n_bins: int = 10,
     acc = eff.withColumn("_ale", F.sum("effect").over(w))
     acc = acc.withColumn("_prev", F.coalesce(F.lag("_ale").over(Window.orderBy("_bin")), F.lit(0.0)))
     centre = acc.agg((F.sum(F.col("n") * (F.col("_prev") + F.col("_ale")) / 2.0) / F.sum("n")).alias("_c"))
-    return (acc.crossJoin(F.broadcast(centre))
+    return (with_scalars(acc, centre)
             .select(F.col("_bin").alias("bin"), F.col("_lo").alias("lower"), F.col("_hi").alias("upper"),
                     "n", "effect", (F.col("_ale") - F.col("_c")).alias("ale")))
 
@@ -214,7 +214,7 @@ def permutation_importance(train: DataFrame, feature_cols: Sequence[str], scorer
     metric = _score_metric(task, label)
     base_m = base.agg(metric.alias("_base"))
     per = scored.groupBy("_f", "_r").agg(metric.alias("_m"))
-    return (per.crossJoin(F.broadcast(base_m))  # one row
+    return (with_scalars(per, base_m)  # one row
             .groupBy(F.col("_f").alias("feature"))
             .agg(F.avg(F.col("_base") - F.col("_m")).alias("attribution"),
                  F.stddev_pop(F.col("_base") - F.col("_m")).alias("std")))
@@ -358,7 +358,7 @@ def sample_confidence(scored: DataFrame, id_col: str = "id", task: str = "classi
 def attribution_share(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """EX22: percentage of the summed |attribution| per feature (pie data)."""
     tot = df.groupBy(*keys).agg(F.sum(F.abs("attribution")).alias("_t"))
-    j = df.join(tot, list(keys)) if keys else df.crossJoin(F.broadcast(tot))
+    j = df.join(tot, list(keys)) if keys else with_scalars(df, tot)
     return j.select(*keys, "feature", F.when(F.col("_t") == 0, 0.0)
                     .otherwise(100.0 * F.abs("attribution") / F.col("_t")).alias("share"))
 

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lucerna.functions.exprs import rnd, safe_div
+from lucerna.functions.exprs import rnd, safe_div, with_scalars
 from lucerna.functions.ranking import running_sums, with_value_bucket
 
 EPS64 = 2.220446049250313e-16  # float64 machine epsilon (MAPE floor)
@@ -72,7 +72,7 @@ def class_counts(df: DataFrame, label: str = "label", prediction: str = "predict
            .groupBy(*group_cols, "class").agg(F.sum("t").alias("t"), F.sum("pp").alias("pp"),
                                                F.sum("tp").alias("tp")))
     tot = cm.groupBy(*group_cols).agg(F.sum("_n").alias("n"))
-    out = per.join(tot, list(group_cols)) if group_cols else per.crossJoin(F.broadcast(tot))
+    out = per.join(tot, list(group_cols)) if group_cols else with_scalars(per, tot)
     return out.select(*group_cols, "class",
                       (F.col("n") - F.col("t") - F.col("pp") + F.col("tp")).cast("long").alias("tn"),
                       (F.col("pp") - F.col("tp")).cast("long").alias("fp"),
@@ -154,7 +154,7 @@ def classification_metrics(df: DataFrame, label: str = "label", prediction: str
         F.sum(pp * pp).alias("sp2"), F.sum(t * t).alias("st2"), F.sum(pp * t).alias("spt"))
     if probability is not None:
         auc = _multiclass_auc(df, label, probability, g)
-        agg = agg.join(auc, g, "left") if g else agg.crossJoin(F.broadcast(auc))
+        agg = agg.join(auc, g, "left") if g else with_scalars(agg, auc)
     else:
         agg = agg.withColumn("Auc", F.lit(None).cast("double"))
     n, c = F.col("n"), F.col("c")
@@ -232,7 +232,7 @@ def roc_points(scored: DataFrame, label: str = "label", score: str = "score",
     keyed = with_value_bucket(dist, "_desc", n_buckets)
     run = running_sums(keyed, ["_desc"], {"_tp": F.col("_pos"), "_fp": F.col("_neg")}, keys)
     totals = dist.groupBy(*keys).agg(F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
-    tot = run.join(totals, keys) if keys else run.crossJoin(F.broadcast(totals))  # 1 row
+    tot = run.join(totals, keys) if keys else with_scalars(run, totals)  # 1 row
     return tot.select(*keys, "threshold",
                       rnd(safe_div("_fp", "_N")).alias("fpr"),
                       rnd(safe_div("_tp", "_P")).alias("tpr"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lucerna.functions.exprs import rnd
+from lucerna.functions.exprs import rnd, with_scalars
 from lucerna.functions.ranking import exact_quantiles
 
 
@@ -74,7 +74,7 @@ def class_balance(df: DataFrame, label: str = "label", split_col: str | None = "
     g = [split_col] if split_col else []
     counts = df.groupBy(*g, label).agg(F.count(F.lit(1)).alias("n"))
     tot = counts.groupBy(*g).agg(F.sum("n").alias("_t"))
-    j = counts.join(tot, g) if g else counts.crossJoin(F.broadcast(tot))
+    j = counts.join(tot, g) if g else with_scalars(counts, tot)
     return j.select(*g, label, "n", rnd(100.0 * F.col("n") / F.col("_t"), 2).alias("pct"))
 
 
@@ -91,5 +91,5 @@ def feature_target_density(df: DataFrame, feature: str, label: str = "label",
     width = F.col("_mx") - F.col("_mn")
     b = F.when(width == 0, 0).otherwise(
         F.least(F.floor((x - F.col("_mn")) / width * n_bins), F.lit(n_bins - 1))).cast("int")
-    return (df.crossJoin(F.broadcast(mm))  # one-row statistics
+    return (with_scalars(df, mm)  # one-row statistics as literals
             .groupBy(b.alias("bin"), F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n")))

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lucerna.functions.exprs import with_scalars
 from lucerna.functions.hashing import hash_uniform
 from lucerna.functions.ranking import row_number_by_hash
 
@@ -101,7 +102,7 @@ def class_weights(df: DataFrame, label: str = "label", weight_col: str = "weight
         return df.withColumn(weight_col, F.lit(1.0))
     per = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
     tot = per.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    w = (per.crossJoin(F.broadcast(tot))  # one row
+    w = (with_scalars(per, tot)  # one row
          .select(label, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias(weight_col)))
     # one row per class: small, broadcast
     return df.join(F.broadcast(w), label)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lucerna.functions.exprs import with_scalars
+
 # Fixed default metric weights of the voting ensemble.
 METRIC_WEIGHTS = {
     "Precision": 0.2,
@@ -44,7 +46,7 @@ def model_weights(metrics: DataFrame, models: DataFrame | None = None,
     ranked = scored.withColumn("rank", F.row_number().over(w).cast("long"))
     inv = ranked.withColumn("_inv", 1.0 / F.col("rank"))
     tot = inv.agg(F.sum("_inv").alias("_tot"))
-    return (inv.crossJoin(F.broadcast(tot))
+    return (with_scalars(inv, tot)
             .select("model", "score", "rank", (F.col("_inv") / F.col("_tot")).alias("weight")))
 
 

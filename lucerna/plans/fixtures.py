@@ -12,7 +12,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucerna.functions.exprs import dec2, logistic, rnd
+from lucerna.functions.exprs import dec2, logistic, rnd, with_scalars
 from lucerna.functions.hashing import hash_uniform
 from lucerna.sources.tables import load
 
@@ -222,20 +222,35 @@ def _weights_df(v: Views) -> DataFrame:
 
 
 def _attributions(v: Views) -> DataFrame:
-    """Long attribution table of two models x six methods over all orders."""
-    z = v._standardised_cached()
-    w = F.broadcast(_weights_df(v))  # 72 fixed rows
-    prob = v.order_pred.select("id", "probability")
-    local = (z.join(w.filter(F.col("method").isin(LOCAL_METHODS)), "feature")
-             .join(prob, "id")
-             .select("model", "method", F.col("id").cast("long").alias("sample_id"), "feature",
-                     rnd(F.col("z") * F.col("weight")).alias("attribution"), "probability"))
-    glob = (z.join(w.filter(F.col("method").isin(GLOBAL_METHODS)), "feature")
-            .groupBy("model", "method", "feature")
-            .agg(rnd(F.avg(F.abs(F.col("z") * F.col("weight")))).alias("attribution"))
-            .select("model", "method", F.lit(None).cast("long").alias("sample_id"), "feature",
-                    "attribution", F.lit(None).cast("double").alias("probability")))
-    return local.unionByName(glob)
+    """Long attribution table of two models x six methods over all orders.
+
+    Every local row of one order comes from that order's row, so z-scores,
+    the probability and all (model, method, feature) attributions are built
+    in-row and exploded once: no shuffle join, only the one-row statistics
+    broadcast.  Global rows are one aggregate pass.
+    """
+    of = v.order_features
+    stats = of.agg(*[F.avg(F.col(f).cast("double")).alias(f"m_{f}") for f in FEATURES],
+                   *[F.stddev_pop(F.col(f).cast("double")).alias(f"s_{f}") for f in FEATURES])
+    zs = {f: (F.col(f).cast("double") - F.col(f"m_{f}")) /
+          F.when(F.col(f"s_{f}") == 0, 1.0).otherwise(F.col(f"s_{f}")) for f in FEATURES}
+    wz = with_scalars(of, stats).select(
+        "id", *[zs[f].alias(f"z_{f}") for f in FEATURES], rnd(logistic(_pred_score())).alias("probability"))
+    wts = attribution_weights()
+    local = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(k).alias("method"), F.lit(f).alias("feature"),
+                               rnd(F.col(f"z_{f}") * F.lit(w)).alias("attribution"))
+                      for (m, k, f), w in wts.items() if k in LOCAL_METHODS])
+    loc = (wz.select("id", "probability", F.explode(local).alias("s"))
+           .select("s.model", "s.method", F.col("id").cast("long").alias("sample_id"), "s.feature",
+                   "s.attribution", "probability"))
+    gkeys = [(m, k, f, w) for (m, k, f), w in wts.items() if k in GLOBAL_METHODS]
+    g = wz.agg(*[F.avg(F.abs(F.col(f"z_{f}") * F.lit(w))).alias(f"g{i}") for i, (_, _, f, w) in enumerate(gkeys)])
+    glob = (g.select(F.explode(F.array(*[
+        F.struct(F.lit(m).alias("model"), F.lit(k).alias("method"), F.lit(f).alias("feature"),
+                 rnd(F.col(f"g{i}")).alias("attribution")) for i, (m, k, f, _) in enumerate(gkeys)])).alias("s"))
+        .select("s.model", "s.method", F.lit(None).cast("long").alias("sample_id"), "s.feature",
+                "s.attribution", F.lit(None).cast("double").alias("probability")))
+    return loc.unionByName(glob)
 
 
 def _views_standardised(self):
@@ -279,7 +294,7 @@ def _brand_effects(v: Views) -> DataFrame:
     p = v.table("part").select("p_brand", "p_retailprice")
     overall = p.agg(F.avg("p_retailprice").alias("_m"))
     return (p.groupBy(F.col("p_brand").alias("feature")).agg(F.avg("p_retailprice").alias("_b"))
-            .crossJoin(F.broadcast(overall))  # one row
+            .transform(lambda d: with_scalars(d, overall))  # one row
             .select("feature", rnd(F.col("_b") - F.col("_m")).alias("attribution")))
 
 
