@@ -424,3 +424,151 @@ def counterfactuals(rows: DataFrame, train: DataFrame, feature_cols: Sequence[st
 
 def round_cols(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
     return df.select(*[rnd(c, digits).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+# ---------------------------------------------------------------- EX3 LIME
+
+def lime_local(rows: DataFrame, train: DataFrame, feature_cols: Sequence[str], scorer: Scorer,
+               id_col: str = "id", n_samples: int = 5000, alpha: float = 1.0, seed=0) -> DataFrame:
+    """EX3: LIME with quartile discretisation and a weighted local ridge per row.
+
+    Sample j of row x (j = 0 is x itself) draws, per feature, a quartile bin
+    with the training bin frequencies (H1) and takes that bin's training
+    mean; z_f = 1 when the drawn bin is x's bin.  Weight sqrt(exp(-d^2 /
+    width^2)), d = distance of z to x's all-ones vector, width = 0.75 sqrt(d).
+    Rows x samples are scored in one pass; the per-row ridge is a grouped
+    pandas UDF over bounded groups (``n_samples`` rows each).
+    Output: id, feature, attribution, range, local_prediction.
+    """
+    from lucerna.functions.local_fit import weighted_ridge_group
+    cols = list(feature_cols)
+    long = train.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
+                                            for c in cols])).alias("s")).select("s.*")
+    qrows = exact_quantiles(long, "value", ["feature"], [0.25, 0.5, 0.75]).collect()
+    q = {c: sorted(r["q"] for r in qrows if r["feature"] == c) for c in cols}
+
+    def bin_of(x, c):
+        q1, q2, q3 = q[c]
+        return F.when(x <= q1, 0).when(x <= q2, 1).when(x <= q3, 2).otherwise(3)
+    # per-bin training frequency and mean: features x 4 rows
+    bstat = {}
+    for r in (train.select(*[bin_of(F.col(c).cast("double"), c).alias(f"b_{c}") for c in cols],
+                           *[F.col(c).cast("double").alias(c) for c in cols])
+              .select(F.explode(F.array(*[F.struct(F.lit(c).alias("f"), F.col(f"b_{c}").alias("b"),
+                                                   F.col(c).alias("v")) for c in cols])).alias("s"))
+              .groupBy("s.f", "s.b").agg(F.count(F.lit(1)).alias("n"), F.avg("s.v").alias("m")).collect()):
+        bstat[(r["f"], r["b"])] = (r["n"], r["m"])
+    width = 0.75 * (len(cols) ** 0.5)
+    base = rows.select(id_col, *[F.col(c).cast("double").alias(c) for c in cols],
+                       *[bin_of(F.col(c).cast("double"), c).alias(f"xb_{c}") for c in cols])
+    ex = base.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
+    # draw every feature's bin once (one md5 per row, sample and feature) ...
+    draws = []
+    for c in cols:
+        tot = sum(bstat.get((c, b), (0, 0))[0] for b in range(4)) or 1
+        cum, edges = 0.0, []
+        for b in range(4):
+            cum += bstat.get((c, b), (0, 0))[0] / tot
+            edges.append(cum)
+        u = hash_uniform(id_col, seed, F.col("_j"), c)
+        drawn = F.when(u < edges[0], 0).when(u < edges[1], 1).when(u < edges[2], 2).otherwise(3)
+        draws.append(F.when(F.col("_j") == 0, F.col(f"xb_{c}")).otherwise(drawn).alias(f"d_{c}"))
+    ex = ex.select("*", F.explode(F.array(F.struct(*draws))).alias("_d")).select("*", "_d.*").drop("_d")
+    # ... then values and indicators from the drawn bins
+    sel, zs = [], []
+    for c in cols:
+        means = F.array(*[F.lit(bstat.get((c, b), (0, 0.0))[1]) for b in range(4)])
+        val = F.when(F.col("_j") == 0, F.col(c)).otherwise(F.element_at(means, F.col(f"d_{c}") + 1))
+        sel.append(val.alias(c))
+        zs.append(F.when(F.col(f"d_{c}") == F.col(f"xb_{c}"), 1.0).otherwise(0.0).alias(f"z_{c}"))
+    pert = ex.select(id_col, "_j", *sel, *zs)
+    d2 = sum(((1.0 - F.col(f"z_{c}")) ** 2 for c in cols[1:]), (1.0 - F.col(f"z_{cols[0]}")) ** 2)
+    scored = scorer(pert).select(F.col(id_col).alias("id"), F.col("score").alias("y"),
+                                 F.sqrt(F.exp(-d2 / (width * width))).alias("w"), *[f"z_{c}" for c in cols])
+    fit = scored.groupBy("id").applyInPandas(
+        lambda pdf: weighted_ridge_group(pdf, cols, alpha),
+        "id long, feature string, attribution double, local_prediction double")
+
+    def text(c, b):
+        q1, q2, q3 = (f"{v:.2f}" for v in q[c])
+        return F.element_at(F.array(F.lit(f"{c} <= {q1}"), F.lit(f"{q1} < {c} <= {q2}"),
+                                    F.lit(f"{q2} < {c} <= {q3}"), F.lit(f"{c} > {q3}")), b + 1)
+    ranges = base.select(F.col(id_col).alias("id"), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), text(c, F.col(f"xb_{c}")).alias("range")) for c in cols])).alias("s")
+    ).select("id", "s.*")
+    return fit.join(ranges, ["id", "feature"])
+
+
+# ---------------------------------------------------------------- EX6 sampled Shapley
+
+def sampled_shapley(rows: DataFrame, background: DataFrame, feature_cols: Sequence[str], scorer: Scorer,
+                    id_col: str = "id", n_draws: int = 32, n_background: int = 100, seed=0) -> DataFrame:
+    """EX6 for any model: permutation sampling (Strumbelj & Kononenko).
+
+    Draw j of row x: a seeded feature order pi_j and a background row b_j
+    (one of the first ``n_background`` rows of the background in hash order
+    -- the background summary).  Walking pi_j, features switch from b_j to
+    x one at a time (d + 1 scored points); the score difference of each step
+    is that feature's contribution.  Values are the mean over draws, so
+    sum_f phi_f = f(x) - mean_j f(b_j).  Output: id, feature, attribution.
+    """
+    cols = list(feature_cols)
+    d = len(cols)
+    bg = (row_number_by_hash(background.select(id_col, *cols), id_col, f"{seed}-bg", "_bi")
+          .where(F.col("_bi") <= n_background)
+          .select("_bi", *[F.col(c).cast("double").alias(f"b_{c}") for c in cols]))
+    n_bg = bg.count()
+    x = rows.select(F.col(id_col).alias("id"), *[F.col(c).cast("double").alias(c) for c in cols])
+    ex = x.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
+    ex = ex.withColumn("_bi", (F.floor(hash_uniform("id", f"{seed}-b", F.col("_j")) * n_bg) + 1).cast("long"))
+    hs = {c: hash_uniform("id", f"{seed}-p", F.col("_j"), c) for c in cols}
+    pos = {}
+    for i, c in enumerate(cols):
+        p = F.lit(0)
+        for k, o in enumerate(cols):
+            if o != c:
+                earlier = (hs[o] < hs[c]) | ((hs[o] == hs[c]) & F.lit(k < i))
+                p = p + F.when(earlier, 1).otherwise(0)
+        pos[c] = p
+    ex = ex.select("*", *[pos[c].alias(f"_pos_{c}") for c in cols])
+    # background rows: at most n_background rows, a proven-small broadcast
+    ex = ex.join(F.broadcast(bg), "_bi").withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(d))))
+    pts = ex.select("id", "_j", "_k", *[F.when(F.col(f"_pos_{c}") < F.col("_k"), F.col(c))
+                                         .otherwise(F.col(f"b_{c}")).alias(c) for c in cols],
+                    *[f"_pos_{c}" for c in cols])
+    scored = scorer(pts)
+    w = Window.partitionBy("id", "_j").orderBy("_k")   # d + 1 rows per partition
+    steps = scored.withColumn("_delta", F.col("score") - F.lag("score").over(w)).where(F.col("_k") >= 1)
+    feat = F.lit(None).cast("string")
+    for c in cols:
+        feat = F.when(F.col(f"_pos_{c}") == F.col("_k") - 1, F.lit(c)).otherwise(feat)
+    return (steps.select("id", feat.alias("feature"), "_delta")
+            .groupBy("id", "feature").agg((F.sum("_delta") / F.lit(float(n_draws))).alias("attribution")))
+
+
+# ---------------------------------------------------------------- EX17 learning curve
+
+def learning_curve(train: DataFrame, test: DataFrame, feature_cols: Sequence[str], model_name: str,
+                   task: str = "classification", label: str = "label", id_col: str = "id",
+                   fractions: Sequence[float] = tuple(i / 10 for i in range(1, 11)), seed=0) -> DataFrame:
+    """EX17: train / test score on nested training prefixes (seeded hash order).
+
+    Score = accuracy (classification) or mean squared error (regression).
+    """
+    from lucerna.operators.models import fit_model, predict
+    ranked = row_number_by_hash(train, id_col, f"{seed}-lc", "_rn").persist()
+    n = ranked.count()
+    rows = []
+    for fr in fractions:
+        k = max(1, int(n * fr))
+        part = ranked.where(F.col("_rn") <= k).drop("_rn")
+        m = fit_model(part, model_name, task, feature_cols, label=label)
+        for name, df in (("train", part), ("test", test)):
+            s = predict(m, df, keep=[label])
+            if task == "classification":
+                v = s.agg(F.avg((F.col("prediction") == F.col(label).cast("double")).cast("double"))).first()[0]
+            else:
+                v = s.agg(F.avg((F.col("prediction") - F.col(label)) ** 2)).first()[0]
+            rows.append((float(fr), int(k), name, float(v)))
+    ranked.unpersist()
+    return train.sparkSession.createDataFrame(rows, "fraction double, n_train int, split string, score double")

@@ -81,3 +81,38 @@ def mean_probability(preds: DataFrame, id_col: str = "id", prob_col: str = "prob
             F.struct(F.lit(0).alias("class"), (1.0 - p).alias("_p")),
             F.struct(F.lit(1).alias("class"), p.alias("_p")))).alias("s")).select(id_col, "s.*")
     return long.groupBy(id_col, "class").agg(F.avg("_p").alias("probability"))
+
+
+def fit_voting(train: DataFrame, test: DataFrame, base_models, feature_cols, task: str = "classification",
+               id_col: str = "id", label: str = "label", n_classes: int = 2,
+               metric_weights: dict[str, float] | None = None) -> dict:
+    """ML11: fit the base models, score the test rows once each into one long
+    predictions table, weight the models by their test metrics (ML12) and
+    combine: weighted class vote (ML13) or weighted mean (ML14), plus the mean
+    class probability (ML15).  An empty model list is an error.
+    """
+    from lucerna.operators.metrics import classification_metrics, regression_metrics
+    from lucerna.operators.models import fit_model, predict
+    if not base_models:
+        raise ValueError("the voting ensemble needs at least one base model")
+    parts = []
+    for name in base_models:
+        m = fit_model(train, name, task, feature_cols, n_classes=n_classes, label=label)
+        s = predict(m, test, keep=[id_col, label]).withColumn("model", F.lit(name))
+        parts.append(s)
+    preds = parts[0]
+    for p in parts[1:]:
+        preds = preds.unionByName(p)
+    preds = preds.persist()   # scored once, read by the metrics and the vote
+    if task == "classification":
+        hard = preds.withColumn("prediction", F.col("prediction").cast("int")).withColumn(
+            label, F.col(label).cast("int"))
+        metrics = classification_metrics(hard, label, group_cols=["model"], multiclass=n_classes > 2)
+        weights = model_weights(metrics, metric_weights=metric_weights)
+        vote = weighted_class_vote(hard.select(id_col, "model", "prediction"), weights, id_col)
+        prob = mean_probability(preds.select(id_col, "model", "probability"), id_col)
+        return {"predictions": preds, "metrics": metrics, "weights": weights, "vote": vote, "probability": prob}
+    metrics = regression_metrics(preds, label, group_cols=["model"])
+    weights = model_weights(metrics, metric_weights=metric_weights)
+    vote = weighted_regression(preds.select(id_col, "model", "prediction"), weights, id_col)
+    return {"predictions": preds, "metrics": metrics, "weights": weights, "vote": vote}

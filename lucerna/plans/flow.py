@@ -18,6 +18,7 @@ from lucerna.operators import metrics as M
 from lucerna.operators import models as ML
 from lucerna.operators import sample as SA
 from lucerna.operators import scale as S
+from lucerna.session import checkpoint_dir
 
 
 def train_evaluate_explain(df: DataFrame, feature_cols: Sequence[str], id_col: str = "id",
@@ -26,7 +27,10 @@ def train_evaluate_explain(df: DataFrame, feature_cols: Sequence[str], id_col: s
                            train_size: float = 0.8) -> dict[str, DataFrame]:
     """Returns the split table, test predictions, metric bundle and attributions."""
     cols = list(feature_cols)
-    data = df.select(id_col, *cols, label)
+    # The modelling table feeds several passes (scaler statistics, split count,
+    # ranks): cut its lineage once, in the shared folder of spark.checkpoint.dir.
+    checkpoint_dir(df.sparkSession)
+    data = df.select(id_col, *cols, label).checkpoint(eager=True)
     if normalisation:
         data = S.normalise(data, cols, normalisation, id_col)      # fitted on the whole table
     split = SA.train_test_split(data, id_col, train_size)

@@ -382,7 +382,8 @@ def ex_attribution_share(v):
 
 def _fitted(v, name="LR", params=None):
     ob = v.order_binary
-    split = SA.train_test_split(ob)
+    # the split feeds a fit, quantiles and the explained rows: materialise it once
+    split = SA.train_test_split(ob).persist()
     train = split.where("split = 'train'")
     test = split.where("split = 'test'")
     m = ML.fit_model(train, name, "classification", FEATURES, params=params)
@@ -411,3 +412,29 @@ def ex_pdp_fitted(v):
 def ex_ale_fitted(v):
     m, train, _ = _fitted(v, "XGBOOST", {"maxIter": 30})
     return EX.ale(train, "sum_qty", EX.pipeline_scorer(m, 1))
+
+
+@query("ex_lime_local", "EX3")
+def ex_lime_local(v):
+    m, train, test = _fitted(v)
+    return EX.lime_local(test, train, FEATURES, EX.pipeline_scorer(m, 1), n_samples=1000)
+
+
+@query("ex_lime_global_fitted", "EX3,EX4")
+def ex_lime_global_fitted(v):
+    m, train, test = _fitted(v)
+    loc = EX.lime_local(test, train, FEATURES, EX.pipeline_scorer(m, 1), n_samples=1000)
+    return EX.lime_global(loc.withColumnRenamed("range", "range"))
+
+
+@query("ex_sampled_shapley", "EX6,EX7")
+def ex_sampled_shapley(v):
+    m, train, test = _fitted(v, "RF", {"numTrees": 20})
+    loc = EX.sampled_shapley(test, train, FEATURES, EX.pipeline_scorer(m, 1), n_draws=16)
+    return EX.shapley_global(loc)
+
+
+@query("ex_learning_curve", "EX17")
+def ex_learning_curve(v):
+    _, train, test = _fitted(v)
+    return EX.learning_curve(train, test, FEATURES, "DT")

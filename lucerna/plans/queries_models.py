@@ -104,7 +104,8 @@ def ml_rulefit_hard_label(v):
 # ---------------------------------------------------------------- fitted models (rows-only)
 
 def _split(v, df=None):
-    s = SA.train_test_split(df if df is not None else v.order_binary)
+    # the split feeds a fit and a scoring pass: materialise it once
+    s = SA.train_test_split(df if df is not None else v.order_binary).persist()
     return s.where("split = 'train'"), s.where("split = 'test'")
 
 
@@ -201,3 +202,11 @@ def hs_grid_search(v):
 def cv_run_folds(v):
     train, _ = _split(v)
     return HS.run_folds(CV.stratified_kfold(train), "LR", "classification", FEATURES)
+
+
+@query("ml_voting_ensemble", "ML11,ML12,ML13,ML15")
+def ml_voting_ensemble(v):
+    from lucerna.operators.voting import fit_voting
+    train, test = _split(v)
+    res = fit_voting(train, test, ["DT", "LR", "BAG"], FEATURES)
+    return res["vote"].join(res["probability"].where("class = 1").select("id", "probability"), "id")
