@@ -22,3 +22,25 @@ def weighted_ridge_group(pdf, features, alpha=1.0):
     local_pred = intercept + coef.sum()
     return pd.DataFrame({"id": [pdf["id"].iloc[0]] * len(features), "feature": list(features),
                          "attribution": coef, "local_prediction": [local_pred] * len(features)})
+
+
+def metrics_from_archive(batches):
+    """mapInPandas body of IO7: open each archive row, read its *_data.json members."""
+    import io
+    import json
+    import os
+    import tarfile
+    for pdf in batches:
+        out = []
+        for path, content in zip(pdf["path"], pdf["content"]):
+            key = os.path.basename(path).split("_")[0]
+            with tarfile.open(fileobj=io.BytesIO(content), mode="r:gz") as tar:
+                for member in tar.getmembers():
+                    if not member.isfile() or not member.name.endswith("_data.json"):
+                        continue
+                    data = json.load(tar.extractfile(member))
+                    model = os.path.basename(member.name)[: -len("_data.json")]
+                    for metric, value in (data.get("Analysis") or {}).items():
+                        if isinstance(value, (int, float)) and not isinstance(value, bool):
+                            out.append((key, model, metric, float(value)))
+        yield pd.DataFrame(out, columns=["key", "model", "metric", "value"])

@@ -344,3 +344,40 @@ def test_model_save_load_and_streaming_scoring(spark, tmp_dir):
     out = score_stream(spark, m2, src, df.drop("label").schema, os.path.join(tmp_dir, "out"),
                        os.path.join(tmp_dir, "chk"), task="classification", once=True)
     assert out.count() == 200
+
+
+def test_archive_attribution_and_state_io(spark, tmp_dir):
+    import io
+    import json
+    import os
+    import tarfile
+    from lucerna.operators.models import fit_model
+    from lucerna.sources.files import (load_state, read_archive_metrics, read_attribution_files, save_state,
+                                       write_sorted_attributions)
+    arch = os.path.join(tmp_dir, "runs")
+    os.makedirs(arch)
+    payload = json.dumps({"Analysis": {"Accuracy": 90.5, "Confusion matrix": [[1, 2], [3, 4]], "MCC": 0.4}}).encode()
+    with tarfile.open(os.path.join(arch, "exp1_2024.tar.gz"), "w:gz") as t:
+        info = tarfile.TarInfo("out/RF_data.json")
+        info.size = len(payload)
+        t.addfile(info, io.BytesIO(payload))
+    got = {(r["key"], r["model"], r["metric"]): r["value"] for r in read_archive_metrics(spark, arch).collect()}
+    assert got == {("exp1", "RF", "Accuracy"): 90.5, ("exp1", "RF", "MCC"): 0.4}
+    adir = os.path.join(tmp_dir, "attr")
+    os.makedirs(adir)
+    with open(os.path.join(adir, "LR_Shapley_17.csv"), "w") as f:
+        f.write("feature,attribution\na,0.5\nb,-1.0\n")
+    with open(os.path.join(adir, "LR_PermutationImportance.csv"), "w") as f:
+        f.write("feature,attribution\na,0.2\n")
+    rows = read_attribution_files(spark, os.path.join(adir, "*.csv")).collect()
+    assert {(r["model"], r["method"], r["sample_id"], r["feature"]) for r in rows} == {
+        ("LR", "Shapley", "17", "a"), ("LR", "Shapley", "17", "b"), ("LR", "PermutationImportance", None, "a")}
+    srt = os.path.join(tmp_dir, "sorted")
+    write_sorted_attributions(spark.createDataFrame(rows).select("feature", "attribution"), srt)
+    back = spark.read.option("header", "true").csv(srt).collect()
+    assert [float(r["attribution"]) for r in back][0] == -1.0
+    df = spark.createDataFrame([(i, float(i % 7), i % 2) for i in range(50)], "id long, x double, label int")
+    m = fit_model(df, "LR", "classification", ["x"])
+    save_state(os.path.join(tmp_dir, "state"), df.withColumn("split", F.lit("train")), m)
+    s2, m2 = load_state(spark, os.path.join(tmp_dir, "state"))
+    assert s2.count() == 50 and len(m2.stages) == len(m.stages)
