@@ -210,3 +210,25 @@ def ml_voting_ensemble(v):
     train, test = _split(v)
     res = fit_voting(train, test, ["DT", "LR", "BAG"], FEATURES)
     return res["vote"].join(res["probability"].where("class = 1").select("id", "probability"), "id")
+
+
+def _rulefit(v):
+    from lucerna.operators.rulefit import fit_rulefit
+    train, test = _split(v)
+    model, table = fit_rulefit(train, FEATURES, n_trees=10)
+    return model, table, test
+
+
+@query("ml_rulefit", "ML7,ML20")
+def ml_rulefit(v):
+    from lucerna.operators.rulefit import predict_rulefit
+    model, _, test = _rulefit(v)
+    scored = predict_rulefit(model, test)
+    return ML.rulefit_hard_label(scored, "prediction_score")
+
+
+@query("ml_rulefit_rules", "ML7,ML18")
+def ml_rulefit_rules(v):
+    from lucerna.operators.rules import rulefit_table
+    _, table, _ = _rulefit(v)
+    return rulefit_table(table, FEATURES)
