@@ -232,3 +232,23 @@ def ml_rulefit_rules(v):
     from lucerna.operators.rules import rulefit_table
     _, table, _ = _rulefit(v)
     return rulefit_table(table, FEATURES)
+
+
+def _ripper(v):
+    from lucerna.operators.ripper import fit_ripper
+    train, test = _split(v)
+    return fit_ripper(train, FEATURES), test
+
+
+@query("ml_ripper", "ML8")
+def ml_ripper(v):
+    from lucerna.operators.ripper import predict_ripper
+    model, test = _ripper(v)
+    return predict_ripper(model, test)
+
+
+@query("ml_ripper_rules", "ML8,ML19")
+def ml_ripper_rules(v):
+    from lucerna.operators.ripper import ripper_rules_table
+    model, _ = _ripper(v)
+    return ripper_rules_table(v.spark, model)
