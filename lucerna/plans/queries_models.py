@@ -252,3 +252,12 @@ def ml_ripper_rules(v):
     from lucerna.operators.ripper import ripper_rules_table
     model, _ = _ripper(v)
     return ripper_rules_table(v.spark, model)
+
+
+@query("hs_ann_halving", "HS3,ML5")
+def hs_ann_halving(v):
+    from lucerna.operators.scale import normalise
+    std = normalise(v.order_multi, FEATURES, "SC", "id")
+    train, _ = _split(v, std)
+    return HS.successive_halving_mlp(CV.stratified_kfold(train), FEATURES, 3, n_candidates=6,
+                                     budgets=(10, 30))
