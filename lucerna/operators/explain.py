@@ -175,8 +175,9 @@ def ale(train: DataFrame, feature: str, scorer: Scorer, n_bins: int = 10,
     w = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     acc = eff.withColumn("_ale", F.sum("effect").over(w))
     acc = acc.withColumn("_prev", F.coalesce(F.lag("_ale").over(Window.orderBy("_bin")), F.lit(0.0)))
-    centre = acc.agg((F.sum(F.col("n") * (F.col("_prev") + F.col("_ale")) / 2.0) / F.sum("n")).alias("_c"))
-    return (with_scalars(acc, centre)
+    allb = Window.partitionBy()   # at most n_bins rows
+    centre = F.sum(F.col("n") * (F.col("_prev") + F.col("_ale")) / 2.0).over(allb) / F.sum("n").over(allb)
+    return (acc.withColumn("_c", centre)
             .select(F.col("_bin").alias("bin"), F.col("_lo").alias("lower"), F.col("_hi").alias("upper"),
                     "n", "effect", (F.col("_ale") - F.col("_c")).alias("ale")))
 

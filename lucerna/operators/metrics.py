@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lucerna.functions.exprs import rnd, safe_div, with_scalars
@@ -71,8 +71,8 @@ def class_counts(df: DataFrame, label: str = "label", prediction: str = "predict
     per = (cm.select(*group_cols, side).select(*group_cols, "s.*")
            .groupBy(*group_cols, "class").agg(F.sum("t").alias("t"), F.sum("pp").alias("pp"),
                                                F.sum("tp").alias("tp")))
-    tot = cm.groupBy(*group_cols).agg(F.sum("_n").alias("n"))
-    out = per.join(tot, list(group_cols)) if group_cols else with_scalars(per, tot)
+    # rows per group = sum over its (few) classes: a window over the tiny class table
+    out = per.withColumn("n", F.sum("t").over(Window.partitionBy(*group_cols)))
     return out.select(*group_cols, "class",
                       (F.col("n") - F.col("t") - F.col("pp") + F.col("tp")).cast("long").alias("tn"),
                       (F.col("pp") - F.col("tp")).cast("long").alias("fp"),

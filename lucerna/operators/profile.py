@@ -73,8 +73,8 @@ def class_balance(df: DataFrame, label: str = "label", split_col: str | None = "
     """PR5: rows and percentage (2 decimals) per class, per split."""
     g = [split_col] if split_col else []
     counts = df.groupBy(*g, label).agg(F.count(F.lit(1)).alias("n"))
-    tot = counts.groupBy(*g).agg(F.sum("n").alias("_t"))
-    j = counts.join(tot, g) if g else with_scalars(counts, tot)
+    # one row per (split, class): the split total is a window over this tiny table
+    j = counts.withColumn("_t", F.sum("n").over(Window.partitionBy(*g)))
     return j.select(*g, label, "n", rnd(100.0 * F.col("n") / F.col("_t"), 2).alias("pct"))
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lucerna.functions.exprs import with_scalars
@@ -101,9 +101,10 @@ def class_weights(df: DataFrame, label: str = "label", weight_col: str = "weight
     if not applies:
         return df.withColumn(weight_col, F.lit(1.0))
     per = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    tot = per.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    w = (with_scalars(per, tot)  # one row
-         .select(label, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias(weight_col)))
+    # one row per class: totals are a window over this tiny table
+    allc = Window.partitionBy()
+    w = per.select(label, (F.sum("_nc").over(allc) / (F.count(F.lit(1)).over(allc) * F.col("_nc")))
+                   .alias(weight_col))
     # one row per class: small, broadcast
     return df.join(F.broadcast(w), label)
 

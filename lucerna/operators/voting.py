@@ -45,9 +45,8 @@ def model_weights(metrics: DataFrame, models: DataFrame | None = None,
     w = Window.orderBy(F.col("score").desc(), F.col("model"))
     ranked = scored.withColumn("rank", F.row_number().over(w).cast("long"))
     inv = ranked.withColumn("_inv", 1.0 / F.col("rank"))
-    tot = inv.agg(F.sum("_inv").alias("_tot"))
-    return (with_scalars(inv, tot)
-            .select("model", "score", "rank", (F.col("_inv") / F.col("_tot")).alias("weight")))
+    return inv.select("model", "score", "rank",
+                      (F.col("_inv") / F.sum("_inv").over(Window.partitionBy())).alias("weight"))
 
 
 def weighted_class_vote(preds: DataFrame, weights: DataFrame, id_col: str = "id") -> DataFrame:
