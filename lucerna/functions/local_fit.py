@@ -44,3 +44,36 @@ def metrics_from_archive(batches):
                         if isinstance(value, (int, float)) and not isinstance(value, bool):
                             out.append((key, model, metric, float(value)))
         yield pd.DataFrame(out, columns=["key", "model", "metric", "value"])
+
+
+def mlp_partition_gradients(batches, weights, n_in, n_hidden):
+    """mapInPandas body of the MLP regressor: squared-error gradient sums of one
+    partition for the network y = w2 . relu(W1 x + b1) + b2 (features in
+    column ``x`` as arrays, target in ``y``).  Yields one row per partition."""
+    import numpy as np
+    w = np.asarray(weights, dtype=float)
+    i = 0
+    W1 = w[i:i + n_in * n_hidden].reshape(n_hidden, n_in); i += n_in * n_hidden
+    b1 = w[i:i + n_hidden]; i += n_hidden
+    w2 = w[i:i + n_hidden]; i += n_hidden
+    b2 = w[i]
+    g = np.zeros_like(w)
+    loss, n = 0.0, 0
+    for pdf in batches:
+        if len(pdf) == 0:
+            continue
+        X = np.vstack(pdf["x"].to_numpy()).astype(float)
+        y = pdf["y"].to_numpy(dtype=float)
+        H = X @ W1.T + b1
+        A = np.maximum(H, 0.0)
+        out = A @ w2 + b2
+        err = out - y
+        loss += float((err ** 2).sum())
+        n += len(y)
+        dA = np.outer(err, w2) * (H > 0)
+        j = 0
+        g[j:j + n_in * n_hidden] += (dA.T @ X).ravel(); j += n_in * n_hidden
+        g[j:j + n_hidden] += dA.sum(axis=0); j += n_hidden
+        g[j:j + n_hidden] += A.T @ err; j += n_hidden
+        g[j] += err.sum()
+    yield pd.DataFrame({"grad": [g.tolist()], "loss": [loss], "n": [n]})

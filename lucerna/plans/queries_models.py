@@ -261,3 +261,13 @@ def hs_ann_halving(v):
     train, _ = _split(v, std)
     return HS.successive_halving_mlp(CV.stratified_kfold(train), FEATURES, 3, n_candidates=6,
                                      budgets=(10, 30))
+
+
+@query("ml_neural_network_regression", "ML5,ML22")
+def ml_neural_network_regression(v):
+    from lucerna.operators.mlp import fit_mlp_regressor, mlp_predict
+    from lucerna.operators.scale import normalise
+    std = normalise(v.order_regression, FEATURES, "SC", "id")
+    train, test = _split(v, std)
+    model = fit_mlp_regressor(train, FEATURES, epochs=60)
+    return mlp_predict(model, test)

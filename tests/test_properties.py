@@ -381,3 +381,31 @@ def test_archive_attribution_and_state_io(spark, tmp_dir):
     save_state(os.path.join(tmp_dir, "state"), df.withColumn("split", F.lit("train")), m)
     s2, m2 = load_state(spark, os.path.join(tmp_dir, "state"))
     assert s2.count() == 50 and len(m2.stages) == len(m.stages)
+
+
+def test_mlp_regressor_learns(spark):
+    from lucerna.operators.mlp import fit_mlp_regressor, mlp_predict
+    rng = random.Random(4)
+    rows = [(i, x, abs(x) * 3.0 + rng.gauss(0, 0.1)) for i, x in ((i, rng.uniform(-2, 2)) for i in range(400))]
+    df = _df(spark, rows, "id long, x double, label double")
+    m = fit_mlp_regressor(df, ["x"], hidden=8, epochs=150, lr=0.05)
+    assert m["history"][-1] < 0.5 * m["history"][0]
+    p = mlp_predict(m, df).agg(F.avg((F.col("prediction") - F.col("label")) ** 2)).first()[0]
+    var = np.var([r[2] for r in rows])
+    assert p < 0.3 * var
+
+
+def test_rulefit_and_ripper_rules(spark):
+    from lucerna.operators.ripper import fit_ripper, predict_ripper
+    from lucerna.operators.rulefit import fit_rulefit
+    rng = random.Random(8)
+    rows = [(i, rng.uniform(0, 1), rng.uniform(0, 1)) for i in range(600)]
+    df = _df(spark, rows, "id long, a double, b double").withColumn(
+        "label", F.when((F.col("a") > 0.6) & (F.col("b") < 0.5), 1).otherwise(0))
+    rp = fit_ripper(df, ["a", "b"])
+    assert rp["positive"] == 1 and rp["rules"]
+    acc = predict_ripper(rp, df).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+    assert acc > 0.9
+    model, table = fit_rulefit(df, ["a", "b"], n_trees=5, max_depth=2)
+    assert table.where("type = 'rule'").count() > 0
+    assert model.transform(df).count() == 600
