@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lucerna.llm import bpe, langid, perplexity, quality, simhash
+from lucerna.llm import bpe, html, langid, licenses, perplexity, quality, simhash, wavelet
 from lucerna.llm.common import table
 
 TOKENIZERS = os.environ.get("LUCERNA_TOKENIZERS", "/opt/tokenizers")
@@ -20,10 +21,19 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.recognise(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json"))
 
@@ -32,5 +42,11 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_language_id, op5_simhash, op8_bpe, op9_quality_classifier)}
-ORACLES: dict[str, str] = {}
+def op10_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.token_index(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_quality_rules, op3_language_id, op4_license_scan, op5_simhash, op6_html_text, op8_bpe, op9_quality_classifier,
+    op10_token_index)}
+ORACLES = {"op4_license_scan": licenses.oracle()}
