@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucerna.llm import bpe, html, langid, licenses, perplexity, quality, simhash, wavelet
+from lucerna.llm import bpe, decontaminate, html, langid, licenses, perplexity, quality, simhash, wavelet
 from lucerna.llm.common import table
 
 TOKENIZERS = os.environ.get("LUCERNA_TOKENIZERS", "/opt/tokenizers")
@@ -34,6 +34,10 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json"))
 
@@ -47,6 +51,6 @@ def op10_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op3_language_id, op4_license_scan, op5_simhash, op6_html_text, op8_bpe, op9_quality_classifier,
-    op10_token_index)}
+    op1_quality_rules, op3_language_id, op4_license_scan, op5_simhash, op6_html_text, op7_decontamination, op8_bpe,
+    op9_quality_classifier, op10_token_index)}
 ORACLES = {"op4_license_scan": licenses.oracle()}
