@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucerna.llm import bpe, decontaminate, html, langid, licenses, perplexity, quality, simhash, wavelet
+from lucerna.llm import bpe, decontaminate, html, langid, licenses, perplexity, quality, simhash, suffix, wavelet
 from lucerna.llm.common import table
 
 TOKENIZERS = os.environ.get("LUCERNA_TOKENIZERS", "/opt/tokenizers")
@@ -17,6 +17,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.removal_report(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,6 @@ def op10_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op3_language_id, op4_license_scan, op5_simhash, op6_html_text, op7_decontamination, op8_bpe,
+    op1_quality_rules, op2_suffix_dedup, op3_language_id, op4_license_scan, op5_simhash, op6_html_text, op7_decontamination, op8_bpe,
     op9_quality_classifier, op10_token_index)}
 ORACLES = {"op4_license_scan": licenses.oracle()}
