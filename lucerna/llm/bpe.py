@@ -24,7 +24,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lucerna.llm.common import text_slices
@@ -190,13 +190,14 @@ def round_trip(docs: DataFrame, vocab_path: str) -> DataFrame:
     string.  Rows are independent: nulls in other columns, repeats, very long
     texts and extra columns change nothing, an empty table gives none.
     """
+    kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        _round_trip(vocab_path), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
+        _round_trip(vocab_path), f"doc_id {kind}, ids array<int>, decoded string")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """Token count and SHA-256 digests of ids and decoded text."""
+def digests(encoded: DataFrame, *more: Column) -> DataFrame:
+    """Token count and SHA-256 digests of ids and decoded text, and ``more`` columns."""
     return encoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), *more)

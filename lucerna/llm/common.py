@@ -37,6 +37,14 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def fresh_name(name: str, taken: list[str]) -> str:
+    """``name`` with underscores appended until no column is called so (whatever the case)."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch holding about ``limit`` bytes of ``column`` each.
 

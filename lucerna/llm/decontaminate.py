@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucerna.llm.common import saved, text_slices
+from lucerna.llm.common import fresh_name, saved, text_slices
 
 WORD = re.compile(r"\w+")
 BLOCK_ITEMS = 20_000  # items handled per pass; a larger benchmark is handled in blocks
@@ -333,3 +333,16 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings | None
         F.max("overlap").alias("overlap"), copies.cast("int").alias("copies"))
     return joined.select("doc_id", "contaminated", "item_ids", "overlap",
                          F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("c")).drop("c")
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, s: Settings | None = None) -> DataFrame:
+    """The rows of ``docs`` (all columns) whose text is not contaminated.
+
+    The verdict depends on the text alone, so rows are matched by text hash and
+    length; rows with a null text stay.
+    """
+    key = fresh_name("text_key", docs.columns)
+    name = F.concat_ws("-", F.hex(F.xxhash64("text")), F.octet_length("text"))
+    found = find_contaminated(docs.select(name.alias("doc_id"), "text"), benchmark, s)
+    bad = found.where("contaminated").select(F.col("doc_id").alias(key)).distinct()
+    return docs.withColumn(key, name).join(bad, key, "left_anti").select(*docs.columns)

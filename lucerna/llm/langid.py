@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lucerna.llm.common import held_out, saved, text_slices
+from lucerna.llm.common import fresh_name, held_out, saved, text_slices
 
 LONGEST = 3
 SPACE = 64 + 64 ** 2 + 64 ** 3
@@ -161,23 +162,42 @@ def _predict(model) -> callable:
             s = k @ m.weights
             best = np.where(sizes > 0, s.argmax(1), len(m.langs))
             score = np.where(sizes > 0, np.clip(s.max(1), 0, 1), 0.0)
-            columns = [part.column(i) for i in range(part.num_columns)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(names[best], pa.string()), pa.array(score.astype(np.float64))],
-                                             [*part.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns, pa.array(names[best], pa.string()), pa.array(score.astype(np.float64))],
+                [f"c{i}" for i in range(part.num_columns)] + ["lang_pred", "score"])
     return run
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (0 to 1) appended, from the text alone.
+def predict(docs: DataFrame, model: Model | None, pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """``docs`` with the predicted language and its score (0 to 1) appended, from the text alone.
 
     A null text, or one without letters, is ``und`` with score 0, and so is every
     text if there is no model.  Rows are independent of each other.
     """
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+        return docs.withColumns({pred_col: F.lit(UNKNOWN), score_col: F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.schema.simpleString()[len("struct<"):-1]
-    return docs.mapInArrow(_predict(shared), f"{schema},lang_pred:string,score:double")
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    schema = T.StructType([T.StructField(c, f.dataType) for c, f in zip(plain, docs.schema.fields, strict=True)]
+                          + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named = (b.rename_columns([*plain[:at], "text", *plain[at + 1:]]) for b in batches)
+        yield from _predict(shared)(named)
+
+    return docs.mapInArrow(run, schema).toDF(*docs.columns, pred_col, score_col)
+
+
+def keep_identified(docs: DataFrame, least: float = 0.2) -> DataFrame:
+    """The rows of ``docs`` (all their columns) whose language is recognised with a score of ``least`` or more.
+
+    Rejected are ``und`` (null and letterless texts) and texts unlike every
+    learned language.  Other nulls, repeats and further columns change nothing.
+    """
+    pred, score = fresh_name("lang_pred", docs.columns), fresh_name("score", docs.columns)
+    out = predict(docs, fit(docs), pred, score)
+    return out.where((F.col(pred) != UNKNOWN) & (F.col(score) >= least)).select(*docs.columns)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucerna.llm.common import connected_components, saved
+from lucerna.llm.common import connected_components, fresh_name, saved
 
 # Generator polynomial of the binary Golay code and the segments.
 GENERATOR = 0xC75
@@ -228,6 +228,15 @@ def _emit_fingerprints(shingle: int):
     return run
 
 
+def _emit_row_fingerprints(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column("text")), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(fps.view(np.int64))],
+                                             ["doc_id", "row", "fp"])
+    return run
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """``(doc_id, fp)`` per row of ``docs(doc_id, text)``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
@@ -241,6 +250,16 @@ def links(fps: DataFrame) -> DataFrame:
             .mapInArrow(_emit_links, "a long, b long").distinct())
 
 
+def _components_of(fps: DataFrame) -> DataFrame:
+    """``(fp, root, component_id)`` per distinct fingerprint of ``fps(doc_id, fp)``."""
+    roots = connected_components(links(fps), "simhash-components")
+    first = (fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+             .join(roots, F.col("fp") == F.col("node"), "left")
+             .select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    first = saved(first, "simhash-groups")
+    return first.join(first.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` per row of ``docs(doc_id, text)``.
 
@@ -252,12 +271,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     an empty table gives an empty result.
     """
     fps = saved(fingerprints(docs, shingle), "simhash-fps")
-    roots = connected_components(links(fps), "simhash-components")
-    first = (fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-             .join(roots, F.col("fp") == F.col("node"), "left")
-             .select("fp", "first", F.coalesce("root", "fp").alias("root")))
-    first = saved(first, "simhash-groups")
-    component = (first.join(first.groupBy("root").agg(F.min("first").alias("component_id")), "root")
-                 .select("fp", "component_id"))
-    return fps.join(component, "fp").select(
+    return fps.join(_components_of(fps).drop("root"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """One row of ``docs`` (all columns) per near-duplicate component.
+
+    It is the one with the smallest doc_id (null ids last), of those the one with
+    the smallest hash of all its columns; of rows equal in every column one stays.
+    """
+    row, doc = fresh_name("row_hash", docs.columns), F.col("doc_id").cast("long")
+    plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    marked = docs.withColumn(row, F.xxhash64(*plain))
+    with_row = marked.select(doc.alias("doc_id"), F.col("text").cast("binary").alias("text"), F.col(row).alias("row"))
+    fps = saved(with_row.mapInArrow(_emit_row_fingerprints(shingle), "doc_id long, row long, fp long"), "simhash-fps")
+    rank = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("row"))
+    best = (fps.join(_components_of(fps.select("doc_id", "fp")), "fp").withColumn("r", rank)
+            .groupBy("root", "r").agg(F.count(F.lit(1)).alias("n"))
+            .groupBy("root").agg(F.min(F.struct("r", "n")).alias("b"))
+            .select(F.col("b.r.d").alias("d"), F.col("b.r.row").alias("row"), (F.col("b.n") > 1).alias("several")))
+    best = saved(best, "simhash-kept")
+    kept = marked.join(best, (F.coalesce(doc, F.lit((1 << 63) - 1)) == best["d"]) & (F.col(row) == best["row"]))
+    kept = kept.select(*marked.columns, best["several"])
+    return (kept.where(~best["several"]).select(*docs.columns)
+            .unionByName(kept.where(best["several"]).dropDuplicates(["doc_id", row]).select(*docs.columns)))

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucerna.llm.common import saved, text_slices
+from lucerna.llm.common import fresh_name, saved, text_slices
 
 LENGTH = 200
 GRAM = 40
@@ -326,7 +326,16 @@ def _bucket(length: int):
     return run
 
 
-def _united(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _whole_characters(text: bytes, a: int, b: int) -> tuple[int, int]:
+    """The largest range inside a..b that cuts no UTF-8 character (maybe empty)."""
+    while a < b and text[a] & 0xC0 == 0x80:
+        a += 1
+    while b > a and b < len(text) and text[b] & 0xC0 == 0x80:
+        b -= 1
+    return a, b
+
+
+def _united(batches: Iterator[pa.RecordBatch], length: int, characters: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi in text_slices(batch, "text"):
             part = batch.slice(lo, hi - lo)
@@ -344,6 +353,8 @@ def _united(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
                 cuts.append(one)
                 rest, at = [], 0
                 for a, b in one:
+                    if characters:
+                        a, b = _whole_characters(text, a, b)
                     rest.append(text[at:a])
                     at = b
                 kept.append(b"".join(rest) + text[at:])
@@ -358,12 +369,13 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", raw).withColumns({"key": F.xxhash64("text"), "n_bytes": F.length("text")})
 
 
-def repeats(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, length: int = LENGTH, characters: bool = False) -> tuple[DataFrame, DataFrame]:
     """What is repeated in ``docs(text)``, by text.
 
     Returns ``(key, n_bytes)`` of the texts of at least ``length`` bytes that occur
     more than once (removed from end to end), and ``(key, n_bytes, cuts, kept)`` of
-    other texts that lose something: the removed byte ranges, and what is left.
+    other texts that lose something: the removed byte ranges, and what is left
+    (with ``characters`` a character at the end of a range stays if it is cut).
     """
     if length <= GRAM:
         raise ValueError(f"length must exceed {GRAM} bytes")
@@ -398,7 +410,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame
     spans = spans.groupBy("key", "n_bytes").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     cut = (work.where("copied is null").select("key", "n_bytes", "text", "members").join(spans, ["key", "n_bytes"], "left")
            .select("key", "n_bytes", "text", "members", "spans")
-           .mapInArrow(lambda b: _united(b, length), "key long, n_bytes int, cuts array<array<int>>, kept binary"))
+           .mapInArrow(lambda b: _united(b, length, characters), "key long, n_bytes int, cuts array<array<int>>, kept binary"))
     return copied, cut.where(F.size("cuts") > 0)
 
 
@@ -420,3 +432,23 @@ def removal_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return rows.join(cut.unionByName(whole), ["key", "n_bytes"], "left").select(
         "doc_id", F.col("n_bytes").cast("long").alias("n_bytes"), F.coalesce("cut_bytes", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("cut_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("cut_sha", "sha").alias("kept_sha256"))
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs`` (all columns, every row) with repeated passages cut out of ``text``.
+
+    Only whole characters are cut.  A null text stays null; a text whose copies are
+    in the table too becomes empty; ``n_chars``, where it is a column, is set to
+    the new length of changed texts.
+    """
+    copied, cut = repeats(docs, length, characters=True)
+    key, size, kept = (fresh_name(c, docs.columns) for c in ("text_key", "text_size", "kept_text"))
+    new = cut.select(F.col("key").alias(key), F.col("n_bytes").alias(size), F.col("kept").cast("string").alias(kept)).unionByName(
+        copied.select(F.col("key").alias(key), F.col("n_bytes").alias(size), F.lit("").alias(kept)))
+    raw = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    out = docs.withColumns({key: F.xxhash64(raw), size: F.length(raw)}).join(new, [key, size], "left")
+    changed = {"text": F.coalesce(kept, "text")}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        changed["n_chars"] = F.when(F.col(kept).isNotNull(), F.length(kept).cast(kind)).otherwise(F.col("n_chars"))
+    return out.withColumns(changed).select(*docs.columns)
