@@ -19,6 +19,7 @@ the order columns form a total order (callers add the unique id).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -45,6 +46,14 @@ def _offsets(keyed: DataFrame, partition_cols: Sequence[str],
         *[F.coalesce(F.sum(n).over(w), F.lit(0)).alias(f"_lc_off_{n}") for n in sums])
 
 
+def _with_offsets(keyed: DataFrame, offs: DataFrame, partition_cols: Sequence[str]) -> DataFrame:
+    """Join the offsets back; a null group (or bucket) is a group like any other."""
+    keys = [*partition_cols, _B]
+    offs = offs.withColumnsRenamed({c: f"_lc_k{i}" for i, c in enumerate(keys)})
+    same = reduce(lambda a, b: a & b, [keyed[c].eqNullSafe(offs[f"_lc_k{i}"]) for i, c in enumerate(keys)])
+    return keyed.join(offs, same).drop(*[f"_lc_k{i}" for i in range(len(keys))])
+
+
 def running_sums(keyed: DataFrame, order_cols: Sequence, sums: dict[str, Column],
                  partition_cols: Sequence[str] = ()) -> DataFrame:
     """Add inclusive running sums of ``sums`` in ``order_cols`` order.
@@ -55,7 +64,7 @@ def running_sums(keyed: DataFrame, order_cols: Sequence, sums: dict[str, Column]
     offs = _offsets(keyed, partition_cols, sums)
     w = (Window.partitionBy(*partition_cols, _B).orderBy(*_cols(order_cols))
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = keyed.join(offs, [*partition_cols, _B])
+    out = _with_offsets(keyed, offs, partition_cols)
     for n, e in sums.items():
         out = out.withColumn(n, F.col(f"_lc_off_{n}") + F.sum(e).over(w))
     return out.drop(_B, *[f"_lc_off_{n}" for n in sums])
@@ -66,7 +75,7 @@ def row_number_exact(keyed: DataFrame, order_cols: Sequence, name: str = "rn",
     """Global 1-based row number in ``order_cols`` order (per partition group)."""
     offs = _offsets(keyed, partition_cols, {"_lc_cnt": F.lit(1)})
     w = Window.partitionBy(*partition_cols, _B).orderBy(*_cols(order_cols))
-    return (keyed.join(offs, [*partition_cols, _B])
+    return (_with_offsets(keyed, offs, partition_cols)
             .withColumn(name, (F.col("_lc_off__lc_cnt") + F.row_number().over(w)).cast("long"))
             .drop(_B, "_lc_off__lc_cnt"))
 
@@ -92,6 +101,21 @@ def with_value_bucket(df: DataFrame, value_col: str, n_buckets: int = 1024) -> D
     return bz.transform(keyed).drop(tmp)
 
 
+def with_text_bucket(df: DataFrame, text_col: str, n_buckets: int = 64) -> DataFrame:
+    """Bucket by splitters sampled from a text column (monotone in the text order).
+
+    About ten texts per bucket, drawn by hash, reach the driver.
+    """
+    every = max(1, df.count() // (10 * n_buckets))
+    sample = sorted(r[0] for r in df.where(F.pmod(F.xxhash64(text_col), F.lit(every)) == 0)
+                    .select(text_col).where(F.col(text_col).isNotNull()).collect())
+    cuts = sorted({sample[len(sample) * i // n_buckets] for i in range(1, n_buckets)} if sample else set())
+    if not cuts:
+        return df.withColumn(_B, F.lit(0))
+    borders = F.array(*[F.lit(c) for c in cuts])
+    return df.withColumn(_B, F.size(F.filter(borders, lambda b: b <= F.col(text_col))))
+
+
 def with_group_quantile_bucket(df: DataFrame, value_col: str, partition_cols: Sequence[str],
                                n_buckets: int = 128) -> DataFrame:
     """Bucket by approximate quantiles of ``value_col`` computed per group.
@@ -159,6 +183,7 @@ def row_number_by_value(df: DataFrame, value_col: str, tie_col: str | None = Non
                         name: str = "rn", partition_cols: Sequence[str] = (),
                         n_buckets: int = 1024) -> DataFrame:
     """Row number in ``(value, tie)`` ascending order, per ``partition_cols`` group."""
-    keyed = with_value_bucket(df, value_col, n_buckets)
+    text = df.schema[value_col].dataType.typeName() == "string"
+    keyed = with_text_bucket(df, value_col) if text else with_value_bucket(df, value_col, n_buckets)
     order = [value_col] + ([tie_col] if tie_col else [])
     return row_number_exact(keyed, order, name, partition_cols)

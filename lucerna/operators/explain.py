@@ -139,8 +139,10 @@ def partial_dependence(train: DataFrame, feature: str, scorer: Scorer, grid: Seq
     return scored.groupBy("grid_value").agg(F.avg("score").alias("mean_prediction"))
 
 
-def ice_rows(train: DataFrame, id_col: str = "id", max_rows: int = 1000, seed=0) -> DataFrame:
-    """EX13 row sample: the first ``max_rows`` rows in seeded hash order (a sampling feature)."""
+def ice_rows(train: DataFrame, id_col: str = "id", max_rows: int | None = None, seed=0) -> DataFrame:
+    """EX13 rows: all of them, or the first ``max_rows`` in seeded hash order if the caller asks for a sample."""
+    if max_rows is None:
+        return train
     return row_number_by_hash(train, id_col, seed, "_rn").where(F.col("_rn") <= max_rows).drop("_rn")
 
 
@@ -189,27 +191,25 @@ def permutation_importance(train: DataFrame, feature_cols: Sequence[str], scorer
                            task: str = "classification", seed=0) -> DataFrame:
     """EX1: score drop after permuting one column, ``repeats`` times.
 
-    The permutation of feature f in repeat r maps the row at rank i of one
-    seeded hash order to the row at rank i of a second one (two H2 ranks and
-    an equi-join on rank), so every (f, r) is a true permutation.  All
-    (feature, repeat) pairs are scored in one pass; the metric (accuracy of
+    The permutation of repeat r, shared by its features, maps the row at rank i
+    of one seeded hash order to the row at rank i of a second one.  Both orders
+    are salted with r (two H2 ranks of rows x repeats and an equi-join on rank),
+    so every repeat is a permutation of its own.  All (feature, repeat) pairs are
+    scored in one pass; the metric (accuracy of
     the rounded score, or R^2) is one grouped aggregation.
     Output: feature, attribution (mean drop), std (population).
     """
     cols = list(feature_cols)
     base_cols = [id_col, label, *cols]
-    keys = F.array(*[F.struct(F.lit(f).alias("_f"), F.lit(r).alias("_r"))
-                     for f in cols for r in range(repeats)])
-    ex = train.select(*base_cols).withColumn("_k", F.explode(keys)).select(*base_cols, "_k._f", "_k._r")
-    ex = ex.withColumn("_key", F.concat_ws("|", F.col(id_col).cast("string"), F.col("_f"), F.col("_r")))
-    a = row_number_by_hash(ex, id_col, f"{seed}-a", "_rank", partition_cols=["_f", "_r"])
-    value_of = F.create_map(*[x for c in cols for x in (F.lit(c), F.col(c).cast("double"))])
-    b = (row_number_by_hash(ex, id_col, f"{seed}-b", "_rank", partition_cols=["_f", "_r"])
-         .select("_f", "_r", "_rank", value_of[F.col("_f")].alias("_pv")))
-    perm = a.join(b, ["_f", "_r", "_rank"])
+    ex = train.select(*base_cols).withColumn("_r", F.explode(F.array(*[F.lit(r) for r in range(repeats)])))
+    ex = ex.withColumn("_key", F.concat_ws("|", F.col(id_col).cast("string"), F.col("_r").cast("string")))
+    a = row_number_by_hash(ex, "_key", f"{seed}-a", "_rank", partition_cols=["_r"]).drop("_key")
+    b = (row_number_by_hash(ex, "_key", f"{seed}-b", "_rank", partition_cols=["_r"])
+         .select("_r", "_rank", *[F.col(c).cast("double").alias(f"_p{i}") for i, c in enumerate(cols)]))
+    perm = a.join(b, ["_r", "_rank"]).withColumn("_f", F.explode(F.array(*[F.lit(c) for c in cols])))
     perm = perm.select(id_col, label, "_f", "_r",
-                       *[F.when(F.col("_f") == c, F.col("_pv")).otherwise(F.col(c).cast("double")).alias(c)
-                         for c in cols])
+                       *[F.when(F.col("_f") == c, F.col(f"_p{i}")).otherwise(F.col(c).cast("double")).alias(c)
+                         for i, c in enumerate(cols)])
     scored = scorer(perm)
     base = scorer(train.select(*base_cols))
     metric = _score_metric(task, label)

@@ -56,6 +56,8 @@ def build_pipeline(name: str, task: str, feature_cols: Sequence[str], n_classes:
     cols = list(feature_cols)
     feats = "features"
     kernel = params.pop("kernel", "rbf") if name == "SVM" else None
+    if name == "SVM" and kernel not in ("rbf", "linear"):
+        raise ValueError(f"SVM kernel {kernel!r} is not offered; use 'rbf' or 'linear'")
     if name == "SVM" and kernel == "rbf":
         n_comp = params.pop("n_components", 100)
         gamma = params.pop("gamma", 1.0 / max(len(cols), 1))

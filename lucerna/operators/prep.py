@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import StringIndexer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
@@ -117,14 +117,19 @@ def one_hot_vector(df: DataFrame, c: str, out: str | None = None) -> DataFrame:
 
 
 def encode_target(df: DataFrame, target: str, out: str | None = None) -> DataFrame:
-    """EN8: drop rows without target, label-encode in sorted value order, move it last."""
+    """EN8: drop rows without target, label-encode in the order of the values (numbers as numbers), move it last."""
+    from lucerna.functions.ranking import row_number_by_value
     out = out or target
     kept = df.where(F.col(target).isNotNull())
-    idx = StringIndexer(inputCol=target, outputCol="__lbl", stringOrderType="alphabetAsc")
-    coded = idx.fit(kept.select(F.col(target).cast("string").alias(target))).transform(
-        kept.withColumn(target, F.col(target).cast("string")))
+    values = kept.select(target).distinct()
+    kind = df.schema[target].dataType.typeName()
+    if kind in ("boolean", "date", "timestamp", "timestamp_ntz", "binary"):
+        values = values.withColumn("__rn", F.row_number().over(Window.orderBy(target)))  # few values by nature
+    else:
+        values = row_number_by_value(values, target, None, "__rn")
+    values = values.select(F.col(target).alias("__value"), (F.col("__rn") - 1).cast("int").alias("__lbl"))
     rest = [c for c in df.columns if c != target]
-    return coded.select(*rest, F.col("__lbl").cast("int").alias(out))
+    return kept.join(values, kept[target] == values["__value"]).select(*rest, F.col("__lbl").alias(out))
 
 
 def impute_mean(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

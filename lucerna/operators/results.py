@@ -24,13 +24,13 @@ def parameter_by_run(params: DataFrame) -> DataFrame:
 
 
 def run_names(metrics: DataFrame) -> DataFrame:
-    """RS1 naming: the k-th run of a model is NAME (k = 1) or NAME_k, up to 99."""
+    """RS1 naming: the k-th run of a model is NAME (k = 1) or NAME_k."""
     from pyspark.sql import Window
     runs = metrics.select("model", "run").distinct()
     w = Window.partitionBy("model").orderBy("run")
     k = F.row_number().over(w)
     return runs.select("model", "run", F.when(k == 1, F.col("model"))
-                       .when(k <= 99, F.concat(F.col("model"), F.lit("_"), k.cast("string"))).alias("name"))
+                       .otherwise(F.concat(F.col("model"), F.lit("_"), k.cast("string"))).alias("name"))
 
 
 def comparison_table(metrics: DataFrame, metric_names: Sequence[str]) -> DataFrame:

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from lucerna.functions.exprs import rnd
 
 STRICT_SHIFT = 1e-5  # fixed: strict bounds become closed bounds moved by this much
-_COND = r"^\s*([A-Za-z_][A-Za-z0-9_ ]*|[0-9]+)\s*(=>|>=|=<|<=|=|<|>)\s*(-?[0-9.]+)(-(-?[0-9.]+))?\s*$"
+# fixed: the form of one condition, numbers with or without an exponent
+_NUMBER = r"-?[0-9.]+(?:[eE][+-]?[0-9]+)?"
+_COND = rf"^\s*([A-Za-z_][A-Za-z0-9_ ]*|[0-9]+)\s*(=>|>=|=<|<=|=|<|>)\s*({_NUMBER})(-({_NUMBER}))?\s*$"
 
 
 def lime_rules(lime_rows: DataFrame, top: int = 10) -> DataFrame:

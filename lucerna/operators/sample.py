@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lucerna.functions.exprs import with_scalars
-from lucerna.functions.hashing import hash_uniform
 from lucerna.functions.ranking import row_number_by_hash
 
 SPLIT_SEED = 2020
@@ -54,7 +53,7 @@ def _replicate(df: DataFrame, copies_col: str, out_col: str, chunk: int = 4096)
 
 
 def random_over_sample(df: DataFrame, label: str = "label", id_col: str = "id",
-                       seed=BALANCE_SEED) -> DataFrame:
+                       seed=BALANCE_SEED, id_offset: int = 0) -> DataFrame:
     """BA1 ROS: every class re-sampled with replacement up to the majority count.
 
     Class c with n_c rows gets m_c = n_max - n_c added rows: floor(m_c / n_c)
@@ -66,7 +65,7 @@ def random_over_sample(df: DataFrame, label: str = "label", id_col: str = "id",
     if not counts:
         return df.withColumn("synthetic", F.lit(False))
     n_max = max(counts.values())
-    offsets, acc = {}, 0
+    offsets, acc = {}, id_offset
     for c in sorted(counts):
         offsets[c] = acc
         acc += n_max - counts[c]
@@ -111,25 +110,33 @@ def class_weights(df: DataFrame, label: str = "label", weight_col: str = "weight
 
 def balance(df: DataFrame, methods: Sequence[str], label: str = "label", id_col: str = "id",
             feature_cols: Sequence[str] | None = None, seed=BALANCE_SEED) -> DataFrame:
-    """BA6: methods applied in the order given (ROS, RUS, SMOTE, ADASYN, PEN)."""
+    """BA6: methods applied in the order given (ROS, RUS, SMOTE, ADASYN, PEN).
+
+    Rows that a method adds keep their ``synthetic`` flag through the later ones,
+    whose ids go on below the lowest synthetic id so far.
+    """
+    def grown(old: DataFrame, fn, *args) -> DataFrame:
+        flagged = old if "synthetic" in old.columns else old.withColumn("synthetic", F.lit(False))
+        low = (old.where("synthetic").agg(F.min(F.col(id_col).cast("long"))).first()[0]
+               if "synthetic" in old.columns else None)
+        new = fn(old.drop("synthetic"), *args, seed=seed, id_offset=-low if low is not None else 0)
+        return flagged.unionByName(new.where("synthetic"), allowMissingColumns=True)
+
     out = df
     for m in methods:
-        base = out.drop("synthetic") if "synthetic" in out.columns else out
         if m == "ROS":
-            out = random_over_sample(base, label, id_col, seed)
+            out = grown(out, random_over_sample, label, id_col)
         elif m == "RUS":
             out = random_under_sample(out, label, id_col, seed)
         elif m == "PEN":
             out = class_weights(out, label)
         elif m in ("SMOTE", "ADASYN"):
             from lucerna.operators.neighbours import adasyn, smote
+            cols = feature_cols or [c for c in out.columns if c not in (id_col, label, "synthetic")]
             fn = smote if m == "SMOTE" else adasyn
-            out = fn(base, feature_cols or [c for c in base.columns if c not in (id_col, label)],
-                     label, id_col, seed=seed)
+            out = grown(out, lambda df, *a, fn=fn, cols=cols, **k: fn(df, cols, *a, **k), label, id_col)
         else:
             raise ValueError(f"unknown balancing method {m}")
     return out
 
 
-def uniform_column(id_col: str, seed) -> F.Column:
-    return hash_uniform(id_col, seed)

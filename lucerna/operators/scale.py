@@ -184,6 +184,17 @@ def binarize(df: DataFrame, cols: Sequence[str], threshold: float = 0.5) -> Data
                        else F.col(c) for c in df.columns])
 
 
+def feature_names_after(cols: Sequence[str], methods: Sequence[str] | str) -> list[str]:
+    """The feature columns that :func:`normalise` leaves (PF adds a bias, squares and products)."""
+    names = list(cols)
+    for m in [methods] if isinstance(methods, str) else methods:
+        for step in CHAINS.get(m, [m]):
+            if step == "PF":
+                names = ["1", *names, *[f"{a}^2" if a == b else f"{a} {b}"
+                                        for i, a in enumerate(names) for b in names[i:]]]
+    return names
+
+
 def polynomial_features(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """N9 PF: degree 2 with bias, in the order 1, x_i, x_i*x_j (i <= j)."""
     cols = list(cols)
@@ -225,7 +236,7 @@ def normalise(df: DataFrame, cols: Sequence[str], methods: Sequence[str] | str,
             df = binarize(df, cols)
         elif s == "PF":
             df = polynomial_features(df, cols)
-            cols = [c for c in df.columns if c not in (id_col,)]
+            cols = feature_names_after(cols, "PF")
         else:
             raise ValueError(f"unknown normalisation {s}")
         i += 1

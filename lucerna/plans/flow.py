@@ -33,20 +33,24 @@ def train_evaluate_explain(df: DataFrame, feature_cols: Sequence[str], id_col: s
     data = df.select(id_col, *cols, label).checkpoint(eager=True)
     if normalisation:
         data = S.normalise(data, cols, normalisation, id_col)      # fitted on the whole table
+        cols = S.feature_names_after(cols, normalisation)
     split = SA.train_test_split(data, id_col, train_size)
     # the split feeds a fit, a scoring pass and the explanation background
     split = split.persist()
     train = split.where(F.col("split") == "train")
     test = split.where(F.col("split") == "test")
-    model = ML.fit_model(train, model_name, task, cols, label=label)
+    # one row per class: the count decides between the binary and the multiclass formulas
+    n_classes = split.select(label).distinct().count() if task == "classification" else 2
+    model = ML.fit_model(train, model_name, task, cols, n_classes=max(2, n_classes), label=label)
     scored = ML.predict(model, test, keep=[id_col, label])
     if task == "classification":
         scored = scored.withColumn("prediction", F.col("prediction").cast("int"))
-        metrics = M.classification_metrics(scored.withColumn(label, F.col(label).cast("int")), label)
+        metrics = M.classification_metrics(scored.withColumn(label, F.col(label).cast("int")), label,
+                                           multiclass=n_classes > 2)
     else:
         metrics = M.regression_metrics(scored, label)
     out = {"split": split, "predictions": scored, "metrics": metrics, "model": model}
-    if model_name == "LR":
+    if model_name == "LR" and n_classes <= 2:
         coefs = ML.linear_coefficients(model, cols)
         local = EX.linear_shapley(test, {c: coefs[c] for c in cols}, train, id_col)
         out["shapley_local"] = local

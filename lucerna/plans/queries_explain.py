@@ -134,14 +134,12 @@ def ex_pdp_distinct_grid(v):
 @query("ex_ice", "EX13", with_views(f"""
 SELECT s.id, g.g AS grid_value,
        {R('1.0 / (1.0 + exp(-(-5.0 + 0.04 * CAST(s.sum_qty AS DOUBLE) + 0.25 * g.g)))')} AS prediction
-FROM (SELECT * FROM (SELECT id, sum_qty, row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR) || '-0'), id) AS rn
-                     FROM order_features) r WHERE rn <= 1000) s,
+FROM order_features s,
      (SELECT DISTINCT CAST(n_lines AS DOUBLE) AS g FROM order_features) g""", "order_features"))
 def ex_ice(v):
     of = v.order_features.select("id", "sum_qty", "n_lines")
-    rows = EX.ice_rows(of, max_rows=1000)
     grid = EX.pdp_grid(of, "n_lines")
-    out = EX.partial_dependence(rows, "n_lines", SCORER, grid, per_row=True)
+    out = EX.partial_dependence(EX.ice_rows(of), "n_lines", SCORER, grid, per_row=True)
     return out.select("id", "grid_value", rnd("prediction").alias("prediction"))
 
 
@@ -390,6 +388,28 @@ def _fitted(v, name="LR", params=None):
     return m, train, test
 
 
+# the permutation of a repeat, as the operator defines it: rank i of one salted md5 order -> rank i of another
+_PERM_RANK = "row_number() OVER (PARTITION BY r ORDER BY md5(id || '|' || r || '-0-{o}'), id || '|' || r)"
+_PERM_COLS = ("sum_qty", "n_lines")
+_PERM_HIT = "CASE WHEN round(1.0 / (1.0 + exp(-(-5.0 + 0.04 * {q} + 0.25 * {n})))) = label THEN 1.0 ELSE 0.0 END"
+
+
+@query("ex_permutation_checked", "EX1", with_views(f"""
+SELECT * FROM (WITH t AS (SELECT CAST(id AS VARCHAR) AS id, label, CAST(sum_qty AS DOUBLE) AS q,
+                                 CAST(n_lines AS DOUBLE) AS n FROM order_binary),
+     e AS (SELECT t.*, CAST(r AS VARCHAR) AS r FROM t, range(5) x(r)),
+     a AS (SELECT *, {_PERM_RANK.format(o='a')} AS k FROM e),
+     b AS (SELECT r, q AS pq, n AS pn, {_PERM_RANK.format(o='b')} AS k FROM e),
+     s AS (SELECT r, avg({_PERM_HIT.format(q='pq', n='n')}) AS m1, avg({_PERM_HIT.format(q='q', n='pn')}) AS m2
+           FROM a JOIN b USING (r, k) GROUP BY r),
+     z AS (SELECT avg({_PERM_HIT.format(q='q', n='n')}) AS base FROM t),
+     u AS (SELECT 'sum_qty' AS feature, base - m1 AS d FROM s, z UNION ALL SELECT 'n_lines', base - m2 FROM s, z)
+SELECT feature, {R('avg(d)')} AS attribution, {R('stddev_pop(d)')} AS std FROM u GROUP BY feature) p""", "order_binary"))
+def ex_permutation_checked(v):
+    out = EX.permutation_importance(v.order_binary, list(_PERM_COLS), SCORER, repeats=5)
+    return out.select("feature", rnd("attribution").alias("attribution"), rnd("std").alias("std"))
+
+
 @query("ex_permutation_importance", "EX1")
 def ex_permutation_importance(v):
     m, train, _ = _fitted(v)

@@ -60,9 +60,12 @@ def en_encode_date(v):
     return P.encode_date(v.part_raw, "made").select("id", "made")
 
 
-@query("en_one_hot", "EN7", with_views("""
-SELECT * FROM (PIVOT (SELECT id, 'brand_' || coalesce(brand, 'nan') AS k FROM part_raw)
-               ON k USING count(*) GROUP BY id) p""", "part_raw"))
+_BRANDS = [f"brand_{b}" for b in (*(f"Brand#{i}" for i in range(1, 26)), "nan")]
+_ONE_HOT = ("SELECT id, " + ", ".join(f"count(*) FILTER (WHERE k = '{b}') AS \"{b}\"" for b in _BRANDS)
+            + " FROM (SELECT id, 'brand_' || coalesce(brand, 'nan') AS k FROM part_raw) b GROUP BY id")
+
+
+@query("en_one_hot", "EN7", with_views(f"SELECT * FROM ({_ONE_HOT}) p", "part_raw"))
 def en_one_hot(v):
     return P.one_hot(v.part_raw.select("id", "brand"), "brand")
 
@@ -91,11 +94,10 @@ SELECT * FROM (WITH b AS (SELECT id, price, CAST(epoch(strptime(made, '%m/%d/%Y'
                         brand, target FROM part_raw),
      t AS (SELECT id, price, made, CAST(dense_rank() OVER (ORDER BY target) - 1 AS INTEGER) AS target
            FROM b WHERE target IS NOT NULL),
-     oh AS (PIVOT (SELECT id, 'brand_' || coalesce(brand, 'nan') AS k FROM part_raw) ON k USING count(*) GROUP BY id),
-     ohd AS (SELECT * FROM oh)
+     ohd AS ({_ONE_HOT})
 SELECT t.id, {R("coalesce(t.price, (SELECT avg(price) FROM t))")} AS price,
        {R("coalesce(t.made, (SELECT avg(made) FROM t))")} AS made,
-       COLUMNS(lambda c: c LIKE 'brand_%')::DOUBLE, t.target
+       {", ".join(f'CAST("{b}" AS DOUBLE) AS "{b}"' for b in _BRANDS)}, t.target
 FROM t JOIN ohd ON t.id = ohd.id) q""", "part_raw"))
 def en_encode_pipeline(v):
     out = P.encode_table(v.part_raw, "id", "target", ratio_null=8.0)

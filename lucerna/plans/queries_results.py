@@ -17,20 +17,21 @@ from lucerna.plans.oracle_views import R, with_views
 from lucerna.sources.tables import read_table
 
 _M = sorted(CLASSIFICATION_METRICS)
+_RUNS = ("lines_1", "price_1", "qty_1", "tax_1")
 
 
 # ---------------------------------------------------------------- result tables
 
 @query("rs_metric_by_run", "RS1", with_views(
-    "SELECT * FROM (PIVOT (SELECT run, metric, value FROM run_metrics) ON run USING first(value) GROUP BY metric) p",
-    "run_metrics"))
+    "SELECT metric, " + ", ".join(f"max(value) FILTER (WHERE run = '{r}') AS {r}" for r in _RUNS)
+    + " FROM run_metrics GROUP BY metric", "run_metrics"))
 def rs_metric_by_run(v):
     return RS.metric_by_run(v.run_metrics)
 
 
 @query("rs_comparison_table", "RS4", with_views(
-    "SELECT * FROM (PIVOT (SELECT model, metric, value FROM run_metrics) ON metric USING first(value) GROUP BY model) p",
-    "run_metrics"))
+    "SELECT model, " + ", ".join(f"max(value) FILTER (WHERE metric = '{m}') AS \"{m}\"" for m in _M)
+    + " FROM run_metrics GROUP BY model", "run_metrics"))
 def rs_comparison_table(v):
     return RS.comparison_table(v.run_metrics.select("model", "metric", "value"), _M)
 
