@@ -248,6 +248,7 @@ def _search(shared, s: Settings):
         own = item_rows(items, weight) @ basis
         own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
         mass = [weight[w] for w in items.words]
+        present = np.zeros(len(weight) + 1, bool)  # the last place stands for -1
         places: list[dict[int, int]] = []
         for w in items.words:
             at: dict[int, int] = {}
@@ -266,6 +267,12 @@ def _search(shared, s: Settings):
                         d, first = where[i]
                         n = len(items.words[k])
                         near = texts[d][max(0, first - n):first + s.window + n]
+                        # no common subsequence holds more than the item's words that occur here at all
+                        present[near] = True
+                        bound = mass[k][present[items.words[k]]].sum()
+                        present[near] = False
+                        if bound < s.overlap * mass[k].sum():
+                            continue
                         mask = common_words(places[k], n, near[near >= 0].tolist())
                         tail = n - items.answers[k]
                         if mask.bit_count() < s.overlap * n:
