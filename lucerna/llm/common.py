@@ -6,12 +6,16 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lucerna.session import checkpoint_dir
 
 
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder, read by Spark (the folder may be remote)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -22,12 +26,19 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
     This cuts the lineage (a lost executor costs a re-read, not a recompute) and
     lets several later jobs share one expensive pass.  The folder is the one the
-    cluster names in ``spark.checkpoint.dir``.
+    cluster names in ``spark.checkpoint.dir``.  While the job runs, Python workers
+    get batches of BATCH_ROWS rows, since rows hold whole texts.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, BATCH_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(rows, before)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -50,10 +61,9 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Ite
 
     A row is never cut: one text longer than the limit is a range of its own.
     """
-    lengths = batch.column(column).to_pylist()
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start, size = 0, 0
-    for i, value in enumerate(lengths):
-        n = len(value) if value is not None else 0
+    for i, n in enumerate(lengths):
         if size and size + n > limit:
             yield start, i
             start, size = i, 0
