@@ -41,9 +41,9 @@ from lucerna.llm.common import fresh_name, saved, text_slices
 
 LENGTH = 200
 GRAM = 40
-BUFFER = 1 << 20  # bytes hashed at a time
+BUFFER = 1 << 18  # bytes hashed at a time
 HEAVY = 50_000  # contexts of one leading string beyond which windows are counted one by one
-SEEN = 500_000  # text keys remembered per task
+SEEN = 100_000  # text keys remembered per task
 
 BASE = 0x9E3779B97F4A7C15 | 1
 PLACE = np.uint64((1 << 24) - 1)
@@ -245,13 +245,11 @@ def _contexts(length: int, heavy: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            for lo, hi in text_slices(batch, "text", 1 << 20):
+            for lo, hi in text_slices(batch, "text", BUFFER):
                 out: list[tuple] = []
                 for row in batch.slice(lo, hi - lo).to_pylist():
                     text = row["text"]
                     for m in row["members"]:
-                        if not m["open"] or m["heavy"] != heavy:
-                            continue
                         p, first = m["place"], m["place"] - m["left"]
                         if m["done"]:  # only a partner: once per task is enough
                             k = (m["anchor"], m["context"])
@@ -335,17 +333,18 @@ def _whole_characters(text: bytes, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
-def _united(batches: Iterator[pa.RecordBatch], length: int, characters: bool) -> Iterator[pa.RecordBatch]:
+def _united(batches: Iterator[pa.RecordBatch], characters: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi in text_slices(batch, "text"):
             part = batch.slice(lo, hi - lo)
             cuts, kept = [], []
-            for text, members, more in zip(part.column("text").to_pylist(), part.column("members").to_pylist(),
-                                           part.column("spans").to_pylist(), strict=True):
-                spans = [(m["place"] - m["left"], m["place"] - m["left"] + m["more"] + length) for m in members if m["done"]]
-                spans += [(s["start"], s["stop"]) for s in more or ()]
+            spans = part.column("spans")
+            flat = spans.flatten()
+            start, stop = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            ends = np.cumsum(spans.value_lengths().to_numpy(zero_copy_only=False))
+            for text, lo_span, hi_span in zip(part.column("text").to_pylist(), np.append(0, ends[:-1]), ends, strict=True):
                 one: list[list[int]] = []
-                for a, b in sorted(spans):
+                for a, b in zip(start[lo_span:hi_span].tolist(), stop[lo_span:hi_span].tolist(), strict=True):
                     if one and a <= one[-1][1]:
                         one[-1][1] = max(one[-1][1], b)
                     else:
@@ -385,9 +384,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, characters: bool = False) ->
     copied = saved(copied.select("key", "n_bytes"), "suffix-copied")
     found = text.mapInArrow(_occurrences(length, GRAM), "key long, n_bytes int, anchor long, context long, place int, "
                                                         "left short, more short")
-    again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # written first, so that both sides of the joins are plain shuffles, whose hot keys AQE can split
+    again = saved(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "suffix-again")
     hits = saved(found.join(again, "anchor", "left_semi"), "suffix-hits")
-    contexts = hits.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"))
+    contexts = saved(hits.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n")), "suffix-contexts")
     several = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     several = saved(several, "suffix-several")
     members = (hits.join(contexts, ["anchor", "context"]).join(several, "anchor", "left")
@@ -399,19 +399,26 @@ def repeats(docs: DataFrame, length: int = LENGTH, characters: bool = False) ->
     work = saved(once.join(members, ["key", "n_bytes"])
                  .join(copied.withColumn("copied", F.lit(True)), ["key", "n_bytes"], "left"), "suffix-work")
     span = "key long, n_bytes int, start int, stop int"
-    border = work.mapInArrow(_contexts(length, False), "key long, n_bytes int, place int, left short, more short, done boolean, "
-                                                       "before binary, after binary, lead binary")
+    part = lambda test: (work.select("key", "n_bytes", "text", F.filter("members", test).alias("members"))
+                         .where(F.size("members") > 0))
+    light = part(lambda m: m["open"] & ~m["heavy"])
+    border = saved(light.mapInArrow(_contexts(length, False), "key long, n_bytes int, place int, left short, more short, done boolean, "
+                                                       "before binary, after binary, lead binary"), "suffix-borders")
     spans = (border.repartitionByRange("lead").sortWithinPartitions("lead").mapInArrow(_bucket(length), span))
     if several.where(F.col("kinds") > HEAVY).limit(1).count():
-        windows = work.mapInArrow(_contexts(length, True), "key long, n_bytes int, start int, done boolean, window binary")
+        windows = part(lambda m: m["open"] & m["heavy"]).mapInArrow(_contexts(length, True), "key long, n_bytes int, start int, done boolean, window binary")
         twice = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
         spans = spans.unionByName(windows.where("not done").join(twice, "window", "left_semi")
                                   .select("key", "n_bytes", "start", (F.col("start") + length).alias("stop")))
     spans = spans.groupBy("key", "n_bytes").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    cut = (work.where("copied is null").select("key", "n_bytes", "text", "members").join(spans, ["key", "n_bytes"], "left")
-           .select("key", "n_bytes", "text", "members", "spans")
-           .mapInArrow(lambda b: _united(b, length, characters), "key long, n_bytes int, cuts array<array<int>>, kept binary"))
-    return copied, cut.where(F.size("cuts") > 0)
+    first = lambda m: m["place"].cast("int") - m["left"].cast("int")
+    whole = F.transform(F.filter("members", lambda m: m["done"]), lambda m: F.struct(
+        first(m).alias("start"), (first(m) + m["more"].cast("int") + F.lit(length)).alias("stop")))
+    cut = (work.where("copied is null").select("key", "n_bytes", "text", whole.alias("whole"))
+           .join(spans, ["key", "n_bytes"], "left").where("spans is not null or size(whole) > 0")
+           .select("key", "n_bytes", "text", F.array_sort(F.concat("whole", F.coalesce("spans", F.array()))).alias("spans"))
+           .mapInArrow(lambda b: _united(b, characters), "key long, n_bytes int, cuts array<array<int>>, kept binary"))
+    return copied, cut
 
 
 def removal_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
