@@ -28,10 +28,9 @@ from tokenizers import Tokenizer
 from lucerna.llm.common import saved, text_slices
 
 MAGIC = b"LWM1"
+UNASSIGNED = 4
 BLOCK = 512  # bits per rank block
-CACHE = 1_000_000  # words remembered per Python worker (a speed-up only)
-# Fixed value: the word pattern of the tokenizer file, white space by its Unicode property.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
+CACHE = 1_500_000  # words remembered per Python worker (a speed-up only)
 
 
 class WaveletMatrix:
@@ -135,57 +134,159 @@ class WaveletMatrix:
 
     def all(self) -> np.ndarray:
         """The whole sequence, by undoing the planes from the lowest up."""
-        values = np.zeros(self.n, np.uint32)
+        values = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for level in range(len(self.planes) - 1, -1, -1):
             one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
             before = np.empty_like(values)
             before[~one] = values[:self.zeros[level]]
-            before[one] = values[self.zeros[level]:]
-            values = before | one.astype(np.uint32) << np.uint32(len(self.planes) - 1 - level)
+            before[one] = values[self.zeros[level]:] | values.dtype.type(1 << len(self.planes) - 1 - level)
+            values = before
         return values
 
 
+@lru_cache(1)
+def character_kinds() -> np.ndarray:
+    """Kind of each code point: 0 white space, 1 letter, 2 number, 3 anything else, 4 unassigned in Python's tables."""
+    out = np.full(0x110000, 3, np.uint8)
+    cps = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    every, place = "".join(map(chr, cps)), np.array(cps)
+    for pattern, kind in ((r"\p{White_Space}+", 0), (r"\p{L}+", 1), (r"\p{N}+", 2)):
+        for m in regex.finditer(pattern, every):
+            out[place[m.start():m.end()]] = kind
+    out[[c for c in cps if unicodedata.category(chr(c)) == "Cn"]] = UNASSIGNED
+    return out
+
+
 class WordEncoder:
     """The tokenizers library, asked once per distinct word instead of once per occurrence.
 
-    Its normaliser (NFC, lower case) and word pattern are applied to the text, and
-    the words it has not seen yet are encoded in one batch.  Equal to encoding the
-    whole text, since its BPE never looks across words.
+    Its normaliser (NFC, lower case) and word pattern (letters, single numbers, other
+    characters) are applied to many texts at
+    a time: runs of one kind of character are the words, found and hashed as
+    arrays.  Words not seen yet are encoded by the library in batches.  This equals
+    encoding whole texts, since its BPE never looks across words.  Texts with a
+    contraction, the string of a special token or a character newer than Python's
+    tables go to the library as they are.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words = regex.compile(WORDS).findall
+        self.contraction = regex.compile("'(?:s|t|re|ve|m|ll|d)").search
         added = self.tokenizer.get_added_tokens_decoder()
-        self.special = {t.content: i for i, t in added.items()}
-        self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
+        self.special = [t.content for t in added.values()]
         self.size = self.tokenizer.get_vocab_size()
-        self.cache: dict[str, bytes] = {}
+        self.border = self._ids(["0"])[0]
+        odd = 0x9E3779B97F4A7C15
+        self.power, self.inverse = (self._powers(x, 1 << 16) for x in (odd, pow(odd, -1, 1 << 64)))
+        self._forget()
+
+    @staticmethod
+    def _powers(base: int, n: int) -> np.ndarray:
+        out = np.full(n, base, np.uint64)
+        out[0] = 1
+        return np.cumprod(out)
+
+    def _forget(self) -> None:
+        self.slot: dict[int, int] = {}  # word hash to its place in at and size
+        self.flat, self.at, self.sizes = np.empty(1 << 20, np.uint32), np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64)
+        self.used = 0
+
+    def _ids(self, words: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn(self, hashes: list[int], words: list[str]) -> None:
+        """Encode new words, sixty to a text with a digit between them; the digit's id is in no other word."""
+        found: list[np.ndarray] = []
+        for at in range(0, len(words), 60 * 64):
+            groups = [words[i:i + 60] for i in range(at, min(at + 60 * 64, len(words)), 60)]
+            for group, ids in zip(groups, self._ids([" 0 ".join(g) + " 0" for g in groups]), strict=True):
+                cuts = np.flatnonzero(ids == self.border[-1])
+                if len(self.border) == 1 and len(cuts) == len(group):
+                    found += np.split(ids, np.stack([cuts, cuts + 1], 1).ravel())[::2][:len(group)]
+                else:  # the group has numbers
+                    found += self._ids(group)
+        n, sizes = len(self.slot), np.array([len(x) for x in found])
+        while n + len(found) > len(self.at):
+            self.at, self.sizes = (np.concatenate([x, np.empty_like(x)]) for x in (self.at, self.sizes))
+        while self.used + sizes.sum() > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        self.at[n:n + len(found)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[n:n + len(found)] = sizes
+        self.flat[self.used:self.used + sizes.sum()] = np.concatenate(found)
+        self.used += int(sizes.sum())
+        self.slot.update(zip(hashes, range(n, n + len(found)), strict=True))
 
-    def _plain(self, text: str) -> bytes:
+    @staticmethod
+    def _normal(text: str) -> str:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
             if "Σ" in text:
                 text = text.replace("Σ", "σ")  # no final sigma: characters are lowered one by one
-        words = self.words(text.lower())
-        cache = self.cache
-        missing = [w for w in set(words) if w not in cache]
-        if len(cache) + len(missing) > CACHE:
-            cache.clear()
-            missing = list(set(words))
-        if missing:
-            for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, np.uint32).tobytes()
-        return b"".join(map(cache.__getitem__, words))
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if self.split and any(s in text for s in self.special):
-            return b"".join(np.uint32(self.special[p]).tobytes() if i % 2 else self._plain(p)
-                            for i, p in enumerate(self.split(text)))
-        return self._plain(text)
+        return text.lower()
+
+    def _whole(self, text: str) -> np.ndarray:
+        """One text by the library itself, for what runs of characters do not cover."""
+        return self._ids([text])[0]
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids (uint32) of each text."""
+        out: list[np.ndarray | None] = [None] * len(texts)
+        plain: list[int] = []
+        parts: list[str] = []
+        for i, t in enumerate(texts):
+            low = self._normal(t)
+            if "'" in low and self.contraction(low) or any(s in t for s in self.special):
+                out[i] = self._whole(t)
+            else:
+                plain.append(i)
+                parts.append(low)
+        if plain:
+            for i, ids in zip(plain, self._runs(parts), strict=True):
+                out[i] = self._whole(texts[i]) if ids is None else ids
+        return out
+
+    def _runs(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Ids of normalised texts; None where a character is unassigned."""
+        joined = "\n".join(texts)
+        cps = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        if not len(cps):
+            return [np.empty(0, np.uint32)] * len(texts)
+        kind = character_kinds()[cps]
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        odd = np.searchsorted(ends, np.flatnonzero(kind == UNASSIGNED), "right")
+        begin = np.concatenate([[0], np.flatnonzero((kind[1:] != kind[:-1]) | (kind[1:] == 2)) + 1])
+        end = np.append(begin[1:], len(cps))
+        word = kind[begin] > 0
+        begin, end = begin[word], end[word]
+        while len(self.power) < len(cps):
+            self.power, self.inverse = (np.append(x, x * (x[-1:] * x[1:2])) for x in (self.power, self.inverse))
+        x = (cps.astype(np.uint64) + np.uint64(0x632BE5AB)) * np.uint64(0xD1342543DE82EF95)
+        x ^= x >> np.uint64(29)
+        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * self.power[:len(cps)])])
+        hashes = ((prefix[end] - prefix[begin]) * self.inverse[begin]) ^ (end - begin).astype(np.uint64)
+        distinct, which = np.unique(hashes, return_inverse=True)
+        keys = distinct.tolist()
+        if len(self.slot) + len(keys) > CACHE:
+            self._forget()
+        slots = np.array([self.slot.get(k, -1) for k in keys], np.int64)
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            where = np.empty(len(keys), np.int64)
+            where[which] = np.arange(len(which))
+            spots = where[new]
+            self._learn([keys[i] for i in new], [joined[a:b] for a, b in zip(begin[spots].tolist(), end[spots].tolist(), strict=True)])
+            slots[new] = np.arange(len(self.slot) - len(new), len(self.slot))
+        slot = slots[which]
+        sizes = self.sizes[slot]
+        stop = np.cumsum(sizes)
+        ids = self.flat[np.repeat(self.at[slot] - (stop - sizes), sizes) + np.arange(stop[-1] if len(stop) else 0)]
+        upto = np.concatenate([[0], stop])[np.searchsorted(begin, ends)]
+        out: list[np.ndarray | None] = np.split(ids, upto[:-1])
+        for i in odd:
+            out[i] = None
+        return out
 
 
 @lru_cache(1)
@@ -196,13 +297,13 @@ def load(path: str) -> WordEncoder:
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load(path)
-        end = np.uint32(end_id).tobytes()
-        narrow = np.uint16 if max(encoder.size, end_id) < 1 << 16 else np.uint32
+        narrow = np.uint16 if max(encoder.size, end_id + 1) <= 1 << 16 else np.uint32
+        end = narrow(end_id).tobytes()
         for batch in batches:
-            for lo, hi in text_slices(batch, "text"):
+            for lo, hi in text_slices(batch, "text", 1 << 20):
                 part = batch.slice(lo, hi - lo)
-                ids = [np.frombuffer(encoder.encode(t or "") + end, np.uint32).astype(narrow).tobytes()
-                       for t in part.column("text").to_pylist()]
+                ids = [x.astype(narrow).tobytes() + end
+                       for x in encoder.encode_many([t or "" for t in part.column("text").to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
     return run
 
