@@ -112,7 +112,8 @@ def labelled_sample(docs: DataFrame, per_language: int) -> DataFrame:
     is shuffled, and no language passes through one task whole.
     """
     train = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
-    size = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # written first: a small table is then broadcast from the start, and the texts are not dealt out by language
+    size = saved(train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "langid-sizes")
     draw = (F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("u")
     picked = (train.select("text", "lang", draw).join(size, "lang")
               .where(F.col("u") * F.col("n") < 2.0 * per_language + 20).dropDuplicates(["lang", "text"]))
