@@ -80,8 +80,8 @@ def row_number_exact(keyed: DataFrame, order_cols: Sequence, name: str = "rn",
             .drop(_B, "_lc_off__lc_cnt"))
 
 
-def with_hash_bucket(df: DataFrame, id_col: str, seed, n_hex: int = 4) -> DataFrame:
-    return df.withColumn(_B, hash_bucket(id_col, seed, n_hex))
+def with_hash_bucket(df: DataFrame, id_col: str, seed, n_hex: int = 4, salts: Sequence = ()) -> DataFrame:
+    return df.withColumn(_B, hash_bucket(id_col, seed, n_hex, *salts))
 
 
 def with_value_bucket(df: DataFrame, value_col: str, n_buckets: int = 1024) -> DataFrame:
@@ -170,12 +170,13 @@ def exact_quantiles(long: DataFrame, value_col: str, group_cols: Sequence[str],
 
 
 def row_number_by_hash(df: DataFrame, id_col: str, seed, name: str = "rn",
-                       partition_cols: Sequence[str] = (), n_hex: int = 4) -> DataFrame:
-    """Row number in ``(md5(id-seed), id)`` order, per ``partition_cols`` group.
+                       partition_cols: Sequence[str] = (), n_hex: int = 4, salts: Sequence = ()) -> DataFrame:
+    """Row number in ``(md5(id-seed[-salt...]), id)`` order, per ``partition_cols`` group.
 
     Same numbers as ``row_number() over (partition by g order by md5(id||'-'||seed), id)``.
     """
-    keyed = with_hash_bucket(df, id_col, seed, n_hex).withColumn("_lc_h", seeded_hash(id_col, seed))
+    keyed = (with_hash_bucket(df, id_col, seed, n_hex, salts)
+             .withColumn("_lc_h", seeded_hash(id_col, seed, *salts)))
     return row_number_exact(keyed, ["_lc_h", id_col], name, partition_cols).drop("_lc_h")
 
 

@@ -25,9 +25,14 @@ def _by(keys: Sequence[str]) -> Window:
 
 def with_ranking(attr: DataFrame) -> DataFrame:
     """CO1: ``ranking`` = position by signed attribution desc inside each file
-    (ties by feature name)."""
+    (ties by feature name).
+
+    Rows are placed by (model, sample): the files of one sample stay together, so
+    later groupings by sample need no further shuffle.
+    """
     w = Window.partitionBy(*FILE_KEYS).orderBy(F.col("attribution").desc(), F.col("feature"))
-    return attr.withColumn("ranking", F.row_number().over(w).cast("long"))
+    placed = attr.repartition("model", "sample_id")
+    return placed.withColumn("ranking", F.row_number().over(w).cast("long"))
 
 
 def _is_global():
@@ -81,17 +86,26 @@ def custom(attr: DataFrame, quality: DataFrame, task: str = "classification") ->
     scaled separately (signed: x * sign(a)); local rows are also divided by
     the model's number of local rows and multiplied by ``probability``.
     Models without a quality value are skipped (CO8).
+
+    The score is linear in sign(a) * a * p and sign(a) * p (p = 1 for global
+    rows), so one grouped pass over the rows gives everything: their sums, the
+    extremes and the counts, combined on the small (model, kind, feature) table.
     """
     q = quality.select("model", F.col("metric").alias("_m"))
     alpha = (4.0 * F.col("_m") * F.col("_m") - 4.0 * F.col("_m") + 1.0) if task == "classification" else F.col("_m")
-    a = attr.withColumn("_kind", F.when(_is_global(), "g").otherwise("l"))
-    x = _minmax(a, ["model", "_kind"])
-    n_local = a.where(~_is_global()).groupBy("model").agg(F.count(F.lit(1)).alias("_nl"))
-    sign = F.when(F.col("attribution") < 0, -1.0).otherwise(1.0)
-    s = (x.join(q, "model").join(n_local, "model", "left")
-         .withColumn("_s", F.col("_x") * sign * alpha)
-         .withColumn("_s", F.when(F.col("_kind") == "l",
-                                  F.col("_s") / F.col("_nl") * F.col("probability")).otherwise(F.col("_s"))))
+    a = F.col("attribution")
+    share = F.when(_is_global(), 1.0).otherwise(F.col("probability"))
+    sp = F.when(a < 0, -share).when(a.isNotNull(), share)
+    per = (attr.groupBy("model", F.when(_is_global(), "g").otherwise("l").alias("_kind"), "feature")
+           .agg(F.sum(sp * a).alias("_sap"), F.sum(sp).alias("_sp"), F.min(a).alias("_mn"),
+                F.max(a).alias("_mx"), F.count(F.lit(1)).alias("_n")))
+    file = Window.partitionBy("model", "_kind")   # one row per feature
+    mn, n = F.min("_mn").over(file), F.sum("_n").over(file)
+    per = per.withColumn("_lo", mn).withColumn("_rng", F.max("_mx").over(file) - mn).withColumn("_rows", n)
+    scaled = F.when(F.col("_rng") == 0, F.col("_sp") * 0.0).otherwise(
+        (F.col("_sap") - F.col("_lo") * F.col("_sp")) / F.col("_rng"))
+    s = per.join(q, "model").withColumn(
+        "_s", scaled * alpha / F.when(F.col("_kind") == "l", F.col("_rows")).otherwise(1))
     return s.groupBy("model", "feature").agg(F.sum("_s").alias("attribution"))
 
 
@@ -136,13 +150,17 @@ def by_method(df: DataFrame) -> DataFrame:
 
 def ranks_by_sample(ranked: DataFrame) -> DataFrame:
     """CO13: per (model, sample): features ranked by every local method (the
-    inner join of the methods' ranks), mean rank rounded to 2 decimals."""
-    loc = ranked.where(~_is_global())
-    n_methods = loc.groupBy("model", "sample_id").agg(F.countDistinct("method").alias("_k"))
-    per = loc.groupBy("model", "sample_id", "feature").agg(F.count(F.lit(1)).alias("_c"),
-                                                            F.avg("ranking").alias("_r"))
+    inner join of the methods' ranks), mean rank rounded to 2 decimals.
+
+    A sample holds methods x features rows; its methods are counted by a window,
+    which reuses the placement of :func:`with_ranking`.
+    """
+    sample = Window.partitionBy("model", "sample_id")
+    loc = ranked.where(~_is_global()).withColumn("_k", F.size(F.collect_set("method").over(sample)))
+    per = loc.groupBy("model", "sample_id", "feature").agg(
+        F.count(F.lit(1)).alias("_c"), F.avg("ranking").alias("_r"), F.first("_k").alias("_k"))
     from lucerna.functions.exprs import rnd
-    return (per.join(n_methods, ["model", "sample_id"]).where(F.col("_c") == F.col("_k"))
+    return (per.where(F.col("_c") == F.col("_k"))
             .select("model", "sample_id", "feature", rnd("_r", 2).alias("ranking")))
 
 

@@ -168,11 +168,13 @@ def ale(train: DataFrame, feature: str, scorer: Scorer, n_bins: int = 10,
     # bin index k in 1..K: number of interior edges strictly below x, at least 1
     k = F.greatest(F.size(F.filter(e, lambda b: b < x)), F.lit(1))
     binned = train.withColumn("_bin", k).withColumn("_lo", e[F.col("_bin") - 1]).withColumn("_hi", e[F.col("_bin")])
-    lo = scorer(binned.withColumn(feature, F.col("_lo"))).select(id_col, "_bin", "_lo", "_hi",
-                                                                 F.col("score").alias("_s_lo"))
-    hi = scorer(binned.withColumn(feature, F.col("_hi"))).select(id_col, F.col("score").alias("_s_hi"))
-    eff = (lo.join(hi, id_col).groupBy("_bin", "_lo", "_hi")
-           .agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("_s_hi") - F.col("_s_lo")).alias("effect")))
+    # each row once per edge (side -1 and +1); the signed scores add up to the differences
+    both = (binned.withColumn("_side", F.explode(F.array(F.lit(-1.0), F.lit(1.0))))
+            .withColumn(feature, F.when(F.col("_side") < 0, F.col("_lo")).otherwise(F.col("_hi"))))
+    upper = F.col("_side") > 0
+    eff = scorer(both).groupBy("_bin", "_lo", "_hi").agg(
+        F.count_if(upper).alias("n"),
+        (F.sum(F.col("_side") * F.col("score")) / F.count(F.when(upper, F.col("score")))).alias("effect"))
     # at most n_bins rows from here on: a global Window is tiny
     w = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     acc = eff.withColumn("_ale", F.sum("effect").over(w))

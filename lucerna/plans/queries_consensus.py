@@ -60,6 +60,35 @@ def co_voting(v):
     return CO.voting(CO.with_ranking(v.attributions))
 
 
+# 25 brands as features: ranks beyond the top ten and the cap at 11 both occur
+_WIDE = """
+w AS (SELECT 'LR' AS model, 'Shapley' AS method, sample_id, feature, attribution,
+             CAST(row_number() OVER (PARTITION BY sample_id ORDER BY attribution DESC, feature) AS BIGINT) AS ranking
+      FROM flag_brand_effects)"""
+
+
+def _wide(v):
+    f = v.flag_brand_effects
+    return CO.with_ranking(f.select(F.lit("LR").alias("model"), F.lit("Shapley").alias("method"),
+                                    "sample_id", "feature", "attribution"))
+
+
+@query("co_voting_wide", "CO5", with_views(
+    f"SELECT * FROM (WITH {_WIDE} SELECT model, feature, "
+    "CAST(sum(CASE WHEN ranking <= 10 THEN 1 ELSE 0 END) AS BIGINT) AS votes FROM w GROUP BY 1, 2) q",
+    "flag_brand_effects"))
+def co_voting_wide(v):
+    return CO.voting(_wide(v))
+
+
+@query("co_weighted_capped_wide", "CO10", with_views(f"""
+SELECT * FROM (WITH {_WIDE} SELECT w.model, w.method, w.sample_id, w.feature,
+       {R('w.attribution * q.metric')} AS attribution, least(w.ranking, 11) AS ranking
+FROM w JOIN model_quality q ON w.model = q.model) q""", "flag_brand_effects", "model_quality"))
+def co_weighted_capped_wide(v):
+    return _r(CO.weighted_capped(_wide(v), v.model_quality), "attribution")
+
+
 @query("co_average_rank", "CO6", with_views(
     f"SELECT model, feature, {R('avg(ranking)')} AS ranking FROM ranked GROUP BY 1, 2", "ranked"))
 def co_average_rank(v):
@@ -99,7 +128,7 @@ def co_weighted_capped(v):
 
 _FEATS_SQL = "(VALUES " + ", ".join(f"('{f}')" for f in FEATURES) + ") ft(feature)"
 _COMPLETE = f"""
-f AS (SELECT * FROM attributions WHERE abs(attribution) >= 0.05),
+f AS (SELECT * FROM attributions {{where}}),
 r AS (SELECT *, row_number() OVER (PARTITION BY model, method, sample_id ORDER BY attribution DESC, feature)
                 AS ranking FROM f),
 w AS (SELECT r.model, r.method, r.sample_id, r.feature, r.attribution * q.metric AS attribution,
@@ -113,27 +142,31 @@ c AS (SELECT files.model, files.method, files.sample_id, ft.feature,
                  AND files.sample_id IS NOT DISTINCT FROM w.sample_id AND ft.feature = w.feature)"""
 
 
-def _completed(v):
-    f = v.attributions.where(F.abs("attribution") >= 0.05)
+_GAPS = "WHERE abs(attribution) >= 0.05"   # CO11 needs files that miss some features
+
+
+def _completed(f, v):
     w = CO.weighted_capped(CO.with_ranking(f), v.model_quality)
     return CO.complete_features(w, FEATURES)
 
 
 @query("co_complete_features", "CO11", with_views(
-    f"SELECT * FROM (WITH {_COMPLETE} SELECT model, method, sample_id, feature, {R('attribution')} AS attribution, "
+    f"SELECT * FROM (WITH {_COMPLETE.format(where=_GAPS)} SELECT model, method, sample_id, feature, "
+    f"{R('attribution')} AS attribution, "
     f"ranking FROM c) q", "attributions", "model_quality"))
 def co_complete_features(v):
-    return _r(_completed(v), "attribution")
+    f = v.attributions.where(F.abs("attribution") >= 0.05)
+    return _r(_completed(f, v), "attribution")
 
 
 @query("co_by_method", "CO12", with_views(f"""
-SELECT * FROM (WITH {_COMPLETE}
+SELECT * FROM (WITH {_COMPLETE.format(where='')}
 SELECT method, feature, {R('avg(abs(attribution))')} AS attribution,
        {R('coalesce(stddev_samp(abs(attribution)), 0.0)')} AS attribution_std,
        {R('avg(ranking)')} AS ranking, {R('coalesce(stddev_samp(ranking), 0.0)')} AS ranking_std
 FROM c GROUP BY 1, 2) q""", "attributions", "model_quality"))
 def co_by_method(v):
-    return _r(CO.by_method(_completed(v)), "attribution", "attribution_std", "ranking", "ranking_std")
+    return _r(CO.by_method(_completed(v.attributions, v)), "attribution", "attribution_std", "ranking", "ranking_std")
 
 
 @query("co_ranks_by_sample", "CO13", with_views(f"""
