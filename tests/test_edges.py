@@ -86,3 +86,48 @@ def test_every_repeat_is_a_permutation_of_its_own(spark):
     got = {r["feature"]: r for r in permutation_importance(df, ["a", "b"], sc, repeats=5).collect()}
     assert got["a"]["std"] > 0 and got["a"]["attribution"] > 0.3
     assert got["b"]["attribution"] == 0 and got["b"]["std"] == 0
+
+
+def test_ridge_from_sums_equals_direct_fit():
+    import numpy as np
+    import pandas as pd
+    from lucerna.functions.local_fit import ridge_from_sums
+    rng = np.random.default_rng(3)
+    rows, want = [], []
+    for d_rows in (40, 200):
+        z = rng.integers(0, 2, (d_rows, 3)).astype(float)
+        y, w = rng.normal(size=d_rows), rng.uniform(0.1, 1.0, d_rows)
+        x = np.column_stack([np.ones(d_rows), z])
+        beta = np.linalg.solve((x * w[:, None]).T @ x + np.diag([0.0, 1.0, 1.0, 1.0]), (x * w[:, None]).T @ y)
+        want.append([*beta[1:], beta.sum()])
+        rows.append([w.sum(), (w * y).sum(), *(w @ z), *((w * y) @ z),
+                     *[(w * z[:, i] * z[:, j]).sum() for i in range(3) for j in range(i, 3)]])
+    got = ridge_from_sums(3)(*[pd.Series(c) for c in np.array(rows).T])
+    assert np.allclose(got.to_numpy(), want)
+
+
+def test_integrated_gradients_of_any_scorer_complete_and_null_safe(spark):
+    from pyspark.sql import functions as F
+    from lucerna.operators import explain as EX
+    rows = spark.createDataFrame([("a", 1.0, 4.0), ("b", -2.0, 0.5), ("c", 0.0, None)], "id string, x double, y double")
+    score = EX.expr_scorer(lambda: F.col("x") * F.col("x") * F.col("y") + F.col("y"))
+    out = EX.integrated_gradients(rows, {"x": 0.5, "y": 1.0}, ["x", "y"], score).collect()
+    total = {}
+    for r in out:
+        total.setdefault(r["id"], []).append(r["attribution"])
+    base = 0.25 + 1.0
+    assert abs(sum(total["a"]) - (4.0 + 4.0 - base)) < 1e-2      # trapezoid rule with 50 steps
+    assert abs(sum(total["b"]) - (2.0 + 0.5 - base)) < 1e-2
+    assert total["c"] == [None, None]
+
+
+def test_custom_consensus_flat_file_and_missing_quality(spark):
+    from lucerna.operators import consensus as CO
+    rows = [("m", "g1", None, "f1", 0.5, None), ("m", "g1", None, "f2", 0.5, None),
+            ("m", "l1", 7, "f1", -1.0, 0.5), ("m", "l1", 7, "f2", 3.0, 0.5), ("n", "g1", None, "f1", 1.0, None)]
+    attr = spark.createDataFrame(rows, "model string, method string, sample_id long, feature string, "
+                                       "attribution double, probability double")
+    q = spark.createDataFrame([("m", 1.0)], "model string, metric double")
+    got = {(r["model"], r["feature"]): r["attribution"] for r in CO.custom(attr, q).collect()}
+    # global rows are all equal (0); locals scale to 0 and 1, over two local rows, times probability
+    assert got == {("m", "f1"): 0.0, ("m", "f2"): 0.25}
