@@ -260,8 +260,3 @@ def prediction_density(df: DataFrame, label: str = "label", prediction: str = "p
     return df.groupBy(F.floor(_d(prediction) / width).cast("long").alias("pred_bin"),
                       F.floor(_d(label) / width).cast("long").alias("true_bin")).agg(
         F.count(F.lit(1)).alias("n"))
-
-
-def binary_probability(df: DataFrame, probability: str = "probability") -> DataFrame:
-    """ML16: probability vector ``[1 - p, p]`` for models with only a score."""
-    return df.withColumn("probability_vec", F.array(1.0 - _d(probability), _d(probability)))

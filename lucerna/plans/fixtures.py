@@ -199,28 +199,6 @@ LOCAL_METHODS = ["LIME", "Shapley", "IntegratedGradients", "DiCE"]
 GLOBAL_METHODS = ["PermutationImportance", "RFPermutationImportance"]
 
 
-def _standardised(v: Views) -> DataFrame:
-    """order_features unpivoted to (id, feature, z) with population z-scores."""
-    of = v.order_features
-    stats = of.agg(*[F.avg(F.col(f).cast("double")).alias(f"m_{f}") for f in FEATURES],
-                   *[F.stddev_pop(F.col(f).cast("double")).alias(f"s_{f}") for f in FEATURES])
-    long = of.select("id", F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in FEATURES
-    ])).alias("kv")).select("id", "kv.feature", "kv.x")
-    # one-row statistics table: joined without keys it is a broadcast of one row
-    st = stats.select(F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f"m_{f}").alias("mu"), F.col(f"s_{f}").alias("sd"))
-        for f in FEATURES])).alias("s")).select("s.*")
-    return (long.join(F.broadcast(st), "feature")
-            .select("id", "feature", ((F.col("x") - F.col("mu")) /
-                                      F.when(F.col("sd") == 0, 1.0).otherwise(F.col("sd"))).alias("z")))
-
-
-def _weights_df(v: Views) -> DataFrame:
-    rows = [(m, k, f, w) for (m, k, f), w in attribution_weights().items()]
-    return v.spark.createDataFrame(rows, "model string, method string, feature string, weight double")
-
-
 def _attributions(v: Views) -> DataFrame:
     """Long attribution table of two models x six methods over all orders.
 
@@ -253,15 +231,6 @@ def _attributions(v: Views) -> DataFrame:
     return loc.unionByName(glob)
 
 
-def _views_standardised(self):
-    if "_standardised" not in self._cache:
-        self._cache["_standardised"] = _standardised(self)
-    return self._cache["_standardised"]
-
-
-Views._standardised_cached = _views_standardised
-
-
 def _fmt2(c):
     """Text of a number rounded to 2 decimals (same text in every engine)."""
     return F.format_string("%.2f", rnd(c, 2))

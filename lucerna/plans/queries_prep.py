@@ -264,12 +264,6 @@ def n_polynomial(v):
     return df.select("id", *[rnd(F.col(f"`{c}`")).alias(c) for c in df.columns if c != "id"])
 
 
-def _chain_sql(inner: dict[str, str], outer) -> str:
-    """SQL for a chain: the second step's statistics taken over the first's output."""
-    s1 = "SELECT id, " + ", ".join(f"{e} AS {c}" for c, e in inner.items()) + " FROM order_features"
-    return s1, outer
-
-
 def _smm_sql(final_bi=False):
     s1 = "SELECT id, " + ", ".join(f"{_sc(c)} AS {c}" for c in FEATURES) + " FROM order_features"
     def mm(c):
