@@ -237,13 +237,9 @@ def repeated_windows(left: list[bytes], right: list[bytes], low: np.ndarray, hig
     return out
 
 
-MEMBER = "struct<place:int,left:smallint,more:smallint,anchor:bigint,context:bigint,done:boolean,open:boolean,heavy:boolean>"
-
-
 def _contexts(length: int, heavy: bool):
     """Border suffixes with their surroundings, or (heavy) the hashes of their windows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
         for batch in batches:
             for lo, hi in text_slices(batch, "text", BUFFER):
                 out: list[tuple] = []
@@ -251,13 +247,6 @@ def _contexts(length: int, heavy: bool):
                     text = row["text"]
                     for m in row["members"]:
                         p, first = m["place"], m["place"] - m["left"]
-                        if m["done"]:  # only a partner: once per task is enough
-                            k = (m["anchor"], m["context"])
-                            if k in seen:
-                                continue
-                            if len(seen) >= SEEN:
-                                seen.clear()
-                            seen.add(k)
                         end = first + m["more"] + length
                         if heavy:
                             for s in range(first, first + m["more"] + 1):
@@ -387,13 +376,16 @@ def repeats(docs: DataFrame, length: int = LENGTH, characters: bool = False) ->
     # written first, so that both sides of the joins are plain shuffles, whose hot keys AQE can split
     again = saved(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "suffix-again")
     hits = saved(found.join(again, "anchor", "left_semi"), "suffix-hits")
-    contexts = saved(hits.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n")), "suffix-contexts")
+    # of a context found twice only one occurrence stands as a partner of other contexts
+    contexts = saved(hits.groupBy("anchor", "context").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "n_bytes", "place")).alias("partner")), "suffix-contexts")
     several = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     several = saved(several, "suffix-several")
     members = (hits.join(contexts, ["anchor", "context"]).join(several, "anchor", "left")
                .select("key", "n_bytes", F.struct(
-                   "place", "left", "more", "anchor", "context", (F.col("n") > 1).alias("done"),
-                   F.col("kinds").isNotNull().alias("open"), (F.coalesce("kinds", F.lit(0)) > HEAVY).alias("heavy")).alias("m")))
+                   "place", "left", "more", (F.col("n") > 1).alias("done"),
+                   (F.col("kinds").isNotNull() & ((F.col("n") == 1) | (F.col("partner") == F.struct("key", "n_bytes", "place"))))
+                   .alias("open"), (F.coalesce("kinds", F.lit(0)) > HEAVY).alias("heavy")).alias("m")))
     members = members.groupBy("key", "n_bytes").agg(F.collect_set("m").alias("members"))
     once = text.mapInArrow(_once_per_task, "key long, n_bytes int, text binary")
     work = saved(once.join(members, ["key", "n_bytes"])
