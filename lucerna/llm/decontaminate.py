@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from lucerna.llm.common import fresh_name, saved, text_slices
 
 WORD = re.compile(r"\w+")
-BLOCK_ITEMS = 20_000  # items handled per pass; a larger benchmark is handled in blocks
+BLOCK_ITEMS = 5_000  # items handled per pass (bounds what is broadcast); a larger benchmark is handled in blocks
 
 
 @dataclass(frozen=True)
@@ -190,13 +190,24 @@ def _sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([total.tobytes()])], ["word", "row"])
 
 
-def item_rows(items: Items, weight: np.ndarray) -> np.ndarray:
-    """Normalised TF-IDF rows of the items (dense, items x words)."""
-    out = np.zeros((len(items.ids), len(weight)), np.float32)
-    for i, w in enumerate(items.words):
-        np.add.at(out[i], w, weight[w])
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.where(norm > 0, norm, 1)
+def item_rows(items: Items, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Normalised TF-IDF entries of the items, (item, word, value) in item order; words without weight have none."""
+    item = np.repeat(np.arange(len(items.words)), [len(w) for w in items.words])
+    key, n = np.unique(item * len(weight) + np.concatenate(items.words), return_counts=True)
+    item, word = key // len(weight), key % len(weight)
+    value = n * weight[word]
+    item, word, value = (x[value > 0] for x in (item, word, value))
+    norm = np.sqrt(np.bincount(item, value ** 2, len(items.words)))
+    return item, word, (value / norm[item]).astype(np.float32)
+
+
+def item_times(items: Items, weight: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The items' rows times a dense matrix; an item without weighted words gives zeros."""
+    item, word, value = item_rows(items, weight)
+    out = np.zeros((len(items.words), right.shape[1]), np.float32)
+    if len(item):
+        out[np.unique(item)] = _times(item, word, value, right)
+    return out
 
 
 def latent_space(numbers: DataFrame, items: Items, weight: np.ndarray, s: Settings) -> np.ndarray:
@@ -213,8 +224,10 @@ def latent_space(numbers: DataFrame, items: Items, weight: np.ndarray, s: Settin
             n = float(np.frombuffer(raw)[0])
         else:
             total[w] = np.frombuffer(raw)
-    own = item_rows(items, weight).astype(np.float64)
-    total = total / n + own.T @ (own @ gauss) / max(1, len(own))
+    item, word, value = item_rows(items, weight)
+    own = np.zeros((v, rank))
+    np.add.at(own, word, item_times(items, weight, gauss)[item] * value[:, None].astype(np.float64))
+    total = total / n + own / len(items.words)
     core = gauss.T.astype(np.float64) @ total  # G' A'A G
     value, vector = np.linalg.eigh((core + core.T) / 2)
     good = value > max(value.max(initial=0), 1e-30) * 1e-9
@@ -245,7 +258,7 @@ def common_words(item: dict[int, int], n: int, text: list[int]) -> int:
 def _search(shared, s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, basis, items = shared.value
-        own = item_rows(items, weight) @ basis
+        own = item_times(items, weight, basis)
         own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
         mass = [weight[w] for w in items.words]
         present = np.zeros(len(weight) + 1, bool)  # the last place stands for -1
@@ -312,7 +325,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings | None
     benchmark is empty, is not contaminated; items that are null, empty or without
     words are no queries; repeated items count once.  Repeated rows are returned
     as often as they come and other columns are ignored.  The benchmark is the
-    stated query set: one of more than 20,000 items is searched block by block.
+    stated query set: one of more than 5,000 items is searched block by block.
     """
     s = s or Settings()
     docs = docs.select("doc_id", "text")
