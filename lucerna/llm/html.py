@@ -8,10 +8,10 @@ keeps a shared line that stands in the page's article (two articles may share a
 sentence), and deletes lines in menus, headers, footers, sidebars, adverts,
 forms, notices and comments that happen to differ from the neighbour's.
 
-Hosts may hold a third of all pages, so pages are not grouped by host: sampled
-splitters cut the (host, path) order into buckets, and each bucket also receives
-the lines of the last page before it and the first page after it, so every pair
-is found whatever the cut.
+A host, or one path with many query strings, may hold a third of all pages, so
+pages are not grouped by either: sampled splitters cut the (host, path, page id)
+order into buckets, and each bucket also receives the lines of the last page
+before it and the first page after it, so every pair is found whatever the cut.
 """
 
 from __future__ import annotations
@@ -261,15 +261,15 @@ def _out(rows: list[tuple]) -> pa.RecordBatch:
                                        pa.array(d, pa.int64())], ["page_id", "url", "text", "n_shared"])
 
 
-def _splitters(keys: DataFrame, pages_per_bucket: int, most: int = 20_000) -> tuple[list[str], int]:
-    """Bucket borders of the (host, path) order from a hash sample of some ten per border."""
+def _splitters(keys: DataFrame, pages_per_bucket: int, most: int = 20_000) -> list[str]:
+    """Bucket borders of the order of places from a hash sample of some ten per border."""
     total = keys.count()
     buckets = max(1, min(most, total // pages_per_bucket))
     if buckets == 1:
-        return [], total
+        return []
     every = max(1, total // (10 * buckets))
-    sample = sorted(r[0] for r in keys.where(F.pmod(F.xxhash64("place", "tie"), F.lit(every)) == 0).select("place").collect())
-    return sorted({sample[len(sample) * i // buckets] for i in range(1, buckets)} if sample else set()), total
+    sample = sorted(r[0] for r in keys.where(F.pmod(F.xxhash64("place"), F.lit(every)) == 0).select("place").collect())
+    return sorted({sample[len(sample) * i // buckets] for i in range(1, buckets)} if sample else set())
 
 
 def extract(pages: DataFrame, pages_per_bucket: int = 200) -> DataFrame:
@@ -285,15 +285,17 @@ def extract(pages: DataFrame, pages_per_bucket: int = 200) -> DataFrame:
     spark = pages.sparkSession
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html",
                          host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    place = F.concat("host", F.lit("\x01"), "path")
-    borders, _ = _splitters(keyed.select(place.alias("place"), F.coalesce("page_id", F.lit(0)).alias("tie")), pages_per_bucket)
+    # page ids as fixed-width text that sorts like the numbers, null first
+    tie = F.coalesce(F.lpad(F.hex(F.col("page_id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"), F.lit(""))
+    keyed = keyed.withColumn("place", F.concat_ws("\x01", "host", "path", tie))
+    borders = _splitters(keyed.select("place"), pages_per_bucket)
     shared = spark.sparkContext.broadcast(borders)
 
     def bucket_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [bisect_right(shared.value, f"{h}\x01{p}") for h, p in
-                   zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.int32())], [*batch.schema.names, "bucket"])
+            got = [bisect_right(shared.value, p) for p in batch.column("place").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got, pa.int32())],
+                                             [*batch.schema.names[:-1], "bucket"])
 
     dealt = keyed.mapInArrow(bucket_of, "page_id long, url string, html string, host string, path string, bucket int")
     order = F.struct("host", "path", F.coalesce("page_id", F.lit(-(1 << 63))).alias("tie"), "html")
