@@ -233,6 +233,18 @@ def test_html_differencing_and_edges(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_html_of_one_hot_path(spark):
+    """Pages that differ only in the query string are dealt out over many buckets, with the same result."""
+    line = "<div>Site menu</div><div>{}</div><div>Copyright notes of the site</div>"
+    df = spark.createDataFrame([(i, f"http://h.example/index.php?id={i}", line.format(f"Own text {i}")) for i in range(-60, 60)],
+                               "page_id long, url string, html string").repartition(3)
+    places = df.select(F.concat_ws("\x01", F.lit("h.example"), F.lit("/index"), F.lpad(F.hex("page_id"), 16, "0")).alias("place"))
+    assert len(html._splitters(places, 2)) > 20
+    for size in (2, 1000):
+        got = {r["page_id"]: (r["text"], r["n_shared"]) for r in html.extract(df, pages_per_bucket=size).collect()}
+        assert got == {i: (f"Own text {i}", 2) for i in range(-60, 60)}
+
+
 def test_shared_lines_is_a_longest_common_subsequence():
     random.seed(5)
     for _ in range(200):
@@ -248,12 +260,15 @@ def test_shared_lines_is_a_longest_common_subsequence():
 
 # ---- op7
 
-def test_decontamination(spark, sf_small, edge, empty):
+def test_decontamination(spark, sf_small, edge, empty, monkeypatch):
     docs, bench = table(spark, sf_small, "documents"), table(spark, sf_small, "benchmark")
     items = {r["item_id"]: r["text"] for r in bench.collect()}
     got = {r["doc_id"]: r for r in decontaminate.find_contaminated(docs, bench).collect()}
     for r in docs.collect():
         assert got[r["doc_id"]]["item_ids"] == sorted(i for i, t in items.items() if t in (r["text"] or ""))
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 15)
+    blocks = decontaminate.find_contaminated(docs, bench)
+    assert sorted((r["doc_id"], r["item_ids"]) for r in blocks.collect()) == sorted((d, r["item_ids"]) for d, r in got.items())
     item = "Which animal runs away from the angry farmer when the lazy dog barks at night? The quick brown fox does."
     changed = "so " * 70 + item.replace("angry", "cross").replace("night", "noon") + " end" * 50
     q = spark.createDataFrame([(5, item), (5, item), (6, None), (None, "x y"), (7, "")], "item_id long, text string")
