@@ -3,7 +3,9 @@
 1. Every whole text is read once as a sequence of benchmark-word numbers (other
    words are -1; they can neither add to a cosine numerator nor to a common
    subsequence with an item) and saved.
-2. Document frequencies over all documents give the IDF weights.
+2. Document frequencies over the distinct texts give the IDF weights; no word is
+   cut, however common: an item of everyday words, or of a passage that stands in
+   a third of the rows, keeps its weight.
 3. Passages are overlapping windows of words.  Their normalised TF-IDF rows, with
    the benchmark items stacked at equal total weight, form a matrix A whose
    right singular vectors come from a distributed randomised decomposition:
@@ -36,7 +38,6 @@ BLOCK_ITEMS = 5_000  # items handled per pass (bounds what is broadcast); a larg
 class Settings:
     window: int = 64  # words of a passage; passages overlap by half
     rank: int = 96  # most latent dimensions
-    common: float = 0.05  # words in more than this share of the documents carry no weight
     cosine: float = 0.45  # candidate passages
     overlap: float = 0.6  # share of an item's words, and of their weight, in the common subsequence
     answer: float = 0.5  # share of its last sentence's words among them
@@ -76,17 +77,24 @@ def _numbers(vocabulary) -> callable:
                 part = batch.slice(lo, hi - lo)
                 raw = [np.array([get(w, -1) for w in find((t or "").lower())], np.int32).tobytes()
                        for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(raw, pa.binary())], ["doc_id", "words"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(raw, pa.binary())],
+                                                 ["doc_id", "key", "words"])
     return run
 
 
+def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = (np.unique(np.frombuffer(raw.as_buffer(), np.int32)) for raw in batch.column("words"))
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([w[w >= 0].tobytes() for w in found], pa.binary())],
+                                         ["key", "words"])
+
+
 def _document_frequency(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, docs = np.zeros(size, np.int64), 0
         for batch in batches:
             for raw in batch.column("words"):
-                w = np.unique(np.frombuffer(raw.as_buffer(), np.int32))
-                df[w[w >= 0]] += 1
+                df[np.frombuffer(raw.as_buffer(), np.int32)] += 1
             docs += batch.num_rows
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], docs))], ["word", "n"])
@@ -306,12 +314,16 @@ def _search(shared, s: Settings):
 def _block(docs: DataFrame, items: Items, s: Settings) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     kind = docs.schema["doc_id"].dataType.simpleString()
-    numbers = saved(docs.mapInArrow(_numbers(sc.broadcast(items.vocabulary)), f"doc_id {kind}, words binary"), "lsa-words")
-    counts = {r[0]: r[1] for r in numbers.mapInArrow(_document_frequency(len(items.vocabulary)), "word long, n long")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
+    numbers = saved(keyed.mapInArrow(_numbers(sc.broadcast(items.vocabulary)), f"doc_id {kind}, key long, words binary"),
+                    "lsa-words")
+    # copies of a text count once; each task keeps one of them before the shuffle
+    texts = numbers.select("key", "words").mapInArrow(_distinct_words, "key long, words binary").dropDuplicates(["key"])
+    counts = {r[0]: r[1] for r in texts.mapInArrow(_document_frequency(len(items.vocabulary)), "word long, n long")
               .groupBy("word").agg(F.sum("n")).collect()}
     total = counts.get(-1, 0)
     df = np.array([counts.get(i, 0) for i in range(len(items.vocabulary))], np.float64)
-    weight = np.where(df <= np.maximum(s.common * total, 10), np.log((1 + total) / (1 + df)) + 1, 0).astype(np.float32)
+    weight = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
     basis = latent_space(numbers, items, weight, s)
     return numbers.mapInArrow(_search(sc.broadcast((weight, basis, items)), s),
                               f"doc_id {kind}, contaminated boolean, item_ids array<long>, overlap double")

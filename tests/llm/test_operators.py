@@ -281,6 +281,26 @@ def test_decontamination(spark, sf_small, edge, empty, monkeypatch):
     assert decontaminate.find_contaminated(edge, q.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_of_hot_items(spark, sf_small):
+    """Items in a third of all rows: as copies of one text, as a shared passage, and of everyday words."""
+    docs = table(spark, sf_small, "documents").select("doc_id", "text").where("doc_id is not null").limit(300).collect()
+    copied = "Which river runs past the old mill before it meets the northern sea? The Ostra does, after ninety miles."
+    passage = "Name the tallest of the seven towers that the masons built in Velmar. It is the tower of the bell founders."
+    common = Counter(w for r in docs for w in set(re.findall(r"[a-z]+", (r["text"] or "").lower())))
+    usual = " ".join(w for w, _ in common.most_common(24))
+    rows = [(i, r["text"] or "") for i, r in enumerate(docs)]
+    n = len(rows)
+    rows += [(10_000 + i, f"{docs[0]['text']} {copied}") for i in range(n)]
+    rows += [(20_000 + i, f"{t[:400]} {passage} {t[400:900]}") for i, t in rows[:n]]
+    rows += [(30_000, f"{rows[1][1][:300]} {usual} {rows[1][1][300:600]}")]
+    q = spark.createDataFrame([(1, copied), (2, passage), (3, usual)], "item_id long, text string")
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["item_ids"] for r in decontaminate.find_contaminated(d, q).collect()}
+    want = {i: [k for k, x in ((1, copied), (2, passage), (3, usual)) if x in t] for i, t in rows}
+    assert all(set(w) <= set(got[i]) for i, w in want.items())
+    assert all(set(got[i]) & {1, 2} == set(w) & {1, 2} for i, w in want.items())
+
+
 # ---- op8
 
 def test_bpe_equals_the_library(spark, sf_small, edge, empty):
