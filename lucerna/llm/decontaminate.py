@@ -6,13 +6,21 @@
 2. Document frequencies over the distinct texts give the IDF weights; no word is
    cut, however common: an item of everyday words, or of a passage that stands in
    a third of the rows, keeps its weight.
-3. Passages are overlapping windows of words.  Their normalised TF-IDF rows, with
-   the benchmark items stacked at equal total weight, form a matrix A whose
-   right singular vectors come from a distributed randomised decomposition:
-   tasks add up A'(A G) for a random G, and the small result (words x rank) is
-   solved by the Nyström formula.
-4. Passages and items are compared by cosine in the latent space; candidates of
-   a window go on to the word checks: the longest common subsequence of item and
+3. Items are grouped by length, so that an item fits in its group's window (64
+   words, 128, 256 ...).  Passages are overlapping windows of words.  Their
+   normalised TF-IDF rows, with the group's items stacked at a multiple of their
+   total weight, form a matrix A whose right singular vectors come from a
+   distributed randomised decomposition: tasks add up A'(A G) for a random G, and
+   the small result (words x rank) is solved by the Nyström formula.  The rank
+   grows with the items, and the items' weight bends the space towards them.
+4. Passages and items are compared by cosine in the latent space.  The floor of a
+   pair is the cosine at which the passage holds a quarter of the item's squared
+   weight, ``c |item| / |passage|``, whatever the lengths; what the space leaves
+   out of both rows bounds the error of the cosine and is added to it, so no pair
+   above its floor is missed at any rank.  Two neighbouring windows hold a
+   verbatim item between them, one of them at least half of its squared weight:
+   a verbatim item is always a candidate.
+5. Candidates go on to the word checks: the longest common subsequence of item and
    surrounding words must hold most of the item, by words and by weight, and the
    item's answer (its last sentence) must be found again within it.
 """
@@ -31,14 +39,18 @@ from pyspark.sql import functions as F
 from lucerna.llm.common import fresh_name, saved, text_slices
 
 WORD = re.compile(r"\w+")
+OFTEN = 512  # commonest words of a group, multiplied as a dense block
 BLOCK_ITEMS = 5_000  # items handled per pass (bounds what is broadcast); a larger benchmark is handled in blocks
 
 
 @dataclass(frozen=True)
 class Settings:
-    window: int = 64  # words of a passage; passages overlap by half
-    rank: int = 96  # most latent dimensions
-    cosine: float = 0.45  # candidate passages
+    window: int = 64  # words of the shortest passages (doubled until an item fits); passages overlap by half
+    group: int = 512  # most items that share a latent space
+    rank: int = 96  # least latent dimensions; as many as items if those are more
+    oversample: int = 16  # further dimensions
+    pull: float = 64.0  # total weight of the items in the decomposition, that of all passages being 1
+    share: float = 0.25  # of an item's squared weight in a candidate passage
     overlap: float = 0.6  # share of an item's words, and of their weight, in the common subsequence
     answer: float = 0.5  # share of its last sentence's words among them
     seed: int = 7
@@ -69,6 +81,43 @@ class Items:
         return cls(ids, words, answers, vocabulary)
 
 
+@dataclass
+class Group:
+    """Items of one window size with words numbered among themselves."""
+
+    window: int
+    ids: list[int]
+    words: list[np.ndarray]
+    answers: list[int]
+    own: np.ndarray  # a word's number in the group by its number in the block; -1: none, also in the last place
+    weight: np.ndarray
+    often: np.ndarray  # the commonest words
+    place: np.ndarray  # a word's place among those, or -1
+
+
+def groups_of(items: Items, weight: np.ndarray, s: Settings) -> list[Group]:
+    """The items by window size, in groups of at most ``s.group``."""
+    sizes: dict[int, list[int]] = {}
+    for k, w in enumerate(items.words):
+        window = s.window
+        while window < len(w):
+            window *= 2
+        sizes.setdefault(window, []).append(k)
+    out = []
+    for window, members in sorted(sizes.items()):
+        for at in range(0, len(members), s.group):
+            chosen = members[at:at + s.group]
+            used = np.unique(np.concatenate([items.words[k] for k in chosen]))
+            own = np.full(len(weight) + 1, -1, np.int32)
+            own[used] = np.arange(len(used))
+            often = np.argsort(weight[used], kind="stable")[:OFTEN]
+            place = np.full(len(used), -1)
+            place[often] = np.arange(len(often))
+            out.append(Group(window, [items.ids[k] for k in chosen], [own[items.words[k]] for k in chosen],
+                             [items.answers[k] for k in chosen], own, weight[used], often, place))
+    return out
+
+
 def _numbers(vocabulary) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, find = vocabulary.value.get, WORD.findall
@@ -104,8 +153,8 @@ def _document_frequency(size: int):
 def passages(texts: list[np.ndarray], weight: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     """TF-IDF entries of all passages: (passage, word, value), each passage of length one.
 
-    Also (document, first word) of every passage.  Passages without a weighted
-    word are left out.
+    Also (document, first word) of every passage and its length before.  Passages
+    without a weighted word are left out.
     """
     half = window // 2
     passage, word, where = [], [], []
@@ -125,13 +174,13 @@ def passages(texts: list[np.ndarray], weight: np.ndarray, window: int) -> tuple[
         count += blocks
     if not count or not sum(map(len, passage)):
         e = np.empty(0, np.int64)
-        return e, e, np.empty(0, np.float32), np.empty((0, 2), np.int64)
+        return e, e, np.empty(0, np.float32), np.empty((0, 2), np.int64), np.empty(0)
     key, n = np.unique(np.concatenate(passage).astype(np.int64) * len(weight) + np.concatenate(word), return_counts=True)
     passage, word = key // len(weight), key % len(weight)
     value = n * weight[word]
     used, passage = np.unique(passage, return_inverse=True)
     norm = np.sqrt(np.bincount(passage, value ** 2))
-    return passage, word, (value / norm[passage]).astype(np.float32), np.concatenate(where)[used]
+    return passage, word, (value / norm[passage]).astype(np.float32), np.concatenate(where)[used], norm
 
 
 def _times(passage: np.ndarray, word: np.ndarray, value: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -145,34 +194,64 @@ def _times(passage: np.ndarray, word: np.ndarray, value: np.ndarray, right: np.n
     return out
 
 
-def _slices(batches: Iterator[pa.RecordBatch], words: int = 400_000) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Documents of about ``words`` words at a time: ids and word numbers."""
-    ids, texts, held = [], [], 0
+def _blocks(passage: np.ndarray, word: np.ndarray, value: np.ndarray, rows: int, g: Group, size: int = 2048) -> Iterator[tuple]:
+    """Sparse rows in pieces: (first row, dense block of the commonest words)."""
+    at = g.place[word]
+    dense = np.flatnonzero(at >= 0)
+    p, a, v = passage[dense], at[dense], value[dense]
+    for first in range(0, rows, size):
+        lo, hi = np.searchsorted(p, (first, first + size))
+        block = np.zeros((min(size, rows - first), len(g.often)), np.float32)
+        block[p[lo:hi] - first, a[lo:hi]] = v[lo:hi]
+        yield first, block
+
+
+def _project(passage: np.ndarray, word: np.ndarray, value: np.ndarray, rows: int, right: np.ndarray, g: Group) -> np.ndarray:
+    """All passages times a dense matrix: the commonest words as dense blocks, the others one by one."""
+    out = np.empty((rows, right.shape[1]), np.float32)
+    often = right[g.often]
+    for first, block in _blocks(passage, word, value, rows, g):
+        out[first:first + len(block)] = block @ often
+    rest = g.place[word] < 0
+    if rest.any():
+        p = passage[rest]
+        out[np.unique(p)] += _times(p, word[rest], value[rest], right)
+    return out
+
+
+def _slices(batches: Iterator[pa.RecordBatch], words: int = 400_000) -> Iterator[tuple[list, list, list[np.ndarray]]]:
+    """Documents of about ``words`` words at a time: ids, text keys and word numbers."""
+    ids, keys, texts, held = [], [], [], 0
     for batch in batches:
-        for d, raw in zip(batch.column("doc_id").to_pylist(), batch.column("words"), strict=True):
+        for d, key, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key")), batch.column("words"), strict=True):
             ids.append(d)
+            keys.append(key)
             texts.append(np.frombuffer(raw.as_buffer(), np.int32))
             held += len(texts[-1])
             if held >= words:
-                yield ids, texts
-                ids, texts, held = [], [], 0
+                yield ids, keys, texts
+                ids, keys, texts, held = [], [], [], 0
     if ids:
-        yield ids, texts
+        yield ids, keys, texts
 
 
-def _sketch(shared, window: int):
+def _sketch(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, gauss = shared.value
+        g, gauss = shared.value
         total, rows = np.zeros(gauss.shape, np.float64), 0
-        for _, texts in _slices(batches):
-            p, w, v, where = passages(texts, weight, window)
+        for _, _, texts in _slices(batches):
+            p, w, v, where, _ = passages([g.own[t] for t in texts], g.weight, g.window)
             if not len(p):
                 continue
-            y = _times(p, w, v, gauss)
-            order = np.argsort(w, kind="stable")
-            ws = w[order]
-            starts = np.flatnonzero(np.concatenate([[True], ws[1:] != ws[:-1]]))
-            total[ws[starts]] += np.add.reduceat(y[p[order]] * v[order][:, None], starts, axis=0)
+            y = _project(p, w, v, len(where), gauss, g)
+            for first, block in _blocks(p, w, v, len(where), g):
+                total[g.often] += block.T @ y[first:first + len(block)]
+            rest = np.flatnonzero(g.place[w] < 0)
+            rest = rest[np.argsort(w[rest], kind="stable")]
+            if len(rest):
+                ws = w[rest]
+                starts = np.flatnonzero(np.concatenate([[True], ws[1:] != ws[:-1]]))
+                total[ws[starts]] += np.add.reduceat(y[p[rest]] * v[rest][:, None], starts, axis=0)
             rows += len(where)
         if rows:
             used = np.flatnonzero(total.any(1))
@@ -198,33 +277,22 @@ def _sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([total.tobytes()])], ["word", "row"])
 
 
-def item_rows(items: Items, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Normalised TF-IDF entries of the items, (item, word, value) in item order; words without weight have none."""
-    item = np.repeat(np.arange(len(items.words)), [len(w) for w in items.words])
-    key, n = np.unique(item * len(weight) + np.concatenate(items.words), return_counts=True)
-    item, word = key // len(weight), key % len(weight)
-    value = n * weight[word]
-    item, word, value = (x[value > 0] for x in (item, word, value))
-    norm = np.sqrt(np.bincount(item, value ** 2, len(items.words)))
-    return item, word, (value / norm[item]).astype(np.float32)
-
-
-def item_times(items: Items, weight: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The items' rows times a dense matrix; an item without weighted words gives zeros."""
-    item, word, value = item_rows(items, weight)
-    out = np.zeros((len(items.words), right.shape[1]), np.float32)
-    if len(item):
-        out[np.unique(item)] = _times(item, word, value, right)
-    return out
+def item_rows(g: Group) -> tuple[np.ndarray, np.ndarray]:
+    """TF-IDF rows of a group's items, normalised (items x words), and their lengths before."""
+    rows = np.zeros((len(g.words), len(g.weight)), np.float32)
+    for row, w in zip(rows, g.words, strict=True):
+        np.add.at(row, w, g.weight[w])
+    norm = np.linalg.norm(rows, axis=1)
+    return rows / norm[:, None], norm
 
 
-def latent_space(numbers: DataFrame, items: Items, weight: np.ndarray, s: Settings) -> np.ndarray:
+def latent_space(numbers: DataFrame, g: Group, s: Settings) -> np.ndarray:
     """Right singular vectors (words x rank) of passages and items by a randomised decomposition."""
-    v = len(weight)
-    rank = min(v, s.rank)
+    v = len(g.weight)
+    rank = min(v, max(s.rank, len(g.ids)) + s.oversample)
     gauss = np.random.default_rng(s.seed).standard_normal((v, rank)).astype(np.float32)
-    shared = numbers.sparkSession.sparkContext.broadcast((weight, gauss))
-    rows = (numbers.mapInArrow(_sketch(shared, s.window), "word long, row binary")
+    shared = numbers.sparkSession.sparkContext.broadcast((g, gauss))
+    rows = (numbers.mapInArrow(_sketch(shared), "word long, row binary")
             .repartition("word").sortWithinPartitions("word").mapInArrow(_sum_rows, "word long, row binary").toArrow())
     total, n = np.zeros((v, rank)), 1.0
     for w, raw in zip(rows.column("word").to_pylist(), rows.column("row").to_pylist(), strict=True):
@@ -232,10 +300,8 @@ def latent_space(numbers: DataFrame, items: Items, weight: np.ndarray, s: Settin
             n = float(np.frombuffer(raw)[0])
         else:
             total[w] = np.frombuffer(raw)
-    item, word, value = item_rows(items, weight)
-    own = np.zeros((v, rank))
-    np.add.at(own, word, item_times(items, weight, gauss)[item] * value[:, None].astype(np.float64))
-    total = total / n + own / len(items.words)
+    own, _ = item_rows(g)
+    total = total / n + s.pull / len(own) * (own.T @ (own @ gauss)).astype(np.float64)
     core = gauss.T.astype(np.float64) @ total  # G' A'A G
     value, vector = np.linalg.eigh((core + core.T) / 2)
     good = value > max(value.max(initial=0), 1e-30) * 1e-9
@@ -263,55 +329,73 @@ def common_words(item: dict[int, int], n: int, text: list[int]) -> int:
     return mask
 
 
+def _candidates(entries: tuple, rows: np.ndarray, norm: np.ndarray, latent: np.ndarray, basis: np.ndarray, g: Group,
+                s: Settings) -> Iterator[tuple[int, int]]:
+    """(passage, item) wherever the passage holds the share of the item's squared weight."""
+    p, w, v, where, length = entries
+    at = _project(p, w, v, len(where), basis, g)
+    # what the space leaves out of both rows bounds the error of their cosine
+    left, item_left = (np.sqrt(np.maximum(1 - np.einsum("ij,ij->i", x, x), 0)) for x in (at, latent))
+    ends = np.searchsorted(p, np.arange(len(where) + 1))
+    for first in range(0, len(where), 4096):
+        part = slice(first, first + 4096)
+        floor = s.share * norm[None, :] / length[part, None].astype(np.float32) - 1e-4
+        a, b = np.nonzero(at[part] @ latent.T + left[part, None] * item_left >= floor)
+        for lo in range(0, len(a), 50_000):
+            i, k = a[lo:lo + 50_000], b[lo:lo + 50_000]
+            n = ends[first + i + 1] - ends[first + i]
+            starts = np.cumsum(n) - n
+            entry = np.arange(n.sum()) + np.repeat(ends[first + i] - starts, n)
+            dot = np.add.reduceat(v[entry] * rows[np.repeat(k, n), w[entry]], starts)
+            ok = dot >= floor[i, k]
+            yield from zip((first + i[ok]).tolist(), k[ok].tolist(), strict=True)
+
+
 def _search(shared, s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, basis, items = shared.value
-        own = item_times(items, weight, basis)
-        own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
-        mass = [weight[w] for w in items.words]
-        present = np.zeros(len(weight) + 1, bool)  # the last place stands for -1
+        g, basis = shared.value
+        rows, norm = item_rows(g)
+        latent = rows @ basis
+        mass = [g.weight[w] for w in g.words]
+        present = np.zeros(len(g.weight) + 1, bool)  # the last place stands for -1
         places: list[dict[int, int]] = []
-        for w in items.words:
+        for w in g.words:
             at: dict[int, int] = {}
             for i, x in enumerate(w.tolist()):
                 at[x] = at.get(x, 0) | 1 << i
             places.append(at)
-        for ids, texts in _slices(batches):
-            hits: list[list] = [[] for _ in ids]
-            p, w, v, where = passages(texts, weight, s.window)
-            if len(p):
-                latent = _times(p, w, v, basis)
-                latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-                for at in range(0, len(latent), 4096):
-                    a, b = np.nonzero(latent[at:at + 4096] @ own.T >= s.cosine)
-                    for i, k in zip((a + at).tolist(), b.tolist(), strict=True):
-                        d, first = where[i]
-                        n = len(items.words[k])
-                        near = texts[d][max(0, first - n):first + s.window + n]
-                        # no common subsequence holds more than the item's words that occur here at all
-                        present[near] = True
-                        bound = mass[k][present[items.words[k]]].sum()
-                        present[near] = False
-                        if bound < s.overlap * mass[k].sum():
-                            continue
-                        mask = common_words(places[k], n, near[near >= 0].tolist())
-                        tail = n - items.answers[k]
-                        if mask.bit_count() < s.overlap * n:
-                            continue
-                        taken = np.array([mask >> x & 1 for x in range(n)], bool)
-                        if (mass[k][taken].sum() >= s.overlap * mass[k].sum()
-                                and (mask >> items.answers[k]).bit_count() >= s.answer * tail):
-                            hits[d].append((items.ids[k], mask.bit_count() / n))
-            best = [dict(sorted(h, key=lambda x: x[1])) for h in hits]
-            found = [sorted(b) for b in best]
+        for ids, keys, texts in _slices(batches):
+            hits: list[dict] = [{} for _ in ids]
+            own = [g.own[t] for t in texts]
+            entries = passages(own, g.weight, g.window)
+            for i, k in _candidates(entries, rows, norm, latent, basis, g, s) if len(entries[0]) else ():
+                d, first = entries[3][i]
+                n = len(g.words[k])
+                near = own[d][max(0, first - n):first + g.window + n]
+                # no common subsequence holds more than the item's words that occur here at all
+                present[near] = True
+                bound = mass[k][present[g.words[k]]].sum()
+                present[near] = False
+                if bound < s.overlap * mass[k].sum():
+                    continue
+                mask = common_words(places[k], n, near[near >= 0].tolist())
+                tail = n - g.answers[k]
+                if mask.bit_count() < s.overlap * n:
+                    continue
+                taken = np.array([mask >> x & 1 for x in range(n)], bool)
+                if (mass[k][taken].sum() >= s.overlap * mass[k].sum()
+                        and (mask >> g.answers[k]).bit_count() >= s.answer * tail):
+                    hits[d][g.ids[k]] = max(hits[d].get(g.ids[k], 0.0), mask.bit_count() / n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array([bool(f) for f in found]), pa.array(found, pa.list_(pa.int64())),
-                 pa.array([max(b.values(), default=0.0) for b in best], pa.float64())],
-                ["doc_id", "contaminated", "item_ids", "overlap"])
+                [pa.array(ids), pa.array(keys), pa.array([bool(h) for h in hits]),
+                 pa.array([sorted(h) for h in hits], pa.list_(pa.int64())),
+                 pa.array([max(h.values(), default=0.0) for h in hits], pa.float64())],
+                ["doc_id", "key", "contaminated", "item_ids", "overlap"])
     return run
 
 
-def _block(docs: DataFrame, items: Items, s: Settings) -> DataFrame:
+def _block(docs: DataFrame, items: Items, s: Settings) -> list[DataFrame]:
+    """The rows with their text keys and the items found, once for every group of items."""
     sc = docs.sparkSession.sparkContext
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
@@ -324,9 +408,11 @@ def _block(docs: DataFrame, items: Items, s: Settings) -> DataFrame:
     total = counts.get(-1, 0)
     df = np.array([counts.get(i, 0) for i in range(len(items.vocabulary))], np.float64)
     weight = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
-    basis = latent_space(numbers, items, weight, s)
-    return numbers.mapInArrow(_search(sc.broadcast((weight, basis, items)), s),
-                              f"doc_id {kind}, contaminated boolean, item_ids array<long>, overlap double")
+    parts = []
+    for g in groups_of(items, weight, s):
+        found = _search(sc.broadcast((g, latent_space(numbers, g, s))), s)
+        parts.append(numbers.mapInArrow(found, f"doc_id {kind}, key long, contaminated boolean, item_ids array<long>, overlap double"))
+    return parts
 
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings | None = None) -> DataFrame:
@@ -349,21 +435,22 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings | None
         rows = queries.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
         items = Items.of(sorted((r[0], r[1]) for r in rows))
         if items.ids:
-            parts.append(_block(docs, items, s))
+            parts += _block(docs, items, s)
     if not parts:
         return docs.select("doc_id", F.lit(False).alias("contaminated"),
                            F.array().cast("array<long>").alias("item_ids"), F.lit(0.0).alias("overlap"))
     if len(parts) == 1:
-        return parts[0]
-    out = parts[0].withColumn("block", F.lit(0))
-    for b, p in enumerate(parts[1:], 1):
-        out = out.unionByName(p.withColumn("block", F.lit(b)))
-    # a row's copies keep their number: each block returns every row once
-    copies = F.greatest(F.lit(1), F.sum(F.when(F.col("block") == 0, 1).otherwise(0)))
-    joined = out.groupBy("doc_id").agg(
-        F.max("contaminated").alias("contaminated"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
-        F.max("overlap").alias("overlap"), copies.cast("int").alias("copies"))
-    return joined.select("doc_id", "contaminated", "item_ids", "overlap",
+        return parts[0].drop("key")
+    # a row's copies (same id and text) have one verdict and keep their number: each part returns every row once
+    once = [p.groupBy("doc_id", "key").agg(F.first("item_ids").alias("item_ids"), F.max("overlap").alias("overlap"),
+                                           F.count(F.lit(1)).cast("int").alias("copies")) for p in parts]
+    out = once[0]
+    for p in once[1:]:
+        out = out.unionByName(p)
+    joined = out.groupBy("doc_id", "key").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
+        F.max("overlap").alias("overlap"), F.max("copies").alias("copies"))
+    return joined.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "overlap",
                          F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("c")).drop("c")
 
 

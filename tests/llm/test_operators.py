@@ -301,6 +301,21 @@ def test_decontamination_of_hot_items(spark, sf_small):
     assert all(set(got[i]) & {1, 2} == set(w) & {1, 2} for i, w in want.items())
 
 
+def test_decontamination_of_any_length_and_many_items(spark):
+    """Verbatim items of 4 to 900 words, short ones among other benchmark words, and a benchmark of 5,000 items."""
+    draw = random.Random(3)
+    words = [f"w{i:05d}" for i in range(20_000)]
+    items = [" ".join(draw.sample(words, draw.randint(15, 59))) for _ in range(4_990)]
+    items += [" ".join(draw.sample(words, n)) for n in (4, 5, 6, 8, 10, 120, 330, 500, 700, 900)]
+    leaks = [*range(0, 4_990, 50), *range(4_990, 5_000)]
+    rows = [(k, " ".join([*draw.choices(words, k=150), items[k], *draw.choices(words, k=150)])) for k in leaks]
+    rows += [(10_000 + i, " ".join(draw.choices(words, k=300))) for i in range(100)]
+    q = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["item_ids"] for r in decontaminate.find_contaminated(d, q).collect()}
+    assert got == {d: [d] if d < 5_000 else [] for d, _ in rows}
+
+
 # ---- op8
 
 def test_bpe_equals_the_library(spark, sf_small, edge, empty):
