@@ -81,11 +81,7 @@ def identifiers(text: Column) -> Column:
     low = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
     low = F.regexp_replace(low, "spdx-license-identifier:", "spdx-license-identifier")
     parts = F.split(low, BORDER)
-    longest = max(map(len, known))
-    # only sentences that name a licence term can be known: cheap test before normalising
-    likely = F.filter(parts, lambda s: (F.length(s) <= 4 * longest) & s.rlike(
-        "licen[sc]|permi|copyright|redistrib|free software|rights reserved|notice"))
-    plain = F.transform(likely, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+    plain = F.transform(parts, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
     return F.filter(F.transform(plain, lambda s: F.element_at(table, s)), lambda i: i.isNotNull())
 
 

@@ -135,6 +135,17 @@ def test_licences(spark, sf_small, edge, empty):
     assert licenses.recognise(edge).where("licenses = ''").count() == len(ROWS) and licenses.recognise(empty).count() == 0
 
 
+def test_licences_with_padding(spark):
+    """Known sentences with any white space and marks between their words, however long."""
+    texts = ["All  rights\treserved.", "Licensed under the MIT" + " " * 5_000 + "License.",
+             "This program is  free \t software; you can redistribute it and/or modify it under the terms of the GNU General "
+             "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+             "option) any later version."]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_sentences"], r["licenses"]) for r in licenses.recognise(d).collect()}
+    assert got == {0: (1, "proprietary"), 1: (1, "mit"), 2: (2, "gpl-3.0")}
+
+
 # ---- op5
 
 def brute_fingerprint(text):
