@@ -108,12 +108,14 @@ def _landmark_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def labelled_sample(docs: DataFrame, per_language: int) -> DataFrame:
     """At most ``per_language`` distinct training texts of each language, by text hash.
 
-    The hash threshold comes from counts over all rows, so only about the sample
-    is shuffled, and no language passes through one task whole.
+    The hash threshold comes from counts of distinct text hashes, so copies do
+    not thin out a language's other texts; only hashes and about the sample are
+    shuffled, and no language passes through one task whole.
     """
     train = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
     # written first: a small table is then broadcast from the start, and the texts are not dealt out by language
-    size = saved(train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "langid-sizes")
+    texts = train.select("lang", F.xxhash64("text").alias("h")).distinct()
+    size = saved(texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "langid-sizes")
     draw = (F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("u")
     picked = (train.select("text", "lang", draw).join(size, "lang")
               .where(F.col("u") * F.col("n") < 2.0 * per_language + 20).dropDuplicates(["lang", "text"]))

@@ -114,6 +114,16 @@ def test_language_id(spark, edge, empty):
     assert langid.identify(empty).count() == 0
 
 
+def test_language_sample_with_a_hot_group(spark):
+    """Copies of one text do not crowd a language's other texts out of the sample."""
+    rows = [(i, "der gleiche Satz steht hier immer wieder", "de") for i in range(20_000)]
+    rows += [(50_000 + i, f"ein anderer Satz mit der Nummer {i} und noch ein Wort", "de") for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    want = d.where(~held_out()).select("text").distinct().count()
+    got = langid.labelled_sample(d, 800)
+    assert got.count() == want and got.select("text").distinct().count() == want
+
+
 def test_presence_kernel():
     a, b = langid.ngram_set("Abc abd"), langid.ngram_set("abd")
     k = langid.StringKernel.of([a, b])
