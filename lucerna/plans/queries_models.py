@@ -197,6 +197,31 @@ def hs_grid_search(v):
     return trials
 
 
+@query("hs_trial_metrics", "HS4")
+def hs_trial_metrics(v):
+    train, _ = _split(v, v.order_regression)
+    trials = HS.combinations({"regParam": [0.0, 0.1, 1.0], "elasticNetParam": [0.0, 1.0]})
+    return HS.trial_metrics(CV.kfold(train), "LR", "regression", FEATURES, trials)
+
+
+@query("hs_bayesian", "HS3")
+def hs_bayesian(v):
+    train, _ = _split(v)
+    space = {"maxDepth": HS.Whole(1, 8), "minInstancesPerNode": HS.Whole(1, 50), "minInfoGain": HS.Real(1e-5, 1e-1, log=True),
+             "impurity": HS.Choice(("gini", "entropy"))}
+    _, trials = HS.bayesian_search(CV.stratified_kfold(train), "DT", "classification", FEATURES, space)
+    return trials
+
+
+@query("hs_hyperband", "HS3,ML5")
+def hs_hyperband(v):
+    from lucerna.operators.scale import normalise
+    std = normalise(v.order_multi, FEATURES, "SC", "id")
+    train, _ = _split(v, std)
+    _, trials = HS.hyperband(CV.stratified_kfold(train), "ANN", "classification", FEATURES, HS.ANN_SPACE, n_classes=3)
+    return trials
+
+
 @query("cv_run_folds", "CV7,CV5")
 def cv_run_folds(v):
     train, _ = _split(v)
