@@ -152,7 +152,7 @@ def _doc_quality(v: Views) -> DataFrame:
 def _emb_points(v: Views) -> DataFrame:
     e = v.table("embeddings")
     return e.select(F.col("vec_id").alias("id"),
-                    *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)],
+                    *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)],
                     "label")
 
 

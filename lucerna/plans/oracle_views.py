@@ -129,7 +129,7 @@ SELECT d.doc_id AS id, CAST(d.n_chars AS DOUBLE) AS n_chars,
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id""")
 
 _v("emb_points", [], "SELECT vec_id AS id, " + ", ".join(
-    f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(8)) + ", label FROM embeddings")
+    f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(64)) + ", label FROM embeddings")
 
 _UP = U("p_partkey", 7)
 _v("part_raw", [], f"""

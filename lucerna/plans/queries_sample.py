@@ -147,7 +147,7 @@ def cv_group_kfold(v):
 
 # ---------------------------------------------------------------- neighbours
 
-_E = [f"e{i}" for i in range(8)]
+_E = [f"e{i}" for i in range(64)]
 _DIST_SQL = "sqrt(" + " + ".join(f"(q.{c} - b.{c}) * (q.{c} - b.{c})" for c in _E) + ")"
 _KNN_SQL = f"""
 SELECT * FROM (WITH sp AS ({_split_sql('emb_points', 'id, label, ' + ', '.join(_E))}),
@@ -172,6 +172,13 @@ def knn_neighbours(v):
     return out.select("qid", "nid", rnd("dist").alias("dist"), "rank")
 
 
+@query("knn_pairs_met", "H3")
+def knn_pairs_met(v):
+    from lucerna.operators.neighbours import neighbour_pairs
+    train, test = _emb_split(v)
+    return neighbour_pairs(test, train, _E, 5)
+
+
 @query("ml_knn_classifier", "ML6,H3", with_views(_KNN_SQL.format(select=f"""
 , k AS (SELECT * FROM nn WHERE rank <= 5),
      z AS (SELECT *, min(dist) OVER (PARTITION BY qid) AS mind FROM k),
