@@ -1,9 +1,11 @@
 """Token-id shards as wavelet matrices: one compressed file answers access, count and locate.
 
 Documents are put in ascending doc_id order by range partitioning; every
-partition writes its tokens as a run of shards, each one compressed binary value:
-bit planes from the highest bit down, the number of zeros of each plane and block
-ranks.  A value holds at most ``shard_tokens`` tokens plus those of one document.
+partition writes its tokens as a run of shards, each one binary value: the number
+of zeros of each bit plane, its rank directory (ones before every block), and the
+planes from the highest bit down in pieces that are compressed one by one.  A token,
+a count or a place is read from the directories and one piece a plane; nothing
+else is unpacked.  A value holds at most ``shard_tokens`` tokens plus those of one document.
 Shards are rows of a Parquet table in the shared folder, so any file system that
 Spark reads will do.
 """
@@ -27,22 +29,60 @@ from tokenizers import Tokenizer
 
 from lucerna.llm.common import saved, text_slices
 
-MAGIC = b"LWM1"
+MAGIC = b"LWM2"
 UNASSIGNED = 4
-BLOCK = 512  # bits per rank block
+BLOCK = 4096  # bits per entry of a rank directory
+PIECE = 1 << 17  # bits of a plane that are compressed together
 CACHE = 1_500_000  # words remembered per Python worker (a speed-up only)
 
 
+class _Packed:
+    """A bit plane in compressed pieces, unpacked as they are read (the last few are kept)."""
+
+    KEPT = 8
+
+    def __init__(self, raw: memoryview, ends: np.ndarray) -> None:
+        self.raw, self.ends, self.open = raw, ends, {}
+
+    def piece(self, i: int) -> np.ndarray:
+        if i not in self.open:
+            if len(self.open) >= self.KEPT:
+                self.open.pop(next(iter(self.open)))
+            lo, hi = (int(self.ends[i - 1]) if i else 0), int(self.ends[i])
+            self.open[i] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.raw[lo:hi]), np.uint8)
+        return self.open[i]
+
+    def block(self, b: int) -> np.ndarray:
+        """The bytes of one block."""
+        at = b * (BLOCK // 8)
+        return self.piece(at // (PIECE // 8))[at % (PIECE // 8):][:BLOCK // 8]
+
+    def all(self) -> np.ndarray:
+        return np.concatenate([np.empty(0, np.uint8), *(self.piece(i) for i in range(len(self.ends)))])
+
+
+class _Plain:
+    """A bit plane in memory."""
+
+    def __init__(self, bits: np.ndarray) -> None:
+        self.bits = bits
+
+    def block(self, b: int) -> np.ndarray:
+        return self.bits[b * (BLOCK // 8):(b + 1) * (BLOCK // 8)]
+
+    def all(self) -> np.ndarray:
+        return self.bits
+
+
 class WaveletMatrix:
     """A sequence of unsigned integers as bit planes with rank and select."""
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]) -> None:
-        self.n, self.planes, self.zeros = n, planes, zeros
-        self.ranks = [self._blocks(p) for p in planes]
+    def __init__(self, n: int, planes: list, zeros: list[int], ranks: np.ndarray) -> None:
+        self.n, self.planes, self.zeros, self.ranks = n, planes, zeros, ranks
 
     @staticmethod
-    def _blocks(plane: np.ndarray) -> np.ndarray:
-        """Ones before each block of BLOCK bits."""
+    def _directory(plane: np.ndarray) -> np.ndarray:
+        """Ones before each block of BLOCK bits, and in all."""
         per = np.add.reduceat(np.bitwise_count(plane), np.arange(0, len(plane), BLOCK // 8), dtype=np.int64) if len(plane) else np.empty(0, np.int64)
         return np.concatenate([[0], np.cumsum(per)])
 
@@ -55,49 +95,66 @@ class WaveletMatrix:
             low = values[~one]
             zeros.append(len(low))
             values = np.concatenate([low, values[one]])
-        return cls(len(values), planes, zeros)
+        return cls(len(values), [_Plain(p) for p in planes], zeros, np.stack([cls._directory(p) for p in planes]))
 
     def to_bytes(self) -> bytes:
         head = struct.pack("<4sQB", MAGIC, self.n, len(self.planes)) + np.array(self.zeros, "<u8").tobytes()
-        return zstandard.ZstdCompressor(level=1).compress(head + b"".join(p.tobytes() for p in self.planes))
+        packer = zstandard.ZstdCompressor(level=1)
+        step = PIECE // 8
+        pieces = [[packer.compress(bits[at:at + step].tobytes()) for at in range(0, len(bits), step)]
+                  for bits in (p.all() for p in self.planes)]
+        sizes = np.array([[len(x) for x in p] for p in pieces], "<u8")
+        return b"".join([head, self.ranks.astype("<u8").tobytes(), sizes.tobytes(), *(x for p in pieces for x in p)])
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> WaveletMatrix:
-        data = zstandard.ZstdDecompressor().decompress(raw)
-        magic, n, bits = struct.unpack_from("<4sQB", data)
+        """Reads the directories; the planes stay compressed until they are asked for."""
+        magic, n, bits = struct.unpack_from("<4sQB", raw)
         if magic != MAGIC:
             raise ValueError("not a wavelet matrix shard")
         at = struct.calcsize("<4sQB")
-        zeros = np.frombuffer(data, "<u8", bits, at).astype(int).tolist()
-        at += 8 * bits
-        size = (n + 7) // 8
-        return cls(n, [np.frombuffer(data, np.uint8, size, at + size * i) for i in range(bits)], zeros)
+
+        def numbers(rows: int, columns: int) -> np.ndarray:
+            nonlocal at
+            out = np.frombuffer(raw, "<u8", rows * columns, at).astype(np.int64).reshape(rows, columns)
+            at += 8 * rows * columns
+            return out
+        zeros = numbers(1, bits)[0].tolist()
+        ranks = numbers(bits, -(-n // BLOCK) + 1)
+        ends = np.cumsum(numbers(bits, -(-n // PIECE)).ravel()).reshape(bits, -1)
+        data = memoryview(raw)[at:]
+        planes, begin = [], 0
+        for row in ends:
+            planes.append(_Packed(data[begin:int(row[-1])] if len(row) else data[:0], row - begin))
+            begin = int(row[-1]) if len(row) else 0
+        return cls(n, planes, zeros, ranks)
 
     def rank1(self, level: int, i: int) -> int:
         """Ones among the first ``i`` bits of a plane."""
-        block = i // BLOCK
-        part = self.planes[level][block * (BLOCK // 8):(i + 7) // 8]
-        ones = int(self.ranks[level][block]) + int(np.bitwise_count(part).sum())
-        return ones - (int(part[-1]) >> (i % 8)).bit_count() if i % 8 else ones
+        block, rest = divmod(i, BLOCK)
+        ones = int(self.ranks[level][block])
+        if not rest:
+            return ones
+        part = self.planes[level].block(block)[:(rest + 7) // 8]
+        ones += int(np.bitwise_count(part).sum())
+        return ones - (int(part[-1]) >> (rest % 8)).bit_count() if rest % 8 else ones
 
     def select(self, level: int, bit: int, k: int) -> int:
-        """Position of the k-th (from 0) ``bit`` of a plane."""
-        lo, hi = 0, self.n
-        while lo < hi:
-            mid = (lo + hi) // 2
-            ones = self.rank1(level, mid + 1)
-            if (ones if bit else mid + 1 - ones) <= k:
-                lo = mid + 1
-            else:
-                hi = mid
-        return lo
+        """Position of the k-th (from 0) ``bit`` of a plane: the block by the directory, the place within the block."""
+        before = self.ranks[level] if bit else np.minimum(np.arange(len(self.ranks[level])) * BLOCK, self.n) - self.ranks[level]
+        block = int(np.searchsorted(before, k, "right")) - 1
+        bits = np.unpackbits(self.planes[level].block(block), bitorder="little")
+        return block * BLOCK + int(np.flatnonzero(bits == bit)[k - int(before[block])])
+
+    def _bit(self, level: int, i: int) -> int:
+        return int(self.planes[level].block(i // BLOCK)[i % BLOCK // 8]) >> (i % 8) & 1
 
     def access(self, i: int) -> int:
         """The value at position ``i``."""
         value = 0
         for level in range(len(self.planes)):
             ones = self.rank1(level, i)
-            bit = int(self.planes[level][i // 8]) >> (i % 8) & 1
+            bit = self._bit(level, i)
             value = value << 1 | bit
             i = self.zeros[level] + ones if bit else i - ones
         return value
@@ -136,7 +193,7 @@ class WaveletMatrix:
         """The whole sequence, by undoing the planes from the lowest up."""
         values = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for level in range(len(self.planes) - 1, -1, -1):
-            one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
+            one = np.unpackbits(self.planes[level].all(), count=self.n, bitorder="little").astype(bool)
             before = np.empty_like(values)
             before[~one] = values[:self.zeros[level]]
             before[one] = values[self.zeros[level]:] | values.dtype.type(1 << len(self.planes) - 1 - level)
@@ -164,9 +221,10 @@ class WordEncoder:
     characters) are applied to many texts at
     a time: runs of one kind of character are the words, found and hashed as
     arrays.  Words not seen yet are encoded by the library in batches.  This equals
-    encoding whole texts, since its BPE never looks across words.  Texts with a
-    contraction, the string of a special token or a character newer than Python's
-    tables go to the library as they are.
+    encoding whole texts, since its BPE never looks across words.  Words are kept
+    beside their hashes, and every word is compared with the one its hash stands for.
+    Texts with a word whose hash is another word's, a contraction, the string of a
+    special token or a character newer than Python's tables go to the library as they are.
     """
 
     def __init__(self, path: str) -> None:
@@ -192,6 +250,7 @@ class WordEncoder:
         self.slot: dict[int, int] = {}  # word hash to its place in at and size
         self.flat, self.at, self.sizes = np.empty(1 << 20, np.uint32), np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64)
         self.used = 0
+        self.letters, self.letter_at = np.empty(1 << 21, np.uint32), np.zeros((1 << 18) + 1, np.int64)  # the words themselves
 
     def _ids(self, words: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -216,6 +275,13 @@ class WordEncoder:
         self.sizes[n:n + len(found)] = sizes
         self.flat[self.used:self.used + sizes.sum()] = np.concatenate(found)
         self.used += int(sizes.sum())
+        if len(self.at) >= len(self.letter_at):
+            self.letter_at = np.concatenate([self.letter_at, np.zeros(len(self.at) + 1 - len(self.letter_at), np.int64)])
+        letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.letter_at[n + 1:n + 1 + len(words)] = self.letter_at[n] + np.cumsum([len(w) for w in words])
+        while self.letter_at[n] + len(letters) > len(self.letters):
+            self.letters = np.concatenate([self.letters, np.empty_like(self.letters)])
+        self.letters[self.letter_at[n]:self.letter_at[n] + len(letters)] = letters
         self.slot.update(zip(hashes, range(n, n + len(found)), strict=True))
 
     @staticmethod
@@ -279,6 +345,15 @@ class WordEncoder:
             self._learn([keys[i] for i in new], [joined[a:b] for a, b in zip(begin[spots].tolist(), end[spots].tolist(), strict=True)])
             slots[new] = np.arange(len(self.slot) - len(new), len(self.slot))
         slot = slots[which]
+        # the letters of every word against those its hash stands for
+        length, kept = end - begin, self.letter_at[slot + 1] - self.letter_at[slot]
+        stop = np.cumsum(np.minimum(length, kept))
+        each = np.diff(stop, prepend=0)
+        step = np.arange(stop[-1] if len(stop) else 0) - np.repeat(stop - each, each)
+        differ = cps[np.repeat(begin, each) + step] != self.letters[np.repeat(self.letter_at[slot], each) + step]
+        wrong = length != kept
+        wrong[np.searchsorted(stop, np.flatnonzero(differ), "right")] = True
+        odd = np.append(odd, np.searchsorted(ends, begin[wrong], "right"))
         sizes = self.sizes[slot]
         stop = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.at[slot] - (stop - sizes), sizes) + np.arange(stop[-1] if len(stop) else 0)]
@@ -340,7 +415,10 @@ def _pack(width: int, bits: int, shard_tokens: int):
 
 
 def write_shards(docs: DataFrame, vocab_path: str, end_id: int = 2, shard_tokens: int = 1 << 20) -> DataFrame:
-    """Encode, order by doc_id (nulls first, ties by ids) and write; returns the shard table read back.
+    """Encode, order by doc_id (nulls first) and write; returns the shard table read back.
+
+    Rows of one doc_id follow by a hash of their ids, equal rows as they were
+    read; the ranges are cut in that order too, so rows of one id are spread.
 
     Rows: ``part, seq`` (their order is the token order), ``first`` (position in the
     part), ``n``, ``doc_ids``, ``lengths`` and the compressed ``data``.
@@ -350,8 +428,11 @@ def write_shards(docs: DataFrame, vocab_path: str, end_id: int = 2, shard_tokens
     width = 2 if size <= 1 << 16 else 4
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         _encode(vocab_path, end_id), "doc_id long, ids binary")
-    rows = saved(rows, "wavelet-ids")  # the range splitters are sampled from the rows: encode once
-    return saved(rows.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    # the range splitters are sampled from the rows: encode once
+    rows = saved(rows.select("doc_id", "ids", F.xxhash64("ids").alias("mark"), F.monotonically_increasing_id().alias("turn")),
+                 "wavelet-ids")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("mark"), F.col("turn")]
+    return saved(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
                  .mapInArrow(_pack(width, bits, shard_tokens),
                              "part int, seq int, first long, n long, doc_ids array<long>, lengths array<int>, data binary"),
                  "wavelet-shards")
@@ -389,8 +470,9 @@ def read_documents(shards: DataFrame) -> DataFrame:
 def token_index(docs: DataFrame, vocab_path: str, end_id: int = 2, shard_tokens: int = 1 << 20) -> DataFrame:
     """Write the shards of ``docs(doc_id, text)`` and describe each document as read back.
 
-    A null or empty text holds the end id alone; a null doc_id sorts first; equal
-    ids follow in the order of their token ids; repeated rows stay; other columns
-    are ignored; an empty table gives an empty result.
+    A null or empty text holds the end id alone; a null doc_id sorts first; rows of
+    one id follow by a hash of their token ids; repeated rows stay; other columns
+    are ignored; an empty table gives an empty result.  Texts of any length are
+    encoded whole, and a shard holds a document whole.
     """
     return read_documents(write_shards(docs, vocab_path, end_id, shard_tokens))

@@ -386,6 +386,27 @@ def test_wavelet_matrix():
             assert m.count(x) == (v == x).sum() and m.locate(x) == np.flatnonzero(v == x).tolist()
 
 
+def test_single_tokens_are_read_without_unpacking_the_shard():
+    rng = np.random.default_rng(4)
+    v = rng.integers(0, 900, 1_000_000).astype(np.uint16)
+    m = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(v, 10).to_bytes())
+    assert m.access(250_000) == v[250_000] and m.count(7, 300_000) == (v[:300_000] == 7).sum()
+    assert sum(len(p.open) for p in m.planes) < 10 * 4 < sum(len(p.ends) for p in m.planes)
+    assert m.locate(899) == np.flatnonzero(v == 899).tolist()
+
+
+def test_words_of_equal_hash_are_told_apart():
+    """Thue-Morse words and their complements have equal polynomial hashes modulo 2^64 for every base."""
+    lib, encoder = Tokenizer.from_file(WORD), wavelet.WordEncoder(WORD)
+    pairs = []
+    for n in (1024, 2048):
+        a = "".join("ab"[i.bit_count() & 1] for i in range(n))
+        pairs += [a, a.translate(str.maketrans("ab", "ba"))]
+    for texts in (pairs, [f"one {pairs[1]} two", "three", f"{pairs[0]} four", "five six"], pairs[::-1]):
+        got = encoder.encode_many(texts)
+        assert [x.tolist() for x in got] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_token_index(spark, sf_small, edge, empty):
     lib = Tokenizer.from_file(WORD)
     docs = table(spark, sf_small, "documents").select("doc_id", "text")
