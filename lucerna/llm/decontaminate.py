@@ -7,22 +7,22 @@
    cut, however common: an item of everyday words, or of a passage that stands in
    a third of the rows, keeps its weight.
 3. Items are grouped by length, so that an item fits in its group's window (64
-   words, 128, 256 ...).  Passages are overlapping windows of words.  Their
-   normalised TF-IDF rows, with the group's items stacked at a multiple of their
-   total weight, form a matrix A whose right singular vectors come from a
-   distributed randomised decomposition: tasks add up A'(A G) for a random G, and
-   the small result (words x rank) is solved by the Nyström formula.  The rank
-   grows with the items, and the items' weight bends the space towards them.
-4. Passages and items are compared by cosine in the latent space.  The floor of a
-   pair is the cosine at which the passage holds a quarter of the item's squared
-   weight, ``c |item| / |passage|``, whatever the lengths; what the space leaves
-   out of both rows bounds the error of the cosine and is added to it, so no pair
-   above its floor is missed at any rank.  Two neighbouring windows hold a
-   verbatim item between them, one of them at least half of its squared weight:
-   a verbatim item is always a candidate.
-5. Candidates go on to the word checks: the longest common subsequence of item and
-   surrounding words must hold most of the item, by words and by weight, and the
-   item's answer (its last sentence) must be found again within it.
+   words, 128, 256 ...).  Texts are cut into blocks of half a window.  The blocks'
+   normalised TF-IDF rows (a word counts once a block), with the group's items
+   stacked at a multiple of their total weight, form a matrix A whose right singular
+   vectors come from a distributed randomised decomposition: tasks add up A'(A G)
+   for a random G, and the small result (words x rank) is solved by the Nystroem
+   formula.  The rank grows with the items, and the items' weight bends the space
+   towards them.
+4. A passage is two neighbouring blocks.  A passage and an item are a candidate if
+   their cosine in the latent space reaches the floor at which the passage holds
+   ``share`` of the item's squared length, ``share |item| / |passage|``, lengths in
+   that space.  The space alone decides: no product of the original rows is formed.
+   A verbatim item lies within one passage or half of it at least in one of two.
+5. Candidates go on to the word checks.  An item's sentences are matched one by one
+   (a paraphrase may change their order): the longest common subsequences of its
+   sentences and the surrounding words must hold most of the item, by words and by
+   weight, and part of its answer (its last sentence).
 """
 
 from __future__ import annotations
@@ -40,6 +40,7 @@ from lucerna.llm.common import fresh_name, saved, text_slices
 
 WORD = re.compile(r"\w+")
 OFTEN = 512  # commonest words of a group, multiplied as a dense block
+TOGETHER = 128 << 20  # bytes of latent spaces that are searched in one pass
 BLOCK_ITEMS = 5_000  # items handled per pass (bounds what is broadcast); a larger benchmark is handled in blocks
 
 
@@ -47,10 +48,10 @@ BLOCK_ITEMS = 5_000  # items handled per pass (bounds what is broadcast); a larg
 class Settings:
     window: int = 64  # words of the shortest passages (doubled until an item fits); passages overlap by half
     group: int = 512  # most items that share a latent space
-    rank: int = 96  # least latent dimensions; as many as items if those are more
+    rank: int = 96  # least latent dimensions; one for two items if those are more
     oversample: int = 16  # further dimensions
-    pull: float = 64.0  # total weight of the items in the decomposition, that of all passages being 1
-    share: float = 0.25  # of an item's squared weight in a candidate passage
+    pull: float = 64.0  # total weight of the items in the decomposition, that of all blocks being 1
+    share: float = 0.4  # of an item's squared latent length in a candidate passage
     overlap: float = 0.6  # share of an item's words, and of their weight, in the common subsequence
     answer: float = 0.5  # share of its last sentence's words among them
     seed: int = 7
@@ -62,23 +63,22 @@ class Items:
 
     ids: list[int]
     words: list[np.ndarray]
-    answers: list[int]  # where the last sentence begins
+    borders: list[list[int]]  # where the sentences begin, and the end
     vocabulary: dict[str, int]
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]]) -> Items:
         vocabulary: dict[str, int] = {}
-        ids, words, answers = [], [], []
+        ids, words, borders = [], [], []
         for item, text in rows:
-            found = WORD.findall(text.lower())
+            found = [WORD.findall(x) for x in re.split(r"(?<=[.!?:])\s+|\n", text.lower())]
+            found = [x for x in found if x]
             if not found:
                 continue
-            last = re.split(r"(?<=[.!?:])\s+|\n", text.strip().lower())
-            tail = next((n for s in reversed(last) if (n := len(WORD.findall(s)))), len(found))
             ids.append(item)
-            words.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in found], np.int32))
-            answers.append(len(found) - tail)
-        return cls(ids, words, answers, vocabulary)
+            words.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for x in found for w in x], np.int32))
+            borders.append(np.cumsum([0, *map(len, found)]).tolist())
+        return cls(ids, words, borders, vocabulary)
 
 
 @dataclass
@@ -88,7 +88,7 @@ class Group:
     window: int
     ids: list[int]
     words: list[np.ndarray]
-    answers: list[int]
+    borders: list[list[int]]
     own: np.ndarray  # a word's number in the group by its number in the block; -1: none, also in the last place
     weight: np.ndarray
     often: np.ndarray  # the commonest words
@@ -114,7 +114,7 @@ def groups_of(items: Items, weight: np.ndarray, s: Settings) -> list[Group]:
             place = np.full(len(used), -1)
             place[often] = np.arange(len(often))
             out.append(Group(window, [items.ids[k] for k in chosen], [own[items.words[k]] for k in chosen],
-                             [items.answers[k] for k in chosen], own, weight[used], often, place))
+                             [items.borders[k] for k in chosen], own, weight[used], often, place))
     return out
 
 
@@ -150,37 +150,20 @@ def _document_frequency(size: int):
     return run
 
 
-def passages(texts: list[np.ndarray], weight: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """TF-IDF entries of all passages: (passage, word, value), each passage of length one.
+def block_rows(texts: list[np.ndarray], weight: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """TF-IDF entries of all blocks of ``half`` words: (block, word), sorted, and each text's first block (and the end).
 
-    Also (document, first word) of every passage and its length before.  Passages
-    without a weighted word are left out.
+    Blocks are numbered through all texts; a word counts once a block.
     """
-    half = window // 2
-    passage, word, where = [], [], []
-    count = 0
-    for d, w in enumerate(texts):
-        at = np.flatnonzero((w >= 0) & (weight[w] > 0))
-        if not len(at):
-            continue
-        blocks = max(1, -(-len(w) // half) - 1)  # windows of two half blocks
-        block = at // half
-        for shift in (0, 1):
-            p = block - shift
-            ok = (p >= 0) & (p < blocks)
-            passage.append(count + p[ok])
-            word.append(w[at[ok]])
-        where.append(np.stack([np.full(blocks, d), np.arange(blocks) * half], 1))
-        count += blocks
-    if not count or not sum(map(len, passage)):
-        e = np.empty(0, np.int64)
-        return e, e, np.empty(0, np.float32), np.empty((0, 2), np.int64), np.empty(0)
-    key, n = np.unique(np.concatenate(passage).astype(np.int64) * len(weight) + np.concatenate(word), return_counts=True)
-    passage, word = key // len(weight), key % len(weight)
-    value = n * weight[word]
-    used, passage = np.unique(passage, return_inverse=True)
-    norm = np.sqrt(np.bincount(passage, value ** 2))
-    return passage, word, (value / norm[passage]).astype(np.float32), np.concatenate(where)[used], norm
+    counts = np.array([-(-len(w) // half) for w in texts])
+    starts = np.concatenate([[0], np.cumsum(counts)])
+    keys = []
+    for first, w in zip(starts[:-1].tolist(), texts, strict=True):
+        at = np.flatnonzero(w >= 0)
+        keys.append((first + at // half) * len(weight) + w[at])
+    key = np.sort(np.concatenate(keys)) if keys else np.empty(0, np.int64)
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+    return key // len(weight), key % len(weight), starts
 
 
 def _times(passage: np.ndarray, word: np.ndarray, value: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -207,7 +190,7 @@ def _blocks(passage: np.ndarray, word: np.ndarray, value: np.ndarray, rows: int,
 
 
 def _project(passage: np.ndarray, word: np.ndarray, value: np.ndarray, rows: int, right: np.ndarray, g: Group) -> np.ndarray:
-    """All passages times a dense matrix: the commonest words as dense blocks, the others one by one."""
+    """All rows times a dense matrix: the commonest words as dense pieces, the others one by one."""
     out = np.empty((rows, right.shape[1]), np.float32)
     often = right[g.often]
     for first, block in _blocks(passage, word, value, rows, g):
@@ -236,77 +219,100 @@ def _slices(batches: Iterator[pa.RecordBatch], words: int = 400_000) -> Iterator
 
 
 def _sketch(shared):
+    """A'(A G) over a task's blocks, for every group."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, gauss = shared.value
-        total, rows = np.zeros(gauss.shape, np.float64), 0
+        groups, seed = shared.value
+        gauss = [random_directions(g, rank, seed) for g, rank in groups]
+        totals, rows = [np.zeros(x.shape) for x in gauss], [0] * len(groups)
         for _, _, texts in _slices(batches):
-            p, w, v, where, _ = passages([g.own[t] for t in texts], g.weight, g.window)
-            if not len(p):
-                continue
-            y = _project(p, w, v, len(where), gauss, g)
-            for first, block in _blocks(p, w, v, len(where), g):
-                total[g.often] += block.T @ y[first:first + len(block)]
-            rest = np.flatnonzero(g.place[w] < 0)
-            rest = rest[np.argsort(w[rest], kind="stable")]
-            if len(rest):
-                ws = w[rest]
-                starts = np.flatnonzero(np.concatenate([[True], ws[1:] != ws[:-1]]))
-                total[ws[starts]] += np.add.reduceat(y[p[rest]] * v[rest][:, None], starts, axis=0)
-            rows += len(where)
-        if rows:
-            used = np.flatnonzero(total.any(1))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(used, -1)), pa.array([*(r.tobytes() for r in total[used]), np.float64([rows]).tobytes()],
-                                                         pa.binary())], ["word", "row"])
+            for i, (g, _) in enumerate(groups):
+                p, w, starts = block_rows([g.own[t] for t in texts], g.weight, g.window // 2)
+                if not len(p):
+                    continue
+                v = g.weight[w]
+                v = (v / np.sqrt(np.bincount(p, v * v.astype(np.float64)))[p]).astype(np.float32)
+                y = _project(p, w, v, int(starts[-1]), gauss[i], g)
+                for first, block in _blocks(p, w, v, int(starts[-1]), g):
+                    totals[i][g.often] += block.T @ y[first:first + len(block)]
+                rest = np.flatnonzero(g.place[w] < 0)
+                rest = rest[np.argsort(w[rest], kind="stable")]
+                if len(rest):
+                    ws = w[rest]
+                    begin = np.flatnonzero(np.concatenate([[True], ws[1:] != ws[:-1]]))
+                    totals[i][ws[begin]] += np.add.reduceat(y[p[rest]] * v[rest][:, None], begin, axis=0)
+                rows[i] += int((np.diff(p, prepend=-1) > 0).sum())
+        for i, total in enumerate(totals):
+            if rows[i]:
+                used = np.flatnonzero(total.any(1))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(used) + 1, i)), pa.array(np.append(used, -1)),
+                     pa.array([*(r.tobytes() for r in total[used]), np.float64([rows[i]]).tobytes()], pa.binary())], ["grp", "word", "row"])
     return run
 
 
+def random_directions(g: Group, rank: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).standard_normal((len(g.weight), rank)).astype(np.float32)
+
+
 def _sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by word: adds the vectors of each word."""
+    """Rows come sorted by group and word: adds the vectors of each word."""
+    def out(key: tuple, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int64()), pa.array([total.tobytes()])],
+                                          ["grp", "word", "row"])
     now, total = None, None
     for batch in batches:
-        for w, raw in zip(batch.column("word").to_pylist(), batch.column("row").to_pylist(), strict=True):
+        for key, raw in zip(zip(*(batch.column(c).to_pylist() for c in ("grp", "word")), strict=True), batch.column("row").to_pylist(),
+                            strict=True):
             x = np.frombuffer(raw)
-            if w == now:
+            if key == now:
                 total = total + x
             else:
                 if now is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([total.tobytes()])], ["word", "row"])
-                now, total = w, x
+                    yield out(now, total)
+                now, total = key, x
     if now is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([total.tobytes()])], ["word", "row"])
+        yield out(now, total)
 
 
-def item_rows(g: Group) -> tuple[np.ndarray, np.ndarray]:
-    """TF-IDF rows of a group's items, normalised (items x words), and their lengths before."""
+def item_rows(g: Group) -> np.ndarray:
+    """TF-IDF rows of a group's items (items x words); a word counts once."""
     rows = np.zeros((len(g.words), len(g.weight)), np.float32)
     for row, w in zip(rows, g.words, strict=True):
-        np.add.at(row, w, g.weight[w])
-    norm = np.linalg.norm(rows, axis=1)
-    return rows / norm[:, None], norm
-
-
-def latent_space(numbers: DataFrame, g: Group, s: Settings) -> np.ndarray:
-    """Right singular vectors (words x rank) of passages and items by a randomised decomposition."""
-    v = len(g.weight)
-    rank = min(v, max(s.rank, len(g.ids)) + s.oversample)
-    gauss = np.random.default_rng(s.seed).standard_normal((v, rank)).astype(np.float32)
-    shared = numbers.sparkSession.sparkContext.broadcast((g, gauss))
-    rows = (numbers.mapInArrow(_sketch(shared), "word long, row binary")
-            .repartition("word").sortWithinPartitions("word").mapInArrow(_sum_rows, "word long, row binary").toArrow())
-    total, n = np.zeros((v, rank)), 1.0
-    for w, raw in zip(rows.column("word").to_pylist(), rows.column("row").to_pylist(), strict=True):
+        row[w] = g.weight[w]
+    return rows
+
+
+def rank_of(g: Group, s: Settings) -> int:
+    return min(len(g.weight), max(s.rank, len(g.ids) // 2) + s.oversample)
+
+
+def latent_spaces(numbers: DataFrame, groups: list[Group], s: Settings) -> list[np.ndarray]:
+    """Right singular vectors (words x rank) of blocks and items of every group by a randomised decomposition.
+
+    One pass for all groups.  What reaches the driver is words x rank numbers a
+    group, bounded by the benchmark and not by the documents.
+    """
+    shared = numbers.sparkSession.sparkContext.broadcast(([(g, rank_of(g, s)) for g in groups], s.seed))
+    rows = (numbers.mapInArrow(_sketch(shared), "grp long, word long, row binary")
+            .repartition("grp", "word").sortWithinPartitions("grp", "word").mapInArrow(_sum_rows, "grp long, word long, row binary").toArrow())
+    totals, n = [np.zeros((len(g.weight), rank_of(g, s))) for g in groups], [1.0] * len(groups)
+    for i, w, raw in zip(rows.column("grp").to_pylist(), rows.column("word").to_pylist(), rows.column("row").to_pylist(), strict=True):
         if w < 0:
-            n = float(np.frombuffer(raw)[0])
+            n[i] = float(np.frombuffer(raw)[0])
         else:
-            total[w] = np.frombuffer(raw)
-    own, _ = item_rows(g)
-    total = total / n + s.pull / len(own) * (own.T @ (own @ gauss)).astype(np.float64)
-    core = gauss.T.astype(np.float64) @ total  # G' A'A G
-    value, vector = np.linalg.eigh((core + core.T) / 2)
-    good = value > max(value.max(initial=0), 1e-30) * 1e-9
-    basis, _ = np.linalg.qr(total @ (vector[:, good] / np.sqrt(value[good])))
-    return basis.astype(np.float32)
+            totals[i][w] = np.frombuffer(raw)
+    out = []
+    for g, total, blocks in zip(groups, totals, n, strict=True):
+        gauss = random_directions(g, rank_of(g, s), s.seed)
+        own = item_rows(g)
+        own /= np.linalg.norm(own, axis=1)[:, None]
+        total = total / blocks + s.pull / len(own) * (own.T @ (own @ gauss)).astype(np.float64)
+        core = gauss.T.astype(np.float64) @ total  # G' A'A G
+        value, vector = np.linalg.eigh((core + core.T) / 2)
+        good = value > max(value.max(initial=0), 1e-30) * 1e-9
+        basis, _ = np.linalg.qr(total @ (vector[:, good] / np.sqrt(value[good])))
+        out.append(basis.astype(np.float32))
+    return out
 
 
 def common_words(item: dict[int, int], n: int, text: list[int]) -> int:
@@ -329,63 +335,81 @@ def common_words(item: dict[int, int], n: int, text: list[int]) -> int:
     return mask
 
 
-def _candidates(entries: tuple, rows: np.ndarray, norm: np.ndarray, latent: np.ndarray, basis: np.ndarray, g: Group,
-                s: Settings) -> Iterator[tuple[int, int]]:
-    """(passage, item) wherever the passage holds the share of the item's squared weight."""
-    p, w, v, where, length = entries
-    at = _project(p, w, v, len(where), basis, g)
-    # what the space leaves out of both rows bounds the error of their cosine
-    left, item_left = (np.sqrt(np.maximum(1 - np.einsum("ij,ij->i", x, x), 0)) for x in (at, latent))
-    ends = np.searchsorted(p, np.arange(len(where) + 1))
-    for first in range(0, len(where), 4096):
-        part = slice(first, first + 4096)
-        floor = s.share * norm[None, :] / length[part, None].astype(np.float32) - 1e-4
-        a, b = np.nonzero(at[part] @ latent.T + left[part, None] * item_left >= floor)
-        for lo in range(0, len(a), 50_000):
-            i, k = a[lo:lo + 50_000], b[lo:lo + 50_000]
-            n = ends[first + i + 1] - ends[first + i]
-            starts = np.cumsum(n) - n
-            entry = np.arange(n.sum()) + np.repeat(ends[first + i] - starts, n)
-            dot = np.add.reduceat(v[entry] * rows[np.repeat(k, n), w[entry]], starts)
-            ok = dot >= floor[i, k]
-            yield from zip((first + i[ok]).tolist(), k[ok].tolist(), strict=True)
+def candidates(texts: list[np.ndarray], latent: np.ndarray, basis: np.ndarray, g: Group, s: Settings) -> Iterator[tuple[int, int, int]]:
+    """(text, first word of the passage, item) wherever the latent cosine reaches the floor.
+
+    ``cosine >= share |item| / |passage|`` is the same as ``passage . item >= share |item|^2``.
+    """
+    half = g.window // 2
+    p, w, starts = block_rows(texts, g.weight, half)
+    if not len(p):
+        return
+    blocks = _project(p, w, g.weight[w], int(starts[-1]), basis, g)
+    text = np.repeat(np.arange(len(texts)), np.diff(starts))
+    inner = np.append(text[1:] == text[:-1], False)  # the next block is of the same text
+    alone = np.diff(starts)[text] == 1
+    floor = s.share * np.einsum("ij,ij->i", latent, latent)
+    for at in range(0, len(blocks), 4096):
+        i = np.flatnonzero(inner[at:at + 4096] | alone[at:at + 4096]) + at
+        rows = blocks[i]
+        two = inner[i]
+        rows[two] += blocks[i[two] + 1]
+        a, k = np.nonzero(rows @ latent.T >= floor)
+        i = i[a]
+        yield from zip(text[i].tolist(), ((i - starts[text[i]]) * half).tolist(), k.tolist(), strict=True)
+
+
+class Checker:
+    """The word checks of a group's items."""
+
+    def __init__(self, g: Group, s: Settings) -> None:
+        self.g, self.s = g, s
+        self.mass = [g.weight[w] for w in g.words]
+        self.least = [s.overlap * float(m.sum()) for m in self.mass]
+        self.present = np.zeros(len(g.weight) + 1, bool)  # the last place stands for -1
+        self.places: list[list[dict[int, int]]] = []
+        for w, b in zip(g.words, g.borders, strict=True):
+            sentences = []
+            for lo, hi in zip(b[:-1], b[1:], strict=True):
+                at: dict[int, int] = {}
+                for i, x in enumerate(w[lo:hi].tolist()):
+                    at[x] = at.get(x, 0) | 1 << i
+                sentences.append(at)
+            self.places.append(sentences)
+
+    def overlap(self, text: np.ndarray, first: int, k: int) -> float:
+        """Share of item ``k``'s words in common subsequences with the passage and its surroundings; 0 if a check fails."""
+        g, s, n, borders = self.g, self.s, len(self.g.words[k]), self.g.borders[k]
+        near = text[max(0, first - n):first + g.window + n]
+        # no common subsequence holds more than the item's words that occur here at all
+        self.present[near] = True
+        self.present[-1] = False
+        bound = self.mass[k][self.present[g.words[k]]].sum()
+        self.present[near] = False
+        if bound < self.least[k]:
+            return 0.0
+        near = near[near >= 0].tolist()
+        taken = np.zeros(n, bool)
+        for at, lo, hi in zip(self.places[k], borders[:-1], borders[1:], strict=True):
+            mask = common_words(at, hi - lo, near)
+            taken[lo:hi] = [mask >> x & 1 for x in range(hi - lo)]
+        held = int(taken.sum())
+        last = taken[borders[-2]:]
+        if held < s.overlap * n or self.mass[k][taken].sum() < self.least[k] or last.sum() < s.answer * len(last):
+            return 0.0
+        return held / n
 
 
 def _search(shared, s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, basis = shared.value
-        rows, norm = item_rows(g)
-        latent = rows @ basis
-        mass = [g.weight[w] for w in g.words]
-        present = np.zeros(len(g.weight) + 1, bool)  # the last place stands for -1
-        places: list[dict[int, int]] = []
-        for w in g.words:
-            at: dict[int, int] = {}
-            for i, x in enumerate(w.tolist()):
-                at[x] = at.get(x, 0) | 1 << i
-            places.append(at)
+        groups = [(g, basis, item_rows(g) @ basis, Checker(g, s)) for g, basis in shared.value]
         for ids, keys, texts in _slices(batches):
             hits: list[dict] = [{} for _ in ids]
-            own = [g.own[t] for t in texts]
-            entries = passages(own, g.weight, g.window)
-            for i, k in _candidates(entries, rows, norm, latent, basis, g, s) if len(entries[0]) else ():
-                d, first = entries[3][i]
-                n = len(g.words[k])
-                near = own[d][max(0, first - n):first + g.window + n]
-                # no common subsequence holds more than the item's words that occur here at all
-                present[near] = True
-                bound = mass[k][present[g.words[k]]].sum()
-                present[near] = False
-                if bound < s.overlap * mass[k].sum():
-                    continue
-                mask = common_words(places[k], n, near[near >= 0].tolist())
-                tail = n - g.answers[k]
-                if mask.bit_count() < s.overlap * n:
-                    continue
-                taken = np.array([mask >> x & 1 for x in range(n)], bool)
-                if (mass[k][taken].sum() >= s.overlap * mass[k].sum()
-                        and (mask >> g.answers[k]).bit_count() >= s.answer * tail):
-                    hits[d][g.ids[k]] = max(hits[d].get(g.ids[k], 0.0), mask.bit_count() / n)
+            for g, basis, latent, checker in groups:
+                own = [g.own[t] for t in texts]
+                for d, first, k in candidates(own, latent, basis, g, s):
+                    if hits[d].get(g.ids[k], 0.0) < 1.0 and (held := checker.overlap(own[d], first, k)):
+                        hits[d][g.ids[k]] = max(hits[d].get(g.ids[k], 0.0), held)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids), pa.array(keys), pa.array([bool(h) for h in hits]),
                  pa.array([sorted(h) for h in hits], pa.list_(pa.int64())),
@@ -394,8 +418,22 @@ def _search(shared, s: Settings):
     return run
 
 
+def passes(groups: list[Group], s: Settings) -> list[list[Group]]:
+    """The groups by pass: together, their latent spaces stay within TOGETHER bytes (one group at least)."""
+    out: list[list[Group]] = []
+    held = 0
+    for g in groups:
+        size = 4 * len(g.weight) * rank_of(g, s)
+        if not out or held + size > TOGETHER:
+            out.append([])
+            held = 0
+        out[-1].append(g)
+        held += size
+    return out
+
+
 def _block(docs: DataFrame, items: Items, s: Settings) -> list[DataFrame]:
-    """The rows with their text keys and the items found, once for every group of items."""
+    """The rows with their text keys and the items found, once for every pass."""
     sc = docs.sparkSession.sparkContext
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
@@ -409,8 +447,8 @@ def _block(docs: DataFrame, items: Items, s: Settings) -> list[DataFrame]:
     df = np.array([counts.get(i, 0) for i in range(len(items.vocabulary))], np.float64)
     weight = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
     parts = []
-    for g in groups_of(items, weight, s):
-        found = _search(sc.broadcast((g, latent_space(numbers, g, s))), s)
+    for groups in passes(groups_of(items, weight, s), s):
+        found = _search(sc.broadcast(list(zip(groups, latent_spaces(numbers, groups, s), strict=True))), s)
         parts.append(numbers.mapInArrow(found, f"doc_id {kind}, key long, contaminated boolean, item_ids array<long>, overlap double"))
     return parts
 
@@ -422,7 +460,8 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings | None
     share of an item's words found.  A null or empty text, and every text if the
     benchmark is empty, is not contaminated; items that are null, empty or without
     words are no queries; repeated items count once.  Repeated rows are returned
-    as often as they come and other columns are ignored.  The benchmark is the
+    as often as they come and other columns are ignored.  Texts of any length are
+    searched whole, some 400,000 words at a time or one text.  The benchmark is the
     stated query set: one of more than 5,000 items is searched block by block.
     """
     s = s or Settings()

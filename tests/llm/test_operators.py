@@ -337,6 +337,61 @@ def test_decontamination_of_any_length_and_many_items(spark):
     assert got == {d: [d] if d < 5_000 else [] for d, _ in rows}
 
 
+def reworded(text, draw, words, share=0.2):
+    """An item with its sentences in another order and a share of its words replaced."""
+    sentences = [x for x in re.split(r"(?<=[.!?:])\s+|\n", text) if x]
+    draw.shuffle(sentences)
+    return " ".join(draw.choice(words) if draw.random() < share else w for x in sentences for w in x.split())
+
+
+def planted_paraphrases(spark, sf_small):
+    """Clean documents, each with one reworded item of the benchmark."""
+    draw = random.Random(4)
+    bench = table(spark, sf_small, "benchmark")
+    items = {r["item_id"]: r["text"] for r in bench.collect()}
+    texts = [r["text"] for r in table(spark, sf_small, "documents").where("length(text) > 1200").orderBy("doc_id").collect()]
+    hosts = [t for t in texts if not any(x in t for x in items.values())]
+    words = [w for t in hosts for w in t.split()]
+    rows = []
+    for i, k in enumerate(sorted(items)):
+        host = hosts[i % len(hosts)]
+        at = host.find(" ", draw.randrange(100, len(host) - 200))
+        rows.append((k, f"{host[:at]} {reworded(items[k], draw, words)} {host[at:]}"))
+    rows += [(10_000 + i, t) for i, t in enumerate(hosts)]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(4), bench, len(items)
+
+
+def test_paraphrases_are_found(spark, sf_small):
+    docs, bench, n = planted_paraphrases(spark, sf_small)
+    got = {r["doc_id"]: r["item_ids"] for r in decontaminate.find_contaminated(docs, bench).collect()}
+    assert sum(k in found for k, found in got.items() if k < 10_000) >= 0.9 * n
+    assert not [k for k, found in got.items() if k >= 10_000 and found]
+
+
+def test_the_latent_space_decides(spark, sf_small, monkeypatch):
+    """With one random direction in place of the space, the recall of the test above is not reached."""
+    docs, bench, n = planted_paraphrases(spark, sf_small)
+    one = lambda numbers, groups, s: [decontaminate.random_directions(g, 1, 1) for g in groups]
+    monkeypatch.setattr(decontaminate, "latent_spaces", one)
+    got = {r["doc_id"]: r["item_ids"] for r in decontaminate.find_contaminated(docs, bench).collect()}
+    assert sum(k in found for k, found in got.items() if k < 10_000) < 0.9 * n
+
+
+def test_latent_spaces_hold_the_items(spark, sf_small):
+    """The decomposition is that of blocks and items: the items keep their lengths in their space."""
+    bench = table(spark, sf_small, "benchmark")
+    items = decontaminate.Items.of([(r["item_id"], r["text"]) for r in bench.collect()])
+    weight = np.ones(len(items.vocabulary), np.float32)
+    s = decontaminate.Settings(rank=2 * len(items.ids))
+    (g,) = decontaminate.groups_of(items, weight, s)
+    docs = [(i, i, w.tobytes()) for i, w in enumerate(items.words)]
+    numbers = spark.createDataFrame(docs, "doc_id long, key long, words binary").repartition(3)
+    (basis,) = decontaminate.latent_spaces(numbers, [g], s)
+    rows = decontaminate.item_rows(g)
+    assert np.allclose(basis.T @ basis, np.eye(basis.shape[1]), atol=1e-4)
+    assert (np.linalg.norm(rows @ basis, axis=1) > 0.97 * np.linalg.norm(rows, axis=1)).all()
+
+
 # ---- op8
 
 def test_bpe_equals_the_library(spark, sf_small, edge, empty):
