@@ -1,20 +1,28 @@
-"""ML8 RIPPER-style rule learning (Cohen 1995) and ML19 rule text.
-
-Sequential covering for the positive (by default the minority) class over
-quantile-binned features:
-
-* grow: starting from an empty rule, add the threshold condition with the
-  best FOIL gain p1 (log2 p1/(p1+n1) - log2 p0/(p0+n0)).  Each step is ONE
-  grouped count of (feature, bin, class) over the rows the rule covers --
-  only a features x bins table reaches the driver;
-* prune: on a held-out third of the rows (H1), keep the condition prefix
-  with the best (p - n) / (p + n) -- all prefixes scored in one aggregate;
-* stop when no positives remain, the pruned rule is below 50 % precision,
-  or ``max_rules`` is reached; covered rows are removed.
-
-Thresholds are bin edges (exact quantiles), so a condition on the bin index
-is a condition on the value.  Bounded by ``max_rules`` x ``max_conds`` small
-aggregations over the cached binned table.
+"""ML8 RIPPERk rule learning (Cohen 1995) and ML19 rule text.
+
+Rules for the positive (by default the minority) class over quantile-binned
+features.  Rows collapse first to counts of distinct bin vectors (per twelfth of the
+rows, by H1, for the splits); every step below is one grouped count or one
+aggregate over that table, and only features x bins numbers reach the driver.
+
+* grow: starting from an empty rule, add the condition with the best FOIL gain
+  p1 (log2 p1/(p1+n1) - log2 p0/(p0+n0)) until no negative is covered or none gains;
+* prune: on the held-out third, keep the condition prefix with the best
+  (p - n) / (p + n); all prefixes are scored in one aggregate;
+* cover: rules are added until no positive is left, a rule is wrong on most of the
+  held-out rows it covers, or the description length exceeds the least one so far
+  by ``dl_allowance`` bits;
+* optimise, ``k`` rounds: every rule competes with a replacement (grown anew) and a
+  revision (grown on from it), both pruned for the error of the whole rule set; the
+  one with the least description length stays.  Positives left over are covered
+  again and rules that cost more bits than they save are dropped.  A round that
+  does not shorten the description is taken back, so its length never rises.
+
+The description length is that of the rules (conditions chosen among all, half
+weight for their redundancy) plus that of the exceptions (which covered rows are
+negative, which others are positive).  Thresholds are bin edges (exact quantiles),
+so a condition on the bin index is a condition on the value.  A null value meets no
+condition.  There is no limit on rules or conditions.
 """
 
 from __future__ import annotations
@@ -27,34 +35,185 @@ from pyspark.sql import functions as F
 
 from lucerna.functions.hashing import hash_uniform
 from lucerna.functions.ranking import exact_quantiles
+from lucerna.session import checkpoint_dir
+
+Rule = list[tuple[str, str, int]]
+CELLS_A_TASK = 50_000
+PARTS = 12  # parts of the rows by hash; a third of them is held out, another third for every rule
 
 
 def _bin_index(c: str, edges: list[float]) -> Column:
-    """Number of edges strictly below the value (x <= edge_k  <=>  bin <= k)."""
+    """Number of edges strictly below the value (x <= edge_k  <=>  bin <= k); null for a null value."""
     x = F.col(c).cast("double")
-    return F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < x))
+    return F.when(x.isNotNull(), F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < x)))
 
 
-def _cover(conds, edges) -> Column:
-    c = F.lit(True)
-    for f, op, k in conds:
-        c = c & ((F.col(f"_b_{f}") <= k) if op == "<=" else (F.col(f"_b_{f}") > k))
-    return c
+def _cover(conds: Rule) -> str:
+    """SQL condition of the rows that a rule covers."""
+    tests = " AND ".join(f"`_b_{f}` {op} {k}" for f, op, k in conds)
+    return f"coalesce({tests}, false)" if conds else "true"
+
 
+def _any(rules: Sequence[Rule]) -> str:
+    return "(" + " OR ".join(map(_cover, rules)) + ")" if rules else "false"
 
-def _value_cover(conds, edges) -> Column:
+
+def _value_cover(conds: Rule, edges) -> Column:
     c = F.lit(True)
     for f, op, k in conds:
         x = F.col(f"`{f}`").cast("double")
         c = c & ((x <= edges[f][k]) if op == "<=" else (x > edges[f][k]))
-    return c
+    return F.coalesce(c, F.lit(False))
+
+
+def _log2_choose(n: float, k: float) -> float:
+    return (math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)) / math.log(2)
+
+
+def rules_bits(rules: Sequence[Rule], conditions: int) -> float:
+    """Bits that say which of all ``conditions`` each rule holds; half of them, as conditions overlap."""
+    return sum(0.5 * (math.log2(conditions + 1) + _log2_choose(max(conditions, len(r)), len(r))) for r in rules)
+
+
+def exception_bits(covered: tuple[int, int], total: tuple[int, int]) -> float:
+    """Bits that say which covered rows are negative and which of the others are positive; (positive, negative) counts."""
+    (p, n), (tp, tn) = covered, total
+    return math.log2(p + n + 1) + _log2_choose(p + n, n) + math.log2(tp + tn - p - n + 1) + _log2_choose(tp + tn - p - n, tp - p)
+
+
+class _Learner:
+    """One positive class over the collapsed table: counts, growing, pruning and description lengths."""
+
+    def __init__(self, cells: DataFrame, cols: list[str], edges: dict[str, list[float]], prune_size: float):
+        self.cells, self.cols, self.edges = cells, cols, edges
+        self.held = max(1, min(PARTS - 1, round(prune_size * PARTS)))
+        self.conditions = 2 * sum(len(e) for e in edges.values())
+        self.turn = 0
+        self.total = self.counts(cells, ["true"])[0]
+
+    def counts(self, rows: DataFrame, covers: Sequence[str]) -> list[tuple[int, int]]:
+        """(positives, negatives) under each condition, in one aggregate."""
+        r = rows.agg(*[F.expr(f"coalesce(sum(CASE WHEN {c} THEN {x} END), 0) AS {x}{i}") for i, c in enumerate(covers) for x in "pn"]).first()
+        return [(r[f"p{i}"], r[f"n{i}"]) for i in range(len(covers))]
+
+    def split(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows to grow on and rows held out, another third every time."""
+        out = F.pmod(F.col("_h") + 5 * self.turn, F.lit(PARTS)) < self.held
+        self.turn += 1
+        return rows.where(~out), rows.where(out)
+
+    def grow(self, rows: DataFrame, start: Rule = ()) -> Rule:
+        conds = list(start)
+        (p0, n0), = self.counts(rows, [_cover(conds)])
+        while p0 and n0:
+            table = (rows.where(_cover(conds))
+                     .select("p", "n", F.explode(F.array(*[F.struct(F.lit(c).alias("f"), F.col(f"_b_{c}").alias("b")) for c in self.cols])).alias("s"))
+                     .where("s.b is not null").groupBy("s.f", "s.b").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).collect())
+            by: dict[str, dict[int, tuple[int, int]]] = {}
+            for r in table:
+                by.setdefault(r["f"], {})[r["b"]] = (r["p"], r["n"])
+            best, base = None, math.log2(p0 / (p0 + n0))
+            for c in self.cols:
+                for k in range(len(self.edges[c])):
+                    for op in ("<=", ">"):
+                        side = [v for b, v in by.get(c, {}).items() if (b <= k) == (op == "<=")]
+                        p1, n1 = sum(v[0] for v in side), sum(v[1] for v in side)
+                        if p1 and (p1, n1) != (p0, n0):
+                            gain = p1 * (math.log2(p1 / (p1 + n1)) - base)
+                            if gain > 1e-12 and (best is None or (gain, -n1) > best[:2]):
+                                best = (gain, -n1, c, op, k, p1)
+            if best is None:
+                break
+            _, fewer, c, op, k, p0 = best
+            n0 = -fewer
+            conds = [x for x in conds if x[:2] != (c, op)] + [(c, op, k)]  # a tighter bound replaces the one before
+        return conds
+
+    def prune(self, conds: Rule, held: DataFrame) -> tuple[Rule, tuple[int, int]]:
+        """The prefix with the best (p - n) / (p + n) on held-out rows, the shortest of equals, and its counts."""
+        found = self.counts(held, [_cover(conds[:i]) for i in range(1, len(conds) + 1)])
+        worth = [((p - n) / (p + n) if p + n else -1.0, -i) for i, (p, n) in enumerate(found)]
+        at = max(range(len(found)), key=lambda i: worth[i])
+        return conds[:at + 1], found[at]
+
+    def prune_for_set(self, conds: Rule, others: Sequence[Rule], held: DataFrame) -> Rule:
+        """The prefix with which the whole rule set has the fewest errors on held-out rows, the shortest of equals."""
+        rest = held.withColumn("_o", F.expr(_any(others)))
+        found = self.counts(rest, [f"(_o OR {_cover(conds[:i])})" for i in range(1, len(conds) + 1)])
+        at = min(range(len(found)), key=lambda i: (found[i][1] - found[i][0], i))
+        return conds[:at + 1]
+
+    def bits(self, rules: Sequence[Rule], covered: tuple[int, int]) -> float:
+        return rules_bits(rules, self.conditions) + exception_bits(covered, self.total)
+
+    def length(self, rules: Sequence[Rule]) -> float:
+        """Description length of a rule set."""
+        return self.bits(rules, self.counts(self.cells, [_any(rules)])[0])
+
+    def cover(self, rules: list[Rule], allowance: float) -> list[Rule]:
+        """Adds rules for the positives that ``rules`` leave over."""
+        rules = list(rules)
+        least = self.length(rules)
+        while True:
+            grow, held = self.split(self.cells.where(f"NOT {_any(rules)}"))
+            conds = self.grow(grow)
+            if not conds:
+                return rules
+            rule, (p, n) = self.prune(conds, held)
+            if p <= n:  # wrong on half of the held-out rows, or none is covered
+                return rules
+            length = self.length([*rules, rule])
+            if length > least + allowance:
+                return rules
+            rules.append(rule)
+            least = min(least, length)
+
+    def optimise(self, rules: list[Rule]) -> list[Rule]:
+        """Every rule against its replacement and its revision."""
+        rules = list(rules)
+        for i, rule in enumerate(rules):
+            others = rules[:i] + rules[i + 1:]
+            grow, held = self.split(self.cells.where(f"NOT {_any(others)}"))
+            _, whole = self.split(self.cells)
+            tried = [rule]
+            for start in ((), rule):
+                conds = self.grow(grow, start)
+                if conds:
+                    pruned = self.prune_for_set(conds, others, held if not others else whole)
+                    if pruned not in tried:
+                        tried.append(pruned)
+            if len(tried) > 1:
+                found = self.counts(self.cells.withColumn("_o", F.expr(_any(others))), [f"(_o OR {_cover(t)})" for t in tried])
+                lengths = [self.bits([*others, t], c) for t, c in zip(tried, found, strict=True)]
+                rules[i] = tried[min(range(len(tried)), key=lambda j: (lengths[j], j))]
+        return rules
+
+    def drop(self, rules: list[Rule]) -> tuple[list[Rule], float]:
+        """Without the rules that lengthen the description, the worst first; and its length."""
+        rules = list(rules)
+        while True:
+            # without a rule, the rows go that no other rule covers
+            hits = self.cells.select("p", "n", *[F.expr(f"{_cover(r)} AS _r{i}") for i, r in enumerate(rules)])
+            hits = hits.withColumn("_hits", F.expr(" + ".join(["0", *[f"CAST(_r{i} AS INT)" for i in range(len(rules))]])))
+            whole, *alone = self.counts(hits, ["_hits > 0", *[f"_r{i} AND _hits = 1" for i in range(len(rules))]])
+            lengths = [self.bits(rules, whole), *[self.bits(rules[:i] + rules[i + 1:], (whole[0] - p, whole[1] - n))
+                                                  for i, (p, n) in enumerate(alone)]]
+            best = min(range(len(lengths)), key=lambda i: (lengths[i], i))
+            if best == 0:
+                return rules, lengths[0]
+            rules.pop(best - 1)
 
 
 def fit_ripper(df: DataFrame, feature_cols: Sequence[str], label: str = "label", id_col: str = "id",
-               positive=None, n_bins: int = 10, max_rules: int = 10, max_conds: int = 4,
-               seed=2020) -> dict:
-    """Learn a rule list for the positive class; returns a small model dict
-    (positive class, feature edges, rules as (feature, op, edge index))."""
+               positive=None, n_bins: int = 10, k: int = 2, prune_size: float = 1.0 / 3.0,
+               dl_allowance: float = 64.0, seed=2020) -> dict:
+    """Learn a rule list for the positive class with ``k`` optimisation rounds.
+
+    Returns a small model dict: positive and negative class, feature edges,
+    rules as (feature, op, edge index) and ``history``, the number of rules
+    and the description length (bits) after covering and after every round.
+    """
+    checkpoint_dir(df.sparkSession)
     cols = list(feature_cols)
     counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
     if positive is None:
@@ -63,67 +222,21 @@ def fit_ripper(df: DataFrame, feature_cols: Sequence[str], label: str = "label",
                                          for c in cols])).alias("s")).select("s.*")
     qrows = exact_quantiles(long, "v", ["feature"], [i / n_bins for i in range(1, n_bins)]).collect()
     edges = {c: sorted({r["q"] for r in qrows if r["feature"] == c}) for c in cols}
-    binned = df.select(id_col, (F.col(label) == F.lit(positive)).cast("int").alias("_y"),
-                       (hash_uniform(id_col, seed, "prune") < 1.0 / 3.0).alias("_prune"),
-                       *[_bin_index(c, edges[c]).alias(f"_b_{c}") for c in cols]).persist()
-    rules: list[list[tuple[str, str, int]]] = []
-    remaining = binned
-    for _ in range(max_rules):
-        grow = remaining.where(~F.col("_prune"))
-        tot = grow.agg(F.sum("_y").alias("p"), F.count(F.lit(1)).alias("n")).first()
-        if not tot["p"]:
-            break
-        conds: list[tuple[str, str, int]] = []
-        p0, n0 = tot["p"], tot["n"] - tot["p"]
-        while len(conds) < max_conds and n0 > 0:
-            covered = grow.where(_cover(conds, edges))
-            tab = (covered.select("_y", F.explode(F.array(*[F.struct(F.lit(c).alias("f"), F.col(f"_b_{c}").alias("b"))
-                                                            for c in cols])).alias("s"))
-                   .groupBy("s.f", "s.b").agg(F.sum("_y").alias("p"), F.count(F.lit(1)).alias("n")).collect())
-            cnt: dict[str, dict[int, tuple[int, int]]] = {}
-            for r in tab:
-                cnt.setdefault(r["f"], {})[r["b"]] = (r["p"], r["n"] - r["p"])
-            best = None
-            base = math.log2(p0 / (p0 + n0))
-            for c in cols:
-                for k in range(len(edges[c])):
-                    le = [cnt.get(c, {}).get(b, (0, 0)) for b in range(k + 1)]
-                    p_le, n_le = sum(x[0] for x in le), sum(x[1] for x in le)
-                    for op, p1, n1 in (("<=", p_le, n_le), (">", p0 - p_le, n0 - n_le)):
-                        if p1 <= 0 or any(cf == c and co == op for cf, co, _ in conds):
-                            continue
-                        gain = p1 * (math.log2(p1 / (p1 + n1)) - base)
-                        cand = (gain, -n1, c, op, k)
-                        if gain > 1e-12 and (best is None or cand[:2] > best[:2]):
-                            best = cand
-            if best is None:
-                break
-            _, _, c, op, k = best
-            conds.append((c, op, k))
-            p0, n0 = sum(cnt[c][b][0] for b in cnt[c] if (b <= k if op == "<=" else b > k)), \
-                sum(cnt[c][b][1] for b in cnt[c] if (b <= k if op == "<=" else b > k))
-        if not conds:
-            break
-        # prune: score every prefix on the prune rows in one aggregate
-        pr = remaining.where(F.col("_prune"))
-        aggs = []
-        for i in range(1, len(conds) + 1):
-            cv = _cover(conds[:i], edges)
-            aggs += [F.sum(F.when(cv, F.col("_y")).otherwise(0)).alias(f"p{i}"),
-                     F.sum(F.when(cv, 1 - F.col("_y")).otherwise(0)).alias(f"n{i}")]
-        sc = pr.agg(*aggs).first()
-        scored = []
-        for i in range(1, len(conds) + 1):
-            p, n = sc[f"p{i}"] or 0, sc[f"n{i}"] or 0
-            scored.append(((p - n) / (p + n) if p + n else -1.0, -i, i, p, n))
-        best_v, _, keep, p, n = max(scored)
-        rule = conds[:keep]
-        if p + n > 0 and p / (p + n) < 0.5:
-            break
-        rules.append(rule)
-        remaining = remaining.where(~_cover(rule, edges))
-    binned.unpersist()
-    return {"positive": positive, "edges": edges, "rules": rules,
+    y = (F.col(label) == F.lit(positive)).cast("long")
+    bins = [_bin_index(c, edges[c]).alias(f"_b_{c}") for c in cols]
+    cells = (df.select(y.alias("_y"), F.floor(hash_uniform(id_col, seed, "prune") * PARTS).cast("int").alias("_h"), *bins)
+             .groupBy("_h", *[f"_b_{c}" for c in cols]).agg(F.sum("_y").alias("p"), F.sum(1 - F.col("_y")).alias("n")).checkpoint())
+    # it is read some hundred times: no more tasks than its size asks for
+    cells = cells.coalesce(max(1, cells.count() // CELLS_A_TASK)).checkpoint()
+    learner = _Learner(cells, cols, edges, prune_size)
+    rules, length = learner.drop(learner.cover([], dl_allowance))
+    history = [(len(rules), length)]
+    for _ in range(k):
+        again, shorter = learner.drop(learner.cover(learner.optimise(rules), dl_allowance))
+        if shorter < length:
+            rules, length = again, shorter
+        history.append((len(rules), length))
+    return {"positive": positive, "edges": edges, "rules": rules, "history": history,
             "negative": next((c for c in sorted(counts) if c != positive), None)}
 
 
@@ -150,3 +263,8 @@ def ripper_rules_table(spark, model: dict) -> DataFrame:
     rows = [(i, " and ".join(f"{f} {op} {model['edges'][f][k]:.2f}" for f, op, k in rule))
             for i, rule in enumerate(model["rules"])]
     return spark.createDataFrame(rows or [(-1, "")], "rule_no int, rule string")
+
+
+def ripper_history(spark, model: dict) -> DataFrame:
+    """``round, n_rules, bits``: the description length after covering (round 0) and after each round."""
+    return spark.createDataFrame([(i, n, float(b)) for i, (n, b) in enumerate(model["history"])], "round int, n_rules int, bits double")

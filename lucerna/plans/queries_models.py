@@ -278,6 +278,13 @@ def ml_ripper_rules(v):
     return ripper_rules_table(v.spark, model)
 
 
+@query("ml_ripper_history", "ML8")
+def ml_ripper_history(v):
+    from lucerna.operators.ripper import ripper_history
+    model, _ = _ripper(v)
+    return ripper_history(v.spark, model)
+
+
 @query("hs_ann_halving", "HS3,ML5")
 def hs_ann_halving(v):
     from lucerna.operators.scale import normalise
