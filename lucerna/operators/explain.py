@@ -10,9 +10,9 @@ results come back through grouped aggregations.  Randomness is H1.
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from lucerna.functions.exprs import rnd, with_scalars
 from lucerna.functions.hashing import hash_uniform
 from lucerna.functions.ranking import exact_quantiles, row_number_by_hash
+from lucerna.session import checkpoint_dir
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -278,16 +279,22 @@ def forest_importance(test: DataFrame, feature_cols: Sequence[str], task: str,
 # ---------------------------------------------------------------- EX15/EX16 anchors
 
 def anchors(train: DataFrame, explain: DataFrame, feature_cols: Sequence[str],
-            id_col: str = "id", pred_col: str = "prediction", threshold: float = 0.95,
-            max_size: int = 3) -> DataFrame:
+            id_col: str = "id", pred_col: str = "prediction", threshold: float = 0.95) -> DataFrame:
     """EX15: per explained row, the anchor (conjunction of "feature in my quartile
-    bin" predicates, at most ``max_size``) with precision >= threshold; shortest
+    bin" predicates, of any size) with precision >= threshold; shortest
     first, then highest coverage, then rule text; none -> highest precision.
 
     Precision / coverage are empirical over the train rows (with their
-    predictions): one grouped count per (subset, bin tuple, prediction).
+    predictions).  Rows collapse to distinct bin vectors, and the search goes
+    level by level: a level extends the conjunctions of the one before by one
+    predicate, only for vectors without an anchor so far and only where a
+    train row with the same prediction is still covered (a longer conjunction
+    covers no others).  Covered train vectors come from a vertical index, (predicate,
+    vector) rows, by equi-joins; rule texts are written for the winners alone.
     Output: id, rule, precision, coverage, size.
     """
+    spark = train.sparkSession
+    checkpoint_dir(spark)
     cols = list(feature_cols)
     long = train.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"),
                                                      F.col(c).cast("double").alias("value"))
@@ -295,41 +302,57 @@ def anchors(train: DataFrame, explain: DataFrame, feature_cols: Sequence[str],
     qrows = exact_quantiles(long, "value", ["feature"], [0.25, 0.5, 0.75]).collect()
     q = {c: sorted(r["q"] for r in qrows if r["feature"] == c) for c in cols}
 
-    def bin_of(c):
-        x = F.col(c).cast("double")
-        q1, q2, q3 = q[c]
-        return F.when(x <= q1, 0).when(x <= q2, 1).when(x <= q3, 2).otherwise(3)
+    def item(i: int, c: str) -> Column:
+        """The row's predicate of a feature as a number: 4 i + quartile."""
+        x, (q1, q2, q3) = F.col(c).cast("double"), q[c]
+        return F.lit(4 * i) + F.when(x <= q1, 0).when(x <= q2, 1).when(x <= q3, 2).otherwise(3)
 
-    def text(c, b):
+    def texts(c: str) -> list[str]:
         q1, q2, q3 = (f"{math.floor(v * 100.0 + 0.5) / 100.0:.2f}" for v in q[c])   # as exprs.rnd
-        return F.element_at(F.array(F.lit(f"{c} <= {q1}"), F.lit(f"{q1} < {c} <= {q2}"),
-                                    F.lit(f"{q2} < {c} <= {q3}"), F.lit(f"{c} > {q3}")), b + 1)
-
-    subsets = [s for k in range(1, max_size + 1) for s in itertools.combinations(cols, k)]
-    sub_arr = lambda bins: F.array(*[
-        F.struct(F.lit(i).alias("sub"), F.lit(len(s)).alias("size"),
-                 F.concat_ws(",", *[bins[c].cast("string") for c in s]).alias("key"),
-                 F.concat_ws(" AND ", *[text(c, bins[c]) for c in s]).alias("rule"))
-        for i, s in enumerate(subsets)])
-    tb = {c: bin_of(c) for c in cols}
-    n_train = train.count()
-    counts = (train.select(F.col(pred_col).alias("_p"), F.explode(sub_arr(tb)).alias("a"))
-              .groupBy("a.sub", "a.key", "_p").agg(F.count(F.lit(1)).alias("_c")))
-    covered = counts.groupBy("sub", "key").agg(F.sum("_c").alias("_cov"))
-    same = counts.select("sub", "key", F.col("_p").alias("_mine"), "_c")
-    cand = (explain.select(id_col, F.col(pred_col).alias("_mine"), F.explode(sub_arr(tb)).alias("a"))
-            .select(id_col, "_mine", "a.*"))
-    scored = (cand.join(covered, ["sub", "key"], "left")
-              .join(same, ["sub", "key", "_mine"], "left")
-              .select(id_col, "rule", "size",
-                      F.coalesce(F.col("_c") / F.col("_cov"), F.lit(0.0)).alias("precision"),
-                      (F.coalesce(F.col("_cov"), F.lit(0)) / F.lit(float(n_train))).alias("coverage")))
+        return [f"{c} <= {q1}", f"{q1} < {c} <= {q2}", f"{q2} < {c} <= {q3}", f"{c} > {q3}"]
+
+    vector = F.array(*[item(i, c) for i, c in enumerate(cols)])
+    cells = (train.groupBy(vector.alias("v"), F.col(pred_col).alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
+             .withColumn("t", F.xxhash64("v")).checkpoint())
+    n_train = cells.agg(F.sum("_c")).first()[0] or 0
+    index = cells.select("t", F.explode("v").alias("i")).distinct().checkpoint()
+    rows = explain.select(id_col, vector.alias("v"), F.col(pred_col).alias("_mine"))
+    asked = rows.select("v", "_mine").distinct().withColumn("w", F.xxhash64("v", "_mine")).checkpoint()
+    # one row per (vector asked for, conjunction): its items ascending, and the hash that names them
+    level = asked.select("w", "_mine", "v", F.lit(0).cast("long").alias("before"), F.array().cast("array<int>").alias("items"))
+    cover = cells.select(F.lit(0).cast("long").alias("before"), "t").distinct()
+    parts = []
+    for size in range(1, len(cols) + 1):
+        later = F.filter("v", lambda x: x > F.element_at("items", -1)) if parts else F.col("v")
+        level = (level.select("w", "_mine", "v", "before", "items", F.explode(later).alias("i"))
+                 .select("w", "_mine", "v", "before", "i", F.concat("items", F.array("i")).alias("items"))
+                 .withColumn("name", F.xxhash64("items")))
+        wanted = level.select("before", "i", "name").distinct()
+        cover = wanted.join(cover, "before").join(index, ["i", "t"]).select(F.col("name").alias("before"), "t").checkpoint()
+        counts = (cover.join(cells.select("t", "_p", "_c"), "t").groupBy("before", "_p").agg(F.sum("_c").alias("_c"))
+                  .withColumnRenamed("before", "name"))
+        covered = counts.groupBy("name").agg(F.sum("_c").alias("_cov"))
+        scored = (level.join(covered, "name", "left").join(counts.select("name", F.col("_p").alias("_mine"), "_c"), ["name", "_mine"], "left")
+                  .select("w", "_mine", "v", F.col("name").alias("before"), "items", F.lit(size).alias("size"),
+                          F.coalesce(F.col("_c") / F.col("_cov"), F.lit(0.0)).alias("precision"),
+                          (F.coalesce(F.col("_cov"), F.lit(0)) / F.lit(float(n_train or 1))).alias("coverage"))).checkpoint()
+        parts.append(scored)
+        solved = scored.where(F.col("precision") >= threshold).select("w").distinct()
+        level = scored.where("precision > 0").join(solved, "w", "left_anti").select("w", "_mine", "v", "before", "items")
+        if level.isEmpty():
+            break
+    # of equal ones all stay: the rule texts decide between them
     ok = F.col("precision") >= threshold
-    w = Window.partitionBy(id_col).orderBy(
-        F.when(ok, 0).otherwise(1), F.when(ok, F.col("size")).otherwise(0),
-        F.when(ok, -F.col("coverage")).otherwise(-F.col("precision")),
-        F.col("size"), -F.col("coverage"), F.col("rule"))
-    return scored.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    order = Window.partitionBy("w").orderBy(
+        F.when(ok, 0).otherwise(1), F.when(ok, F.col("size")).otherwise(0), F.when(ok, -F.col("coverage")).otherwise(-F.col("precision")),
+        F.col("size"), -F.col("coverage"))
+    best = reduce(DataFrame.unionByName, parts).withColumn("_r", F.rank().over(order)).where("_r = 1").drop("_r")
+    said = F.array(*[F.lit(t) for c in cols for t in texts(c)])
+    rule = F.concat_ws(" AND ", F.transform("items", lambda i: F.element_at(said, i + 1)))
+    first = Window.partitionBy("w").orderBy("rule")
+    won = (best.withColumn("rule", rule).withColumn("_r", F.row_number().over(first)).where("_r = 1")
+           .select("w", "rule", "size", "precision", "coverage"))
+    return rows.withColumn("w", F.xxhash64("v", "_mine")).join(won, "w").select(id_col, "rule", "size", "precision", "coverage")
 
 
 def anchors_global(local: DataFrame) -> DataFrame:

@@ -197,7 +197,7 @@ _ANCHOR_COLS = FEATURES
 
 def _anchor_sql(select_local: str) -> str:
     cols = _ANCHOR_COLS
-    subsets = [s for k in range(1, 4) for s in itertools.combinations(cols, k)]
+    subsets = [s for k in range(1, len(cols) + 1) for s in itertools.combinations(cols, k)]
 
     def txt(c):
         q = [f"printf('%.2f', {R(f'q{j}_{c}', 2)})" for j in (1, 2, 3)]
