@@ -60,20 +60,20 @@ class Trees:
         return 1 / (1 + np.exp(-total))
 
 
-def boost(x: np.ndarray, y: np.ndarray, trees: int = 120, depth: int = 4, rate: float = 0.1, bins: int = 64,
+def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 120, depth: int = 4, rate: float = 0.1, bins: int = 64,
           smooth: float = 5.0, least: int = 20) -> Trees:
-    """Logistic boosting; splits are searched on histograms of quantile bins."""
+    """Logistic boosting of weighted rows; splits are searched on histograms of quantile bins."""
     n, d = x.shape
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(d)]
     binned = np.stack([np.searchsorted(e, x[:, j]) for j, e in enumerate(edges)], 1)
-    share = (y.sum() + 1) / (n + 2)
+    share = ((y * weight).sum() + 1) / (weight.sum() + 2)
     base = float(np.log(share / (1 - share)))
     f = np.full(n, base)
     out: list[list[float]] = []  # feature, threshold, left, right, value
     roots = []
     for _ in range(trees):
         p = 1 / (1 + np.exp(-f))
-        g, h = y - p, p * (1 - p)
+        g, h = weight * (y - p), weight * p * (1 - p)
         roots.append(len(out))
         out.append([0, np.inf, len(out), len(out), 0.0])
         node = np.full(n, roots[-1])
@@ -87,7 +87,7 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 120, depth: int = 4, rate:
                 size = len(edges[j]) + 1
                 key = at[live] * size + binned[live, j]
                 gs, hs, cs = (np.bincount(key, v, len(front) * size).reshape(-1, size)
-                              for v in (g[live], h[live], np.ones(live.sum())))
+                              for v in (g[live], h[live], weight[live]))
                 gl, hl, cl = (np.cumsum(v, 1)[:, :-1] for v in (gs, hs, cs))
                 gt, ht, ct = (v.sum(1, keepdims=True) for v in (gs, hs, cs))
                 got = gl ** 2 / (hl + smooth) + (gt - gl) ** 2 / (ht - hl + smooth) - gt ** 2 / (ht + smooth)
@@ -137,22 +137,25 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def fit(featured: DataFrame, labels: DataFrame, sample: int = 20_000) -> Trees | None:
-    """Boosted trees from about ``sample`` labelled rows that are not held out.
+    """Boosted trees from about ``sample`` distinct labelled rows that are not held out.
 
-    Rows are drawn by a hash of their features, so the draw is the same whatever
+    Rows with the same features and label are one row with their number as weight,
+    so a hot group of copies neither crowds out the others nor is cut.  Rows
+    are drawn by a hash of their features, so the draw is the same whatever
     the partitioning.  Rows without a label, or with a null one, are left out; an
     id with several labels counts as their majority.  None without a label.
     """
     label = (labels.where("quality is not null and doc_id is not null").groupBy("doc_id")
              .agg((F.avg("quality") >= 0.5).cast("int").alias("y")))
     rows = featured.where(~held_out()).join(label, "doc_id").select("x", "y")
-    rows = saved(rows, "quality-labelled")
+    rows = saved(rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")), "quality-labelled")
     count = rows.count()
     draw = F.pmod(F.xxhash64("x", "y"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    got = rows.where(draw * count < sample).orderBy("y", "x").limit(2 * sample).toArrow()
+    got = rows.where(draw * count < sample).orderBy("x", "y").toArrow()
     if not got.num_rows:
         return None
-    return boost(np.array(got.column("x").to_pylist(), np.float64), got.column("y").to_numpy().astype(np.float64))
+    return boost(np.array(got.column("x").to_pylist(), np.float64), got.column("y").to_numpy().astype(np.float64),
+                 got.column("n").to_numpy().astype(np.float64))
 
 
 def score(featured: DataFrame, model: Trees | None) -> DataFrame:

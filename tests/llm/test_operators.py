@@ -66,6 +66,44 @@ def test_kneser_ney_sums_to_one():
     model = perplexity.KneserNey(distinct, counts)
     for context in [*(distinct[:5] >> 6), 12345]:
         assert model.probability((int(context) << 6) + np.arange(64)).sum() == pytest.approx(1)
+    asked = np.append(distinct[counts > 1].astype(np.int64), [7, 1 << 29])
+    assert np.allclose(model.costs(asked), -np.log(model.probability(asked)), atol=1e-6)
+    own = distinct[counts == 1].astype(np.int64)  # a text's own n-grams do not vouch for it
+    assert (model.costs(own) > -np.log(model.probability(own))).all()
+
+
+def test_ngram_counts_equal_brute_force(spark, monkeypatch):
+    texts = ["The cat. The hat", "a", "", None, "The cat. The hat", "ÄÖ 12\nnext"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    classes = perplexity.symbol_classes()
+    want = Counter()
+    for t in texts:
+        s = [0] * 4 + [int(classes[ord(c)]) for c in t or ""]
+        want.update(sum(c << 6 * (4 - j) for j, c in enumerate(s[i:i + 5])) for i in range(len(s) - 4))
+    monkeypatch.setattr(perplexity, "MERGE", 3)
+    assert {r["key"]: r["n"] for r in perplexity.count_ngrams(df).collect()} == want
+    monkeypatch.setattr(perplexity, "LIMIT", 3)  # a larger table is summed up to 4-grams
+    small = perplexity.train(df)
+    assert small.order == 4 and set(small.grams[0][0].tolist()) == {k & (64 ** 4 - 1) for k in want}
+
+
+def test_perplexity_rejects_word_salad_and_keeps_clean_text(spark):
+    """Planted texts with their words in another order go, what they were made from stays."""
+    draw = random.Random(6)
+    docs = table(spark, "/root/testdata/sf0.1", "documents").where("lang is not null and doc_id < 4000").orderBy("doc_id").collect()
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs]
+    ordinary = [r for r in rows if len(r[1]) > 800 and re.match(r"\w+[^!|#]*$", r[1]) and len(set(r[1].split())) > 80]
+    salad = []
+    for i, t, lang in ordinary[::7][:40]:
+        words = t.split()
+        draw.shuffle(words)
+        salad.append((100_000 + i, " ".join(words), lang))
+    out = perplexity.quality_rules(spark.createDataFrame(rows + salad, "doc_id long, text string, lang string").repartition(4))
+    kept = {r["doc_id"]: r["kept"] for r in out.where("not base_failed").collect()}
+    mixed = [kept[i] for i, _, _ in salad if i in kept]
+    clean = [kept[i] for i, _, _ in ordinary if i in kept]
+    assert len(mixed) >= 35 and sum(mixed) <= 0.1 * len(mixed)
+    assert sum(clean) >= 0.99 * len(clean) and len(clean) > 2000
 
 
 # ---- op2
@@ -422,6 +460,19 @@ def test_quality_classifier(spark, edge, empty):
     assert quality.classify(edge, labels.limit(0)).where("score <> 0.5").count() == 0
 
 
+def test_quality_sample_weighs_copies(spark):
+    """A hot group among the labelled rows is one weighted row: both labels stay in the fit."""
+    good = [(i, f"A sensible sentence number {i}, with words of many kinds in it. It ends well.") for i in range(300)]
+    bad = [(1000 + i, f"### {i} $$$ || <x> {i} {i} {i} ###") for i in range(300)]
+    hot = [(5000 + i, "### 1 $$$ || <x> 1 1 1 ###") for i in range(1500)]
+    docs = spark.createDataFrame(good + bad + hot, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i < 1000)) for i, _ in good + bad + hot], "doc_id long, quality int")
+    out = {r["doc_id"]: r["score"] for r in quality.classify(docs, labels).collect()}
+    assert min(out[i] for i in range(300)) > 0.6 and max(v for i, v in out.items() if i >= 1000) < 0.3
+    model = quality.fit(quality.features(docs), labels, sample=100)
+    assert model is not None and len(model.roots)
+
+
 def test_held_out_is_crc32_mod_5(spark):
     got = spark.range(200).select("id", held_out("id").alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in got)
