@@ -261,18 +261,21 @@ def _out(rows: list[tuple]) -> pa.RecordBatch:
                                        pa.array(d, pa.int64())], ["page_id", "url", "text", "n_shared"])
 
 
-def _splitters(keys: DataFrame, pages_per_bucket: int, most: int = 20_000) -> list[str]:
-    """Bucket borders of the order of places from a hash sample of some ten per border."""
+def _splitters(keys: DataFrame, pages_per_bucket: int) -> list[str]:
+    """Bucket borders of the order of places from a hash sample of some five per border.
+
+    The number of buckets grows with the pages, so that none holds much more than ``pages_per_bucket``.
+    """
     total = keys.count()
-    buckets = max(1, min(most, total // pages_per_bucket))
+    buckets = max(1, total // pages_per_bucket)
     if buckets == 1:
         return []
-    every = max(1, total // (10 * buckets))
+    every = max(1, total // (5 * buckets))
     sample = sorted(r[0] for r in keys.where(F.pmod(F.xxhash64("place"), F.lit(every)) == 0).select("place").collect())
     return sorted({sample[len(sample) * i // buckets] for i in range(1, buckets)} if sample else set())
 
 
-def extract(pages: DataFrame, pages_per_bucket: int = 200) -> DataFrame:
+def extract(pages: DataFrame, pages_per_bucket: int = 500) -> DataFrame:
     """``(page_id, url, text, n_shared)`` per row of ``pages(page_id, url, html)``.
 
     The text is the page's main text: character references decoded, white space in
@@ -314,6 +317,6 @@ def extract(pages: DataFrame, pages_per_bucket: int = 200) -> DataFrame:
     rows = dealt.withColumns({"side": F.lit(1), "lines": F.lit(None).cast("array<long>")}).unionByName(
         ghosts.withColumns({"page_id": F.lit(None).cast("long"), "url": F.lit(None).cast("string"),
                             "html": F.lit(None).cast("string")}))
-    return (rows.repartition("bucket").sortWithinPartitions("bucket", "side", "host", "path", "page_id", "html")
+    return (rows.repartition(len(borders) + 1, "bucket").sortWithinPartitions("bucket", "side", "host", "path", "page_id", "html")
             .select("bucket", "side", "host", "path", "lines", "page_id", "url", "html")
             .mapInArrow(_difference, "page_id long, url string, text string, n_shared long"))
