@@ -486,84 +486,73 @@ def round_cols(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame
 
 # ---------------------------------------------------------------- EX3 LIME
 
-def lime_local(rows: DataFrame, train: DataFrame, feature_cols: Sequence[str], scorer: Scorer,
-               id_col: str = "id", n_samples: int = 5000, alpha: float = 1.0, seed=0) -> DataFrame:
-    """EX3: LIME with quartile discretisation and a weighted local ridge per row.
-
-    Sample j of row x (j = 0 is x itself) draws, per feature, a quartile bin
-    with the training bin frequencies (H1) and takes that bin's training
-    mean; z_f = 1 when the drawn bin is x's bin.  Weight sqrt(exp(-d^2 /
-    width^2)), d = distance of z to x's all-ones vector, width = 0.75 sqrt(d).
-    Rows x samples are scored in one pass.  The samples of a row are folded into
-    its normal equations by partial sums before the shuffle; only the d x d
-    solve runs in Python.
-    Output: id, feature, attribution, range, local_prediction.
+def lime_local(rows: DataFrame, train: DataFrame, feature_cols: Sequence[str], scorer: Scorer | dict[int, Scorer],
+               id_col: str = "id", label: str | None = None, num_features: int | None = None, n_samples: int = 5000,
+               alpha: float = 1.0, seed=0) -> DataFrame:
+    """EX3: LIME with discretised features, forward selection and a weighted local ridge per row.
+
+    Features are cut by entropy where ``label`` names the training classes (the
+    classification case), else at the quartiles.  Sample j draws, per feature, an
+    interval with the training frequencies (H1) and takes that interval's
+    training mean; z_f = 1 when the drawn interval is the row's.  Weight sqrt(exp(-d^2 /
+    width^2)), d = distance of z to the row's all-ones vector, width = 0.75 sqrt(d).
+    The samples are drawn and scored once for all rows (common random numbers), and
+    every row adds itself as one more sample.  A row's normal equations depend on
+    its intervals and score alone, so rows are solved where they are, without a shuffle.
+
+    With several scorers (class -> scorer) a row is explained for its class of
+    the highest score.  Forward selection keeps the ``num_features`` features (all by
+    default) that raise the weighted R2 most, one after the other.
+    Output: id, feature, attribution, range, class, local_prediction.
     """
-    from lucerna.functions.local_fit import ridge_from_sums
+    from lucerna.functions.local_fit import lime_solver
+    from lucerna.operators.discretise import entropy_cuts, quartile_cuts, range_texts
+    spark = train.sparkSession
     cols = list(feature_cols)
-    long = train.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
-                                            for c in cols])).alias("s")).select("s.*")
-    qrows = exact_quantiles(long, "value", ["feature"], [0.25, 0.5, 0.75]).collect()
-    q = {c: sorted(r["q"] for r in qrows if r["feature"] == c) for c in cols}
+    scorers = scorer if isinstance(scorer, dict) else {1: scorer}
+    classes = sorted(scorers)
+    cuts = entropy_cuts(train, cols, label) if label else quartile_cuts(train, cols)
 
-    def bin_of(x, c):
-        q1, q2, q3 = q[c]
-        return F.when(x <= q1, 0).when(x <= q2, 1).when(x <= q3, 2).otherwise(3)
-    # per-bin training frequency and mean: features x 4 rows
-    bstat = {}
-    for r in (train.select(*[bin_of(F.col(c).cast("double"), c).alias(f"b_{c}") for c in cols],
-                           *[F.col(c).cast("double").alias(c) for c in cols])
-              .select(F.explode(F.array(*[F.struct(F.lit(c).alias("f"), F.col(f"b_{c}").alias("b"),
-                                                   F.col(c).alias("v")) for c in cols])).alias("s"))
-              .groupBy("s.f", "s.b").agg(F.count(F.lit(1)).alias("n"), F.avg("s.v").alias("m")).collect()):
-        bstat[(r["f"], r["b"])] = (r["n"], r["m"])
-    width = 0.75 * (len(cols) ** 0.5)
-    base = rows.select(id_col, *[F.col(c).cast("double").alias(c) for c in cols],
-                       *[bin_of(F.col(c).cast("double"), c).alias(f"xb_{c}") for c in cols])
-    ex = base.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
-    # draw every feature's bin once (one md5 per row, sample and feature) ...
-    draws = []
-    for c in cols:
-        tot = sum(bstat.get((c, b), (0, 0))[0] for b in range(4)) or 1
-        cum, edges = 0.0, []
-        for b in range(4):
-            cum += bstat.get((c, b), (0, 0))[0] / tot
-            edges.append(cum)
-        u = hash_uniform(id_col, seed, F.col("_j"), c)
-        drawn = F.when(u < edges[0], 0).when(u < edges[1], 1).when(u < edges[2], 2).otherwise(3)
-        draws.append(F.when(F.col("_j") == 0, F.col(f"xb_{c}")).otherwise(drawn).alias(f"d_{c}"))
-    ex = ex.select("*", F.explode(F.array(F.struct(*draws))).alias("_d")).select("*", "_d.*").drop("_d")
-    # ... then values and indicators from the drawn bins
-    sel, zs = [], []
+    def interval(c: str) -> Column:
+        x = F.col(c).cast("double")
+        return F.size(F.filter(F.array(*[F.lit(e) for e in cuts[c]]).cast("array<double>"), lambda e: e < x))
+    # training frequency and mean of every interval: features x (cuts + 1) rows
+    stat: dict[tuple[str, int], tuple[int, float]] = {}
+    for r in (train.select(F.explode(F.array(*[F.struct(F.lit(c).alias("f"), interval(c).alias("b"), F.col(c).cast("double").alias("v"))
+                                               for c in cols])).alias("s"))
+              .where("s.v is not null").groupBy("s.f", "s.b").agg(F.count(F.lit(1)).alias("n"), F.avg("s.v").alias("m")).collect()):
+        stat[(r["f"], r["b"])] = (r["n"], r["m"])
+    drawn, means = [], []
     for c in cols:
-        means = F.array(*[F.lit(bstat.get((c, b), (0, 0.0))[1]) for b in range(4)])
-        val = F.when(F.col("_j") == 0, F.col(c)).otherwise(F.element_at(means, F.col(f"d_{c}") + 1))
-        sel.append(val.alias(c))
-        zs.append(F.when(F.col(f"d_{c}") == F.col(f"xb_{c}"), 1.0).otherwise(0.0).alias(f"z_{c}"))
-    pert = ex.select(id_col, "_j", *sel, *zs)
-    d2 = sum(((1.0 - F.col(f"z_{c}")) ** 2 for c in cols[1:]), (1.0 - F.col(f"z_{cols[0]}")) ** 2)
-    scored = scorer(pert).select(F.col(id_col).alias("id"), F.col("score").alias("y"),
-                                 F.sqrt(F.exp(-d2 / (width * width))).alias("w"), *[f"z_{c}" for c in cols])
-    w, y, z = F.col("w"), F.col("y"), [F.col(f"z_{c}") for c in cols]
-    d = len(cols)
-    sums = [w, w * y, *[w * a for a in z], *[w * a * y for a in z],
-            *[w * z[i] * z[j] for i in range(d) for j in range(i, d)]]
-    folded = scored.groupBy("id").agg(*[F.sum(e).alias(f"s{i}") for i, e in enumerate(sums)])
-    solve = F.pandas_udf(ridge_from_sums(d, alpha), ", ".join(f"c{i} double" for i in range(d + 1)))
-    fit = (folded.select("id", solve(*[F.col(f"s{i}") for i in range(len(sums))]).alias("c"))
-           .select("id", F.col(f"c.c{d}").alias("local_prediction"), F.explode(F.array(*[
-               F.struct(F.lit(f).alias("feature"), F.col(f"c.c{i}").alias("attribution"))
-               for i, f in enumerate(cols)])).alias("s"))
-           .select("id", "s.feature", "s.attribution", "local_prediction"))
-
-    def text(c, b):
-        q1, q2, q3 = (f"{v:.2f}" for v in q[c])
-        return F.element_at(F.array(F.lit(f"{c} <= {q1}"), F.lit(f"{q1} < {c} <= {q2}"),
-                                    F.lit(f"{q2} < {c} <= {q3}"), F.lit(f"{c} > {q3}")), b + 1)
-    ranges = base.select(F.col(id_col).alias("id"), F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), text(c, F.col(f"xb_{c}")).alias("range")) for c in cols])).alias("s")
-    ).select("id", "s.*")
-    return fit.join(ranges, ["id", "feature"])
+        size = len(cuts[c]) + 1
+        total = sum(stat.get((c, b), (0, 0.0))[0] for b in range(size)) or 1
+        u, upto, bins = hash_uniform(F.col("_j"), seed, c), 0, F.lit(size - 1)
+        edges = []
+        for b in range(size):
+            upto += stat.get((c, b), (0, 0.0))[0]
+            edges.append(upto / total)
+        for b in reversed(range(size - 1)):
+            bins = F.when(u < edges[b], b).otherwise(bins)
+        drawn.append(bins.alias(f"d_{c}"))
+        mean = F.array(*[F.lit(float(stat.get((c, b), (0, 0.0))[1])) for b in range(size)])
+        means.append(F.element_at(mean, F.col(f"d_{c}") + 1).alias(c))
+    points = spark.range(1, n_samples).withColumnRenamed("id", "_j").select("_j", *drawn).select(
+        F.col("_j").alias(id_col), *[f"d_{c}" for c in cols], *means)
+    scored = points.select(id_col, *[f"d_{c}" for c in cols]).toPandas().set_index(id_col)
+    for y in classes:  # n_samples numbers a class
+        got = scorers[y](points).select(id_col, F.col("score").cast("double").alias(f"y_{y}")).toPandas().set_index(id_col)
+        scored = scored.join(got)
+    own = rows.select(id_col, *[F.col(c).cast("double").alias(c) for c in cols], *[interval(c).alias(f"d_{c}") for c in cols])
+    for y in classes:
+        own = scorers[y](own).withColumnRenamed("score", f"y_{y}")
+    keep = [id_col, *[f"d_{c}" for c in cols], *[f"y_{y}" for y in classes]]
+    solve = lime_solver(scored[[f"d_{c}" for c in cols]].to_numpy(), scored[[f"y_{y}" for y in classes]].to_numpy(float), id_col, cols,
+                        classes, alpha, num_features or len(cols))
+    kind = rows.schema[id_col].dataType.simpleString()
+    fit = own.select(*keep).mapInPandas(solve, f"id {kind}, feature string, attribution double, bin int, class int, local_prediction double")
+    said = F.create_map(*[x for c in cols for x in (F.lit(c), F.array(*[F.lit(t) for t in range_texts(c, cuts[c])]))])
+    return fit.select("id", "feature", "attribution", F.element_at(F.element_at(said, F.col("feature")), F.col("bin") + 1).alias("range"),
+                      "class", "local_prediction")
 
 
 # ---------------------------------------------------------------- EX6 sampled Shapley

@@ -449,16 +449,59 @@ def ex_ale_fitted(v):
     return EX.ale(train, "sum_qty", EX.pipeline_scorer(m, 1))
 
 
+def _cuts_sql(cols, depth=3) -> str:
+    """Entropy cuts of order_binary: three levels of the best split of every interval."""
+    x = " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS v, label FROM order_binary" for c in cols)
+    h = lambda p, n: (f"-(CASE WHEN {p} > 0 THEN {p} / ({p} + {n}) * log2({p} / ({p} + {n})) ELSE 0.0 END"
+                      f" + CASE WHEN {n} > 0 THEN {n} / ({p} + {n}) * log2({n} / ({p} + {n})) ELSE 0.0 END)")
+    ctes = [f"x AS ({x})",
+            "d AS (SELECT feature, v, CAST(sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS n0, "
+            "CAST(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS n1 FROM x WHERE v IS NOT NULL AND label IS NOT NULL GROUP BY 1, 2)",
+            "c0 AS (SELECT '' AS feature, 0.0::DOUBLE AS cut WHERE false)"]
+    for i in range(1, depth + 1):
+        ctes += [
+            f"p{i} AS (SELECT d.*, (SELECT count(*) FROM c{i - 1} c WHERE c.feature = d.feature AND c.cut < d.v) AS node FROM d)",
+            f"r{i} AS (SELECT *, sum(n0) OVER l AS l0, sum(n1) OVER l AS l1, sum(n0) OVER w AS t0, sum(n1) OVER w AS t1, "
+            f"lead(v) OVER (PARTITION BY feature, node ORDER BY v) AS nv FROM p{i} "
+            "WINDOW l AS (PARTITION BY feature, node ORDER BY v), w AS (PARTITION BY feature, node))",
+            f"g{i} AS (SELECT *, {R('%s - ((l0 + l1) * %s + (t0 + t1 - l0 - l1) * %s) / (t0 + t1)' % (h('t0', 't1'), h('l0', 'l1'), h('(t0 - l0)', '(t1 - l1)')), 9)} "
+            f"AS gain FROM r{i} WHERE nv IS NOT NULL AND t0 > 0 AND t1 > 0)",
+            f"b{i} AS (SELECT *, row_number() OVER (PARTITION BY feature, node ORDER BY gain DESC, v) AS k FROM g{i})",
+            f"c{i} AS (SELECT * FROM c{i - 1} UNION SELECT feature, (v + nv) / 2.0 FROM b{i} WHERE k = 1 AND gain > 0)"]
+    ctes.append("m AS (SELECT feature, quantile_cont(v, 0.5) AS cut FROM x WHERE v IS NOT NULL AND label IS NOT NULL "
+                f"AND feature NOT IN (SELECT feature FROM c{depth}) GROUP BY feature)")
+    return f"WITH {', '.join(ctes)} SELECT feature, {R('cut')} AS cut FROM (SELECT * FROM c{depth} UNION ALL SELECT * FROM m) q"
+
+
+@query("ex_lime_cuts", "EX3", with_views(f"SELECT * FROM ({_cuts_sql(FEATURES)}) t", "order_binary"))
+def ex_lime_cuts(v):
+    from lucerna.operators.discretise import entropy_cuts
+    cuts = entropy_cuts(v.order_binary, FEATURES)
+    out = v.spark.createDataFrame([(c, float(x)) for c, found in cuts.items() for x in found], "feature string, cut double")
+    return out.select("feature", rnd("cut").alias("cut"))
+
+
+def _lime(v):
+    m, train, test = _fitted(v)
+    return EX.lime_local(test, train, FEATURES, {0: EX.pipeline_scorer(m, 0), 1: EX.pipeline_scorer(m, 1)}, label="label")
+
+
 @query("ex_lime_local", "EX3")
 def ex_lime_local(v):
-    m, train, test = _fitted(v)
-    return EX.lime_local(test, train, FEATURES, EX.pipeline_scorer(m, 1))
+    return _lime(v)
+
+
+@query("ex_lime_regression", "EX3")
+def ex_lime_regression(v):
+    split = SA.train_test_split(v.order_regression).persist()
+    train, test = split.where("split = 'train'"), split.where("split = 'test'")
+    m = ML.fit_model(train, "LR", "regression", FEATURES)
+    return EX.lime_local(test, train, FEATURES, EX.pipeline_scorer(m, None))
 
 
 @query("ex_lime_global_fitted", "EX3,EX4")
 def ex_lime_global_fitted(v):
-    m, train, test = _fitted(v)
-    return EX.lime_global(EX.lime_local(test, train, FEATURES, EX.pipeline_scorer(m, 1)))
+    return EX.lime_global(_lime(v))
 
 
 @query("ex_sampled_shapley", "EX6,EX7")
