@@ -221,20 +221,38 @@ def ale(train: DataFrame, feature: str, scorer: Scorer, n_bins: int = 10,
 
 # ---------------------------------------------------------------- EX1 permutation importance
 
+def probability_scorer(model) -> Scorer:
+    """A fitted classifier: its class probabilities as an array column ``probability``."""
+    def score(df: DataFrame) -> DataFrame:
+        out = model.transform(df)
+        return out.select(*df.columns, vector_to_array(F.col("probability")).alias("probability"))
+    return score
+
+
+def default_scoring(task: str, n_classes: int = 2) -> str:
+    """R2 for numbers, log-loss for more than two classes, the area under the ROC curve for two."""
+    return "r2" if task == "regression" else "neg_log_loss" if n_classes > 2 else "roc_auc"
+
+
 def permutation_importance(train: DataFrame, feature_cols: Sequence[str], scorer: Scorer,
                            label: str = "label", id_col: str = "id", repeats: int = 5,
-                           task: str = "classification", seed=0) -> DataFrame:
+                           task: str = "classification", n_classes: int = 2, scoring: str | None = None, seed=0) -> DataFrame:
     """EX1: score drop after permuting one column, ``repeats`` times.
 
     The permutation of repeat r, shared by its features, maps the row at rank i
     of one seeded hash order to the row at rank i of a second one.  Both orders
     are salted with r (two H2 ranks of rows x repeats and an equi-join on rank),
     so every repeat is a permutation of its own.  All (feature, repeat) pairs are
-    scored in one pass; the metric (accuracy of
-    the rounded score, or R^2) is one grouped aggregation.
+    scored in one pass.  ``scoring`` (by task and classes unless given): ``roc_auc``
+    (tie-aware, ranks of all pairs in one grouped pass), ``neg_log_loss`` (the scorer
+    gives a ``probability`` array; probabilities below 1e-15 count as that),
+    ``accuracy`` of the rounded score or ``r2``.  A single feature has importance 1.
     Output: feature, attribution (mean drop), std (population).
     """
     cols = list(feature_cols)
+    scoring = scoring or default_scoring(task, n_classes)
+    if len(cols) == 1:
+        return train.sparkSession.createDataFrame([(cols[0], 1.0, 0.0)], "feature string, attribution double, std double")
     base_cols = [id_col, label, *cols]
     ex = train.select(*base_cols).withColumn("_r", F.explode(F.array(*[F.lit(r) for r in range(repeats)])))
     ex = ex.withColumn("_key", F.concat_ws("|", F.col(id_col).cast("string"), F.col("_r").cast("string")))
@@ -245,22 +263,29 @@ def permutation_importance(train: DataFrame, feature_cols: Sequence[str], scorer
     perm = perm.select(id_col, label, "_f", "_r",
                        *[F.when(F.col("_f") == c, F.col(f"_p{i}")).otherwise(F.col(c).cast("double")).alias(c)
                          for i, c in enumerate(cols)])
-    scored = scorer(perm)
-    base = scorer(train.select(*base_cols))
-    metric = _score_metric(task, label)
-    base_m = base.agg(metric.alias("_base"))
-    per = scored.groupBy("_f", "_r").agg(metric.alias("_m"))
-    return (with_scalars(per, base_m)  # one row
+    base = _scored_metric(scorer(train.select(*base_cols)), scoring, label, []).withColumnRenamed("_m", "_base")
+    per = _scored_metric(scorer(perm), scoring, label, ["_f", "_r"])
+    return (with_scalars(per, base)  # one row
             .groupBy(F.col("_f").alias("feature"))
             .agg(F.avg(F.col("_base") - F.col("_m")).alias("attribution"),
                  F.stddev_pop(F.col("_base") - F.col("_m")).alias("std")))
 
 
-def _score_metric(task: str, label: str) -> Column:
+def _scored_metric(scored: DataFrame, scoring: str, label: str, keys: list[str]) -> DataFrame:
+    """``keys..., _m``: the metric of scored rows, the larger the better."""
     y = F.col(label).cast("double")
-    if task == "regression":
-        return 1.0 - F.sum((y - F.col("score")) ** 2) / (F.var_pop(y) * F.count(F.lit(1)))
-    return F.avg(F.when(F.round(F.col("score")) == y, 1.0).otherwise(0.0))
+    if scoring == "roc_auc":
+        from lucerna.operators.metrics import auc_ovr
+        return auc_ovr(scored, label, "score", group_cols=keys).withColumnRenamed("auc", "_m")
+    if scoring == "neg_log_loss":
+        metric = F.avg(F.log(F.greatest(F.element_at("probability", y.cast("int") + 1), F.lit(1e-15))))
+    elif scoring == "accuracy":
+        metric = F.avg(F.when(F.round(F.col("score")) == y, 1.0).otherwise(0.0))
+    elif scoring == "r2":
+        metric = 1.0 - F.sum((y - F.col("score")) ** 2) / (F.var_pop(y) * F.count(F.lit(1)))
+    else:
+        raise ValueError(f"unknown scoring {scoring!r}")
+    return scored.groupBy(*keys).agg(metric.alias("_m")) if keys else scored.agg(metric.alias("_m"))
 
 
 # ---------------------------------------------------------------- EX2 forest importance

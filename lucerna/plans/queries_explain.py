@@ -405,23 +405,63 @@ def _fitted(v, name="LR", params=None):
 
 # the permutation of a repeat, as the operator defines it: rank i of one salted md5 order -> rank i of another
 _PERM_RANK = "row_number() OVER (PARTITION BY r ORDER BY md5(id || '|' || r || '-0-{o}'), id || '|' || r)"
-_PERM_COLS = ("sum_qty", "n_lines")
 _PERM_HIT = "CASE WHEN round(1.0 / (1.0 + exp(-(-5.0 + 0.04 * {q} + 0.25 * {n})))) = label THEN 1.0 ELSE 0.0 END"
+_PERM_P = "(1.0 / (1.0 + exp(-(-5.0 + 0.04 * {q} + 0.25 * {n}))))"
+_PERM_Z = "(({q} - 100.0) / 25.0 + ({n} - 4.0) * 0.25)"
 
 
-@query("ex_permutation_checked", "EX1", with_views(f"""
+def _perm_sql(view: str, value: str, metric: str) -> str:
+    """Importance of all features by a metric over (f, r, label, x): x is ``value`` of the (permuted) sum_qty and n_lines.
+
+    The model uses these two features alone: permuting another one changes nothing.
+    """
+    none = " UNION ALL ".join(f"SELECT '{f}' AS feature, 0.0 AS d" for f in FEATURES if f not in ("sum_qty", "n_lines"))
+    return f"""
 SELECT * FROM (WITH t AS (SELECT CAST(id AS VARCHAR) AS id, label, CAST(sum_qty AS DOUBLE) AS q,
-                                 CAST(n_lines AS DOUBLE) AS n FROM order_binary),
+                                 CAST(n_lines AS DOUBLE) AS n FROM {view}),
      e AS (SELECT t.*, CAST(r AS VARCHAR) AS r FROM t, range(5) x(r)),
      a AS (SELECT *, {_PERM_RANK.format(o='a')} AS k FROM e),
      b AS (SELECT r, q AS pq, n AS pn, {_PERM_RANK.format(o='b')} AS k FROM e),
-     s AS (SELECT r, avg({_PERM_HIT.format(q='pq', n='n')}) AS m1, avg({_PERM_HIT.format(q='q', n='pn')}) AS m2
-           FROM a JOIN b USING (r, k) GROUP BY r),
-     z AS (SELECT avg({_PERM_HIT.format(q='q', n='n')}) AS base FROM t),
-     u AS (SELECT 'sum_qty' AS feature, base - m1 AS d FROM s, z UNION ALL SELECT 'n_lines', base - m2 FROM s, z)
-SELECT feature, {R('avg(d)')} AS attribution, {R('stddev_pop(d)')} AS std FROM u GROUP BY feature) p""", "order_binary"))
+     j AS (SELECT * FROM a JOIN b USING (r, k)),
+     s AS (SELECT 'sum_qty' AS f, r, label, {value.format(q='pq', n='n')} AS x FROM j UNION ALL
+           SELECT 'n_lines', r, label, {value.format(q='q', n='pn')} FROM j UNION ALL
+           SELECT '', '', label, {value.format(q='q', n='n')} FROM t),
+     m AS ({metric}),
+     u AS (SELECT m.f AS feature, z.m - m.m AS d FROM m, (SELECT m FROM m WHERE f = '') z WHERE m.f <> '' UNION ALL {none})
+SELECT feature, {R('avg(d)')} AS attribution, {R('stddev_pop(d)')} AS std FROM u GROUP BY feature) p"""
+
+
+_AUC_METRIC = ("SELECT f, r, (sum(CASE WHEN label = 1 THEN k ELSE 0 END) - count_if(label = 1) * (count_if(label = 1) + 1) / 2.0) "
+               "/ (CAST(count_if(label = 1) AS DOUBLE) * count_if(label = 0)) AS m FROM (SELECT f, r, label, rank() OVER (PARTITION BY f, r ORDER BY x) "
+               "+ (count(*) OVER (PARTITION BY f, r, x) - 1) / 2.0 AS k FROM s) y GROUP BY f, r")
+
+
+@query("ex_permutation_checked", "EX1", with_views(_perm_sql("order_binary", _PERM_HIT, "SELECT f, r, avg(x) AS m FROM s GROUP BY f, r"),
+                                                   "order_binary"))
 def ex_permutation_checked(v):
-    out = EX.permutation_importance(v.order_binary, list(_PERM_COLS), SCORER, repeats=5)
+    out = EX.permutation_importance(v.order_binary, FEATURES, SCORER, repeats=5, scoring="accuracy")
+    return out.select("feature", rnd("attribution").alias("attribution"), rnd("std").alias("std"))
+
+
+@query("ex_permutation_auc", "EX1", with_views(_perm_sql("order_binary", R(_PERM_P, 9), _AUC_METRIC), "order_binary"))
+def ex_permutation_auc(v):
+    # nine decimals: the engines agree on which scores are equal
+    out = EX.permutation_importance(v.order_binary, FEATURES, EX.expr_scorer(lambda: rnd(_logit_col(), 9)), repeats=5)
+    return out.select("feature", rnd("attribution").alias("attribution"), rnd("std").alias("std"))
+
+
+def _softmax(df):
+    """Three classes with logits (-z, 0.5, z), z being that of the prediction view."""
+    z = (F.col("sum_qty").cast("double") - 100.0) / 25.0 + (F.col("n_lines").cast("double") - 4.0) * 0.25
+    e = [F.exp(-z), F.exp(F.lit(0.5)), F.exp(z)]
+    return df.withColumn("probability", F.array(*[x / (e[0] + e[1] + e[2]) for x in e]))
+
+
+@query("ex_permutation_log_loss", "EX1", with_views(_perm_sql(
+    "order_multi", "ln(greatest((CASE label WHEN 0 THEN exp(-Z) WHEN 1 THEN exp(0.5) ELSE exp(Z) END) / (exp(-Z) + exp(0.5) + exp(Z)), 1e-15))"
+    .replace("Z", _PERM_Z), "SELECT f, r, avg(x) AS m FROM s GROUP BY f, r"), "order_multi"))
+def ex_permutation_log_loss(v):
+    out = EX.permutation_importance(v.order_multi, FEATURES, _softmax, repeats=5, n_classes=3)
     return out.select("feature", rnd("attribution").alias("attribution"), rnd("std").alias("std"))
 
 
