@@ -544,6 +544,20 @@ def ex_lime_global_fitted(v):
     return EX.lime_global(_lime(v))
 
 
+@query("ex_tree_shapley", "EX6")
+def ex_tree_shapley(v):
+    from lucerna.operators.treeshap import tree_shapley
+    m, train, test = _fitted(v, "RF")
+    return tree_shapley(test, train, m, FEATURES)
+
+
+@query("ex_tree_shapley_global", "EX6,EX7,ML4")
+def ex_tree_shapley_global(v):
+    from lucerna.operators.treeshap import tree_shapley
+    m, train, test = _fitted(v, "XGBOOST")
+    return EX.shapley_global(tree_shapley(test, train, m, FEATURES))
+
+
 @query("ex_sampled_shapley", "EX6,EX7")
 def ex_sampled_shapley(v):
     m, train, test = _fitted(v, "RF")
