@@ -6,10 +6,17 @@ Input rows are (id, model, prediction[, probability]); weights are a small
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.errors import AnalysisException
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lucerna.functions.exprs import with_scalars
+from lucerna.session import checkpoint_dir
 
 # Fixed default metric weights of the voting ensemble.
 METRIC_WEIGHTS = {
@@ -90,28 +97,89 @@ def fit_voting(train: DataFrame, test: DataFrame, base_models, feature_cols, tas
     combine: weighted class vote (ML13) or weighted mean (ML14), plus the mean
     class probability (ML15).  An empty model list is an error.
     """
-    from lucerna.operators.metrics import classification_metrics, regression_metrics
-    from lucerna.operators.models import fit_model, predict
+    from lucerna.operators.models import fit_model
     if not base_models:
         raise ValueError("the voting ensemble needs at least one base model")
-    parts = []
-    for name in base_models:
-        m = fit_model(train, name, task, feature_cols, n_classes=n_classes, label=label)
-        s = predict(m, test, keep=[id_col, label]).withColumn("model", F.lit(name))
-        parts.append(s)
-    preds = parts[0]
-    for p in parts[1:]:
-        preds = preds.unionByName(p)
-    preds = preds.persist()   # scored once, read by the metrics and the vote
+    models = {name: fit_model(train, name, task, feature_cols, n_classes=n_classes, label=label) for name in base_models}
+    return vote(models, test, task, id_col, label, n_classes, metric_weights)
+
+
+def vote(models: dict[str, PipelineModel], test: DataFrame, task: str = "classification", id_col: str = "id",
+         label: str = "label", n_classes: int = 2, metric_weights: dict[str, float] | None = None) -> dict:
+    """ML11 with fitted models: every one scores the test rows once, then ML12-ML15 as in :func:`fit_voting`.
+
+    A model whose features the test table does not have is an error.
+    """
+    from lucerna.operators.metrics import classification_metrics, regression_metrics
+    from lucerna.operators.models import predict
+    if not models:
+        raise ValueError("the voting ensemble needs at least one base model")
+    for name, m in models.items():
+        if missing := sorted(set(input_features(m)) - set(test.columns)):
+            raise ValueError(f"model {name} needs features that the table does not have: {', '.join(missing)}")
+    checkpoint_dir(test.sparkSession)
+    preds = reduce(DataFrame.unionByName, [predict(m, test, keep=[id_col, label]).withColumn("model", F.lit(name))
+                                           for name, m in sorted(models.items())])
+    preds = preds.checkpoint()   # scored once, read by the metrics and the vote
     if task == "classification":
         hard = preds.withColumn("prediction", F.col("prediction").cast("int")).withColumn(
             label, F.col(label).cast("int"))
         metrics = classification_metrics(hard, label, group_cols=["model"], multiclass=n_classes > 2)
         weights = model_weights(metrics, metric_weights=metric_weights)
-        vote = weighted_class_vote(hard.select(id_col, "model", "prediction"), weights, id_col)
+        voted = weighted_class_vote(hard.select(id_col, "model", "prediction"), weights, id_col)
         prob = mean_probability(preds.select(id_col, "model", "probability"), id_col)
-        return {"predictions": preds, "metrics": metrics, "weights": weights, "vote": vote, "probability": prob}
+        return {"predictions": preds, "metrics": metrics, "weights": weights, "vote": voted, "probability": prob}
     metrics = regression_metrics(preds, label, group_cols=["model"])
     weights = model_weights(metrics, metric_weights=metric_weights)
-    vote = weighted_regression(preds.select(id_col, "model", "prediction"), weights, id_col)
-    return {"predictions": preds, "metrics": metrics, "weights": weights, "vote": vote}
+    voted = weighted_regression(preds.select(id_col, "model", "prediction"), weights, id_col)
+    return {"predictions": preds, "metrics": metrics, "weights": weights, "vote": voted}
+
+
+def input_features(model: PipelineModel) -> list[str]:
+    """Columns that a pipeline's assemblers read and none of its earlier stages makes."""
+    made: set[str] = set()
+    out: list[str] = []
+    for stage in model.stages:
+        if isinstance(stage, VectorAssembler):
+            out += [c for c in stage.getInputCols() if c not in made]
+            made.add(stage.getOutputCol())
+        elif isinstance(stage, SQLTransformer):
+            made.update(re.findall(r"\bAS `?(\w+)`?", stage.getStatement()))
+            out += [c for c in re.findall(r"CAST\(`(\w+)` AS DOUBLE\)", stage.getStatement()) if c not in out]
+    return out
+
+
+def save_models(models: dict[str, PipelineModel], folder: str) -> None:
+    """One saved pipeline per model, in a sub-folder of its name."""
+    from lucerna.operators.models import save_model
+    for name, m in models.items():
+        save_model(m, f"{folder.rstrip('/')}/{name}")
+
+
+def load_models(spark: SparkSession, folder: str, base_models: Sequence[str] | None = None) -> dict[str, PipelineModel]:
+    """ML11: the saved pipelines in the sub-folders of ``folder``, by name.
+
+    Sub-folders are found through Spark's file reader, on any file system it
+    reads.  The name ends at the first underscore; other names than ``base_models``
+    (all if None) and what is no saved pipeline are passed over.  Two sub-folders
+    with one name, or no model at all, are errors.
+    """
+    from lucerna.operators.models import load_model
+    try:
+        found = (spark.read.text(f"{folder.rstrip('/')}/*/metadata").select(F.col("_metadata.file_path").alias("path"), "value")
+                 .where(F.get_json_object("value", "$.class").endswith("PipelineModel")).select("path").collect())
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        found = []
+    out: dict[str, PipelineModel] = {}
+    for path in sorted({r["path"].rsplit("/metadata/", 1)[0] for r in found}):
+        name = path.rsplit("/", 1)[1].split("_")[0]
+        if base_models is not None and name not in base_models:
+            continue
+        if name in out:
+            raise ValueError(f"two saved models are called {name}")
+        out[name] = load_model(path)
+    if not out:
+        raise ValueError(f"no saved models in {folder}")
+    return out

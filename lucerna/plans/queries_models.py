@@ -236,6 +236,17 @@ def ml_voting_ensemble(v):
     return res["vote"].join(res["probability"].where("class = 1").select("id", "probability"), "id")
 
 
+@query("ml_voting_saved", "ML11,IO9")
+def ml_voting_saved(v):
+    import uuid
+
+    from lucerna.session import scratch_path
+    train, test = _split(v)
+    folder = scratch_path(v.spark, f"models-{uuid.uuid4().hex}")
+    VO.save_models({f"{n}_orders": ML.fit_model(train, n, "classification", FEATURES) for n in ("DT", "LR")}, folder)
+    return VO.vote(VO.load_models(v.spark, folder, ["DT", "LR", "RF"]), test)["vote"]
+
+
 def _rulefit(v):
     from lucerna.operators.rulefit import fit_rulefit
     train, test = _split(v)
