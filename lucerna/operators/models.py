@@ -8,8 +8,6 @@ parameters live on the driver.
 
 from __future__ import annotations
 
-import math
-import random
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -23,29 +21,12 @@ from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lucerna.operators.kernels import KERNELS, fit_svr, fourier_statement, nystroem_statement
+
 MODEL_SEED = 2020
 MODELS = ["DT", "RF", "SVM", "XGBOOST", "ANN", "LR", "BAG", "KNN", "RLF", "RP", "VOT"]
 
 
-def _rff_statement(feature_cols: Sequence[str], n_components: int, gamma: float, seed: int) -> tuple[str, list[str]]:
-    """Random Fourier features of the RBF kernel exp(-gamma |x - y|^2) as SQL.
-
-    z_j(x) = sqrt(2 / D) cos(w_j . x + b_j), w ~ N(0, 2 gamma I), b ~ U(0, 2 pi)
-    (Rahimi & Recht 2007).  The projection is drawn once from ``seed`` and
-    written into the statement, so it is saved with the pipeline.
-    """
-    rng = random.Random(seed)
-    scale = math.sqrt(2.0 / n_components)
-    names, exprs = [], []
-    for j in range(n_components):
-        w = [rng.gauss(0.0, math.sqrt(2.0 * gamma)) for _ in feature_cols]
-        b = rng.uniform(0.0, 2.0 * math.pi)
-        dot = " + ".join(f"({wi!r}) * CAST(`{c}` AS DOUBLE)" for wi, c in zip(w, feature_cols))
-        names.append(f"_rff_{j}")
-        exprs.append(f"{scale!r} * cos({dot} + ({b!r})) AS _rff_{j}")
-    return "SELECT *, " + ", ".join(exprs) + " FROM __THIS__", names
-
-
 def build_pipeline(name: str, task: str, feature_cols: Sequence[str], n_classes: int = 2,
                    params: dict | None = None, label: str = "label",
                    weight_col: str | None = None, seed: int = MODEL_SEED) -> Pipeline:
@@ -55,15 +36,10 @@ def build_pipeline(name: str, task: str, feature_cols: Sequence[str], n_classes:
     stages = []
     cols = list(feature_cols)
     feats = "features"
-    kernel = params.pop("kernel", "rbf") if name == "SVM" else None
-    if name == "SVM" and kernel not in ("rbf", "linear"):
-        raise ValueError(f"SVM kernel {kernel!r} is not offered; use 'rbf' or 'linear'")
-    if name == "SVM" and kernel == "rbf":
-        n_comp = params.pop("n_components", 100)
-        gamma = params.pop("gamma", 1.0 / max(len(cols), 1))
-        stmt, names = _rff_statement(cols, n_comp, gamma, seed)
-        stages.append(SQLTransformer(statement=stmt))
-        cols = names
+    if name == "SVM":
+        statement, cols, params = _kernel_map(None, cols, params, seed)
+        if statement:
+            stages.append(SQLTransformer(statement=statement))
     stages.append(VectorAssembler(inputCols=cols, outputCol=feats, handleInvalid="keep"))
     common = dict(featuresCol=feats, labelCol=label)
     wc = dict(weightCol=weight_col) if weight_col else {}
@@ -97,7 +73,7 @@ def build_pipeline(name: str, task: str, feature_cols: Sequence[str], n_classes:
             est = (LinearSVC(**common, **wc, **{"maxIter": 100, **params}) if n_classes <= 2
                    else OneVsRest(classifier=base, **common))
         else:
-            est = LinearRegression(loss="huber", **common, **params)
+            raise ValueError("support-vector regression is fitted by fit_model, not as an estimator")
     elif name == "ANN":
         if not cls:
             raise NotImplementedError("ANN regression is not offered by Spark ML")
@@ -110,11 +86,45 @@ def build_pipeline(name: str, task: str, feature_cols: Sequence[str], n_classes:
     return Pipeline(stages=stages)
 
 
+def _kernel_map(df: DataFrame | None, cols: list[str], params: dict, seed: int) -> tuple[str | None, list[str], dict]:
+    """Statement and columns of an SVM's kernel map, and the parameters left; poly and sigmoid take landmarks from ``df``."""
+    params = dict(params)
+    kernel = params.pop("kernel", "rbf")
+    if kernel not in KERNELS:
+        raise ValueError(f"SVM kernel {kernel!r} is not offered; use one of {', '.join(KERNELS)}")
+    own = {k: params.pop(k) for k in ("n_components", "gamma", "coef0", "degree") if k in params}
+    if kernel == "linear":
+        return None, cols, params
+    if kernel == "rbf":
+        gamma = own.get("gamma", 1.0 / max(len(cols), 1))
+        return *fourier_statement(cols, own.get("n_components", 100), gamma, seed), params
+    if df is None:
+        raise ValueError(f"the {kernel} kernel takes landmarks from the rows: use fit_model")
+    return *nystroem_statement(df, cols, kernel, **own), params
+
+
+def _fit_svm(data: DataFrame, task: str, cols: list[str], n_classes: int, params: dict, label: str, weight_col: str | None,
+             seed: int) -> PipelineModel:
+    """SVM with a kernel map: hinge loss for classes, the epsilon-insensitive one for numbers."""
+    statement, names, params = _kernel_map(data, cols, params, seed)
+    if task == "regression":
+        return fit_svr(data, statement, names, label, **params)
+    linear = build_pipeline("SVM", task, names, n_classes, {**params, "kernel": "linear"}, label, weight_col, seed)
+    stages = ([SQLTransformer(statement=statement)] if statement else []) + linear.getStages()
+    return Pipeline(stages=stages).fit(data)
+
+
 def fit_model(df: DataFrame, name: str, task: str, feature_cols: Sequence[str],
               n_classes: int = 2, params: dict | None = None, label: str = "label",
               weight_col: str | None = None, seed: int = MODEL_SEED) -> PipelineModel:
-    """Fit a model family on a DataFrame (the label cast to double)."""
+    """Fit a model family on a DataFrame (the label cast to double).
+
+    SVM takes ``kernel`` (rbf, linear, poly, sigmoid) with ``gamma``, ``coef0``, ``degree`` and
+    ``n_components``; for regression also ``c`` and ``epsilon``.
+    """
     data = df.withColumn(label, F.col(label).cast("double"))
+    if name == "SVM":
+        return _fit_svm(data, task, list(feature_cols), n_classes, params or {}, label, weight_col, seed)
     return build_pipeline(name, task, feature_cols, n_classes, params, label, weight_col, seed).fit(data)
 
 

@@ -130,13 +130,30 @@ def ml_random_forest(v):
     return _fit_score(v, "RF")
 
 
+def _svm(v, view, task="classification", params=None):
+    from lucerna.operators.scale import normalise
+    train, test = _split(v, normalise(view, FEATURES, "SC", "id"))
+    return ML.predict(ML.fit_model(train, "SVM", task, FEATURES, params=params), test)
+
+
 @query("ml_svm_rbf", "ML3")
 def ml_svm_rbf(v):
-    from lucerna.operators.scale import normalise
-    std = normalise(v.order_binary, FEATURES, "SC", "id")
-    train, test = _split(v, std)
-    m = ML.fit_model(train, "SVM", "classification", FEATURES)
-    return ML.predict(m, test)
+    return _svm(v, v.order_binary)
+
+
+@query("ml_svm_poly", "ML3")
+def ml_svm_poly(v):
+    return _svm(v, v.order_binary, params={"kernel": "poly", "degree": 3, "coef0": 1.0})
+
+
+@query("ml_svm_sigmoid", "ML3")
+def ml_svm_sigmoid(v):
+    return _svm(v, v.order_binary, params={"kernel": "sigmoid", "gamma": 0.05})
+
+
+@query("ml_svm_regression", "ML3")
+def ml_svm_regression(v):
+    return _svm(v, v.order_regression, "regression").select("id", "label", "prediction")
 
 
 @query("ml_gradient_boosting", "ML4")
