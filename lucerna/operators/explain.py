@@ -14,13 +14,13 @@ import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lucerna.functions.exprs import rnd, with_scalars
 from lucerna.functions.hashing import hash_uniform
 from lucerna.functions.ranking import exact_quantiles, row_number_by_hash
+from lucerna.operators.models import probability_array
 from lucerna.session import checkpoint_dir
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -42,7 +42,7 @@ def pipeline_scorer(model, positive_class: int | None = 1) -> Scorer:
     def score(df: DataFrame) -> DataFrame:
         out = model.transform(df)
         if positive_class is not None and "probability" in out.columns:
-            s = vector_to_array(F.col("probability"))[positive_class]
+            s = probability_array(out)[positive_class]
         else:
             s = F.col("prediction")
         keep = [c for c in df.columns]
@@ -225,7 +225,7 @@ def probability_scorer(model) -> Scorer:
     """A fitted classifier: its class probabilities as an array column ``probability``."""
     def score(df: DataFrame) -> DataFrame:
         out = model.transform(df)
-        return out.select(*df.columns, vector_to_array(F.col("probability")).alias("probability"))
+        return out.select(*df.columns, probability_array(out).alias("probability"))
     return score
 
 

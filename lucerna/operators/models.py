@@ -18,13 +18,14 @@ from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
                                    RandomForestRegressor)
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lucerna.operators.boosting import fit_boosted
 from lucerna.operators.kernels import KERNELS, fit_svr, fourier_statement, nystroem_statement
 
 MODEL_SEED = 2020
-MODELS = ["DT", "RF", "SVM", "XGBOOST", "ANN", "LR", "BAG", "KNN", "RLF", "RP", "VOT"]
+MODELS = ["DT", "RF", "SVM", "XGBOOST", "HGB", "ANN", "LR", "BAG", "KNN", "RLF", "RP", "VOT"]
 
 
 def build_pipeline(name: str, task: str, feature_cols: Sequence[str], n_classes: int = 2,
@@ -120,14 +121,23 @@ def fit_model(df: DataFrame, name: str, task: str, feature_cols: Sequence[str],
     """Fit a model family on a DataFrame (the label cast to double).
 
     SVM takes ``kernel`` (rbf, linear, poly, sigmoid) with ``gamma``, ``coef0``, ``degree`` and
-    ``n_components``; for regression also ``c`` and ``epsilon``.
+    ``n_components``; for regression also ``c`` and ``epsilon``.  XGBOOST is Spark's first-order
+    boosting, HGB the second-order one with the settings of :class:`~lucerna.operators.boosting.Boosting`.
     """
     data = df.withColumn(label, F.col(label).cast("double"))
     if name == "SVM":
         return _fit_svm(data, task, list(feature_cols), n_classes, params or {}, label, weight_col, seed)
+    if name == "HGB":
+        return fit_boosted(data, feature_cols, task, n_classes, label, weight_col, **{"seed": seed, **(params or {})}).pipeline()
     return build_pipeline(name, task, feature_cols, n_classes, params, label, weight_col, seed).fit(data)
 
 
+def probability_array(scored: DataFrame) -> Column:
+    """The class probabilities of a scored table as an array, whether its model gives a vector or an array."""
+    p = F.col("probability")
+    return p if scored.schema["probability"].dataType.typeName() == "array" else vector_to_array(p)
+
+
 def predict(model: PipelineModel, df: DataFrame, keep: Sequence[str] = ("id", "label")) -> DataFrame:
     """Score: ``keep`` columns, ``prediction`` and, for classifiers with one,
     ``probability`` as an array of class probabilities (ML16 fallback
@@ -136,7 +146,7 @@ def predict(model: PipelineModel, df: DataFrame, keep: Sequence[str] = ("id", "l
     cols = [F.col(c) for c in keep if c in out.columns]
     pred = F.col("prediction")
     if "probability" in out.columns:
-        prob = vector_to_array(F.col("probability"))
+        prob = probability_array(out)
     else:
         prob = F.array(1.0 - pred, pred)
     return out.select(*cols, pred.alias("prediction"), prob.alias("probability"))

@@ -14,6 +14,7 @@ from lucerna.operators import models as ML
 from lucerna.operators import sample as SA
 from lucerna.operators import search as HS
 from lucerna.operators import voting as VO
+from lucerna.operators.boosting import fit_boosted
 from lucerna.plans.catalog import query
 from lucerna.plans.fixtures import FEATURES
 from lucerna.plans.oracle_views import R, with_views
@@ -161,6 +162,23 @@ def ml_gradient_boosting(v):
     return _fit_score(v, "XGBOOST", params={"maxIter": 20, "maxDepth": 4})
 
 
+@query("ml_second_order_boosting", "ML4")
+def ml_second_order_boosting(v):
+    return _fit_score(v, "HGB")
+
+
+@query("ml_second_order_boosting_multiclass", "ML4")
+def ml_second_order_boosting_multiclass(v):
+    return _fit_score(v, "HGB", df=v.order_multi, n_classes=3, params={"subsample": 0.5, "eta": 0.5, "n_estimators": 50})
+
+
+@query("ml_boosting_history", "ML4,ML22")
+def ml_boosting_history(v):
+    train, _ = _split(v, v.order_regression)
+    history = fit_boosted(train, FEATURES, "regression").history
+    return v.spark.createDataFrame(list(enumerate(history)), "iteration int, objective double")
+
+
 @query("ml_neural_network", "ML5")
 def ml_neural_network(v):
     from lucerna.operators.scale import normalise

@@ -11,18 +11,18 @@ from __future__ import annotations
 import os
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lucerna.operators.models import probability_array
 from lucerna.session import checkpoint_dir
 
 
 def _score(model: PipelineModel, batch: DataFrame, task: str, id_col: str) -> DataFrame:
     out = model.transform(batch)
     if task == "classification" and "probability" in out.columns:
-        p = vector_to_array(F.col("probability"))
+        p = probability_array(out)
         pmax = F.array_max(p)
         return out.select(F.col(id_col).alias("Sample ID"),
                           (F.array_position(p, pmax) - 1).cast("int").alias("Predicted class"),
