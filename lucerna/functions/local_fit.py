@@ -4,6 +4,14 @@ import numpy as np
 import pandas as pd
 
 
+def uniform_of(key, salt):
+    """Repeatable numbers in [0, 1) from whole-number keys and a salt (the splitmix64 finaliser)."""
+    z = np.asarray(key).astype(np.uint64) + np.uint64(salt * 0x9E3779B97F4A7C15 % 2 ** 64)
+    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return (z ^ z >> np.uint64(31)) / 2.0 ** 64
+
+
 def ridge_from_sums(d, alpha=1.0):
     """Weighted ridge (free intercept) of d features from weighted sums, one fit a row.
 

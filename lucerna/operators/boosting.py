@@ -20,15 +20,14 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, fields
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lucerna.functions.local_fit import uniform_of
+from lucerna.operators.stages import MarginModel
 from lucerna.session import scratch_path
 
 LEAST_GAIN = 1e-9
@@ -110,6 +109,16 @@ class Boosted:
     def outputs(self) -> int:
         return self.n_classes if self.task == "classification" and self.n_classes > 2 else 1
 
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        """Raw outputs of the rows of ``x``, all rows walking down a tree at once."""
+        missing = max((len(e) for e in self.edges), default=0) + 1
+        bins = np.column_stack([np.where(np.isnan(v), missing, np.searchsorted(e, v, side="left")) for v, e in zip(x.T, self.edges, strict=True)])
+        out = np.full((len(x), self.outputs), self.base)
+        for trees in self.rounds:
+            for k, tree in enumerate(trees):
+                out[:, k] += tree.margin(bins, missing)
+        return out
+
     def to_json(self) -> str:
         trees = [[{f.name: getattr(t, f.name).tolist() for f in fields(Tree)} for t in r] for r in self.rounds]
         return json.dumps({"features": self.features, "task": self.task, "n_classes": self.n_classes, "base": self.base,
@@ -206,14 +215,6 @@ def gradients(margin: np.ndarray, y: np.ndarray, task: str) -> tuple[np.ndarray,
     return np.log(total) - shift[own], p - own, np.maximum(2 * p * (1 - p), 1e-16)
 
 
-def _drawn(key: np.ndarray, round_no: int, settings: Boosting) -> np.ndarray:
-    """Whether a row takes part in a round: a mix of its key, the round and the seed."""
-    z = key.astype(np.uint64) + np.uint64((round_no * 1_000_003 + settings.seed) * 0x9E3779B97F4A7C15 % 2 ** 64)
-    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return (z ^ z >> np.uint64(31)) / 2.0 ** 64 < settings.subsample
-
-
 # ---------------------------------------------------------------- one level
 
 def _histograms(job, task: str, d: int, settings: Boosting):
@@ -242,7 +243,7 @@ def _histograms(job, task: str, d: int, settings: Boosting):
                 w = np.where(y == 1, w * settings.scale_pos_weight, w)
             loss += (each @ w, w.sum())
             if settings.subsample < 1:
-                w = w * _drawn(b.column("key").to_numpy(zero_copy_only=False), round_no, settings)
+                w = w * (uniform_of(b.column("key").to_numpy(zero_copy_only=False), round_no * 1_000_003 + settings.seed) < settings.subsample)
             for k, tree in enumerate(trees):
                 if not opened[k]:
                     continue
@@ -385,49 +386,8 @@ def fit_boosted(df: DataFrame, feature_cols: Sequence[str], task: str = "classif
     return model
 
 
-class BoostedModel(Transformer, DefaultParamsReadable, DefaultParamsWritable):
-    """A fitted model as a pipeline stage that Spark saves: adds ``prediction``, and for classes ``probability`` (an array).
+class BoostedModel(MarginModel):
+    """A fitted model as a pipeline stage."""
 
-    Rows are scored in Arrow batches by walking all of a batch down a tree at once.
-    Equal probabilities go to the first class; null and NaN features are missing.
-    """
-
-    state = Param(Params._dummy(), "state", "the fitted model as JSON", TypeConverters.toString)
-
-    def __init__(self, state: str | None = None):
-        super().__init__()
-        if state is not None:
-            self._set(state=state)
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        model = Boosted.from_json(self.getOrDefault(self.state))
-        taken = {c.lower() for c in dataset.columns}
-        name = next(f"_margin{i or ''}" for i in range(len(taken) + 1) if f"_margin{i or ''}" not in taken)
-        out = dataset.withColumn(name, _margin_udf(model)(*[F.col(f"`{c}`").cast("double") for c in model.features]))
-        m = F.col(name)
-        if model.task == "regression":
-            return out.withColumn("prediction", m[0]).drop(name)
-        if model.outputs == 1:
-            p = 1.0 / (1.0 + F.exp(-m[0]))
-            chances = F.array(1.0 - p, p)
-        else:
-            shares = F.transform(m, lambda v: F.exp(v - F.array_max(m)))
-            chances = F.transform(shares, lambda e: e / F.aggregate(shares, F.lit(0.0), lambda a, b: a + b))
-        out = out.withColumn("probability", chances).drop(name)
-        return out.withColumn("prediction", (F.array_position("probability", F.array_max("probability")) - 1).cast("double"))
-
-
-def _margin_udf(model: Boosted):
-    missing = max((len(e) for e in model.edges), default=0) + 1
-    @F.pandas_udf("array<double>")
-    def margin(*xs: pd.Series) -> pd.Series:
-        bins = np.empty((len(xs[0]), len(xs)), np.int32)
-        for j, x in enumerate(xs):
-            v = x.to_numpy(float)
-            bins[:, j] = np.where(np.isnan(v), missing, np.searchsorted(model.edges[j], v, side="left"))
-        out = np.full((len(bins), model.outputs), model.base)
-        for trees in model.rounds:
-            for k, tree in enumerate(trees):
-                out[:, k] += tree.margin(bins, missing)
-        return pd.Series(list(out))
-    return margin
+    def load_state(self, text: str) -> Boosted:
+        return Boosted.from_json(text)

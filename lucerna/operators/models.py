@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 
 from lucerna.operators.boosting import fit_boosted
 from lucerna.operators.kernels import KERNELS, fit_svr, fourier_statement, nystroem_statement
+from lucerna.operators.network import fit_network
 
 MODEL_SEED = 2020
-MODELS = ["DT", "RF", "SVM", "XGBOOST", "HGB", "ANN", "LR", "BAG", "KNN", "RLF", "RP", "VOT"]
+MODELS = ["DT", "RF", "SVM", "XGBOOST", "HGB", "ANN", "DNN", "LR", "BAG", "KNN", "RLF", "RP", "VOT"]
 
 
 def build_pipeline(name: str, task: str, feature_cols: Sequence[str], n_classes: int = 2,
@@ -77,7 +78,7 @@ def build_pipeline(name: str, task: str, feature_cols: Sequence[str], n_classes:
             raise ValueError("support-vector regression is fitted by fit_model, not as an estimator")
     elif name == "ANN":
         if not cls:
-            raise NotImplementedError("ANN regression is not offered by Spark ML")
+            raise ValueError("a network for numbers is fitted by fit_model, not as an estimator")
         hidden = params.pop("hidden", [16, 8])
         est = MultilayerPerceptronClassifier(layers=[len(cols), *hidden, max(n_classes, 2)],
                                              seed=seed, **common, **{"maxIter": 80, **params})
@@ -123,12 +124,16 @@ def fit_model(df: DataFrame, name: str, task: str, feature_cols: Sequence[str],
     SVM takes ``kernel`` (rbf, linear, poly, sigmoid) with ``gamma``, ``coef0``, ``degree`` and
     ``n_components``; for regression also ``c`` and ``epsilon``.  XGBOOST is Spark's first-order
     boosting, HGB the second-order one with the settings of :class:`~lucerna.operators.boosting.Boosting`.
+    ANN is Spark's perceptron for classes, DNN (and ANN for numbers) the dense network of
+    :func:`~lucerna.operators.network.fit_network`.
     """
     data = df.withColumn(label, F.col(label).cast("double"))
     if name == "SVM":
         return _fit_svm(data, task, list(feature_cols), n_classes, params or {}, label, weight_col, seed)
     if name == "HGB":
         return fit_boosted(data, feature_cols, task, n_classes, label, weight_col, **{"seed": seed, **(params or {})}).pipeline()
+    if name == "DNN" or (name == "ANN" and task == "regression"):
+        return fit_network(data, feature_cols, task, n_classes, label, weight_col, **{"seed": seed, **(params or {})}).pipeline()
     return build_pipeline(name, task, feature_cols, n_classes, params, label, weight_col, seed).fit(data)
 
 

@@ -15,6 +15,7 @@ from lucerna.operators import sample as SA
 from lucerna.operators import search as HS
 from lucerna.operators import voting as VO
 from lucerna.operators.boosting import fit_boosted
+from lucerna.operators.network import fit_network
 from lucerna.plans.catalog import query
 from lucerna.plans.fixtures import FEATURES
 from lucerna.plans.oracle_views import R, with_views
@@ -186,6 +187,23 @@ def ml_neural_network(v):
     return _fit_score(v, "ANN", df=std, n_classes=3)
 
 
+@query("ml_dense_network", "ML5")
+def ml_dense_network(v):
+    return _fit_score(v, "DNN", df=v.order_multi, n_classes=3, params={"hidden": [32, 16], "dropout": 0.1})
+
+
+@query("ml_dense_network_regression", "ML5")
+def ml_dense_network_regression(v):
+    return _fit_score(v, "DNN", "regression", df=v.order_regression).select("id", "label", "prediction")
+
+
+@query("ml_dense_network_history", "ML5,ML22")
+def ml_dense_network_history(v):
+    train, _ = _split(v)
+    history = fit_network(train, FEATURES, hidden=[16], activation="tanh", optimizer="rmsprop").history
+    return v.spark.createDataFrame(list(enumerate(history)), "epoch int, loss double")
+
+
 @query("ml_logistic_regression", "ML9,ML16")
 def ml_logistic_regression(v):
     return _fit_score(v, "LR")
