@@ -182,20 +182,22 @@ def ice_rows(train: DataFrame, id_col: str = "id", max_rows: int | None = None,
 # ---------------------------------------------------------------- EX14 ALE
 
 def ale(train: DataFrame, feature: str, scorer: Scorer, n_bins: int = 10,
-        id_col: str = "id") -> DataFrame:
+        id_col: str = "id", per_class: bool = False) -> DataFrame:
     """EX14: accumulated local effects over quantile bins, centred.
 
     Edges = distinct exact quantiles k / n_bins; a row with edge_{k-1} < x <= edge_k
     (the first bin closed) is scored at both edges; effect_k = mean difference;
     ALE_k = cumulative sum; centred by the row-weighted mean of bin midpoints
-    ((ALE_{k-1} + ALE_k) / 2).  Output: bin, lower, upper, n, effect, ale.
+    ((ALE_{k-1} + ALE_k) / 2).  Output: bin, lower, upper, n, effect, ale.  With ``per_class``
+    the scorer gives a ``probability`` array (:func:`probability_scorer`), every class has
+    effects of its own from the same two scored copies, and the output starts with ``class``.
     """
     long = train.select(F.lit(feature).alias("feature"), F.col(feature).cast("double").alias("value"))
     edges = sorted({r["q"] for r in exact_quantiles(long, "value", ["feature"],
                                                     [i / n_bins for i in range(n_bins + 1)]).collect()})
     if len(edges) < 2:
         return train.sparkSession.createDataFrame(
-            [], "bin int, lower double, upper double, n long, effect double, ale double")
+            [], ("class int, " if per_class else "") + "bin int, lower double, upper double, n long, effect double, ale double")
     e = F.array(*[F.lit(float(x)) for x in edges])
     x = F.col(feature).cast("double")
     # bin index k in 1..K: number of interior edges strictly below x, at least 1
@@ -205,17 +207,20 @@ def ale(train: DataFrame, feature: str, scorer: Scorer, n_bins: int = 10,
     both = (binned.withColumn("_side", F.explode(F.array(F.lit(-1.0), F.lit(1.0))))
             .withColumn(feature, F.when(F.col("_side") < 0, F.col("_lo")).otherwise(F.col("_hi"))))
     upper = F.col("_side") > 0
-    eff = scorer(both).groupBy("_bin", "_lo", "_hi").agg(
+    scored, by = scorer(both), []
+    if per_class:
+        scored, by = scored.select("_bin", "_lo", "_hi", "_side", F.posexplode("probability").alias("class", "score")), ["class"]
+    eff = scored.groupBy(*by, "_bin", "_lo", "_hi").agg(
         F.count_if(upper).alias("n"),
         (F.sum(F.col("_side") * F.col("score")) / F.count(F.when(upper, F.col("score")))).alias("effect"))
-    # at most n_bins rows from here on: a global Window is tiny
-    w = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    acc = eff.withColumn("_ale", F.sum("effect").over(w))
-    acc = acc.withColumn("_prev", F.coalesce(F.lag("_ale").over(Window.orderBy("_bin")), F.lit(0.0)))
-    allb = Window.partitionBy()   # at most n_bins rows
+    # at most n_bins rows a class from here on: the windows are tiny
+    order = Window.partitionBy(*by).orderBy("_bin")
+    acc = eff.withColumn("_ale", F.sum("effect").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    acc = acc.withColumn("_prev", F.coalesce(F.lag("_ale").over(order), F.lit(0.0)))
+    allb = Window.partitionBy(*by)
     centre = F.sum(F.col("n") * (F.col("_prev") + F.col("_ale")) / 2.0).over(allb) / F.sum("n").over(allb)
     return (acc.withColumn("_c", centre)
-            .select(F.col("_bin").alias("bin"), F.col("_lo").alias("lower"), F.col("_hi").alias("upper"),
+            .select(*by, F.col("_bin").alias("bin"), F.col("_lo").alias("lower"), F.col("_hi").alias("upper"),
                     "n", "effect", (F.col("_ale") - F.col("_c")).alias("ale")))
 
 

@@ -179,7 +179,7 @@ def _prepared(df: DataFrame, net: Network, label: str, weight_col: str | None, b
 
 def fit_network(df: DataFrame, feature_cols: Sequence[str], task: str = "classification", n_classes: int = 2, label: str = "label",
                 weight_col: str | None = None, hidden: Sequence[int] = (16, 8), activation: str = "relu", dropout: float = 0.0,
-                optimizer: str = "adam", learning_rate: float = 0.01, epochs: int = 60, batches: int = 4, l2: float = 0.0,
+                optimizer: str = "adam", learning_rate: float = 0.01, epochs: int = 40, batches: int = 2, l2: float = 0.0,
                 seed: int = 2020) -> Network:
     """Train a dense network with ``hidden`` layers by log-loss, softmax or squared error.
 

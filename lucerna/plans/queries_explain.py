@@ -190,6 +190,41 @@ def ex_ale(v):
                       rnd("upper").alias("upper"), "n", rnd("effect").alias("effect"), rnd("ale").alias("ale"))
 
 
+_CLASS_TERMS = ("-x / 100.0", "0.5", "x / 100.0 - 1.0")  # logits of three classes of a fixed model over sum_qty
+
+
+def _class_scorer(df):
+    e = [F.exp(F.expr(t.replace("x", "CAST(sum_qty AS DOUBLE)"))) for t in _CLASS_TERMS]
+    return df.withColumn("probability", F.array(*[v / (e[0] + e[1] + e[2]) for v in e]))
+
+
+def _share(k: int, x: str) -> str:
+    e = [f"exp({t.replace('x', x)})" for t in _CLASS_TERMS]
+    return f"{e[k]} / ({e[0]} + {e[1]} + {e[2]})"
+
+
+_ALE_CLASS_SQL = f"""
+SELECT * FROM (WITH e AS (SELECT list_sort(list_distinct(list_value(
+            {', '.join(f'quantile_cont(CAST(sum_qty AS DOUBLE), {i / 10})' for i in range(11))}))) AS edges
+            FROM order_features),
+     b AS (SELECT greatest(len(list_filter(e.edges, lambda x: x < CAST(o.sum_qty AS DOUBLE))), 1) AS bin, e.edges
+           FROM order_features o, e),
+     g AS (SELECT bin, edges[bin] AS lower, edges[bin + 1] AS upper, COUNT(*) AS n FROM b GROUP BY 1, 2, 3),
+     eff AS ({' UNION ALL '.join(f"SELECT {k} AS class, *, {_share(k, 'upper')} - {_share(k, 'lower')} AS effect FROM g" for k in range(3))}),
+     acc AS (SELECT *, sum(effect) OVER (PARTITION BY class ORDER BY bin ROWS UNBOUNDED PRECEDING) AS ale FROM eff),
+     pr AS (SELECT *, coalesce(lag(ale) OVER (PARTITION BY class ORDER BY bin), 0.0) AS prev FROM acc),
+     c AS (SELECT class, sum(n * (prev + ale) / 2.0) / sum(n) AS c FROM pr GROUP BY 1)
+SELECT pr.class, CAST(bin AS INTEGER) AS bin, {R('lower')} AS lower, {R('upper')} AS upper, n,
+       {R('effect')} AS effect, {R('ale - c')} AS ale FROM pr JOIN c ON pr.class = c.class) t"""
+
+
+@query("ex_ale_classes", "EX14", with_views(_ALE_CLASS_SQL, "order_features"))
+def ex_ale_classes(v):
+    out = EX.ale(v.order_features.select("id", "sum_qty"), "sum_qty", _class_scorer, 10, per_class=True)
+    return out.select("class", F.col("bin").cast("int").alias("bin"), rnd("lower").alias("lower"), rnd("upper").alias("upper"),
+                      "n", rnd("effect").alias("effect"), rnd("ale").alias("ale"))
+
+
 # ---------------------------------------------------------------- anchors
 
 _ANCHOR_COLS = FEATURES

@@ -170,13 +170,13 @@ def ml_second_order_boosting(v):
 
 @query("ml_second_order_boosting_multiclass", "ML4")
 def ml_second_order_boosting_multiclass(v):
-    return _fit_score(v, "HGB", df=v.order_multi, n_classes=3, params={"subsample": 0.5, "eta": 0.5, "n_estimators": 50})
+    return _fit_score(v, "HGB", df=v.order_multi, n_classes=3, params={"subsample": 0.5, "eta": 0.5, "n_estimators": 30})
 
 
 @query("ml_boosting_history", "ML4,ML22")
 def ml_boosting_history(v):
     train, _ = _split(v, v.order_regression)
-    history = fit_boosted(train, FEATURES, "regression").history
+    history = fit_boosted(train, FEATURES, "regression", n_estimators=30).history
     return v.spark.createDataFrame(list(enumerate(history)), "iteration int, objective double")
 
 
