@@ -37,3 +37,25 @@ def test_run_on_an_empty_table(spark, sf_small):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_small)
     assert docs.count() == 0
+
+
+def test_saved_leaves_no_shuffle_files(spark):
+    """The shuffle files of a written table go with the write; the setting is put back."""
+    import time
+
+    from lucerna.llm.common import saved
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffles():
+        names = (blocks.getAllFiles().apply(i).getName() for i in range(blocks.getAllFiles().size()))
+        return {n for n in names if n.startswith("shuffle_")}
+    was = spark.conf.get(name)
+    before = shuffles()
+    saved(spark.range(5000).selectExpr("id % 97 AS k").groupBy("k").count(), "test-shuffle")
+    assert spark.conf.get(name) == was
+    for _ in range(40):
+        if not shuffles() - before:
+            break
+        time.sleep(0.25)
+    assert not shuffles() - before
