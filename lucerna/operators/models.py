@@ -14,7 +14,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
                                        LogisticRegression, MultilayerPerceptronClassifier,
                                        OneVsRest, RandomForestClassifier)
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
                                    RandomForestRegressor)
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lucerna.operators.boosting import fit_boosted
-from lucerna.operators.kernels import KERNELS, fit_svr, fourier_statement, nystroem_statement
+from lucerna.operators.kernels import KERNELS, KernelMap, fit_svr
 from lucerna.operators.network import fit_network
 
 MODEL_SEED = 2020
@@ -39,10 +39,11 @@ def build_pipeline(name: str, task: str, feature_cols: Sequence[str], n_classes:
     cols = list(feature_cols)
     feats = "features"
     if name == "SVM":
-        statement, cols, params = _kernel_map(None, cols, params, seed)
-        if statement:
-            stages.append(SQLTransformer(statement=statement))
-    stages.append(VectorAssembler(inputCols=cols, outputCol=feats, handleInvalid="keep"))
+        kernel_map, params = _kernel_map(None, cols, params, seed)
+        if kernel_map:
+            stages.append(kernel_map)
+    if not stages:
+        stages.append(VectorAssembler(inputCols=cols, outputCol=feats, handleInvalid="keep"))
     common = dict(featuresCol=feats, labelCol=label)
     wc = dict(weightCol=weight_col) if weight_col else {}
     if name == "DT":
@@ -88,32 +89,30 @@ def build_pipeline(name: str, task: str, feature_cols: Sequence[str], n_classes:
     return Pipeline(stages=stages)
 
 
-def _kernel_map(df: DataFrame | None, cols: list[str], params: dict, seed: int) -> tuple[str | None, list[str], dict]:
-    """Statement and columns of an SVM's kernel map, and the parameters left; poly and sigmoid take landmarks from ``df``."""
+def _kernel_map(df: DataFrame | None, cols: list[str], params: dict, seed: int) -> tuple[KernelMap | None, dict]:
+    """The stage of an SVM's kernel map (linear: none), and the parameters left; poly and sigmoid take landmarks from ``df``."""
     params = dict(params)
     kernel = params.pop("kernel", "rbf")
     if kernel not in KERNELS:
         raise ValueError(f"SVM kernel {kernel!r} is not offered; use one of {', '.join(KERNELS)}")
     own = {k: params.pop(k) for k in ("n_components", "gamma", "coef0", "degree") if k in params}
     if kernel == "linear":
-        return None, cols, params
+        return None, params
     if kernel == "rbf":
-        gamma = own.get("gamma", 1.0 / max(len(cols), 1))
-        return *fourier_statement(cols, own.get("n_components", 100), gamma, seed), params
+        return KernelMap.fourier(cols, own.get("gamma"), own.get("n_components", 100), seed), params
     if df is None:
         raise ValueError(f"the {kernel} kernel takes landmarks from the rows: use fit_model")
-    return *nystroem_statement(df, cols, kernel, **own), params
+    return KernelMap.nystroem(df, cols, kernel, **own), params
 
 
 def _fit_svm(data: DataFrame, task: str, cols: list[str], n_classes: int, params: dict, label: str, weight_col: str | None,
              seed: int) -> PipelineModel:
     """SVM with a kernel map: hinge loss for classes, the epsilon-insensitive one for numbers."""
-    statement, names, params = _kernel_map(data, cols, params, seed)
+    kernel_map, params = _kernel_map(data, cols, params, seed)
     if task == "regression":
-        return fit_svr(data, statement, names, label, **params)
-    linear = build_pipeline("SVM", task, names, n_classes, {**params, "kernel": "linear"}, label, weight_col, seed)
-    stages = ([SQLTransformer(statement=statement)] if statement else []) + linear.getStages()
-    return Pipeline(stages=stages).fit(data)
+        return fit_svr(data, kernel_map, cols, label, **params)
+    linear = build_pipeline("SVM", task, cols, n_classes, {**params, "kernel": "linear"}, label, weight_col, seed).getStages()
+    return Pipeline(stages=[kernel_map, linear[-1]] if kernel_map else linear).fit(data)
 
 
 def fit_model(df: DataFrame, name: str, task: str, feature_cols: Sequence[str],

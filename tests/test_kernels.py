@@ -73,3 +73,24 @@ def test_svr_with_a_kernel_fits_a_curve(rows):
     model = ML.fit_model(data, "SVM", "regression", ["a", "b"], params={"kernel": "poly", "degree": 2, "coef0": 1.0, "c": 10.0, "epsilon": 0.05})
     worst = model.transform(data).agg(F.max(F.abs(F.col("prediction") - F.col("label")))).first()[0]
     assert worst < 0.25
+
+
+def test_kernel_map_stage_equals_the_statement(rows):
+    """The Arrow stage and the SQL statement are one map; a row with a null has none."""
+    from pyspark.ml.functions import vector_to_array
+    data = rows.unionByName(rows.limit(1).selectExpr("-1L AS id", *[("CAST(NULL AS DOUBLE) AS a" if c == "a" else c) for c in rows.columns if c != "id"]))
+    for stage, (statement, names) in [
+            (K.KernelMap.fourier(["a", "b"], 0.5, 20, 3), K.fourier_statement(["a", "b"], 20, 0.5, 3)),
+            (K.KernelMap.nystroem(rows, ["a", "b"], "poly", 15, coef0=1.0), K.nystroem_statement(rows, ["a", "b"], "poly", 15, coef0=1.0))]:
+        want = {r["id"]: [r[n] for n in names] for r in SQLTransformer(statement=statement).transform(data).collect()}
+        arrays = {r["id"]: r["m"] for r in stage.arrays("m").transform(data).collect()}
+        vectors = {r["id"]: r["v"] for r in stage.transform(data).select("id", vector_to_array("features").alias("v")).collect()}
+        assert arrays.pop(-1) is None and np.isnan(vectors.pop(-1)).all() and set(want.pop(-1)) == {None}
+        assert all(np.allclose(arrays[i], w, atol=1e-6) and np.allclose(vectors[i], w, atol=1e-6) for i, w in want.items())
+
+
+def test_svm_pipelines_hold_no_interpreted_map(rows):
+    """Higher-order SQL over 100 landmarks took minutes: the fitted pipelines map batches."""
+    for task, label in (("classification", "label"), ("regression", "a")):
+        model = ML.fit_model(rows, "SVM", task, ["a", "b"], label=label, params={"kernel": "poly", "n_components": 10})
+        assert isinstance(model.stages[0], K.KernelMap)
