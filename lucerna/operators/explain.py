@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lucerna.functions.exprs import rnd, with_scalars
-from lucerna.functions.hashing import hash_uniform
+from lucerna.functions.hashing import hash_uniform, seeded_hash
 from lucerna.functions.ranking import exact_quantiles, row_number_by_hash
 from lucerna.operators.models import probability_array
 from lucerna.session import checkpoint_dir
@@ -489,9 +489,12 @@ def counterfactuals(rows: DataFrame, train: DataFrame, feature_cols: Sequence[st
     orig = scorer(rows).select(*rows.columns, F.col("score").alias("_orig"))
     cand = orig.withColumn("cf", F.explode(F.sequence(F.lit(0), F.lit(n_candidates - 1))))
     new_cols, changed, dist = [], [], []
+    # H1 < change_prob, compared as hex text: no number is parsed for the features that stay
+    limit = math.ceil(change_prob * 2 ** 32)
+    below = F.lit(f"{max(limit, 0):08x}" if limit < 2 ** 32 else "g")
     for c in cols:
         lo, hi = rng[f"lo_{c}"], rng[f"hi_{c}"]
-        ch = hash_uniform(id_col, seed, F.col("cf"), c) < change_prob
+        ch = seeded_hash(id_col, seed, F.col("cf"), c) < below
         v = F.lit(lo) + (F.lit(hi) - F.lit(lo)) * hash_uniform(id_col, f"{seed}-v", F.col("cf"), c)
         x = F.col(c).cast("double")
         new_cols.append(F.when(ch, v).otherwise(x).alias(c))
