@@ -20,6 +20,7 @@ import os
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 from math import factorial, inf
 
 import numpy as np
@@ -103,6 +104,13 @@ def _count_masks(leaves: list[Leaf], cols: list[str]):
     return run
 
 
+@lru_cache(None)
+def _weights(d: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a-1)! b! / (a+b)! and a! (b-1)! / (a+b)! for a, b up to ``d`` (0 where the feature to credit is missing)."""
+    plus = [[factorial(a - 1) * factorial(b) / factorial(a + b) if a else 0.0 for b in range(d + 1)] for a in range(d + 1)]
+    return np.array(plus), np.array(plus).T
+
+
 class _Sums:
     """Attributions of a leaf's path features by the explained row's mask, worked out when first asked for."""
 
@@ -117,8 +125,7 @@ class _Sums:
             masks, shares = self.masks[met], self.shares[met]
             mine, theirs = own & ~masks, masks & ~own
             a, b = np.bitwise_count(mine).astype(int), np.bitwise_count(theirs).astype(int)
-            plus = np.array([factorial(x - 1) * factorial(y) / factorial(x + y) if x else 0.0 for x, y in zip(a, b, strict=True)])
-            minus = np.array([factorial(x) * factorial(y - 1) / factorial(x + y) if y else 0.0 for x, y in zip(a, b, strict=True)])
+            plus, minus = (table[a, b] for table in _weights(d))
             for k in range(d):
                 out[k] = self.leaf.value * (shares * (plus * (mine >> k & 1) - minus * (theirs >> k & 1))).sum()
             self.known[own] = out
