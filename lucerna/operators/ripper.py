@@ -2,8 +2,8 @@
 
 Rules for the positive (by default the minority) class over quantile-binned
 features.  Rows collapse first to counts of distinct bin vectors (per twelfth of the
-rows, by H1, for the splits); every step below is one grouped count or one
-aggregate over that table, and only features x bins numbers reach the driver.
+rows, by H1, for the splits), kept as blocks of bytes; every step below is one pass
+over them, and only features x bins sums of a task reach the driver.
 
 * grow: starting from an empty rule, add the condition with the best FOIL gain
   p1 (log2 p1/(p1+n1) - log2 p0/(p0+n0)) until no negative is covered or none gains;
@@ -28,8 +28,11 @@ condition.  There is no limit on rules or conditions.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +41,10 @@ from lucerna.functions.ranking import exact_quantiles
 from lucerna.session import checkpoint_dir
 
 Rule = list[tuple[str, str, int]]
-CELLS_A_TASK = 50_000
+CELLS_A_TASK = 150_000
+CELLS_A_BLOCK = 50_000
+MISSING = 65_535  # bin of a null value
+NO_PART = 255  # part of a row without an id: neither grown on nor held out
 PARTS = 12  # parts of the rows by hash; a third of them is held out, another third for every rule
 
 
@@ -48,14 +54,80 @@ def _bin_index(c: str, edges: list[float]) -> Column:
     return F.when(x.isNotNull(), F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < x)))
 
 
-def _cover(conds: Rule) -> str:
-    """SQL condition of the rows that a rule covers."""
-    tests = " AND ".join(f"`_b_{f}` {op} {k}" for f, op, k in conds)
-    return f"coalesce({tests}, false)" if conds else "true"
-
-
-def _any(rules: Sequence[Rule]) -> str:
-    return "(" + " OR ".join(map(_cover, rules)) + ")" if rules else "false"
+def _covered(bins: np.ndarray, conds: Rule, cols: list[str]) -> np.ndarray:
+    """Which rows a rule covers; ``bins`` holds one line per feature."""
+    out = np.ones(bins.shape[1], bool)
+    for f, op, k in conds:
+        b = bins[cols.index(f)]
+        out &= (b <= k) if op == "<=" else (b > k) & (b != MISSING)
+    return out
+
+
+def _any(bins: np.ndarray, rules: Sequence[Rule], cols: list[str]) -> np.ndarray:
+    out = np.zeros(bins.shape[1], bool)
+    for r in rules:
+        out |= _covered(bins, r, cols)
+    return out
+
+
+def _only(bins: np.ndarray, rules: Sequence[Rule], cols: list[str]) -> list[np.ndarray]:
+    """Per rule, the rows that it alone covers."""
+    each = [_covered(bins, r, cols) for r in rules]
+    hits = np.sum(each, axis=0)
+    return [e & (hits == 1) for e in each]
+
+
+@dataclass(frozen=True)
+class _Rows:
+    """The rows a step looks at: those that no rule of ``without`` covers, grown on or held out in ``turn`` (None: both)."""
+
+    without: tuple = ()
+    turn: int | None = None
+    held_out: bool = False
+
+    def of(self, part: np.ndarray, bins: np.ndarray, held: int, cols: list[str]) -> np.ndarray:
+        out = ~_any(bins, self.without, cols)
+        if self.turn is not None:
+            out &= (part != NO_PART) & (((part.astype(np.int64) + 5 * self.turn) % PARTS < held) == self.held_out)
+        return out
+
+
+ALL = _Rows()
+
+
+def _pack(d: int):
+    """mapInArrow body: the cells of a task as blocks of bytes (part, bins by feature, positives, negatives)."""
+    def block(parts: list[np.ndarray]) -> pa.RecordBatch:
+        m = np.concatenate(parts, axis=1)
+        kinds = [(m[0], np.uint8), (m[1:d + 1], np.uint16), (m[d + 1], np.int64), (m[d + 2], np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(x, t).tobytes()], pa.binary()) for x, t in kinds], ["h", "b", "p", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                parts.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
+                size += batch.num_rows
+            if size >= CELLS_A_BLOCK:
+                yield block(parts)
+                parts, size = [], 0
+        if parts:
+            yield block(parts)
+    return run
+
+
+def _sums(answer, d: int):
+    """mapInArrow body: the sum over a task's blocks of ``answer(part, bins, positives, negatives)``, whole numbers."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for h, b, p, n in zip(*batch.columns, strict=True):
+                part = np.frombuffer(h.as_buffer(), np.uint8)
+                one = answer(part, np.frombuffer(b.as_buffer(), np.uint16).reshape(d, -1), *(np.frombuffer(x.as_buffer(), np.int64) for x in (p, n)))
+                total = one if total is None else total + one
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.int64).tobytes()], pa.binary())], ["sums"])
+    return run
 
 
 def _value_cover(conds: Rule, edges) -> Column:
@@ -84,62 +156,85 @@ def exception_bits(covered: tuple[int, int], total: tuple[int, int]) -> float:
 class _Learner:
     """One positive class over the collapsed table: counts, growing, pruning and description lengths."""
 
-    def __init__(self, cells: DataFrame, cols: list[str], edges: dict[str, list[float]], prune_size: float):
-        self.cells, self.cols, self.edges = cells, cols, edges
+    def __init__(self, blocks: DataFrame, cols: list[str], edges: dict[str, list[float]], prune_size: float):
+        self.blocks, self.cols, self.edges = blocks, cols, edges
         self.held = max(1, min(PARTS - 1, round(prune_size * PARTS)))
         self.conditions = 2 * sum(len(e) for e in edges.values())
         self.turn = 0
-        self.total = self.counts(cells, ["true"])[0]
+        self.total = self.counts(ALL, [[()]])[0]
+
+    def ask(self, answer, size: int) -> np.ndarray:
+        """One pass over the blocks; a task sends one array of ``size`` sums."""
+        found = self.blocks.mapInArrow(_sums(answer, len(self.cols)), "sums binary").collect()
+        return sum((np.frombuffer(r[0], np.int64) for r in found), np.zeros(size, np.int64))
+
+    def counts(self, rows: _Rows, covers: Sequence[Sequence[Rule]], alone: Sequence[Rule] = ()) -> list[tuple[int, int]]:
+        """(positives, negatives) under each rule set, then those of each rule of ``alone`` that no other of them covers, in one pass."""
+        held, cols = self.held, self.cols
 
-    def counts(self, rows: DataFrame, covers: Sequence[str]) -> list[tuple[int, int]]:
-        """(positives, negatives) under each condition, in one aggregate."""
-        r = rows.agg(*[F.expr(f"coalesce(sum(CASE WHEN {c} THEN {x} END), 0) AS {x}{i}") for i, c in enumerate(covers) for x in "pn"]).first()
-        return [(r[f"p{i}"], r[f"n{i}"]) for i in range(len(covers))]
+        def answer(part, bins, p, n):
+            use = rows.of(part, bins, held, cols)
+            marks = [_any(bins, c, cols) for c in covers] + (_only(bins, alone, cols) if alone else [])
+            return np.array([x[use & m].sum() for m in marks for x in (p, n)], np.int64)
+        found = self.ask(answer, 2 * (len(covers) + len(alone))).tolist()
+        return list(zip(found[::2], found[1::2], strict=True))
 
-    def split(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def split(self, without: Sequence[Rule] = ()) -> tuple[_Rows, _Rows]:
         """Rows to grow on and rows held out, another third every time."""
-        out = F.pmod(F.col("_h") + 5 * self.turn, F.lit(PARTS)) < self.held
         self.turn += 1
-        return rows.where(~out), rows.where(out)
-
-    def grow(self, rows: DataFrame, start: Rule = ()) -> Rule:
+        return _Rows(tuple(without), self.turn - 1, False), _Rows(tuple(without), self.turn - 1, True)
+
+    def histogram(self, rows: _Rows, conds: Rule) -> tuple[tuple[int, int], np.ndarray]:
+        """(positives, negatives) that a rule covers, and the same by feature and bin."""
+        held, cols, width = self.held, self.cols, max((len(e) for e in self.edges.values()), default=0) + 1
+
+        def answer(part, bins, p, n):
+            use = np.flatnonzero(rows.of(part, bins, held, cols) & _covered(bins, conds, cols))
+            p, n = p[use], n[use]
+            out = [np.array([p.sum(), n.sum()])]
+            for line in bins:
+                b = np.minimum(line[use], width)  # the last place takes the missing values
+                out += [np.bincount(b, x, width + 1)[:width] for x in (p, n)]
+            return np.rint(np.concatenate(out)).astype(np.int64)
+        found = self.ask(answer, 2 + 2 * width * len(cols))
+        return tuple(found[:2].tolist()), found[2:].reshape(len(cols), 2, width)
+
+    def grow(self, rows: _Rows, start: Rule = ()) -> Rule:
         conds = list(start)
-        (p0, n0), = self.counts(rows, [_cover(conds)])
-        while p0 and n0:
-            table = (rows.where(_cover(conds))
-                     .select("p", "n", F.explode(F.array(*[F.struct(F.lit(c).alias("f"), F.col(f"_b_{c}").alias("b")) for c in self.cols])).alias("s"))
-                     .where("s.b is not null").groupBy("s.f", "s.b").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).collect())
-            by: dict[str, dict[int, tuple[int, int]]] = {}
-            for r in table:
-                by.setdefault(r["f"], {})[r["b"]] = (r["p"], r["n"])
+        while True:
+            (p0, n0), table = self.histogram(rows, conds)
+            if not (p0 and n0):
+                break
             best, base = None, math.log2(p0 / (p0 + n0))
-            for c in self.cols:
+            for c, (ps, ns) in zip(self.cols, table, strict=True):
+                upto, whole = (np.cumsum(ps).tolist(), np.cumsum(ns).tolist()), (int(ps.sum()), int(ns.sum()))
                 for k in range(len(self.edges[c])):
                     for op in ("<=", ">"):
-                        side = [v for b, v in by.get(c, {}).items() if (b <= k) == (op == "<=")]
-                        p1, n1 = sum(v[0] for v in side), sum(v[1] for v in side)
+                        p1, n1 = upto[0][k], upto[1][k]
+                        if op == ">":
+                            p1, n1 = whole[0] - p1, whole[1] - n1
                         if p1 and (p1, n1) != (p0, n0):
                             gain = p1 * (math.log2(p1 / (p1 + n1)) - base)
                             if gain > 1e-12 and (best is None or (gain, -n1) > best[:2]):
-                                best = (gain, -n1, c, op, k, p1)
+                                best = (gain, -n1, c, op, k)
             if best is None:
                 break
-            _, fewer, c, op, k, p0 = best
-            n0 = -fewer
+            _, fewer, c, op, k = best
             conds = [x for x in conds if x[:2] != (c, op)] + [(c, op, k)]  # a tighter bound replaces the one before
+            if not fewer:
+                break
         return conds
 
-    def prune(self, conds: Rule, held: DataFrame) -> tuple[Rule, tuple[int, int]]:
+    def prune(self, conds: Rule, held: _Rows) -> tuple[Rule, tuple[int, int]]:
         """The prefix with the best (p - n) / (p + n) on held-out rows, the shortest of equals, and its counts."""
-        found = self.counts(held, [_cover(conds[:i]) for i in range(1, len(conds) + 1)])
+        found = self.counts(held, [[conds[:i]] for i in range(1, len(conds) + 1)])
         worth = [((p - n) / (p + n) if p + n else -1.0, -i) for i, (p, n) in enumerate(found)]
         at = max(range(len(found)), key=lambda i: worth[i])
         return conds[:at + 1], found[at]
 
-    def prune_for_set(self, conds: Rule, others: Sequence[Rule], held: DataFrame) -> Rule:
+    def prune_for_set(self, conds: Rule, others: Sequence[Rule], held: _Rows) -> Rule:
         """The prefix with which the whole rule set has the fewest errors on held-out rows, the shortest of equals."""
-        rest = held.withColumn("_o", F.expr(_any(others)))
-        found = self.counts(rest, [f"(_o OR {_cover(conds[:i])})" for i in range(1, len(conds) + 1)])
+        found = self.counts(held, [[*others, conds[:i]] for i in range(1, len(conds) + 1)])
         at = min(range(len(found)), key=lambda i: (found[i][1] - found[i][0], i))
         return conds[:at + 1]
 
@@ -148,14 +243,14 @@ class _Learner:
 
     def length(self, rules: Sequence[Rule]) -> float:
         """Description length of a rule set."""
-        return self.bits(rules, self.counts(self.cells, [_any(rules)])[0])
+        return self.bits(rules, self.counts(ALL, [rules])[0])
 
     def cover(self, rules: list[Rule], allowance: float) -> list[Rule]:
         """Adds rules for the positives that ``rules`` leave over."""
         rules = list(rules)
         least = self.length(rules)
         while True:
-            grow, held = self.split(self.cells.where(f"NOT {_any(rules)}"))
+            grow, held = self.split(rules)
             conds = self.grow(grow)
             if not conds:
                 return rules
@@ -173,8 +268,8 @@ class _Learner:
         rules = list(rules)
         for i, rule in enumerate(rules):
             others = rules[:i] + rules[i + 1:]
-            grow, held = self.split(self.cells.where(f"NOT {_any(others)}"))
-            _, whole = self.split(self.cells)
+            grow, held = self.split(others)
+            _, whole = self.split()
             tried = [rule]
             for start in ((), rule):
                 conds = self.grow(grow, start)
@@ -183,7 +278,7 @@ class _Learner:
                     if pruned not in tried:
                         tried.append(pruned)
             if len(tried) > 1:
-                found = self.counts(self.cells.withColumn("_o", F.expr(_any(others))), [f"(_o OR {_cover(t)})" for t in tried])
+                found = self.counts(ALL, [[*others, t] for t in tried])
                 lengths = [self.bits([*others, t], c) for t, c in zip(tried, found, strict=True)]
                 rules[i] = tried[min(range(len(tried)), key=lambda j: (lengths[j], j))]
         return rules
@@ -193,9 +288,7 @@ class _Learner:
         rules = list(rules)
         while True:
             # without a rule, the rows go that no other rule covers
-            hits = self.cells.select("p", "n", *[F.expr(f"{_cover(r)} AS _r{i}") for i, r in enumerate(rules)])
-            hits = hits.withColumn("_hits", F.expr(" + ".join(["0", *[f"CAST(_r{i} AS INT)" for i in range(len(rules))]])))
-            whole, *alone = self.counts(hits, ["_hits > 0", *[f"_r{i} AND _hits = 1" for i in range(len(rules))]])
+            whole, *alone = self.counts(ALL, [rules], rules)
             lengths = [self.bits(rules, whole), *[self.bits(rules[:i] + rules[i + 1:], (whole[0] - p, whole[1] - n))
                                                   for i, (p, n) in enumerate(alone)]]
             best = min(range(len(lengths)), key=lambda i: (lengths[i], i))
@@ -226,9 +319,11 @@ def fit_ripper(df: DataFrame, feature_cols: Sequence[str], label: str = "label",
     bins = [_bin_index(c, edges[c]).alias(f"_b_{c}") for c in cols]
     cells = (df.select(y.alias("_y"), F.floor(hash_uniform(id_col, seed, "prune") * PARTS).cast("int").alias("_h"), *bins)
              .groupBy("_h", *[f"_b_{c}" for c in cols]).agg(F.sum("_y").alias("p"), F.sum(1 - F.col("_y")).alias("n")).checkpoint())
-    # it is read some hundred times: no more tasks than its size asks for
-    cells = cells.coalesce(max(1, cells.count() // CELLS_A_TASK)).checkpoint()
-    learner = _Learner(cells, cols, edges, prune_size)
+    # they are read some hundred times: packed once, and no more tasks than their size asks for
+    whole = cells.select(F.coalesce("_h", F.lit(NO_PART)), *[F.coalesce(f"_b_{c}", F.lit(MISSING)) for c in cols],
+                         F.coalesce("p", F.lit(0)), F.coalesce("n", F.lit(0)))
+    blocks = whole.coalesce(-(-max(1, cells.count()) // CELLS_A_TASK)).mapInArrow(_pack(len(cols)), "h binary, b binary, p binary, n binary").persist()
+    learner = _Learner(blocks, cols, edges, prune_size)
     rules, length = learner.drop(learner.cover([], dl_allowance))
     history = [(len(rules), length)]
     for _ in range(k):
@@ -236,6 +331,7 @@ def fit_ripper(df: DataFrame, feature_cols: Sequence[str], label: str = "label",
         if shorter < length:
             rules, length = again, shorter
         history.append((len(rules), length))
+    blocks.unpersist()
     return {"positive": positive, "edges": edges, "rules": rules, "history": history,
             "negative": next((c for c in sorted(counts) if c != positive), None)}
 
