@@ -6,6 +6,7 @@ Input rows are (id, model, prediction[, probability]); weights are a small
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 from functools import reduce
@@ -16,6 +17,7 @@ from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lucerna.operators.kernels import KernelMap
 from lucerna.session import checkpoint_dir
 
 # Fixed default metric weights of the voting ensemble.
@@ -136,7 +138,7 @@ def vote(models: dict[str, PipelineModel], test: DataFrame, task: str = "classif
 
 
 def input_features(model: PipelineModel) -> list[str]:
-    """Columns that a pipeline's assemblers read and none of its earlier stages makes."""
+    """Columns that a pipeline's assemblers and kernel maps read and none of its earlier stages makes."""
     made: set[str] = set()
     out: list[str] = []
     for stage in model.stages:
@@ -146,6 +148,9 @@ def input_features(model: PipelineModel) -> list[str]:
         elif isinstance(stage, SQLTransformer):
             made.update(re.findall(r"\bAS `?(\w+)`?", stage.getStatement()))
             out += [c for c in re.findall(r"CAST\(`(\w+)` AS DOUBLE\)", stage.getStatement()) if c not in out]
+        elif isinstance(stage, KernelMap):
+            out += [c for c in json.loads(stage.getOrDefault(stage.state))["cols"] if c not in made]
+            made.add(stage.getOrDefault(stage.outputCol))
     return out
 
 
