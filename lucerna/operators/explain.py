@@ -19,15 +19,16 @@ from pyspark.sql import functions as F
 
 from lucerna.functions.exprs import rnd, with_scalars
 from lucerna.functions.hashing import hash_uniform, seeded_hash
-from lucerna.functions.ranking import exact_quantiles, row_number_by_hash
+from lucerna.functions.ranking import exact_quantiles, row_number_by_hash, value_splits
 from lucerna.operators.models import probability_array
-from lucerna.session import checkpoint_dir
+from lucerna.session import checkpoint_dir, shuffles_dropped
 
 Scorer = Callable[[DataFrame], DataFrame]
 
 IG_STEPS = 50
 PDP_GRID = 100
 TOP_FEATURES = 10
+BORDER_ROWS = 20_000  # rows whose scores place the borders of the score buckets (balance only, no result)
 
 
 # ---------------------------------------------------------------- scorers
@@ -246,42 +247,56 @@ def permutation_importance(train: DataFrame, feature_cols: Sequence[str], scorer
 
     The permutation of repeat r, shared by its features, maps the row at rank i
     of one seeded hash order to the row at rank i of a second one.  Both orders
-    are salted with r (two H2 ranks of rows x repeats and an equi-join on rank),
-    so every repeat is a permutation of its own.  All (feature, repeat) pairs are
-    scored in one pass.  ``scoring`` (by task and classes unless given): ``roc_auc``
-    (tie-aware, ranks of all pairs in one grouped pass), ``neg_log_loss`` (the scorer
+    are salted with r (two H2 ranks of the rows and an equi-join on rank), so every
+    repeat is a permutation of its own.  The rows are kept; a repeat is one query that
+    scores its features in one pass, gives one number per feature and drops its shuffle
+    files.  ``scoring`` (by task and classes unless given): ``roc_auc``
+    (tie-aware, ranks of all features in one grouped pass, whose borders come from a
+    permutation of some BORDER_ROWS rows), ``neg_log_loss`` (the scorer
     gives a ``probability`` array; probabilities below 1e-15 count as that),
     ``accuracy`` of the rounded score or ``r2``.  A single feature has importance 1.
     Output: feature, attribution (mean drop), std (population).
     """
-    cols = list(feature_cols)
+    cols, spark = list(feature_cols), train.sparkSession
     scoring = scoring or default_scoring(task, n_classes)
     if len(cols) == 1:
-        return train.sparkSession.createDataFrame([(cols[0], 1.0, 0.0)], "feature string, attribution double, std double")
-    base_cols = [id_col, label, *cols]
-    ex = train.select(*base_cols).withColumn("_r", F.explode(F.array(*[F.lit(r) for r in range(repeats)])))
-    ex = ex.withColumn("_key", F.concat_ws("|", F.col(id_col).cast("string"), F.col("_r").cast("string")))
-    a = row_number_by_hash(ex, "_key", f"{seed}-a", "_rank", partition_cols=["_r"]).drop("_key")
-    b = (row_number_by_hash(ex, "_key", f"{seed}-b", "_rank", partition_cols=["_r"])
-         .select("_r", "_rank", *[F.col(c).cast("double").alias(f"_p{i}") for i, c in enumerate(cols)]))
-    perm = a.join(b, ["_r", "_rank"]).withColumn("_f", F.explode(F.array(*[F.lit(c) for c in cols])))
-    perm = perm.select(id_col, label, "_f", "_r",
-                       *[F.when(F.col("_f") == c, F.col(f"_p{i}")).otherwise(F.col(c).cast("double")).alias(c)
-                         for i, c in enumerate(cols)])
-    base = _scored_metric(scorer(train.select(*base_cols)), scoring, label, []).withColumnRenamed("_m", "_base")
-    per = _scored_metric(scorer(perm), scoring, label, ["_f", "_r"])
-    return (with_scalars(per, base)  # one row
-            .groupBy(F.col("_f").alias("feature"))
-            .agg(F.avg(F.col("_base") - F.col("_m")).alias("attribution"),
-                 F.stddev_pop(F.col("_base") - F.col("_m")).alias("std")))
-
-
-def _scored_metric(scored: DataFrame, scoring: str, label: str, keys: list[str]) -> DataFrame:
+        return spark.createDataFrame([(cols[0], 1.0, 0.0)], "feature string, attribution double, std double")
+    rows = train.select(id_col, label, *cols).persist()
+    drops: list[tuple] = []
+    try:
+        every = max(1, rows.count() // BORDER_ROWS)
+        splits = None
+        if scoring == "roc_auc":
+            few = rows.where(F.pmod(F.xxhash64(id_col), F.lit(every)) == 0)
+            splits = value_splits(scorer(_permuted(few, label, id_col, cols, 0, seed)), "score", 256)
+        with shuffles_dropped(spark):
+            base = [r["_m"] for r in _scored_metric(scorer(rows), scoring, label, [], splits).collect()]
+            for r in range(repeats):
+                per = _scored_metric(scorer(_permuted(rows, label, id_col, cols, r, seed)), scoring, label, ["_f"], splits)
+                drops += [(cols[m["_f"]], base[0] - m["_m"] if None not in (base[0], m["_m"]) else None) for m in per.collect()]
+    finally:
+        rows.unpersist()
+    return (spark.createDataFrame(drops, "feature string, d double").groupBy("feature")
+            .agg(F.avg("d").alias("attribution"), F.stddev_pop("d").alias("std")))
+
+
+def _permuted(rows: DataFrame, label: str, id_col: str, cols: list[str], repeat: int, seed) -> DataFrame:
+    """``rows`` once per feature ``_f`` (its place in ``cols``), with that feature permuted."""
+    key = F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(repeat)))
+    a = row_number_by_hash(rows, key, f"{seed}-a", "_rank")
+    b = row_number_by_hash(rows.select(id_col, *[F.col(c).cast("double").alias(f"_p{i}") for i, c in enumerate(cols)]),
+                           key, f"{seed}-b", "_rank").drop(id_col)
+    both = a.join(b, "_rank").withColumn("_f", F.explode(F.array(*[F.lit(i) for i in range(len(cols))])))
+    return both.select(id_col, label, "_f", *[F.when(F.col("_f") == i, F.col(f"_p{i}")).otherwise(F.col(c).cast("double")).alias(c)
+                                              for i, c in enumerate(cols)])
+
+
+def _scored_metric(scored: DataFrame, scoring: str, label: str, keys: list[str], splits: Sequence[float] | None = None) -> DataFrame:
     """``keys..., _m``: the metric of scored rows, the larger the better."""
     y = F.col(label).cast("double")
     if scoring == "roc_auc":
         from lucerna.operators.metrics import auc_ovr
-        return auc_ovr(scored, label, "score", group_cols=keys).withColumnRenamed("auc", "_m")
+        return auc_ovr(scored, label, "score", group_cols=keys, splits=splits).withColumnRenamed("auc", "_m")
     if scoring == "neg_log_loss":
         metric = F.avg(F.log(F.greatest(F.element_at("probability", y.cast("int") + 1), F.lit(1e-15))))
     elif scoring == "accuracy":

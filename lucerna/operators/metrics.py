@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lucerna.functions.exprs import rnd, safe_div, with_scalars
-from lucerna.functions.ranking import running_sums, with_value_bucket
+from lucerna.functions.ranking import BUCKET, running_sums, with_value_bucket
 
 EPS64 = 2.220446049250313e-16  # float64 machine epsilon (MAPE floor)
 
@@ -100,23 +100,31 @@ def _binary_metric_cols(tn, fp, fn, tp) -> dict[str, Column]:
 
 def auc_ovr(scored: DataFrame, label: str = "label", score: str = "score",
             class_col: str | None = None, group_cols: Sequence[str] = (),
-            n_buckets: int = 256) -> DataFrame:
+            n_buckets: int = 256, splits: Sequence[float] | None = None) -> DataFrame:
     """EV8: tie-aware AUC (Mann-Whitney) per group (and class).
 
     ``scored`` has one row per (sample[, class]) with a numeric ``score`` and
     a 0/1 ``label`` (positive = this class).  Rows collapse to one row per
-    distinct score first (hot scores become one row), then a distributed
-    running sum of negatives gives each positive its rank share.
+    distinct score first (hot scores become one row).  A positive meets the
+    negatives below it in its bucket of scores by a running sum, and those of lower
+    buckets as one number per bucket, so no row is joined.  ``splits`` are the
+    buckets' borders; without them the scores are read once more to find some.
     """
     keys = list(group_cols) + ([class_col] if class_col else [])
     dist = scored.groupBy(*keys, F.col(score).alias("_s")).agg(
         F.sum(_d(label)).alias("_pos"), F.count(F.lit(1)).alias("_cnt"))
     dist = dist.withColumn("_neg", F.col("_cnt") - F.col("_pos"))
-    keyed = with_value_bucket(dist, "_s", n_buckets)
-    run = running_sums(keyed, ["_s"], {"_negcum": F.col("_neg")}, partition_cols=keys)
-    part = run.groupBy(*keys).agg(
+    keyed = with_value_bucket(dist, "_s", n_buckets, splits)
+    inside = (Window.partitionBy(*keys, BUCKET).orderBy("_s")
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    per = keyed.withColumn("_negcum", F.sum("_neg").over(inside)).groupBy(*keys, BUCKET).agg(
         F.sum(F.col("_pos") * (F.col("_negcum") - F.col("_neg") + F.col("_neg") / 2.0)).alias("_u"),
         F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
+    # at most n_buckets rows a group from here on
+    below = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_below", F.coalesce(F.sum("_N").over(below), F.lit(0.0)))
+    part = per.groupBy(*keys).agg(F.sum(F.col("_u") + F.col("_P") * F.col("_below")).alias("_u"),
+                                  F.sum("_P").alias("_P"), F.sum("_N").alias("_N"))
     return part.select(*keys, F.when((F.col("_P") > 0) & (F.col("_N") > 0),
                                      F.col("_u") / (F.col("_P") * F.col("_N"))).alias("auc"))
 
