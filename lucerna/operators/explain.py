@@ -11,9 +11,13 @@ results come back through grouped aggregations.  Randomness is H1.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.classification import MultilayerPerceptronClassificationModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,9 +52,18 @@ def pipeline_scorer(model, positive_class: int | None = 1) -> Scorer:
             s = F.col("prediction")
         keep = [c for c in df.columns]
         return out.select(*keep, s.cast("double").alias("score"))
+    score.model, score.positive_class = model, positive_class  # explainers may read the model's form
     return score
 
 
+def _fitted_stage(scorer: Scorer):
+    """The fitted stage of a scorer and its columns in order, where rows go to it as they are; else None."""
+    stages = getattr(getattr(scorer, "model", None), "stages", [])
+    if len(stages) != 2 or not isinstance(stages[0], VectorAssembler) or stages[0].getHandleInvalid() != "keep":
+        return None
+    return stages[1], stages[0].getInputCols()
+
+
 # ---------------------------------------------------------------- EX6/EX7 linear Shapley
 
 def linear_shapley(df: DataFrame, coefs: dict[str, float], background: DataFrame,
@@ -114,12 +127,23 @@ def integrated_gradients(rows: DataFrame, baseline: dict[str, float], feature_co
     both sides of every path point; weights as in the closed form.  Rows x
     steps x features x 2 points are scored in one pass and fold into one row
     per (id, feature) before the shuffle.  A null feature gives null for its row.
-    Output: id, feature, attribution.
+    A perceptron's points are made and scored as matrices, a few hundred rows at a
+    time, and a row leaves its task as one row.  Output: id, feature, attribution.
     """
     cols = list(feature_cols)
     x = {c: F.col(c).cast("double") for c in cols}
     ext = rows.agg(*[(F.max(x[c]) - F.min(x[c])).alias(c) for c in cols]).first().asDict()
     h = {c: rel_step * (ext[c] or 1.0) for c in cols}
+    fitted = _fitted_stage(scorer)
+    if fitted and isinstance(fitted[0], MultilayerPerceptronClassificationModel) and fitted[1] == cols and scorer.positive_class is not None:
+        net = _Perceptron(fitted[0], scorer.positive_class)
+        kind = rows.schema[id_col].dataType.simpleString()
+        walk = _path_slopes(net, cols, [baseline[c] for c in cols], [h[c] for c in cols], steps)
+        local = (rows.select(F.col(id_col).alias("id"), *[x[c].alias(f"x{i}") for i, c in enumerate(cols)])
+                 .mapInArrow(walk, f"id {kind}, " + ", ".join(f"a{i} double" for i in range(len(cols)))))
+        whole = local.groupBy("id").agg(*[F.sum(f"a{i}").alias(f"a{i}") for i in range(len(cols))])
+        pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"a{i}").alias("attribution")) for i, c in enumerate(cols)])
+        return whole.select("id", F.explode(pairs).alias("s")).select("id", "s.*")
     pts = rows.select(F.col(id_col).alias("id"), *[x[c].alias(c) for c in cols])
     pts = (pts.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(steps))))
            .withColumn("_f", F.explode(F.array(*[F.lit(i) for i in range(len(cols))])))
@@ -136,6 +160,50 @@ def integrated_gradients(rows: DataFrame, baseline: dict[str, float], feature_co
             .select("id", names[F.col("_f")].alias("feature"), "attribution"))
 
 
+class _Perceptron:
+    """A fitted perceptron's probability of one class, for matrices of rows."""
+
+    def __init__(self, model: MultilayerPerceptronClassificationModel, class_index: int):
+        sizes, flat, at = model.getLayers(), model.weights.toArray(), 0
+        self.class_index, self.layers = class_index, []
+        for n, m in zip(sizes, sizes[1:]):  # per layer: its matrix by columns, then its offsets
+            self.layers.append((flat[at:at + n * m].reshape(n, m), flat[at + n * m:at + n * m + m]))
+            at += n * m + m
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            for w, b in self.layers[:-1]:
+                x = 1.0 / (1.0 + np.exp(-(x @ w + b)))
+        w, b = self.layers[-1]
+        z = x @ w + b
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        return e[:, self.class_index] / e.sum(axis=1)
+
+
+def _path_slopes(net: _Perceptron, cols: list[str], baseline: list[float], h: list[float], steps: int, rows: int = 256):
+    """Per row, the path sum of every feature's difference quotients: 2 points a feature and step, ``rows`` rows at a time."""
+    d, base, move = len(cols), np.array(baseline, float), np.array(h, float)
+    sides = np.concatenate([np.diag(move), -np.diag(move)])[:, None, :]  # forward points, then backward
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.column_stack([batch.column(f"x{i}").to_numpy(zero_copy_only=False) for i in range(d)]).astype(float, copy=False)
+            total = np.zeros_like(x)
+            for at in range(0, len(x), rows):
+                way = x[at:at + rows] - base
+                for k in range(steps + 1):
+                    share = (0.5 if k in (0, steps) else 1.0) / steps
+                    points = base + k / steps * way + sides
+                    p = net(points.reshape(-1, d)).reshape(2, d, len(way))
+                    total[at:at + rows] += share * (p[0] - p[1]).T
+                total[at:at + rows] *= way / (2.0 * move)
+            none = [batch.column(f"x{i}").is_null().to_numpy(zero_copy_only=False) for i in range(d)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), *[pa.array(total[:, i], pa.float64(), mask=none[i]) for i in range(d)]],
+                ["id", *[f"a{i}" for i in range(d)]])
+    return run
+
+
 def global_mean_std(local: DataFrame, keys: Sequence[str] = (), pop: bool = True) -> DataFrame:
     """EX9 (population std) / EX4 (sample std): mean and std of local attributions."""
     sd = F.stddev_pop if pop else F.stddev_samp
