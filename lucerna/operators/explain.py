@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import MultilayerPerceptronClassificationModel
 from pyspark.ml.feature import VectorAssembler
@@ -230,9 +231,15 @@ def partial_dependence(train: DataFrame, feature: str, scorer: Scorer, grid: Seq
                        id_col: str = "id", per_row: bool = False) -> DataFrame:
     """EX12 PDP (mean score per grid value) / EX13 ICE (``per_row``: one curve per row).
 
-    Rows x grid points via ``explode`` of the bounded grid literal.
+    Rows x grid points via ``explode`` of the bounded grid literal.  The mean of a model
+    whose score adds up leaves (trees, forests) needs no copies: a leaf counts for the
+    rows that meet its path's conditions on the other features, at the grid points
+    that meet those on ``feature``, so one pass counts rows and the grid is looked up.
     """
     grid = list(grid) if grid is not None else pdp_grid(train, feature)
+    fitted = None if per_row else _fitted_stage(scorer)
+    if fitted and feature in fitted[1] and _adds_leaves(fitted[0], scorer.positive_class):
+        return _leaf_dependence(train, feature, scorer, list(fitted[1]), [float(x) for x in grid])
     g = F.array(*[F.lit(float(x)) for x in grid])
     exploded = train.withColumn("grid_value", F.explode(g)).withColumn(feature, F.col("grid_value"))
     scored = scorer(exploded)
@@ -241,6 +248,55 @@ def partial_dependence(train: DataFrame, feature: str, scorer: Scorer, grid: Seq
     return scored.groupBy("grid_value").agg(F.avg("score").alias("mean_prediction"))
 
 
+def _adds_leaves(stage, positive_class: int | None) -> bool:
+    """True for a stage whose score is a sum of leaf values."""
+    name = type(stage).__name__
+    if positive_class is None or "Regression" in name:
+        return name in ("DecisionTreeRegressionModel", "RandomForestRegressionModel", "GBTRegressionModel")
+    return name in ("DecisionTreeClassificationModel", "RandomForestClassificationModel")
+
+
+def _meets(x, above: float, up_to: float):
+    """Where a tree's path is followed: a value that is no number takes every right turn."""
+    inside = np.ones(np.shape(x), bool) if above == -math.inf else ~(x <= above)
+    return inside if up_to == math.inf else inside & (x <= up_to)
+
+
+def _count_paths(paths: list[tuple], cols: list[str]):
+    """Rows that follow each path, in all rows of a task; path -1 counts the rows."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(len(paths), np.int64)
+        rows = 0
+        for f in frames:
+            x = [f[c].to_numpy(float) for c in cols]
+            met = {part: _meets(x[part[0]], *part[1:]) for part in {p for path in paths for p in path}}
+            every = np.ones(len(f), bool)
+            rows += len(f)
+            for i, path in enumerate(paths):
+                total[i] += np.count_nonzero(reduce(np.logical_and, [met[p] for p in path], every))
+        yield pd.DataFrame({"path": np.arange(-1, len(paths)), "n": np.concatenate([[rows], total])})
+    return run
+
+
+def _leaf_dependence(train: DataFrame, feature: str, scorer: Scorer, cols: list[str], grid: list[float]) -> DataFrame:
+    """:func:`partial_dependence` of a sum of leaves; only counts per path, bounded by the model, reach the driver."""
+    from lucerna.operators.treeshap import leaves_of
+    leaves, own = leaves_of(train, scorer.model, scorer.positive_class), cols.index(feature)
+    others = [tuple(p for p in leaf.path if p[0] != own) for leaf in leaves]
+    paths = list(dict.fromkeys(others))
+    where = {path: i for i, path in enumerate(paths)}
+    counted = (train.select(*[F.col(c).cast("double").alias(c) for c in cols])
+               .mapInPandas(_count_paths(paths, cols), "path long, n long").groupBy("path").agg(F.sum("n")))
+    n = dict(counted.collect())
+    rows, points = n.get(-1, 0), list(dict.fromkeys(grid))
+    at, sums = np.array(points, float), np.zeros(len(points))
+    for leaf, path in zip(leaves, others, strict=True):
+        met = [_meets(at, *p[1:]) for p in leaf.path if p[0] == own]
+        sums += np.where(met[0] if met else True, leaf.value * n.get(where[path], 0), 0.0)
+    return train.sparkSession.createDataFrame([(g, float(s) / rows) for g, s in zip(points, sums)] if rows else [],
+                                              "grid_value double, mean_prediction double")
+
+
 def ice_rows(train: DataFrame, id_col: str = "id", max_rows: int | None = None, seed=0) -> DataFrame:
     """EX13 rows: all of them, or the first ``max_rows`` in seeded hash order if the caller asks for a sample."""
     if max_rows is None:
