@@ -199,6 +199,16 @@ LOCAL_METHODS = ["LIME", "Shapley", "IntegratedGradients", "DiCE"]
 GLOBAL_METHODS = ["PermutationImportance", "RFPermutationImportance"]
 
 
+def _z_statistics(of: DataFrame) -> DataFrame:
+    """One row: mean ``m_f`` and population deviation ``s_f`` of every feature."""
+    return of.agg(*[F.avg(F.col(f).cast("double")).alias(f"m_{f}") for f in FEATURES],
+                  *[F.stddev_pop(F.col(f).cast("double")).alias(f"s_{f}") for f in FEATURES])
+
+
+def _z_score(f: str, value):
+    return (value.cast("double") - F.col(f"m_{f}")) / F.when(F.col(f"s_{f}") == 0, 1.0).otherwise(F.col(f"s_{f}"))
+
+
 def _attributions(v: Views) -> DataFrame:
     """Long attribution table of two models x six methods over all orders.
 
@@ -208,12 +218,8 @@ def _attributions(v: Views) -> DataFrame:
     broadcast.  Global rows are one aggregate pass.
     """
     of = v.order_features
-    stats = of.agg(*[F.avg(F.col(f).cast("double")).alias(f"m_{f}") for f in FEATURES],
-                   *[F.stddev_pop(F.col(f).cast("double")).alias(f"s_{f}") for f in FEATURES])
-    zs = {f: (F.col(f).cast("double") - F.col(f"m_{f}")) /
-          F.when(F.col(f"s_{f}") == 0, 1.0).otherwise(F.col(f"s_{f}")) for f in FEATURES}
-    wz = with_scalars(of, stats).select(
-        "id", *[zs[f].alias(f"z_{f}") for f in FEATURES], rnd(logistic(_pred_score())).alias("probability"))
+    wz = with_scalars(of, _z_statistics(of)).select(
+        "id", *[_z_score(f, F.col(f)).alias(f"z_{f}") for f in FEATURES], rnd(logistic(_pred_score())).alias("probability"))
     wts = attribution_weights()
     local = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(k).alias("method"), F.lit(f).alias("feature"),
                                rnd(F.col(f"z_{f}") * F.lit(w)).alias("attribution"))
@@ -241,21 +247,30 @@ def _lime_rows(v: Views) -> DataFrame:
     of the explained value, the predicted class and its probability."""
     from lucerna.functions.ranking import exact_quantiles
     from lucerna.operators.profile import unpivot
-    long = unpivot(v.order_features, ["id"], FEATURES)
-    q = (exact_quantiles(long, "value", ["feature"], [0.25, 0.5, 0.75])
+    of = v.order_features.select("id", *FEATURES).persist()  # read by the statistics, the quartiles and the rows
+    q = (exact_quantiles(unpivot(of, ["id"], FEATURES), "value", ["feature"], [0.25, 0.5, 0.75])
          .groupBy("feature").pivot("p", [0.25, 0.5, 0.75]).agg(F.first("q"))
          .toDF("feature", "q1", "q2", "q3"))
-    x, f = F.col("value"), F.col("feature")
-    rng = (F.when(x <= F.col("q1"), F.concat(f, F.lit(" <= "), _fmt2("q1")))
-           .when(x <= F.col("q2"), F.concat(_fmt2("q1"), F.lit(" < "), f, F.lit(" <= "), _fmt2("q2")))
-           .when(x <= F.col("q3"), F.concat(_fmt2("q2"), F.lit(" < "), f, F.lit(" <= "), _fmt2("q3")))
-           .otherwise(F.concat(f, F.lit(" > "), _fmt2("q3"))))
-    ranged = long.join(F.broadcast(q), "feature").select(  # one row per feature
-        F.col("id").alias("sample_id"), "feature", rng.alias("range"))
-    a = v.attributions.where(F.col("method") == "LIME").select("model", "sample_id", "feature", "attribution")
-    pred = v.order_pred.select(F.col("id").alias("sample_id"), F.col("prediction").alias("class"), "probability")
-    return (a.join(ranged, ["sample_id", "feature"]).join(pred, "sample_id")
-            .select("model", "sample_id", "range", "attribution", "class", "probability"))
+    edges = {r["feature"]: r for r in q.select("*", *[_fmt2(f"q{i}").alias(f"t{i}") for i in (1, 2, 3)]).collect()}  # one row per feature
+    # an attribution meets the ranges and the predictions of its sample: copies of an id meet one another
+    rows = of.groupBy("id").agg(F.collect_list(F.struct(*FEATURES)).alias("_c"))
+    for part in "arp":
+        rows = rows.withColumn(f"_{part}", F.explode("_c"))
+    rows = with_scalars(rows, _z_statistics(of))
+    rows = rows.select(F.col("id").cast("long").alias("sample_id"), *[_z_score(f, F.col(f"_a.{f}")).alias(f"z_{f}") for f in FEATURES],
+                       *[F.col(f"_r.{f}").cast("double").alias(f"x_{f}") for f in FEATURES], "_p.sum_qty", "_p.n_lines")
+    rows = rows.withColumn("probability", rnd(logistic(_pred_score())))
+
+    def ranged(f: str):
+        x, e = F.col(f"x_{f}"), edges[f]
+        return (F.when(x <= e["q1"], f"{f} <= {e['t1']}").when(x <= e["q2"], f"{e['t1']} < {f} <= {e['t2']}")
+                .when(x <= e["q3"], f"{e['t2']} < {f} <= {e['t3']}").otherwise(f"{f} > {e['t3']}"))
+    made = F.array(*[F.struct(F.lit(m).alias("model"), ranged(f).alias("range"), rnd(F.col(f"z_{f}") * F.lit(w)).alias("attribution"))
+                     for (m, k, f), w in attribution_weights().items() if k == "LIME" and f in edges])
+    if not edges:
+        made = made.cast("array<struct<model:string,range:string,attribution:double>>")
+    return (rows.select("sample_id", F.when(F.col("probability") >= 0.5, 1).otherwise(0).alias("class"), "probability", F.explode(made).alias("s"))
+            .select("s.model", "sample_id", "s.range", "s.attribution", "class", "probability"))
 
 
 def _brand_effects(v: Views) -> DataFrame:
