@@ -17,6 +17,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -92,9 +93,9 @@ class WaveletMatrix:
         for level in range(bits - 1, -1, -1):
             one = (values >> level & 1).astype(bool)
             planes.append(np.packbits(one, bitorder="little"))
-            low = values[~one]
+            low = values[np.flatnonzero(~one)]  # places, not a mask: masks of random bits are slow
             zeros.append(len(low))
-            values = np.concatenate([low, values[one]])
+            values = np.concatenate([low, values[np.flatnonzero(one)]])
         return cls(len(values), [_Plain(p) for p in planes], zeros, np.stack([cls._directory(p) for p in planes]))
 
     def to_bytes(self) -> bytes:
@@ -195,8 +196,8 @@ class WaveletMatrix:
         for level in range(len(self.planes) - 1, -1, -1):
             one = np.unpackbits(self.planes[level].all(), count=self.n, bitorder="little").astype(bool)
             before = np.empty_like(values)
-            before[~one] = values[:self.zeros[level]]
-            before[one] = values[self.zeros[level]:] | values.dtype.type(1 << len(self.planes) - 1 - level)
+            before[np.flatnonzero(~one)] = values[:self.zeros[level]]
+            before[np.flatnonzero(one)] = values[self.zeros[level]:] | values.dtype.type(1 << len(self.planes) - 1 - level)
             values = before
         return values
 
@@ -258,21 +259,26 @@ class WordEncoder:
     def _learn(self, hashes: list[int], words: list[str]) -> None:
         """Encode new words, sixty to a text with a digit between them; the digit's id is in no other word."""
         found: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
         for at in range(0, len(words), 60 * 64):
             groups = [words[i:i + 60] for i in range(at, min(at + 60 * 64, len(words)), 60)]
             for group, ids in zip(groups, self._ids([" 0 ".join(g) + " 0" for g in groups]), strict=True):
-                cuts = np.flatnonzero(ids == self.border[-1])
+                border = ids == self.border[-1]
+                cuts = np.flatnonzero(border)
                 if len(self.border) == 1 and len(cuts) == len(group):
-                    found += np.split(ids, np.stack([cuts, cuts + 1], 1).ravel())[::2][:len(group)]
+                    found.append(ids[~border])
+                    lengths.append(np.diff(cuts, prepend=-1) - 1)
                 else:  # the group has numbers
-                    found += self._ids(group)
-        n, sizes = len(self.slot), np.array([len(x) for x in found])
-        while n + len(found) > len(self.at):
+                    own = self._ids(group)
+                    found += own
+                    lengths.append(np.array([len(x) for x in own]))
+        n, sizes, many = len(self.slot), np.concatenate(lengths), len(words)
+        while n + many > len(self.at):
             self.at, self.sizes = (np.concatenate([x, np.empty_like(x)]) for x in (self.at, self.sizes))
         while self.used + sizes.sum() > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        self.at[n:n + len(found)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[n:n + len(found)] = sizes
+        self.at[n:n + many] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[n:n + many] = sizes
         self.flat[self.used:self.used + sizes.sum()] = np.concatenate(found)
         self.used += int(sizes.sum())
         if len(self.at) >= len(self.letter_at):
@@ -282,7 +288,7 @@ class WordEncoder:
         while self.letter_at[n] + len(letters) > len(self.letters):
             self.letters = np.concatenate([self.letters, np.empty_like(self.letters)])
         self.letters[self.letter_at[n]:self.letter_at[n] + len(letters)] = letters
-        self.slot.update(zip(hashes, range(n, n + len(found)), strict=True))
+        self.slot.update(zip(hashes, range(n, n + many), strict=True))
 
     @staticmethod
     def _normal(text: str) -> str:
@@ -336,7 +342,7 @@ class WordEncoder:
         keys = distinct.tolist()
         if len(self.slot) + len(keys) > CACHE:
             self._forget()
-        slots = np.array([self.slot.get(k, -1) for k in keys], np.int64)
+        slots = np.fromiter(map(self.slot.get, keys, repeat(-1)), np.int64, len(keys))
         new = np.flatnonzero(slots < 0)
         if len(new):
             where = np.empty(len(keys), np.int64)
@@ -347,12 +353,14 @@ class WordEncoder:
         slot = slots[which]
         # the letters of every word against those its hash stands for
         length, kept = end - begin, self.letter_at[slot + 1] - self.letter_at[slot]
-        stop = np.cumsum(np.minimum(length, kept))
-        each = np.diff(stop, prepend=0)
-        step = np.arange(stop[-1] if len(stop) else 0) - np.repeat(stop - each, each)
-        differ = cps[np.repeat(begin, each) + step] != self.letters[np.repeat(self.letter_at[slot], each) + step]
         wrong = length != kept
-        wrong[np.searchsorted(stop, np.flatnonzero(differ), "right")] = True
+        same = np.flatnonzero(~wrong)
+        stop = np.cumsum(length[same])
+        spot = np.arange(stop[-1] if len(stop) else 0)
+        theirs = self.letters[np.repeat(self.letter_at[slot[same]] - (stop - length[same]), length[same]) + spot]
+        # the letters of all words in a row are all characters but white space
+        own = cps[np.repeat(begin[same] - (stop - length[same]), length[same]) + spot] if wrong.any() else cps[kind > 0]
+        wrong[same[np.searchsorted(stop, np.flatnonzero(own != theirs), "right")]] = True
         odd = np.append(odd, np.searchsorted(ends, begin[wrong], "right"))
         sizes = self.sizes[slot]
         stop = np.cumsum(sizes)
@@ -445,7 +453,7 @@ def _read(starts) -> callable:
                 ids = WaveletMatrix.from_bytes(row["data"]).all().astype("<u4")
                 ends = np.cumsum(row["lengths"])
                 begin = ends - row["lengths"]
-                crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(begin, ends, strict=True)]
+                crc = [zlib.crc32(ids[a:b]) for a, b in zip(begin, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row["doc_ids"], pa.int64()), pa.array(begin + starts.value[row["part"]] + row["first"]),
                      pa.array(np.asarray(row["lengths"], np.int64)), pa.array(crc, pa.int64())],
