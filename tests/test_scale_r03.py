@@ -96,6 +96,10 @@ def test_files_of_placed_samples_are_not_shuffled(spark, attr):
         assert set(keys) <= {"l_orderkey", "id"}, keys  # the view's own
 
 
+def _flat(df):
+    return {tuple(r)[:-1]: r[-1] for r in df.collect()}
+
+
 def test_words_are_learned_without_a_split_per_word(monkeypatch):
     """op10_token_index: numpy's split cost more than the library's own encoding of new words."""
     from lucerna.llm import wavelet as W
