@@ -17,13 +17,15 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import MultilayerPerceptronClassificationModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lucerna.functions.exprs import rnd, with_scalars
-from lucerna.functions.hashing import hash_uniform, seeded_hash
+from lucerna.functions.hashing import TWO_32, hash_uniform
+from lucerna.functions.md5 import Keys
 from lucerna.functions.ranking import exact_quantiles, row_number_by_hash, value_splits
 from lucerna.operators.models import probability_array
 from lucerna.session import checkpoint_dir, shuffles_dropped
@@ -601,15 +603,126 @@ def lime_global(lime_rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
             .agg(F.avg("attribution").alias("attribution"), F.stddev_samp("attribution").alias("std")))
 
 
-def dice_importance(cf: DataFrame, keys: Sequence[str] = (), id_col: str = "id") -> DataFrame:
+def dice_importance(cf: DataFrame, keys: Sequence[str] = (), id_col: str = "id", feature_cols: Sequence[str] | None = None) -> DataFrame:
     """EX11: per row, the share of its counterfactuals that change each feature;
-    globally the mean and population std of those shares."""
-    local = cf.groupBy(*keys, id_col, "feature").agg(F.avg(F.col("changed").cast("double")).alias("attribution"))
+    globally the mean and population std of those shares.
+
+    ``cf`` has one row per counterfactual and feature; with ``feature_cols`` one row per
+    counterfactual, as :func:`kept_counterfactuals` gives it, and the shares are
+    worked out without a row per feature.
+    """
+    if feature_cols is not None:
+        shares = [F.avg(F.col("s")[i]["changed"].cast("double")) for i in range(len(feature_cols))]
+        each = F.array(*[F.struct(F.lit(c).alias("feature"), x.alias("attribution")) for c, x in zip(feature_cols, shares, strict=True)])
+        local = cf.groupBy(*keys, id_col).agg(each.alias("s")).select(*keys, F.explode("s").alias("s")).select(*keys, "s.*")
+    else:
+        local = cf.groupBy(*keys, id_col, "feature").agg(F.avg(F.col("changed").cast("double")).alias("attribution"))
     glob = local.groupBy(*keys, "feature").agg(F.avg("attribution").alias("attribution"),
                                                F.stddev_pop("attribution").alias("std"))
     return glob
 
 
+CANDIDATE_ROWS = 1000  # rows whose candidates a task holds at once
+
+
+def _candidates(id_col: str, cols: list[str], others: list[str], bounds: list[tuple[float, float]], limit: int, n_candidates: int, seed):
+    """Rows with ``_key`` (the id's text) to their candidates that change something, in the rows' order."""
+    changes = [[f"-{seed}-{j}-{c}".encode() for j in range(n_candidates)] for c in cols]
+    draws = [[f"-{seed}-v-{j}-{c}".encode() for j in range(n_candidates)] for c in cols]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, last = 0, None
+        for batch in batches:
+            for at in range(0, batch.num_rows, CANDIDATE_ROWS):
+                part = batch.slice(at, CANDIDATE_ROWS)
+                n = part.num_rows
+                names = part.column("_key")
+                groups = group + np.cumsum([last is None or names[0].as_py() != last,
+                                            *pc.not_equal(names.slice(1), names.slice(0, n - 1)).to_numpy(zero_copy_only=False)])
+                group, last = int(groups[-1]), names[n - 1].as_py()
+                keys = Keys(names)
+                moved = [keys.first32(s).astype(np.int64) < limit for s in changes]
+                count = sum((m.astype(np.int32) for m in moved), np.zeros((n_candidates, n), np.int32))
+                row, cf = np.nonzero(count.T)
+                mask, dist, missing, out = np.zeros(len(row), np.int64), np.zeros(len(row)), np.zeros(len(row), bool), []
+                for i, c in enumerate(cols):
+                    x = part.column(c)
+                    own, unknown = x.fill_null(0.0).to_numpy(zero_copy_only=False), x.is_null().to_numpy(zero_copy_only=False)
+                    of = np.flatnonzero(moved[i][cf, row])
+                    lo, hi = bounds[i]
+                    drawn = lo + (hi - lo) * (keys.first32_at(draws[i], cf[of], row[of]) / TWO_32)
+                    value, gone = own[row], unknown[row]
+                    far = np.zeros(len(row))
+                    far[of] = np.abs(drawn - value[of]) / ((hi - lo) or 1.0)
+                    dist += far
+                    missing[of] |= gone[of]
+                    value[of], gone[of] = drawn, False
+                    mask[of] |= 1 << i
+                    out.append(pa.array(value, mask=gone) if gone.any() else pa.array(value))
+                row = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(c).take(row) for c in others], *out, pa.array(cf.astype(np.int32)), pa.array(groups[row.to_numpy()]),
+                     pa.array(count[cf, row.to_numpy()]), pa.array(dist, mask=missing), pa.array(mask)],
+                    [*others, *cols, "cf", "_group", "_nchg", "_dist", "_mask"])
+    run.__name__ = f"candidates_changed_below_{limit:08x}"
+    return run
+
+
+def _best(n_keep: int):
+    """The best ``n_keep`` candidates of every group of rows that follow one another."""
+    def cut(held: pa.Table) -> pa.Table:
+        group, dist = held.column("_group").to_numpy(), held.column("_dist")
+        known = dist.is_valid().to_numpy()  # an unknown distance goes first, as in the engine's order
+        order = np.lexsort((held.column("cf").to_numpy(), dist.fill_null(0.0).to_numpy(), known, held.column("_nchg").to_numpy(), group))
+        group = group[order]
+        start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        rank = np.arange(len(group)) - np.repeat(start, np.diff(np.append(start, len(group))))
+        return held.take(pa.array(order[rank < n_keep]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if batch.num_rows:
+                held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+                group = held.column("_group").to_numpy()
+                if (group[1:] < group[:-1]).any():
+                    raise ValueError("the scorer must keep the rows in their order")
+                done = int(np.searchsorted(group, group[-1]))  # the last group may go on in the next batch
+                if done:
+                    yield from cut(held.slice(0, done)).to_batches()
+                held = cut(held.slice(done))
+        if held is not None:
+            yield from held.to_batches()
+    return run
+
+
+def kept_counterfactuals(rows: DataFrame, train: DataFrame, feature_cols: Sequence[str], scorer: Scorer,
+                         desired: Callable[[Column, Column], Column], id_col: str = "id",
+                         n_candidates: int = 100, n_keep: int = 10, change_prob: float = 0.3,
+                         seed=0) -> DataFrame:
+    """The rows of :func:`counterfactuals` before they are made long: id, cf and ``s``, an array of (feature, value, changed)."""
+    cols = list(feature_cols)
+    rng = train.agg(*[x for c in cols for x in (F.min(F.col(c).cast("double")).alias(f"lo_{c}"),
+                                                   F.max(F.col(c).cast("double")).alias(f"hi_{c}"))]).first()
+    bounds = [(rng[f"lo_{c}"], rng[f"hi_{c}"]) for c in cols]
+    limit = min(max(math.ceil(change_prob * 2 ** 32), 0), 2 ** 32)
+    # rows of one id follow one another: they share the candidates that are kept; a null id has no hash, so nothing of it changes
+    near = rows.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.collect_list(F.struct(*[c for c in rows.columns if c != id_col])).alias("_same"))
+    near = near.select(id_col, F.explode("_same").alias("_row")).select(*[F.col(c) if c == id_col else F.col(f"_row.`{c}`").alias(c) for c in rows.columns])
+    orig = scorer(near).select(*rows.columns, F.col("score").alias("_orig"))
+    others = [c for c in orig.columns if c not in cols]
+    given = orig.select(*others, *[F.col(c).cast("double").alias(c) for c in cols], F.col(id_col).cast("string").alias("_key"))
+    kind = ", ".join([*[f"`{c}` {given.schema[c].dataType.simpleString()}" for c in others], *[f"`{c}` double" for c in cols],
+                      "cf int, _group long, _nchg int, _dist double, _mask long"])
+    cand = given.mapInArrow(_candidates(id_col, cols, others, bounds, limit, n_candidates, seed), kind)
+    lean = [id_col, "cf", *[c for c in cols if c != id_col], "_group", "_nchg", "_dist", "_mask"]
+    scored = scorer(cand).where(desired(F.col("score"), F.col("_orig"))).select(*lean)
+    kept = scored.mapInArrow(_best(n_keep), scored.schema)
+    arr = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value"),
+                             (F.shiftright("_mask", i) % 2 == 1).alias("changed")) for i, c in enumerate(cols)])
+    return kept.select(id_col, "cf", arr.alias("s"))
+
+
 def counterfactuals(rows: DataFrame, train: DataFrame, feature_cols: Sequence[str], scorer: Scorer,
                     desired: Callable[[Column, Column], Column], id_col: str = "id",
                     n_candidates: int = 100, n_keep: int = 10, change_prob: float = 0.3,
@@ -621,35 +734,13 @@ def counterfactuals(rows: DataFrame, train: DataFrame, feature_cols: Sequence[st
     [min, max] of f.  Candidates whose score satisfies ``desired(score,
     original_score)`` are kept, the best ``n_keep`` by (features changed,
     L1 distance in range units).  Output long: id, cf, feature, value, changed.
+
+    Hashes of many rows and candidates are worked out together (:mod:`lucerna.functions.md5`).
+    The scorer adds its column row by row; the candidates of an id stay side by
+    side, so the best of them are found without a shuffle of candidates.
     """
-    cols = list(feature_cols)
-    rng = train.agg(*[x for c in cols for x in (F.min(F.col(c).cast("double")).alias(f"lo_{c}"),
-                                                   F.max(F.col(c).cast("double")).alias(f"hi_{c}"))]).first()
-    orig = scorer(rows).select(*rows.columns, F.col("score").alias("_orig"))
-    cand = orig.withColumn("cf", F.explode(F.sequence(F.lit(0), F.lit(n_candidates - 1))))
-    new_cols, changed, dist = [], [], []
-    # H1 < change_prob, compared as hex text: no number is parsed for the features that stay
-    limit = math.ceil(change_prob * 2 ** 32)
-    below = F.lit(f"{max(limit, 0):08x}" if limit < 2 ** 32 else "g")
-    for c in cols:
-        lo, hi = rng[f"lo_{c}"], rng[f"hi_{c}"]
-        ch = seeded_hash(id_col, seed, F.col("cf"), c) < below
-        v = F.lit(lo) + (F.lit(hi) - F.lit(lo)) * hash_uniform(id_col, f"{seed}-v", F.col("cf"), c)
-        x = F.col(c).cast("double")
-        new_cols.append(F.when(ch, v).otherwise(x).alias(c))
-        changed.append(F.when(ch, 1).otherwise(0))
-        span = (hi - lo) or 1.0
-        dist.append(F.when(ch, F.abs(v - x) / span).otherwise(0.0))
-    others = [c for c in cand.columns if c not in cols]
-    cand = cand.select(*others, *new_cols,
-                       sum(changed[1:], changed[0]).alias("_nchg"), sum(dist[1:], dist[0]).alias("_dist"),
-                       F.array(*changed).alias("_chg"))
-    scored = scorer(cand).where(desired(F.col("score"), F.col("_orig")) & (F.col("_nchg") > 0))
-    w = Window.partitionBy(id_col).orderBy("_nchg", "_dist", "cf")
-    kept = scored.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n_keep)
-    arr = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value"),
-                             (F.col("_chg")[i] == 1).alias("changed")) for i, c in enumerate(cols)])
-    return kept.select(id_col, "cf", F.explode(arr).alias("s")).select(id_col, "cf", "s.*")
+    kept = kept_counterfactuals(rows, train, feature_cols, scorer, desired, id_col, n_candidates, n_keep, change_prob, seed)
+    return kept.select(id_col, "cf", F.explode("s").alias("s")).select(id_col, "cf", "s.*")
 
 
 def round_cols(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
