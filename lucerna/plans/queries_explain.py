@@ -331,10 +331,10 @@ SELECT * FROM (WITH rg AS (SELECT {rng} FROM order_features),
 {select}) t"""
 
 
-def _cf(v):
+def _cf(v, find=EX.counterfactuals):
     of = v.order_features.select("id", *_CF_COLS)
     desired = lambda s, o: (s >= 0.5) != (o >= 0.5)  # noqa: E731 -- the opposite class
-    return EX.counterfactuals(of, of, _CF_COLS, SCORER, desired)
+    return find(of, of, _CF_COLS, SCORER, desired)
 
 
 @query("ex_counterfactuals", "EX10", with_views(_cf_sql(
@@ -349,7 +349,7 @@ SELECT feature, {R('avg(a)')} AS attribution, {R('stddev_pop(a)')} AS std FROM (
   SELECT id, feature, avg(CASE WHEN changed THEN 1.0 ELSE 0.0 END) AS a FROM lng GROUP BY id, feature) l
 GROUP BY feature"""), "order_features"))
 def ex_dice_importance(v):
-    g = EX.dice_importance(_cf(v))
+    g = EX.dice_importance(_cf(v, EX.kept_counterfactuals), feature_cols=_CF_COLS)
     return g.select("feature", rnd("attribution").alias("attribution"), rnd("std").alias("std"))
 
 
