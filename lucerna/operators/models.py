@@ -133,9 +133,16 @@ def fit_model(df: DataFrame, name: str, task: str, feature_cols: Sequence[str],
         return fit_boosted(data, feature_cols, task, n_classes, label, weight_col, **{"seed": seed, **(params or {})}).pipeline()
     if name == "DNN" or (name == "ANN" and task == "regression"):
         return fit_network(data, feature_cols, task, n_classes, label, weight_col, **{"seed": seed, **(params or {})}).pipeline()
+    if name == "XGBOOST":  # every level of every tree is two short stages over all partitions
+        data = data.coalesce(fit_partitions(data))
     return build_pipeline(name, task, feature_cols, n_classes, params, label, weight_col, seed).fit(data)
 
 
+def fit_partitions(data: DataFrame, rows: int = 500_000) -> int:
+    """Partitions for a fit of many short passes: one a core, more where one would hold over ``rows`` rows."""
+    return max(data.sparkSession.sparkContext.defaultParallelism, -(-data.count() // rows), 1)
+
+
 def probability_array(scored: DataFrame) -> Column:
     """The class probabilities of a scored table as an array, whether its model gives a vector or an array."""
     p = F.col("probability")
