@@ -4,6 +4,9 @@ import numpy as np
 import pandas as pd
 
 
+KNOWN = 20_000  # interval vectors whose sums a task remembers (some 1 KB each)
+
+
 def uniform_of(key, salt):
     """Repeatable numbers in [0, 1) from whole-number keys and a salt (the splitmix64 finaliser)."""
     z = np.asarray(key).astype(np.uint64) + np.uint64(salt * 0x9E3779B97F4A7C15 % 2 ** 64)
@@ -61,34 +64,64 @@ def lime_solver(drawn, scores, id_col, cols, classes, alpha, k):
     d = len(cols)
     width2 = 0.5625 * d  # (0.75 sqrt(d))^2
 
+    # a sample tells a row only a mask: the features whose drawn interval is the row's
+    masks = np.arange(1 << d)
+    z = (masks[:, None] >> np.arange(d) & 1).astype(float)
+    w = np.sqrt(np.exp(-(1.0 - z).sum(1) / width2))
+    same = [{v: (drawn[:, j] == v).astype(np.int64) << j for v in np.unique(drawn[:, j]).tolist()} for j in range(d)]
+    squares = scores ** 2
+
     def sums(bins):
         """Weighted sums of the samples for one vector of intervals: w, z, z z', y and z y of each class, y^2."""
-        z = (drawn == bins).astype(float)
-        w = np.sqrt(np.exp(-(1.0 - z).sum(1) / width2))
-        wz = z * w[:, None]
-        return w.sum(), wz.sum(0), z.T @ wz, w @ scores, wz.T @ scores, w @ (scores ** 2)
+        mask = np.zeros(len(drawn), np.int64)
+        for j, v in enumerate(bins.tolist()):
+            if v in same[j]:
+                mask |= same[j][v]
+        many = w * np.bincount(mask, minlength=1 << d)
+        y = w[:, None] * np.column_stack([np.bincount(mask, scores[:, c], 1 << d) for c in range(len(classes))])
+        wz = z * many[:, None]
+        return many.sum(), wz.sum(0), z.T @ wz, y.sum(0), z.T @ y, w @ np.column_stack(
+            [np.bincount(mask, squares[:, c], 1 << d) for c in range(len(classes))])
 
     def run(frames):
+        known = {}
         for f in frames:
-            out = []
             bins = f[[f"d_{c}" for c in cols]].to_numpy()
             own = f[[f"y_{y}" for y in classes]].to_numpy(float)
-            if len(f):
-                distinct, which = np.unique(bins, axis=0, return_inverse=True)
-                known = [sums(v) for v in distinct]
-                for i, (row, at) in enumerate(zip(f[id_col], which.ravel())):
-                    c = int(np.argmax(own[i]))
-                    sw, sz, szz, sy, szy, syy = known[at]
-                    y0 = own[i, c]
-                    # the row itself: all ones, weight 1
-                    sw, sz, szz, sy, szy, syy = sw + 1.0, sz + 1.0, szz + 1.0, sy[c] + y0, szy[:, c] + y0, syy[c] + y0 * y0
-                    A = szz - np.outer(sz, sz) / sw
-                    b = szy - sz * sy / sw
-                    s = list(range(d)) if k >= d else sorted(forward_selection(A, b, syy - sy * sy / sw, k, alpha))
-                    coef = np.linalg.solve(A[np.ix_(s, s)] + alpha * np.eye(len(s)), b[s])
-                    at_one = sy / sw + coef @ (1.0 - sz[s] / sw)
-                    out += [(row, cols[j], float(a), int(bins[i, j]), int(classes[c]), float(at_one)) for j, a in zip(s, coef)]
-            yield pd.DataFrame(out, columns=["id", "feature", "attribution", "bin", "class", "local_prediction"])
+            best = np.argmax(own, axis=1) if len(f) else np.zeros(0, int)
+            take = list(range(d)) if k >= d else None
+            n = min(k, d)
+            picked, coefs, at_one = np.zeros((len(f), n), int), np.zeros((len(f), n)), np.zeros(len(f))
+            distinct, which = np.unique(bins, axis=0, return_inverse=True) if len(f) else (bins, np.zeros(0, int))
+            order = np.argsort(which.ravel(), kind="stable")
+            ends = np.cumsum(np.bincount(which.ravel(), minlength=len(distinct)))
+            if len(known) > KNOWN:
+                known.clear()
+            for v, lo, hi in zip(distinct, np.concatenate([[0], ends[:-1]]) if len(ends) else [], ends):
+                key = v.tobytes()
+                if key not in known:
+                    known[key] = sums(v)
+                sw, sz, szz, sy, szy, syy = known[key]
+                i = order[lo:hi]
+                c = best[i]
+                y0 = own[i, c]
+                # the row itself: all ones, weight 1
+                sw, sz, szz = sw + 1.0, sz + 1.0, szz + 1.0
+                sy, szy, syy = sy[c] + y0, szy[:, c] + y0, syy[c] + y0 * y0
+                A = szz - np.outer(sz, sz) / sw
+                b = szy - sz[:, None] * sy / sw
+                if take:
+                    picked[i] = take
+                    coefs[i] = np.linalg.solve(A + alpha * np.eye(d), b).T
+                else:
+                    for m, row in enumerate(i):
+                        s = sorted(forward_selection(A, b[:, m], syy[m] - sy[m] * sy[m] / sw, k, alpha))
+                        picked[row], coefs[row] = s, np.linalg.solve(A[np.ix_(s, s)] + alpha * np.eye(len(s)), b[s, m])
+                at_one[i] = sy / sw + (coefs[i] * (1.0 - sz[picked[i]] / sw)).sum(1)
+            names = np.array(cols, dtype=object)
+            yield pd.DataFrame({"id": np.repeat(f[id_col].to_numpy(), n), "feature": names[picked.ravel()], "attribution": coefs.ravel(),
+                                "bin": np.take_along_axis(bins, picked, 1).ravel() if len(f) else np.zeros(0, int),
+                                "class": np.repeat(np.array(classes)[best], n), "local_prediction": np.repeat(at_one, n)})
     return run
 
 
