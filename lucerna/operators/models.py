@@ -133,14 +133,19 @@ def fit_model(df: DataFrame, name: str, task: str, feature_cols: Sequence[str],
         return fit_boosted(data, feature_cols, task, n_classes, label, weight_col, **{"seed": seed, **(params or {})}).pipeline()
     if name == "DNN" or (name == "ANN" and task == "regression"):
         return fit_network(data, feature_cols, task, n_classes, label, weight_col, **{"seed": seed, **(params or {})}).pipeline()
-    if name == "XGBOOST":  # every level of every tree is two short stages over all partitions
-        data = data.coalesce(fit_partitions(data))
     return build_pipeline(name, task, feature_cols, n_classes, params, label, weight_col, seed).fit(data)
 
 
-def fit_partitions(data: DataFrame, rows: int = 500_000) -> int:
-    """Partitions for a fit of many short passes: one a core, more where one would hold over ``rows`` rows."""
-    return max(data.sparkSession.sparkContext.defaultParallelism, -(-data.count() // rows), 1)
+def few_partitions(data: DataFrame, rows: int = 500_000, many: int = 4) -> DataFrame:
+    """Rows for a fit of hundreds of short passes: a partition a core, more where one would hold over ``rows`` rows.
+
+    Only where there are more than ``many`` partitions a core.  Spark's trees place their split
+    candidates by a sample drawn partition by partition (above 10,000 rows), so other partitions mean other candidates.
+    """
+    cores = data.sparkSession.sparkContext.defaultParallelism
+    if data.rdd.getNumPartitions() <= many * cores:
+        return data
+    return data.coalesce(max(cores, -(-data.count() // rows)))
 
 
 def probability_array(scored: DataFrame) -> Column:

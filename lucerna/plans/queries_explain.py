@@ -428,13 +428,13 @@ def ex_attribution_share(v):
 
 # ---------------------------------------------------------------- fitted-model explainers (rows-only)
 
-def _fitted(v, name="LR", params=None):
+def _fitted(v, name="LR", params=None, few=False):
     ob = v.order_binary
     # the split feeds a fit, quantiles and the explained rows: materialise it once
     split = SA.train_test_split(ob).persist()
     train = split.where("split = 'train'")
     test = split.where("split = 'test'")
-    m = ML.fit_model(train, name, "classification", FEATURES, params=params)
+    m = ML.fit_model(ML.few_partitions(train) if few else train, name, "classification", FEATURES, params=params)
     return m, train, test
 
 
@@ -589,7 +589,7 @@ def ex_tree_shapley(v):
 @query("ex_tree_shapley_global", "EX6,EX7,ML4")
 def ex_tree_shapley_global(v):
     from lucerna.operators.treeshap import tree_shapley
-    m, train, test = _fitted(v, "XGBOOST")
+    m, train, test = _fitted(v, "XGBOOST", few=True)  # every level of every tree is two short stages over all partitions
     return EX.shapley_global(tree_shapley(test, train, m, FEATURES))
 
 
